@@ -24,22 +24,17 @@ def _orderable(kind: DataType) -> bool:
     return True
 
 
-def total_order(df: DataFrame, leading: Sequence[Column], skip: Sequence[str] = ()) -> list[Column]:
-    """``leading`` followed by every other comparable column, so that ties have one outcome."""
-    rest = [f.name for f in df.schema.fields if f.name not in skip and _orderable(f.dataType)]
-    return [*leading, *[F.col(f"`{name}`").desc() for name in rest]]
-
+def dedupe_microbatch(df: DataFrame, business_keys: Sequence[str], order_cols: Sequence[str]) -> DataFrame:
+    """Latest row per business key, by all ``order_cols`` descending.
 
-def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    ranked = Window.partitionBy(*keys).orderBy(*total_order(df, order, skip=keys))
+    Every other comparable column follows in the order, so that ties have one outcome.
+    """
+    leading = [*business_keys, *order_cols]
+    rest = [f"`{f.name}`" for f in df.schema.fields if f.name not in leading and _orderable(f.dataType)]
+    ranked = Window.partitionBy(*business_keys).orderBy(*[F.col(c).desc() for c in [*order_cols, *rest]])
     return df.withColumn("_rank", F.row_number().over(ranked)).filter("_rank = 1").drop("_rank")
 
 
-def dedupe_microbatch(df: DataFrame, business_keys: Sequence[str], order_cols: Sequence[str]) -> DataFrame:
-    """Latest row per business key, by all ``order_cols`` descending."""
-    return first_per_key(df, business_keys, [F.col(c).desc() for c in order_cols])
-
-
 def latest_ingested(df: DataFrame) -> DataFrame:
     """Batch form: latest ingestion of each ``(athlete_id, id, start_date)``."""
     return dedupe_microbatch(df, ["athlete_id", "id", "start_date"], ["ingestion_timestamp"])

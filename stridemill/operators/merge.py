@@ -1,5 +1,8 @@
 """Insert-only and upsert merges for tables that are plain columnar files.
 
+Both kinds of table keep a batch id as their innermost partition column.  A batch writes
+only folders that carry its own id, so repeating it replaces its own rows and nothing else.
+
 Neither merge shuffles its target when the source is a modest micro-batch.  The target is
 first narrowed to the keys the source carries: file statistics prune by the source's range
 of one key column, then a semi-join against the source's keys, which Spark runs as a
@@ -10,9 +13,9 @@ as a sort-merge join with skew splitting beyond it.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from functools import reduce
-from operator import and_, or_
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,30 +42,29 @@ def value_range(df: DataFrame, column: str) -> Column:
     return within | F.col(column).isNull() if seen["has_null"] else within
 
 
+def matched(target: DataFrame, source: DataFrame, keys: Sequence[str], null_safe: bool) -> DataFrame:
+    """Target rows whose keys the source has."""
+    wanted = source.select(*keys).distinct()
+    return target.alias("t").join(wanted.alias("w"), key_match("t", "w", keys, null_safe), "left_semi")
+
+
 def unmatched(source: DataFrame, target: DataFrame, keys: Sequence[str], null_safe: bool = True) -> DataFrame:
     """Source rows whose keys the target lacks.
 
     The target's share is cut to distinct, actually occurring keys before the anti-join:
     a key repeated in a third of the target arrives there once.
     """
-    wanted = source.select(*keys).distinct()
-    present = (target.select(*keys).alias("t").join(wanted.alias("w"), key_match("t", "w", keys, null_safe),
-                                                    "left_semi").distinct())
+    present = matched(target.select(*keys), source, keys, null_safe).distinct()
     return source.alias("s").join(present.alias("p"), key_match("s", "p", keys, null_safe), "left_anti")
 
 
-def insert_unmatched(source: DataFrame, target: DataFrame, keys: Sequence[str], null_safe: bool = True) -> DataFrame:
-    """The table after an insert-only merge, as a plan."""
-    return target.unionByName(unmatched(source, target, keys, null_safe), allowMissingColumns=True)
-
-
 def merge_insert(source: DataFrame, target: str, keys: Sequence[str], batch_id: int, *, null_safe: bool = True,
                  prune_by: str | None = None) -> bool:
     """Insert the rows whose keys the target table lacks; existing rows stay untouched.
 
-    ``source`` is read more than once, so a caller with an expensive plan persists it.  The
-    new rows become the batch's own partition: a replayed batch changes nothing, which also
-    holds with ``null_safe=False``, where rows with a NULL key always count as new.
+    ``source`` is read more than once, so a caller with an expensive plan persists it.  A
+    replayed batch changes nothing, which also holds with ``null_safe=False``, where rows
+    with a NULL key always count as new.
     """
     spark = source.sparkSession
     if fsio.is_committed(spark, batch_path(target, batch_id)):
@@ -85,128 +87,112 @@ def upsert_data(batch: DataFrame, batch_id: int, target_table: str, key_columns:
     return merge_insert(batch, target_table, key_columns, batch_id)
 
 
-def _complete(keys: Sequence[str]) -> Column:
-    return reduce(and_, [F.col(k).isNotNull() for k in keys])
-
-
-def upserted(source: DataFrame, target: DataFrame, keys: Sequence[str], order_cols: Sequence[str] = (),
-             null_keys: str = "identity") -> DataFrame:
-    """The table after an upsert merge, as a plan.
+def merge_upsert(source: DataFrame, target: str, keys: Sequence[str], partitions: Sequence[str], batch_id: int, *,
+                 schema: StructType | None = None, order_cols: Sequence[str] = (), prune_by: str | None = None,
+                 null_keys: str = "identity") -> int:
+    """Update the rows whose keys match, insert the others; returns how many folders it rewrote.
 
-    Rows with complete keys replace their matches; of several source rows with one key the
-    first under ``order_cols`` (descending, totally ordered) is taken.  A row with a NULL in
-    its key matches nothing under ``=``:
+    Of several source rows with one complete key the first under ``order_cols`` (descending,
+    totally ordered) is taken.  A row with a NULL in its key matches nothing under ``=``:
 
-    * ``"identity"``: it is inserted unless an identical row is there, so replays are stable
-      and two different rows that share the NULL key both survive;
+    * ``"identity"``: it is inserted unless an identical row is there, so repeated input is
+      harmless and two different rows that share the NULL key both survive;
     * ``"insert"``: it is always inserted.
     """
     if null_keys not in ("identity", "insert"):
         raise ValueError(f"unknown null_keys: {null_keys}")
-    columns = target.columns
-    source = source.select(*columns)
-    complete = dedupe_microbatch(source.filter(_complete(keys)), keys, order_cols)
-    kept = target.alias("t").join(complete.select(*keys).alias("s"), key_match("t", "s", keys, False), "left_anti")
-    partial = source.filter(~_complete(keys))
-    if null_keys == "identity":
-        partial = unmatched(partial, target.filter(~_complete(keys)), columns)
-    return kept.unionByName(complete).unionByName(partial)
-
-
-def _in_partitions(partitions: Sequence[str], values: list[tuple]) -> Column:
-    """Literal partition filter, so pruning happens before the job starts."""
-    return reduce(or_, [reduce(and_, [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(partitions, row)])
-                        for row in values], F.lit(False))
+    names = (schema or source.schema).names
+    source = source.select(*names)
+    has_key = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    complete = dedupe_microbatch(source.filter(has_key), keys, order_cols)
+    partial = source.filter(~has_key)
 
+    def rows(current: DataFrame) -> DataFrame:
+        if null_keys == "insert":
+            return complete.unionByName(partial)
+        return complete.unionByName(unmatched(partial, current.filter(~has_key), names))
 
-def _partition_folder(spark: SparkSession, partitions: Sequence[str], values: tuple) -> str:
-    naming = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
-    return "/".join(naming.getPartitionPathString(c, None if v is None else str(v))
-                    for c, v in zip(partitions, values))
-
-
-def staging_folder(spark: SparkSession, target: str, batch_id: int) -> str:
-    """Where a batch's result waits; the same after a restart, in the shared folder."""
-    digest = hashlib.md5(target.encode("utf-8")).hexdigest()
-    return f"{shared_dir(spark)}/stridemill/upsert/{digest}/batch={batch_id}"
-
-
-def replaced_groups(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The table after every group of ``keys`` present in the source is replaced as a whole."""
-    source = source.select(*target.columns)
-    groups = source.select(*keys).distinct()
-    kept = target.alias("t").join(groups.alias("s"), key_match("t", "s", keys, True), "left_anti")
-    return kept.unionByName(source)
-
-
-def merge_upsert(source: DataFrame, target: str, keys: Sequence[str], partitions: Sequence[str], batch_id: int, *,
-                 schema: StructType | None = None, order_cols: Sequence[str] = (), prune_by: str | None = None,
-                 null_keys: str = "identity") -> int:
-    """Upsert into a partitioned table; see :func:`upserted` for the row rules.
-
-    Returns how many partitions were rewritten.
-    """
-    return _rewrite_touched(
-        source, target, keys, partitions, batch_id, schema, prune_by, null_safe=False,
-        combine=lambda rows, affected: upserted(rows, affected, keys, order_cols, null_keys))
+    return _rewrite(source, source.filter(has_key), rows, target, keys, partitions, batch_id, schema, prune_by,
+                    null_safe=False)
 
 
 def merge_groups(source: DataFrame, target: str, keys: Sequence[str], partitions: Sequence[str], batch_id: int, *,
                  schema: StructType | None = None, prune_by: str | None = None) -> int:
-    """Replace whole groups of a partitioned table; see :func:`replaced_groups`."""
-    return _rewrite_touched(
-        source, target, keys, partitions, batch_id, schema, prune_by, null_safe=True,
-        combine=lambda rows, affected: replaced_groups(rows, affected, keys))
+    """Replace every group of ``keys`` that the source has, as a whole; NULL keys form groups too."""
+    source = source.select(*(schema or source.schema).names)
+    return _rewrite(source, source, lambda current: source, target, keys, partitions, batch_id, schema, prune_by,
+                    null_safe=True)
 
 
-def _rewrite_touched(source: DataFrame, target: str, keys: Sequence[str], partitions: Sequence[str], batch_id: int,
-                     schema: StructType | None, prune_by: str | None, null_safe: bool,
-                     combine: Callable[[DataFrame, DataFrame], DataFrame]) -> int:
-    """Rewrite the partitions a source touches, and only those.
+def _rewrite(source: DataFrame, matching: DataFrame, new_rows, target: str, keys: Sequence[str],
+             partitions: Sequence[str], batch_id: int, schema: StructType | None, prune_by: str | None,
+             null_safe: bool) -> int:
+    """Common part of the updating merges.
 
-    A partition is touched when the source has rows for it, or when it holds a row the
-    source replaces (an update may move a row to another partition).  Their list is bounded
-    by the table's partition count and is all the driver sees.
+    New rows go to folders of their own batch.  Older folders are rewritten only if they
+    hold a row that is replaced, so a batch that merely inserts rewrites nothing, whatever
+    the size of the partition it inserts into.  The list of such folders is bounded by the
+    table's folder count and is all the driver sees.
 
-    The new content of the touched partitions is staged completely before any of them is
-    overwritten.  A batch that dies in between is finished from its staged copy on retry.
-    ``source`` is read more than once, so a caller with an expensive plan persists it.
+    The result is staged completely before anything is overwritten; a batch that dies in
+    between is finished from its staged copy on retry.  ``source`` is read more than once,
+    so a caller with an expensive plan persists it.
     """
     spark = source.sparkSession
     schema = schema or source.schema
-    source = source.select(*schema.names)
+    slots = [*partitions, BATCH_COLUMN]
     stage = staging_folder(spark, target, batch_id)
-    rows, touched_at = f"{stage}/rows", f"{stage}/touched"
+    rows_at, touched_at = f"{stage}/rows", f"{stage}/touched"
 
-    if not fsio.is_committed(spark, rows):
-        current = (spark.read.schema(schema).parquet(target) if fsio.data_files(spark, target)
-                   else spark.createDataFrame([], schema))
-        wanted = source.select(*keys).distinct()
+    if not fsio.is_committed(spark, rows_at):
+        table = read_batches(spark, target, schema)
+        current = table.filter(F.col(BATCH_COLUMN) != batch_id)
         candidates = current.filter(value_range(source, prune_by)) if prune_by else current
-        replaced = (candidates.select(*dict.fromkeys([*keys, *partitions])).alias("t")
-                    .join(wanted.alias("w"), key_match("t", "w", keys, null_safe), "left_semi"))
-        touched = source.select(*partitions).union(replaced.select(*partitions)).distinct()
-        touched.coalesce(1).write.mode("overwrite").parquet(touched_at)
-        affected = current.filter(_in_partitions(partitions, _slots(spark, touched_at)))
-        write_partitioned(combine(source, affected), rows, partitions)
-
-    slots = _slots(spark, touched_at)
-    if fsio.data_files(spark, rows):
-        staged = spark.read.schema(schema).parquet(rows)
-        (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(*partitions).parquet(target))
-    for slot in slots:
-        folder = _partition_folder(spark, partitions, slot)
-        if not fsio.exists(spark, f"{rows}/{folder}"):
-            fsio.delete(spark, f"{target}/{folder}")  # its last row moved elsewhere
+        replaced = matched(candidates.select(*dict.fromkeys([*keys, *slots])), matching, keys, null_safe)
+        own = table.filter(F.col(BATCH_COLUMN) == batch_id)  # left by a run whose staged copy is gone
+        (replaced.select(*slots).unionByName(own.select(*slots)).distinct()
+         .write.mode("overwrite").parquet(touched_at))
+        affected = current.filter(_in_folders(slots, _folders(spark, touched_at)))
+        wanted = matching.select(*keys).distinct()
+        kept = affected.alias("t").join(wanted.alias("s"), key_match("t", "s", keys, null_safe), "left_anti")
+        fresh = new_rows(candidates.drop(BATCH_COLUMN)).withColumn(BATCH_COLUMN, F.lit(batch_id).cast("long"))
+        write_partitioned(kept.unionByName(fresh), rows_at, slots)
+
+    touched = _folders(spark, touched_at)
+    if fsio.data_files(spark, rows_at):
+        (read_batches(spark, rows_at, schema).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(*slots).parquet(target))
+    for values in touched:
+        folder = _folder_name(spark, slots, values)
+        if not fsio.exists(spark, f"{rows_at}/{folder}"):
+            fsio.delete(spark, f"{target}/{folder}")  # all its rows were replaced
     _forget_older(spark, stage)
-    return len(slots)
+    return len(touched)
 
 
-def _slots(spark: SparkSession, touched_at: str) -> list[tuple]:
+def staging_folder(spark: SparkSession, target: str, batch_id: int) -> str:
+    """Where a batch's result waits; the same after a restart, in the shared folder."""
+    digest = hashlib.md5(target.encode("utf-8")).hexdigest()
+    return f"{shared_dir(spark)}/stridemill/upsert/{digest}/batch={batch_id}"
+
+
+def _folders(spark: SparkSession, touched_at: str) -> list[tuple]:
     return [tuple(row) for row in spark.read.parquet(touched_at).collect()]
 
 
+def _in_folders(slots: Sequence[str], folders: list[tuple]) -> Column:
+    """Filter on partition columns only, as one set lookup, so pruning happens before the scan."""
+    absent, between = "\u0001", "\u0002"
+    label = F.concat_ws(between, *[F.coalesce(F.col(c).cast("string"), F.lit(absent)) for c in slots])
+    return label.isin([between.join(absent if v is None else str(v) for v in row) for row in folders])
+
+
+def _folder_name(spark: SparkSession, slots: Sequence[str], values: tuple) -> str:
+    naming = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    return "/".join(naming.getPartitionPathString(c, None if v is None else str(v))
+                    for c, v in zip(slots, values))
+
+
 def _forget_older(spark: SparkSession, stage: str) -> None:
     parent, name = stage.rsplit("/", 1)
     newest = int(name.split("=")[1])

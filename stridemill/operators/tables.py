@@ -11,6 +11,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .. import fsio
 
 BATCH_COLUMN = "_batch_id"
+MAX_BATCH_BYTES = 512 * 1024 ** 3
 
 
 def batch_path(table: str, batch_id: int) -> str:
@@ -40,13 +41,20 @@ def read_batches(spark: SparkSession, table: str, schema: StructType, fmt: str =
     return spark.read.format(fmt).schema(full).load(table)
 
 
+def snapshot(spark: SparkSession, table: str, schema: StructType) -> DataFrame:
+    """All rows of a batch-partitioned table, without the batch column."""
+    return read_batches(spark, table, schema).select(*schema.names)
+
+
 def stream_batches(spark: SparkSession, table: str, schema: StructType, fmt: str = "parquet",
-                   max_files_per_trigger: int | None = None) -> DataFrame:
-    """Only the rows added since the reading query's last checkpoint."""
-    reader = spark.readStream.format(fmt).schema(schema)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.load(table).drop(BATCH_COLUMN)
+                   max_bytes_per_trigger: int = MAX_BATCH_BYTES) -> DataFrame:
+    """Only the rows added since the reading query's last checkpoint.
+
+    A long backlog is worked off in micro-batches of a bounded size, which also bounds what
+    a batch keeps for its repeated reads.
+    """
+    return (spark.readStream.format(fmt).schema(schema).option("maxBytesPerTrigger", max_bytes_per_trigger)
+            .load(table).drop(BATCH_COLUMN))
 
 
 def compact(spark: SparkSession, table: str, schema: StructType, destination: str,
@@ -130,11 +138,12 @@ def create_as_select(spark: SparkSession, table: str, query: DataFrame) -> None:
 def export_single_csv(df: DataFrame, destination: str) -> str:
     """One CSV file under an exact name, for small per-owner tables such as load control.
 
-    The lone part file is written to a side folder and moved into place.
+    Only the finished rows meet in one task; whatever computes them stays distributed.  The
+    lone part file is written to a side folder and moved into place.
     """
     spark = df.sparkSession
     staging = f"{destination}.staging"
-    df.coalesce(1).write.mode("overwrite").option("header", True).option("escapeQuotes", False).csv(staging)
+    df.repartition(1).write.mode("overwrite").option("header", True).option("escapeQuotes", False).csv(staging)
     parts = [p for p in fsio.data_files(spark, staging) if p.rsplit("/", 1)[1].startswith("part-")]
     fsio.delete(spark, destination)
     fsio.rename(spark, parts[0], destination)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import transforms as T
 from ..operators.joins import with_details
 from ..operators.merge import merge_groups, merge_upsert
+from ..operators.tables import snapshot
 from ..schemas import FEATURE_PARTITIONS, FEATURES
 from ..streaming.runs import RunLog, batch_stream, finish
 
@@ -74,7 +75,7 @@ def refresh_late_details(target: str, activities: DataFrame, details: DataFrame,
     matched by guess.  Use batch ids apart from the stream's.
     """
     spark = activities.sparkSession
-    table = spark.read.schema(FEATURES).parquet(target)
+    table = snapshot(spark, target, FEATURES)
     rows = late_groups(table, activities, details).persist()
     try:
         if rows.isEmpty():

@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions import columns as C
 from ..functions import transforms as T
 from ..operators.dedupe import dedupe_microbatch, latest_ingested
 from ..operators.merge import merge_insert
 from ..operators.quality import ACTIVITY_RULES, DETAIL_RULES, assert_quality
-from ..operators.tables import stream_batches
 from ..schemas import SILVER_COLUMNS
 from ..streaming.runs import RunLog, batch_stream, finish
 
@@ -23,9 +23,8 @@ PACE_CLOCK = "pace_clock"
 def apply_all_silver_calcs(df: DataFrame, *, type_col: str = "type", distance_col: str = "distance",
                            average_speed_col: str = "average_speed", moving_time_col: str = "moving_time",
                            elapsed_time_col: str = "elapsed_time", start_date_col: str = "start_date",
-                           non_run_value_for_pace: float | None = 0.0, without_distance: float | None = 0.0,
-                           carry: bool = True, pace_clock_col: str = PACE_CLOCK) -> DataFrame:
-    """All derived activity measures, as one projection."""
+                           non_run_value_for_pace: float | None = 0.0, pace_clock_col: str = PACE_CLOCK) -> DataFrame:
+    """All derived activity measures, as a chain of steps that Catalyst makes one projection."""
     return (df
             .transform(T.add_start_date, start_date_col)
             .transform(T.add_distance_km, distance_col)
@@ -35,11 +34,22 @@ def apply_all_silver_calcs(df: DataFrame, *, type_col: str = "type", distance_co
             .transform(T.add_pace_min_km_moving_time, moving_time_col, distance_col, type_col,
                        non_run_value=non_run_value_for_pace)
             .transform(T.add_tempo_real, moving_time_col)
-            .transform(T.add_pace_min_km_new, moving_time_col, distance_col, without_distance=without_distance)
-            .transform(T.add_pace_clock, out_col=pace_clock_col, carry=carry)
+            .transform(T.add_pace_min_km_new, moving_time_col, distance_col)
+            .transform(T.add_pace_clock, out_col=pace_clock_col)
             .transform(T.add_dia_semana))
 
 
+def derived_columns(without_distance: float | None, carry: bool) -> dict[str, Column]:
+    """The same measures one by one, over bronze columns."""
+    pace = C.moving_pace("moving_time", "distance", without_distance=without_distance)
+    day = C.iso_date("start_date")
+    return {"start_date": day, "distance_km": C.kilometres("distance"),
+            "average_speed_kmh": C.km_per_hour("average_speed"), "tempo_real": C.hours_minutes_seconds("moving_time"),
+            "pace_min_km": C.run_pace("elapsed_time", "distance", non_run_value=0.0),
+            "pace_min_km_moving_time": C.run_pace("moving_time", "distance", non_run_value=0.0),
+            "pace_min_km_new": pace, PACE_CLOCK: C.pace_clock(pace, carry), "dia_semana": C.weekday(day)}
+
+
 def apply_detail_calcs(df: DataFrame, *, start_date_col: str = "start_date") -> DataFrame:
     return df.transform(T.add_start_date, start_date_col)
 
@@ -53,15 +63,31 @@ def without_owner(bronze: DataFrame) -> DataFrame:
     return bronze.filter(F.col("athlete_id").isNull())
 
 
-def rebuild_activities(bronze: DataFrame, pace_clock_col: str = PACE_CLOCK, stream_edges: bool = True) -> DataFrame:
-    """Full silver snapshot from bronze.
+# what each derived column is made of
+INPUTS = {
+    "distance_km": ("distance",), "average_speed_kmh": ("average_speed",), "tempo_real": ("moving_time",),
+    "pace_min_km": ("elapsed_time", "distance", "type"),
+    "pace_min_km_moving_time": ("moving_time", "distance", "type"),
+    "pace_min_km_new": ("moving_time", "distance"), PACE_CLOCK: ("moving_time", "distance"),
+    "dia_semana": ("start_date",),
+}
+
 
-    ``stream_edges`` keeps the incremental load's edge cases, so both loads agree.  Without
-    it a missing distance gives a NULL pace and 60 rounded seconds do not carry.
+def rebuild_activities(bronze: DataFrame, columns: Sequence[str] = SILVER_COLUMNS, pace_clock_col: str = PACE_CLOCK,
+                       stream_edges: bool = True) -> DataFrame:
+    """Silver snapshot from bronze, whole or only the named columns.
+
+    Bronze is cut to the inputs of ``columns`` before rows are compared, so a narrow request
+    reads and shuffles narrow rows.  ``stream_edges`` keeps the incremental load's edge
+    cases, so both loads agree.  Without it a missing distance gives a NULL pace and 60
+    rounded seconds do not carry.
     """
-    derived = apply_all_silver_calcs(latest_ingested(with_owner(bronze)), pace_clock_col=pace_clock_col,
-                                     without_distance=0.0 if stream_edges else None, carry=stream_edges)
-    return derived.select(*[pace_clock_col if c == PACE_CLOCK else c for c in SILVER_COLUMNS])
+    raw = [name for column in columns for name in INPUTS.get(column, (column,))]
+    needed = dict.fromkeys(["athlete_id", "id", "start_date", "ingestion_timestamp", *raw])
+    latest = latest_ingested(with_owner(bronze.select(*needed)))
+    measures = derived_columns(without_distance=0.0 if stream_edges else None, carry=stream_edges)
+    return latest.select(*[
+        measures[c].alias(pace_clock_col if c == PACE_CLOCK else c) if c in measures else F.col(c) for c in columns])
 
 
 def rebuild_details(bronze: DataFrame) -> DataFrame:
@@ -107,7 +133,3 @@ def detail_load(target: str, rejects: str, **options) -> SilverLoad:
 def silver_schema(bronze_schema: StructType, spark, derive: Callable[[DataFrame], DataFrame]) -> StructType:
     """Schema of the silver table that a load makes of a bronze schema."""
     return T.add_silver_ingestion_time(derive(spark.createDataFrame([], bronze_schema))).schema
-
-
-def silver_stream(spark, table: str, schema: StructType, max_files_per_trigger: int | None = None) -> DataFrame:
-    return stream_batches(spark, table, schema, max_files_per_trigger=max_files_per_trigger)

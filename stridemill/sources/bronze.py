@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from .. import fsio
 from ..functions.transforms import add_athlete_id, add_ingestion_time
-from ..operators.tables import append_batch
+from ..operators.tables import MAX_BATCH_BYTES, append_batch
 from ..streaming.runs import RunLog, append_stream, batch_stream, finish
 from .evolution import DOCUMENT, SchemaStore, evolve
 
@@ -24,7 +24,7 @@ class BronzeLoader:
 
     def __init__(self, input_path: str, checkpoint_path: str, format_file: str, *,
                  declared: StructType | None = None, name_filter: str | None = None,
-                 max_files_per_trigger: int | None = None, archive_path: str | None = None,
+                 max_bytes_per_trigger: int = MAX_BATCH_BYTES, archive_path: str | None = None,
                  options: dict[str, str] | None = None, spark: SparkSession | None = None):
         self.spark = spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
         self.input_path, self.checkpoint_path, self.format_file = input_path, checkpoint_path, format_file
@@ -32,9 +32,7 @@ class BronzeLoader:
         self.options = dict(options or {})
         if name_filter:
             self.options["pathGlobFilter"] = name_filter
-        self.stream_options: dict[str, str] = {}
-        if max_files_per_trigger:
-            self.stream_options["maxFilesPerTrigger"] = str(max_files_per_trigger)
+        self.stream_options = {"maxBytesPerTrigger": str(max_bytes_per_trigger)}
         if archive_path:
             self.stream_options |= {"cleanSource": "archive", "sourceArchiveDir": archive_path}
 

@@ -21,12 +21,19 @@ CHECKED_COLUMNS = ("id", "athlete_id", "start_date", "sport_type", "distance_km"
                    "pace_min_km_moving_time", "tempo_real", "pace_min_km_new", "pace_clock", "dia_semana")
 
 
-def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.rebuild_activities(bronze_activities(spark, sf_dir))
+DETAIL_COLUMNS = ("id", "athlete_id", "sport_type", "start_date", "start_date_local", "calories", "achievement_count",
+                  "elapsed_time", "ingestion_timestamp")
+RUN_MEASURES = ("sport_type", "start_date", "distance_km", "total_elevation_gain", "pace_min_km", "average_speed_kmh")
+OWNER_STAMPS = ("athlete_id", "start_date", "ingestion_timestamp")
+
+
+def silver(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Silver activities, whole or only some columns."""
+    return S.rebuild_activities(bronze_activities(spark, sf_dir), columns or SILVER_COLUMNS)
 
 
 def details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.rebuild_details(bronze_details(spark, sf_dir))
+    return S.rebuild_details(bronze_details(spark, sf_dir).select(*DETAIL_COLUMNS))
 
 
 def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,18 +75,18 @@ def p5_owner_split(spark, sf_dir):
 
 
 def p6_runs(spark, sf_dir):
-    return silver(spark, sf_dir).filter(F.col("sport_type") == "Run").select("id", "distance_km")
+    return silver(spark, sf_dir, "id", "sport_type", "distance_km").filter(F.col("sport_type") == "Run").drop("sport_type")
 
 
 def p7_predicates(spark, sf_dir):
-    rows = silver(spark, sf_dir)
+    rows = silver(spark, sf_dir, "id", "name", "type", "start_date")
     chosen_rows = (F.col("type") == "Run") & (F.col("name").isin("Session 7", "Session 21")
                                               | (F.col("start_date") == F.lit("2024-01-10").cast("date")))
     return plain(rows.filter(chosen_rows).select("id", "name", "start_date"))
 
 
 def p8_since(spark, sf_dir):
-    silver(spark, sf_dir).createOrReplaceTempView("recent_source")
+    silver(spark, sf_dir, "id", "start_date").createOrReplaceTempView("recent_source")
     return plain(spark.sql("SELECT id, start_date FROM recent_source WHERE start_date >= DATE '2024-01-15'"))
 
 
@@ -103,7 +110,7 @@ def j1_features(spark, sf_dir):
 
 
 def j2_control_join(spark, sf_dir):
-    rows = silver(spark, sf_dir).select("athlete_id", "start_date", "ingestion_timestamp")
+    rows = silver(spark, sf_dir, *OWNER_STAMPS)
     return plain(J.join_control(D.last_value(rows, "athlete_id", "start_date"),
                                 D.earliest_value(rows, "athlete_id", "ingestion_timestamp")))
 
@@ -113,7 +120,7 @@ def j3_calorie_report(spark, sf_dir):
 
 
 def j4_missing_details(spark, sf_dir):
-    return J.missing_details(silver(spark, sf_dir), details(spark, sf_dir))
+    return J.missing_details(silver(spark, sf_dir, "id"), details(spark, sf_dir))
 
 
 def j4_orders_without_lines(spark, sf_dir):
@@ -122,22 +129,22 @@ def j4_orders_without_lines(spark, sf_dir):
 
 
 def j5_load_mode(spark, sf_dir):
-    modes = J.load_mode(athletes(spark, sf_dir), K.control_table(silver(spark, sf_dir)))
+    modes = J.load_mode(athletes(spark, sf_dir), K.control_table(silver(spark, sf_dir, *OWNER_STAMPS)))
     return plain(modes.select("athlete_id_json", "athlete_id", "start_date", "full_carga"))
 
 
 # aggregates
 
 def a1_weekly_runs(spark, sf_dir):
-    return A.weekly_summary(silver(spark, sf_dir))
+    return A.weekly_summary(silver(spark, sf_dir, *RUN_MEASURES))
 
 
 def a2_type_counts(spark, sf_dir):
-    return A.count_by(silver(spark, sf_dir), "type")
+    return A.count_by(silver(spark, sf_dir, "type"), "type")
 
 
 def a3_key_uniqueness(spark, sf_dir):
-    return A.key_uniqueness(silver(spark, sf_dir))
+    return A.key_uniqueness(silver(spark, sf_dir, "id"))
 
 
 def a4_reject_report(spark, sf_dir):
@@ -159,15 +166,16 @@ def a7_distinct_ids(spark, sf_dir):
 
 
 def a8_monthly(spark, sf_dir):
-    return plain(A.monthly_distribution(silver(spark, sf_dir)))
+    return plain(A.monthly_distribution(silver(spark, sf_dir, *RUN_MEASURES)))
 
 
 def a8_elevation_per_km(spark, sf_dir):
-    return A.elevation_per_km(silver(spark, sf_dir)).select("id", "athlete_id", "elevation_gain_per_km")
+    rows = silver(spark, sf_dir, "id", "athlete_id", "distance_km", "total_elevation_gain")
+    return A.elevation_per_km(rows).select("id", "athlete_id", "elevation_gain_per_km")
 
 
 def a8_period_over_period(spark, sf_dir):
-    weeks = A.weekly_summary(silver(spark, sf_dir)).select("year", "week", "total_activities", "total_distance_km")
+    weeks = A.weekly_summary(silver(spark, sf_dir, *RUN_MEASURES)).select("year", "week", "total_activities", "total_distance_km")
     return A.period_over_period(weeks, ["year", "week"], ["total_activities", "total_distance_km"])
 
 
@@ -183,11 +191,11 @@ def w1_latest_line(spark, sf_dir):
 
 
 def w2_last_activity(spark, sf_dir):
-    return plain(D.last_value(silver(spark, sf_dir), "athlete_id", "start_date"))
+    return plain(D.last_value(silver(spark, sf_dir, *OWNER_STAMPS), "athlete_id", "start_date"))
 
 
 def w3_first_ingestion(spark, sf_dir):
-    return plain(D.earliest_value(silver(spark, sf_dir), "athlete_id", "ingestion_timestamp"))
+    return plain(D.earliest_value(silver(spark, sf_dir, *OWNER_STAMPS), "athlete_id", "ingestion_timestamp"))
 
 
 def w4_best_per_day(spark, sf_dir):
@@ -207,7 +215,7 @@ def o2_ordinals(spark, sf_dir):
 
 def o3_top_priced_order(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
-    return D.first_per_key(rows, ["o_custkey"], [F.col("o_totalprice").desc(), F.col("o_orderkey").desc()])
+    return D.dedupe_microbatch(rows, ["o_custkey"], ["o_totalprice", "o_orderkey"])
 
 
 # functions
@@ -218,17 +226,15 @@ def f1_start_date(spark, sf_dir):
 
 
 def _silver_columns(*names):
-    return lambda spark, sf_dir: plain(silver(spark, sf_dir).select("id", "athlete_id", *names))
+    return lambda spark, sf_dir: plain(silver(spark, sf_dir, "id", "athlete_id", *names))
 
 
 def f2_distance_km(spark, sf_dir):
-    rows = D.latest_ingested(S.with_owner(bronze_activities(spark, sf_dir)))
-    return T.add_distance_km(rows).select("id", "athlete_id", "distance", "distance_km")
+    return silver(spark, sf_dir, "id", "athlete_id", "distance", "distance_km")
 
 
 def f3_speed_kmh(spark, sf_dir):
-    rows = D.latest_ingested(S.with_owner(bronze_activities(spark, sf_dir)))
-    return T.add_average_speed_kmh(rows).select("id", "athlete_id", "average_speed", "average_speed_kmh")
+    return silver(spark, sf_dir, "id", "athlete_id", "average_speed", "average_speed_kmh")
 
 
 def f4_pace_all_sports(spark, sf_dir):
@@ -236,12 +242,12 @@ def f4_pace_all_sports(spark, sf_dir):
 
 
 def f10_periodo_dia(spark, sf_dir):
-    rows = silver(spark, sf_dir).select("id", "start_date_local")
+    rows = silver(spark, sf_dir, "id", "start_date_local")
     return T.add_periodo_dia(rows)
 
 
 def f11_semana_ano_mes(spark, sf_dir):
-    return T.add_semana_ano_mes(silver(spark, sf_dir)).select("id", "semana", "ano", "mes_ref")
+    return T.add_semana_ano_mes(silver(spark, sf_dir, "id", "start_date_local")).select("id", "semana", "ano", "mes_ref")
 
 
 def f12_reason_lists(spark, sf_dir):
@@ -253,11 +259,11 @@ def f13_calorie_class(spark, sf_dir):
 
 
 def f14_duration_class(spark, sf_dir):
-    return T.add_duracao_tipo(silver(spark, sf_dir).select("id", "tempo_real"))
+    return T.add_duracao_tipo(silver(spark, sf_dir, "id", "tempo_real"))
 
 
 def f15_unix(spark, sf_dir):
-    rows = silver(spark, sf_dir).select("id", "athlete_id", "start_date", "ingestion_timestamp")
+    rows = silver(spark, sf_dir, "id", *OWNER_STAMPS)
     return (rows.transform(T.convert_to_unix, "start_date").transform(T.convert_to_unix, "ingestion_timestamp")
             .drop("start_date", "ingestion_timestamp"))
 
@@ -298,16 +304,16 @@ def q3_rejected_rows(spark, sf_dir):
 # load control
 
 def c1_control_table(spark, sf_dir):
-    return plain(K.control_table(silver(spark, sf_dir)))
+    return plain(K.control_table(silver(spark, sf_dir, *OWNER_STAMPS)))
 
 
 def c2_split_by_mode(spark, sf_dir):
-    full, incremental = K.split_by_mode(athletes(spark, sf_dir), K.control_table(silver(spark, sf_dir)))
+    full, incremental = K.split_by_mode(athletes(spark, sf_dir), K.control_table(silver(spark, sf_dir, *OWNER_STAMPS)))
     return full.unionByName(incremental).select("athlete_id_json", "full_carga")
 
 
 def c3_incremental_after(spark, sf_dir):
-    early = silver(spark, sf_dir).filter("start_date < DATE '2024-01-03' AND sport_type = 'Run'")
+    early = silver(spark, sf_dir, "sport_type", *OWNER_STAMPS).filter("start_date < DATE '2024-01-03' AND sport_type = 'Run'")
     events = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("athlete_id"),
                                                    F.col("ts").cast("timestamp").alias("start_ts"))
     owners = events.select(F.col("athlete_id").alias("id")).distinct()
@@ -316,7 +322,7 @@ def c3_incremental_after(spark, sf_dir):
 
 
 def c4_pending_ids(spark, sf_dir):
-    return K.pending_detail_ids(silver(spark, sf_dir), details(spark, sf_dir))
+    return K.pending_detail_ids(silver(spark, sf_dir, "id"), details(spark, sf_dir))
 
 
 QUERIES = {

@@ -18,7 +18,7 @@ from ..session import run_dir
 from ..sources import files
 from ..sources.bronze import BronzeLoader, archive_landing
 from ..streaming.runs import append_stream, finish
-from .batch_queries import CHECKED_COLUMNS, chosen, details, silver
+from .batch_queries import CHECKED_COLUMNS, OWNER_STAMPS, chosen, details, silver
 from .mapping import activity_documents, bronze_activities, bronze_details, plain, table
 
 EVENTS = struct(event_id="long", ts="timestamp_ntz", user_id="long", event_type="string", value="double",
@@ -66,8 +66,8 @@ def s2_schema_evolution(spark, sf_dir):
                                                   F.col("event_type").alias("kind"), "value")
      .write.json(f"{work}/landing/three"))
     loader.load_evolving(f"{work}/bronze")
-    shape = StructType.fromDDL("id BIGINT, athlete_id BIGINT, kind STRING, value DOUBLE, _rescued_data STRING")
-    return B.read_batches(spark, f"{work}/bronze", shape).drop(B.BATCH_COLUMN)
+    shape = struct(id="long", athlete_id="long", kind="string", value="double", _rescued_data="string")
+    return B.snapshot(spark, f"{work}/bronze", shape)
 
 
 def s3_stream_from_table(spark, sf_dir):
@@ -102,7 +102,7 @@ def _control_text(df: DataFrame) -> DataFrame:
 
 def s6_csv_scan(spark, sf_dir):
     work = run_dir(spark, "s6")
-    B.export_single_csv(_control_text(K.control_table(silver(spark, sf_dir))), f"{work}/control.csv")
+    B.export_single_csv(_control_text(K.control_table(silver(spark, sf_dir, *OWNER_STAMPS))), f"{work}/control.csv")
     return plain(files.read_control(spark, f"{work}/control.csv"))
 
 
@@ -157,7 +157,7 @@ def k5_overwrite_schema(spark, sf_dir):
 
 def k6_overwrite_table(spark, sf_dir):
     database = scratch_database(spark, "k6")
-    control = K.control_table(silver(spark, sf_dir))
+    control = K.control_table(silver(spark, sf_dir, *OWNER_STAMPS))
     B.replace_managed(control.withColumn("full_carga", F.lit(True)), f"{database}.control")
     B.replace_managed(control, f"{database}.control")
     return plain(spark.read.table(f"{database}.control"))
@@ -190,7 +190,7 @@ def k9_create_as_select(spark, sf_dir):
 
 def k10_csv_export(spark, sf_dir):
     database, work = scratch_database(spark, "k10"), run_dir(spark, "k10_data")
-    K.publish_control(_control_text(K.control_table(silver(spark, sf_dir))), f"{work}/control.csv",
+    K.publish_control(_control_text(K.control_table(silver(spark, sf_dir, *OWNER_STAMPS))), f"{work}/control.csv",
                       f"{database}.control")
     return plain(files.read_csv(spark, f"{work}/control.csv", CONTROL))
 
@@ -230,7 +230,7 @@ def k13_archive(spark, sf_dir):
     rows.write.json(f"{work}/landing/processing_data")
     archive_landing(spark, f"{work}/landing/processing_data", f"{work}/landing/2024-01-31")
     return files.read_documents(spark, f"{work}/landing/2024-01-31",
-                                StructType.fromDDL("id BIGINT, event_type STRING"))
+                                struct(id="long", event_type="string"))
 
 
 def p1_nested_owner(spark, sf_dir):
@@ -252,7 +252,7 @@ def j6_merge_insert(spark, sf_dir):
     changed = orders.withColumn("o_totalprice", F.col("o_totalprice") * 2)
     for _ in range(2):  # a replayed batch changes nothing
         merge_insert(changed, target, keys, 1, prune_by="o_orderkey")
-    return plain(B.read_batches(spark, target, orders.schema).drop(B.BATCH_COLUMN))
+    return plain(B.snapshot(spark, target, orders.schema))
 
 
 def j7_merge_upsert(spark, sf_dir):
@@ -269,7 +269,7 @@ def j7_merge_upsert(spark, sf_dir):
     merge_upsert(base.filter("o_day < DATE '1998-01-01'"), target, keys, slots, 0)
     for _ in range(2):
         merge_upsert(fresh, target, keys, slots, 1, prune_by="o_orderkey")
-    return plain(spark.read.schema(base.schema).parquet(target))
+    return plain(B.snapshot(spark, target, base.schema))
 
 
 # quality and streams
@@ -337,7 +337,7 @@ def t3_feature_stream(spark, sf_dir):
     stream = B.stream_batches(spark, f"{work}/silver", _silver_schema(spark, sf_dir))
     FeatureLoad(f"{work}/features").run_stream(stream, spark.read.parquet(f"{work}/details"),
                                                f"{work}/feature_checkpoint")
-    return plain(spark.read.schema(FEATURES).parquet(f"{work}/features").select(*FEATURES.names))
+    return plain(B.snapshot(spark, f"{work}/features", FEATURES))
 
 
 QUERIES = {f.__name__: f for f in (
