@@ -32,10 +32,13 @@ def append_batch(df: DataFrame, table: str, batch_id: int, fmt: str = "parquet")
     return True
 
 
+def _with_batch(schema: StructType) -> StructType:
+    return StructType([*[f for f in schema.fields if f.name != BATCH_COLUMN], StructField(BATCH_COLUMN, LongType())])
+
+
 def read_batches(spark: SparkSession, table: str, schema: StructType, fmt: str = "parquet") -> DataFrame:
     """The table under a declared schema; columns an old batch lacks are NULL."""
-    full = StructType([*[f for f in schema.fields if f.name != BATCH_COLUMN],
-                       StructField(BATCH_COLUMN, LongType())])
+    full = _with_batch(schema)
     if not fsio.data_files(spark, table):
         return spark.createDataFrame([], full)
     return spark.read.format(fmt).schema(full).load(table)
@@ -61,9 +64,9 @@ def compact(spark: SparkSession, table: str, schema: StructType, destination: st
             cluster_by: Sequence[str] = (), catalog_table: str | None = None) -> None:
     """Rewrite many small batch folders as one well-filled copy of the table.
 
-    The copy is a new folder: readers keep the old one until the catalog entry moves.
-    Batch ids stay as an ordinary partition value of the copy's newest batch, so that a
-    later batch still sees that it has not been written.
+    The copy is a new folder: readers keep the old one until the catalog entry moves.  It
+    carries the newest batch id, so later batches go on from there; run it when no batch
+    that may still be retried is older.
     """
     rows = read_batches(spark, table, schema)
     newest = rows.agg(F.max(BATCH_COLUMN)).first()[0]
@@ -74,7 +77,13 @@ def compact(spark: SparkSession, table: str, schema: StructType, destination: st
         packed = packed.sortWithinPartitions(*cluster_by)
     append_batch(packed, destination, newest)
     if catalog_table:
-        spark.sql(f"ALTER TABLE {catalog_table} SET LOCATION '{destination}'")
+        known = spark.catalog.getTable(catalog_table)
+        if known.tableType != "EXTERNAL":
+            raise ValueError(f"{catalog_table} owns its files and cannot be pointed elsewhere")
+        # moving the location alone would keep the partitions of the old folder
+        spark.sql(f"DROP TABLE {catalog_table}")
+        create_partitioned(spark, catalog_table, _with_batch(schema), [BATCH_COLUMN], destination,
+                           comment=known.description)
         recover_partitions(spark, catalog_table)
 
 
@@ -104,8 +113,11 @@ def replace_managed(df: DataFrame, table: str) -> None:
 
 def register_external(spark: SparkSession, table: str, location: str, comment: str | None = None,
                       fmt: str = "parquet") -> None:
-    note = "" if comment is None else " COMMENT '" + comment.replace("'", "\\'") + "'"
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} USING {fmt}{note} LOCATION '{location}'")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} USING {fmt}{_comment(comment)} LOCATION '{location}'")
+
+
+def _comment(text: str | None) -> str:
+    return "" if text is None else " COMMENT '" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def recover_partitions(spark: SparkSession, table: str) -> None:
@@ -113,12 +125,13 @@ def recover_partitions(spark: SparkSession, table: str) -> None:
 
 
 def create_partitioned(spark: SparkSession, table: str, schema: StructType, partitions: Sequence[str],
-                       location: str | None = None, properties: dict[str, str] | None = None) -> None:
+                       location: str | None = None, properties: dict[str, str] | None = None,
+                       comment: str | None = None) -> None:
     """Typed table with partition columns and table properties."""
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     options = ", ".join(f"'{k}' = '{v}'" for k, v in (properties or {}).items())
     spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet PARTITIONED BY ({', '.join(partitions)})"
-              + (f" LOCATION '{location}'" if location else "")
+              + _comment(comment) + (f" LOCATION '{location}'" if location else "")
               + (f" TBLPROPERTIES ({options})" if options else ""))
 
 

@@ -1,0 +1,54 @@
+"""Scenario rows: six activities and one detail, with the silver values they must give."""
+
+from datetime import datetime
+
+from stridemill.schemas import BRONZE_ACTIVITY, BRONZE_DETAIL
+
+STAMP = datetime(2025, 10, 24, 8, 0)
+
+
+def _activity(id, kind, distance, moving, elapsed, speed, start, **more):
+    local = more.pop("start_date_local", start)
+    values = {"id": id, "athlete": (155180511, 1), "athlete_id": 155180511, "type": kind, "sport_type": kind,
+              "distance": distance, "moving_time": moving, "elapsed_time": elapsed, "average_speed": speed,
+              "start_date": start, "start_date_local": local, "start_latlng": [], "end_latlng": [-23.66, -46.66],
+              "map": ("a1", 2, ""), "timezone": "(GMT-03:00) America/Sao_Paulo", "utc_offset": -10800,
+              "ingestion_timestamp": STAMP, "total_elevation_gain": 38.0, **more}
+    return tuple(values.get(f.name) for f in BRONZE_ACTIVITY.fields)
+
+
+ACTIVITIES = [
+    _activity(6060601, "Yoga", 0.0, 588, 588, 0.0, "2024-12-28T13:59:37Z"),
+    _activity(60606, "Run", 2.0, 2570, 2580, 3.95, "2025-04-13T10:00:00Z"),
+    _activity(606062, "Run", 10000.0, 2230, 2260, 4.45, "2025-10-23T09:32:00Z"),
+    _activity(None, "Run", 10000.0, 2230, 2260, 4.45, "2025-10-23T09:32:00Z"),
+    _activity(606063, "Run", 10000.0, 2230, 2260, 4.45, "2025-10-23T09:32:00Z"),
+    _activity(606065, "Run", -1.0, 2230, 2260, 4.45, "2025-10-23T09:32:00Z"),
+]
+
+# id, km, kmh, pace, moving pace, duration, pace of all, clock, date, weekday, rejected for
+EXPECTED = [
+    (6060601, 0.0, 0.0, 0.0, 0.0, "00:09:48", 0.0, "0:00", "2024-12-28", "Sat", None),
+    (60606, 0.0, 14.22, 21500.0, 21416.67, "00:42:50", 21416.667, "21416:40", "2025-04-13", "Sun",
+     "zero_distance_run"),
+    (606062, 10.0, 16.02, 3.77, 3.72, "00:37:10", 3.717, "3:43", "2025-10-23", "Thu", None),
+    (None, 10.0, 16.02, 3.77, 3.72, "00:37:10", 3.717, "3:43", "2025-10-23", "Thu", "missing_id"),
+    (606063, 10.0, 16.02, 3.77, 3.72, "00:37:10", 3.717, "3:43", "2025-10-23", "Thu", None),
+    (606065, 0.0, 16.02, -37666.67, -37166.67, "00:37:10", 0.0, "0:00", "2025-10-23", "Thu", "zero_distance_run"),
+]
+
+
+def bronze(spark):
+    return spark.createDataFrame(ACTIVITIES, BRONZE_ACTIVITY)
+
+
+def detail(spark):
+    lap = {"activity": (200002, 1, "everyone"), "distance": 3200.5, "elapsed_time": 1180, "id": 600002, "name": "Lap 1"}
+    split = {"distance": 3200.5, "elapsed_time": 1180, "elevation_difference": 38.0, "split": 1}
+    values = {"id": 200002, "athlete": (171632502, 1), "athlete_id": 171632502, "calories": 96.4, "type": "Walk",
+              "sport_type": "Walk", "distance": 3200.5, "moving_time": 1150, "elapsed_time": 1180,
+              "start_date": "2025-10-23T13:14:00Z", "start_date_local": "2025-10-23T10:14:00-03:00",
+              "map": ("a200002", "", 3, ""), "laps": [lap], "splits_metric": [split], "splits_standard": [split],
+              "photos": (0, None, None), "stats_visibility": [("pace", "everyone")], "available_zones": [],
+              "best_efforts": [], "ingestion_timestamp": STAMP}
+    return spark.createDataFrame([tuple(values.get(f.name) for f in BRONZE_DETAIL.fields)], BRONZE_DETAIL)

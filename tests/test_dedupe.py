@@ -1,0 +1,75 @@
+import random
+from datetime import datetime, timedelta
+
+from pyspark.sql import functions as F
+
+from conftest import listed
+from stridemill.operators import dedupe as D
+
+
+def rows(count=600, seed=3):
+    rng, start = random.Random(seed), datetime(2025, 1, 1)
+    made = []
+    for n in range(count):
+        hot = rng.random() < 0.34
+        made.append((1 if hot else rng.randrange(40), 7 if hot else rng.choice([None, *range(5)]),
+                     start + timedelta(hours=rng.randrange(50)), rng.random()))
+    return made
+
+
+SCHEMA = "athlete_id long, id long, ingestion_timestamp timestamp, payload double"
+
+
+def test_latest_per_key_with_a_hot_key(spark):
+    data = rows()
+    best = {}
+    for row in data:
+        key = row[:2]
+        if key not in best or row[2:] > best[key][2:]:
+            best[key] = row
+    for parts in (1, 7):
+        df = spark.createDataFrame(data, SCHEMA).repartition(parts)
+        found = D.dedupe_microbatch(df, ["athlete_id", "id"], ["ingestion_timestamp"])
+        assert listed(found) == sorted(best.values(), key=lambda t: tuple((v is None, str(v)) for v in t))
+        assert listed(D.dedupe_microbatch(found, ["athlete_id", "id"], ["ingestion_timestamp"])) == listed(found)
+
+
+def test_hot_key_is_cut_before_the_exchange(spark):
+    df = D.dedupe_microbatch(spark.createDataFrame(rows(), SCHEMA), ["athlete_id", "id"], ["ingestion_timestamp"])
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    executed = df._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    assert executed.rindex("Partial") > executed.index("Exchange")  # deeper in the tree: runs before it
+
+
+def test_ties_ignore_incomparable_columns(spark):
+    df = spark.createDataFrame([(1, {"a": 1}, "x"), (1, {"a": 1}, "y")], "k long, m map<string,long>, v string")
+    assert D.dedupe_microbatch(df, ["k"], []).select("v").collect() == [("y",)]
+
+
+def test_last_and_first_equal_ranked_windows(spark):
+    data = [(1, 5), (1, None), (1, 9), (2, None), (3, 4), (None, 1)]
+    df = spark.createDataFrame(data, "k long, v long")
+    assert listed(D.last_value(df, "k", "v")) == listed(spark.sql(
+        "SELECT k, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY v DESC) r FROM {df}) WHERE r = 1", df=df))
+    assert listed(D.earliest_value(df, "k", "v")) == listed(spark.sql(
+        "SELECT k, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY v) r FROM {df}) WHERE r = 1", df=df))
+
+
+def test_best_per_day(spark):
+    df = spark.createDataFrame([("2025-01-01", "Run", 100.0, 1, 10, 1), ("2025-01-01", "Run", 100.0, 2, 5, 2),
+                                ("2025-01-01", "Run", None, 9, 99, 3), ("2025-01-01", "Ride", None, 0, 0, 4)],
+                               "activity_date string, sport_type string, calories double, achievement_count int,"
+                               " elapsed_time int, id int")
+    assert listed(D.best_per_day(df).select("id")) == [(2,), (4,)]
+
+
+def test_distinct_by_key(spark):
+    df = spark.createDataFrame([(1,), (1,), (None,), (2,)], "id long")
+    assert listed(D.distinct_by_key(df, "id", "id_activity")) == [(1,), (2,)]
+    assert D.distinct_by_key(df, "id", "id_activity").columns == ["id_activity"]
+
+
+def test_every_comparable_kind_orders(spark):
+    df = spark.range(3).select(F.lit(1).alias("k"), F.struct("id").alias("s"), F.array("id").alias("a"))
+    assert D.dedupe_microbatch(df, ["k"], []).select("s.id").collect() == [(2,)]

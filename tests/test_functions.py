@@ -1,0 +1,137 @@
+from datetime import date, datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+import scenario
+from stridemill.functions import columns as C
+from stridemill.functions import transforms as T
+from stridemill.operators.quality import ACTIVITY_RULES, annotate
+from stridemill.plans.silver import PACE_CLOCK, apply_all_silver_calcs, rebuild_activities
+from stridemill.schemas import SILVER_COLUMNS
+
+
+def value_of(spark, column, **inputs):
+    row = spark.range(1).select(*[F.lit(v).cast(t).alias(k) for k, (v, t) in inputs.items()])
+    return row.select(column).first()[0]
+
+
+def test_scenario_rows(either_ansi):
+    rows = annotate(apply_all_silver_calcs(scenario.bronze(either_ansi)), ACTIVITY_RULES)
+    found = rows.select("id", "distance_km", "average_speed_kmh", "pace_min_km", "pace_min_km_moving_time",
+                        "tempo_real", "pace_min_km_new", PACE_CLOCK, F.col("start_date").cast("string"),
+                        "dia_semana", "reject_reason").collect()
+    assert [tuple(r) for r in found] == scenario.EXPECTED
+
+
+@pytest.mark.parametrize("text, expected", [
+    ("2025-10-23T09:32:00Z", date(2025, 10, 23)), ("2025-10-23T23:59:59Z", date(2025, 10, 23)), ("n/a", None),
+    ("2025-13-01T00:00:00Z", None), ("2025-10-23", None), (None, None)])
+def test_iso_date(either_ansi, text, expected):
+    assert value_of(either_ansi, C.iso_date("x"), x=(text, "string")) == expected
+
+
+@pytest.mark.parametrize("metres, km", [(1005.0, 1.01), (285.0, 0.29), (-1.0, 0.0), (-20.0, -0.02), (None, None)])
+def test_kilometres(spark, metres, km):
+    assert value_of(spark, C.kilometres("x"), x=(metres, "double")) == km
+
+
+@pytest.mark.parametrize("kind, metres, only, other, expected", [
+    ("Run", 0.0, True, 0.0, None), ("Run", 10000.0, True, 0.0, 3.77), ("Ride", 10000.0, True, 0.0, 0.0),
+    ("Ride", 10000.0, True, None, None), (None, 10000.0, True, 0.0, 0.0), ("Ride", 10000.0, False, None, 3.77),
+    ("Run", 0.0, False, None, None), ("Run", -5.0, False, None, None), ("Run", None, True, 0.0, None)])
+def test_run_pace(either_ansi, kind, metres, only, other, expected):
+    column = C.run_pace("s", "m", "k", 2, only, other)
+    assert value_of(either_ansi, column, s=(2260, "long"), m=(metres, "double"), k=(kind, "string")) == expected
+
+
+@pytest.mark.parametrize("seconds, text", [
+    (0, "00:00:00"), (59, "00:00:59"), (3600, "01:00:00"), (86399, "23:59:59"), (97200, "27:00:00"),
+    (360000, "100:00:00"), (None, None)])
+def test_duration_text(either_ansi, seconds, text):
+    assert value_of(either_ansi, C.hours_minutes_seconds("x"), x=(seconds, "long")) == text
+
+
+def test_duration_text_equals_format_string(spark):
+    rows = spark.range(-5000, 200000, 7).withColumnRenamed("id", "s")
+    other = F.expr("format_string('%02d:%02d:%02d', int(s/3600), int((s%3600)/60), int(s%60))")
+    assert rows.filter(C.hours_minutes_seconds("s") != other).isEmpty()
+
+
+@pytest.mark.parametrize("pace, carry, text", [
+    (5.432, True, "5:26"), (5.999, True, "6:00"), (5.999, False, "5:60"), (0.0, True, "0:00"), (3.0, True, "3:00"),
+    (21416.667, True, "21416:40"), (None, True, None)])
+def test_pace_clock(either_ansi, pace, carry, text):
+    assert value_of(either_ansi, C.pace_clock("x", carry), x=(pace, "double")) == text
+
+
+def test_moving_pace_edges(either_ansi):
+    for metres, given, expected in [(0.0, 0.0, 0.0), (0.0, None, None), (-20.0, 0.0, 0.0), (None, 0.0, 0.0)]:
+        column = C.moving_pace("s", "m", without_distance=given)
+        assert value_of(either_ansi, column, s=(600, "long"), m=(metres, "double")) == expected
+
+
+@pytest.mark.parametrize("text, period", [
+    ("2025-10-23T00:00:00Z", "manhã"), ("2025-10-23T11:59:59Z", "manhã"), ("2025-10-23T12:00:00Z", "tarde"),
+    ("2025-10-23T17:59:59Z", "tarde"), ("2025-10-23T18:00:00Z", "noite"), ("broken", "noite"), (None, "noite")])
+def test_day_period(either_ansi, text, period):
+    assert value_of(either_ansi, C.day_period(C.local_timestamp("x")), x=(text, "string")) == period
+
+
+def test_offset_shifts_unless_wall_time(spark):
+    text = ("2025-10-23T10:14:00-03:00", "string")
+    assert value_of(spark, F.hour(C.local_timestamp("x")), x=text) == 13
+    assert value_of(spark, F.hour(C.local_timestamp("x", wall_time=True)), x=text) == 10
+
+
+def test_week_year_month(spark):
+    rows = spark.createDataFrame([("2025-12-29T08:00:00Z",), ("2024-01-01T08:00:00Z",), (None,)], "start_date_local string")
+    assert [tuple(r)[1:] for r in T.add_semana_ano_mes(rows).collect()] == [
+        (1, 2025, "Dec/2025"), (1, 2024, "Jan/2024"), (None, None, None)]
+
+
+@pytest.mark.parametrize("calories, plain, report", [
+    (600.0, "alta", "alta"), (599.9, "moderada", "moderada"), (300.0, "moderada", "moderada"), (299.9, "leve", "leve"),
+    (-5.0, "leve", "leve"), (None, None, "leve")])
+def test_calorie_class(spark, calories, plain, report):
+    assert value_of(spark, C.calorie_class("x"), x=(calories, "double")) == plain
+    assert value_of(spark, C.calorie_class("x", null_is_light=True), x=(calories, "double")) == report
+
+
+@pytest.mark.parametrize("clock, kind", [
+    ("00:29:59", "curta"), ("00:30:00", "média"), ("00:59:59", "média"), ("01:00:00", "longa"), ("27:00:00", "longa"),
+    (None, "curta"), ("x", "curta")])
+def test_duration_class(either_ansi, clock, kind):
+    assert value_of(either_ansi, C.duration_class("x"), x=(clock, "string")) == kind
+
+
+def test_unix_seconds(either_ansi):
+    rows = either_ansi.createDataFrame([(date(2025, 1, 2), datetime(2025, 1, 2, 3, 4, 5), "2025-01-02 03:04:05", "bad")],
+                                       "d date, t timestamp, s string, b string")
+    made = rows
+    for name in ("d", "t", "s", "b"):
+        made = T.convert_to_unix(made, name)
+    assert tuple(made.select("d_unix", "t_unix", "s_unix", "b_unix").first()) == (
+        1735776000, 1735787045, 1735787045, None)
+    assert T.convert_to_unix(rows, "d", "other").columns[-1] == "other"
+
+
+def test_rebuild_matches_chain_and_prunes(spark):
+    bronze = scenario.bronze(spark)
+    whole = rebuild_activities(bronze)
+    assert tuple(whole.columns) == SILVER_COLUMNS
+    chain = apply_all_silver_calcs(bronze).select(*SILVER_COLUMNS)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, chain.collect()))
+    assert rebuild_activities(bronze, ["id", "pace_clock"], pace_clock_col="pace_text").columns == ["id", "pace_text"]
+
+
+def test_rebuild_batch_edges(spark):
+    rows = rebuild_activities(scenario.bronze(spark), ["id", "pace_min_km_new", "pace_clock"], stream_edges=False)
+    assert (6060601, None, None) in [tuple(r) for r in rows.collect()]
+
+
+def test_nested_owner_and_stamps(spark):
+    stamped = scenario.bronze(spark).drop("athlete_id").transform(T.add_athlete_id).transform(T.add_silver_ingestion_time)
+    assert {r[0] for r in stamped.select("athlete_id").collect()} == {155180511}
+    assert stamped.select("silver_ingestion_timestamp").distinct().count() == 1
+    assert scenario.detail(spark).select("laps.activity.id").first()[0] == [200002]
