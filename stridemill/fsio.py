@@ -39,6 +39,10 @@ def rename(spark: SparkSession, source: str, destination: str) -> None:
         raise OSError(f"could not move {source} to {destination}")
 
 
+def same_file_system(spark: SparkSession, one: str, other: str) -> bool:
+    return _fs(spark, one)[0].getUri().equals(_fs(spark, other)[0].getUri())
+
+
 def children(spark: SparkSession, path: str) -> list[str]:
     """Full paths directly below ``path``, sorted; empty when it does not exist."""
     fs, target = _fs(spark, path)
@@ -54,6 +58,15 @@ def data_files(spark: SparkSession, path: str) -> list[str]:
     return [p for p in children(spark, path) if not hidden(p.rsplit("/", 1)[1])]
 
 
+def folders(spark: SparkSession, path: str, depth: int) -> list[str]:
+    """Relative names of the partition folders ``depth`` levels below ``path``."""
+    if depth == 0:
+        return [""]
+    below = [p.rsplit("/", 1)[1] for p in data_files(spark, path)]
+    return ["/".join(filter(None, [name, rest])) for name in below
+            for rest in folders(spark, f"{path}/{name}", depth - 1)]
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     """Content of one small metadata file (a stored schema)."""
     fs, target = _fs(spark, path)

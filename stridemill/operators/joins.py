@@ -6,17 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .dedupe import dedupe_microbatch
 
 
 def with_details(activities: DataFrame, details: DataFrame, how: str = "left") -> DataFrame:
     """Activities with their detail row on ``(id, athlete_id)``, columns still qualified ``a`` and ``b``.
 
+    An activity has one detail: the latest ingested, should several be stored.  So an id
+    that many rows share on both sides cannot pair them all, and the feature merge, whose
+    key holds the id, would keep one of the pairs anyway.
+
     Works for a streaming left side over a static right side.  No size is assumed for the
-    details: Spark broadcasts them when measured small, else sort-merge joins and splits a
-    skewed partition of the activity side.
+    details: Spark broadcasts them when measured small, else sort-merge joins on the
+    partitioning the choice of the latest left behind, and splits a skewed partition of the
+    activity side.
     """
-    details = details.withColumnRenamed("id", "id_sub_activity") if "id" in details.columns else details
-    a, b = activities.alias("a"), details.alias("b")
+    order = [c for c in ("ingestion_timestamp",) if c in details.columns]
+    one_each = dedupe_microbatch(details, ["athlete_id", "id"], order)
+    a, b = activities.alias("a"), one_each.withColumnRenamed("id", "id_sub_activity").alias("b")
     same = (F.col("a.id") == F.col("b.id_sub_activity")) & (F.col("a.athlete_id") == F.col("b.athlete_id"))
     return a.join(b, same, how)
 

@@ -13,7 +13,8 @@ as a sort-merge join with skew splitting beyond it.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+import json
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_
 
@@ -124,9 +125,9 @@ def merge_groups(source: DataFrame, target: str, keys: Sequence[str], partitions
                     null_safe=True)
 
 
-def _rewrite(source: DataFrame, matching: DataFrame, new_rows, target: str, keys: Sequence[str],
-             partitions: Sequence[str], batch_id: int, schema: StructType | None, prune_by: str | None,
-             null_safe: bool) -> int:
+def _rewrite(source: DataFrame, matching: DataFrame, new_rows: Callable[[DataFrame], DataFrame], target: str,
+             keys: Sequence[str], partitions: Sequence[str], batch_id: int, schema: StructType | None,
+             prune_by: str | None, null_safe: bool) -> int:
     """Common part of the updating merges.
 
     New rows go to folders of their own batch.  Older folders are rewritten only if they
@@ -134,40 +135,46 @@ def _rewrite(source: DataFrame, matching: DataFrame, new_rows, target: str, keys
     the size of the partition it inserts into.  The list of such folders is bounded by the
     table's folder count and is all the driver sees.
 
-    The result is staged completely before anything is overwritten; a batch that dies in
-    between is finished from its staged copy on retry.  ``source`` is read more than once,
-    so a caller with an expensive plan persists it.
+    The result is staged completely, then its folders are moved into the table, so rows are
+    written once.  A batch that dies in between is finished from its staged copy on retry.
+    ``source`` is read more than once, so a caller with an expensive plan persists it.
     """
     spark = source.sparkSession
     schema = schema or source.schema
     slots = [*partitions, BATCH_COLUMN]
     stage = staging_folder(spark, target, batch_id)
-    rows_at, touched_at = f"{stage}/rows", f"{stage}/touched"
 
-    if not fsio.is_committed(spark, rows_at):
+    if not fsio.exists(spark, f"{stage}/plan.json"):
         table = read_batches(spark, target, schema)
         current = table.filter(F.col(BATCH_COLUMN) != batch_id)
         candidates = current.filter(value_range(source, prune_by)) if prune_by else current
         replaced = matched(candidates.select(*dict.fromkeys([*keys, *slots])), matching, keys, null_safe)
         own = table.filter(F.col(BATCH_COLUMN) == batch_id)  # left by a run whose staged copy is gone
-        (replaced.select(*slots).unionByName(own.select(*slots)).distinct()
-         .write.mode("overwrite").parquet(touched_at))
-        affected = current.filter(_in_folders(slots, _folders(spark, touched_at)))
-        wanted = matching.select(*keys).distinct()
-        kept = affected.alias("t").join(wanted.alias("s"), key_match("t", "s", keys, null_safe), "left_anti")
+        touched = [tuple(r) for r in replaced.select(*slots).unionByName(own.select(*slots)).distinct().collect()]
         fresh = new_rows(candidates.drop(BATCH_COLUMN)).withColumn(BATCH_COLUMN, F.lit(batch_id).cast("long"))
-        write_partitioned(kept.unionByName(fresh), rows_at, slots)
-
-    touched = _folders(spark, touched_at)
-    if fsio.data_files(spark, rows_at):
-        (read_batches(spark, rows_at, schema).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(*slots).parquet(target))
-    for values in touched:
-        folder = _folder_name(spark, slots, values)
-        if not fsio.exists(spark, f"{rows_at}/{folder}"):
-            fsio.delete(spark, f"{target}/{folder}")  # all its rows were replaced
+        if touched:
+            wanted = matching.select(*keys).distinct()
+            kept = current.filter(_in_folders(slots, touched)).alias("t").join(
+                wanted.alias("s"), key_match("t", "s", keys, null_safe), "left_anti")
+            fresh = kept.unionByName(fresh)
+        write_partitioned(fresh, f"{stage}/rows", slots)
+        fsio.write_text(spark, f"{stage}/plan.json", json.dumps({
+            "rewritten": [_folder_name(spark, slots, values) for values in touched],
+            "written": fsio.folders(spark, f"{stage}/rows", len(slots))}))
+
+    plan = json.loads(fsio.read_text(spark, f"{stage}/plan.json"))
+    movable = fsio.same_file_system(spark, stage, target)
+    if plan["written"] and not movable:  # renames do not cross file systems: copy as a Spark job
+        (read_batches(spark, f"{stage}/rows", schema).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy(*slots).parquet(target))
+    for folder in plan["written"] if movable else []:
+        if fsio.exists(spark, f"{stage}/rows/{folder}"):  # else moved before an interruption
+            fsio.delete(spark, f"{target}/{folder}")
+            fsio.rename(spark, f"{stage}/rows/{folder}", f"{target}/{folder}")
+    for folder in set(plan["rewritten"]) - set(plan["written"]):
+        fsio.delete(spark, f"{target}/{folder}")  # all its rows were replaced
     _forget_older(spark, stage)
-    return len(touched)
+    return len(plan["rewritten"])
 
 
 def staging_folder(spark: SparkSession, target: str, batch_id: int) -> str:
@@ -176,10 +183,6 @@ def staging_folder(spark: SparkSession, target: str, batch_id: int) -> str:
     return f"{shared_dir(spark)}/stridemill/upsert/{digest}/batch={batch_id}"
 
 
-def _folders(spark: SparkSession, touched_at: str) -> list[tuple]:
-    return [tuple(row) for row in spark.read.parquet(touched_at).collect()]
-
-
 def _in_folders(slots: Sequence[str], folders: list[tuple]) -> Column:
     """Filter on partition columns only, as one set lookup, so pruning happens before the scan."""
     absent, between = "\u0001", "\u0002"

@@ -30,7 +30,9 @@ def build_features(joined: DataFrame, pace_clock_col: str = "pace_clock", wall_t
 
 
 def features(activities: DataFrame, details: DataFrame, **options) -> DataFrame:
-    return build_features(with_details(activities, details.select("id", "athlete_id", "calories")), **options)
+    """Enriched and classified activities; of the details only what the join needs is read."""
+    needed = [c for c in ("id", "athlete_id", "calories", "ingestion_timestamp") if c in details.columns]
+    return build_features(with_details(activities, details.select(*needed)), **options)
 
 
 class FeatureLoad:

@@ -106,7 +106,8 @@ _FEATURE_TEXT = {"calories": "b.calories", "id_sub_activity": "b.id as id_sub_ac
                  "intensidade_calorica": f"{effort('b.calories', False)} as intensidade_calorica",
                  "duracao_tipo": f"{DURATION} as duracao_tipo"}
 FEATURE_LIST = ", ".join(_FEATURE_TEXT.get(c, f"a.{c}") for c in FEATURES.names)
-FEATURE_JOIN = "left join details b on a.id = b.id and a.athlete_id = b.athlete_id"
+FEATURE_JOIN = ("left join (" + latest("details", STREAM_KEYS, NEWEST)
+                + ") b on a.id = b.id and a.athlete_id = b.athlete_id")
 
 BEST = ("best as (" + latest("(select *, cast(strptime(start_date_local, '%Y-%m-%dT%H:%M:%SZ') as date) as activity_date"
                              " from details)", "activity_date, sport_type",
@@ -320,7 +321,7 @@ def oracle_sql() -> dict[str, str]:
                              " where reject_reason is not null",
         # streaming
         "t2_restarted_stream": "select event_id, event_type from events",
-        "t3_feature_stream": f"with {TWO_BATCHES}, {SILVER_DETAILS}, late as (select b.* from details b)"
+        "t3_feature_stream": f"with {TWO_BATCHES}, {SILVER_DETAILS}"
                              f" select {FEATURE_LIST} from merged a {FEATURE_JOIN}",
         "t4_silver_stream": f"with {TWO_BATCHES} select {valid_columns} from merged",
         "t4_detail_stream":

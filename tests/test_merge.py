@@ -101,29 +101,35 @@ def test_pure_insert_rewrites_nothing(spark):
     assert fsio.children(spark, f"{target}/part=p/_batch_id=0") == before
 
 
-@pytest.mark.parametrize("lost_stage", [False, True])
-def test_crash_between_staging_and_overwrite(spark, monkeypatch, lost_stage):
+def test_crash_while_folders_are_moved(spark, monkeypatch):
     target = run_dir(spark, "upsert")
     upsert(spark, target, [(1, "d", "a", "p"), (2, "d", "a", "q")], 0)
     rows = [(1, "d", "b", "q"), (3, "d", "b", "p")]
 
-    def dies(*_):
-        raise RuntimeError("lost driver")
+    moves, rename = [], M.fsio.rename
+
+    def dies_at_second(session, source, destination):
+        if "/rows/" in source:
+            moves.append(source)
+        if len(moves) == 2:
+            raise RuntimeError("lost driver")
+        rename(session, source, destination)
 
     with monkeypatch.context() as patch:
-        patch.setattr(M, "_folder_name", dies)
+        patch.setattr(M.fsio, "rename", dies_at_second)
         with pytest.raises(RuntimeError):
             upsert(spark, target, rows, 1)
-    if lost_stage:
-        fsio.delete(spark, M.staging_folder(spark, target, 1))
-        upsert(spark, target, rows, 1)
-        expected = [(1, "d", "a", "p"), (1, "d", "b", "q"), (2, "d", "a", "q"), (3, "d", "b", "p")]
-        # the half-applied state is repaired: the replaced row is gone
-        expected.remove((1, "d", "a", "p"))
-        assert content(spark, target) == expected
-    else:
-        upsert(spark, target, rows, 1)
-        assert content(spark, target) == [(1, "d", "b", "q"), (2, "d", "a", "q"), (3, "d", "b", "p")]
+    upsert(spark, target, rows, 1)
+    assert content(spark, target) == [(1, "d", "b", "q"), (2, "d", "a", "q"), (3, "d", "b", "p")]
+
+
+def test_other_file_system_gets_a_copy(spark, monkeypatch):
+    target = run_dir(spark, "upsert")
+    upsert(spark, target, [(1, "d", "a", "p"), (2, "d", "a", "q")], 0)
+    monkeypatch.setattr(M.fsio, "same_file_system", lambda *_: False)
+    for _ in range(2):
+        upsert(spark, target, [(1, "d", "b", "q"), (3, "d", "b", "p")], 1)
+    assert content(spark, target) == [(1, "d", "b", "q"), (2, "d", "a", "q"), (3, "d", "b", "p")]
 
 
 def test_null_keys_can_always_insert(spark):

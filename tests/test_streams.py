@@ -201,6 +201,13 @@ def test_feature_replay_is_stable_with_missing_details(spark):
     assert B.snapshot(spark, target, FEATURES).count() == batch.count() == 6
 
 
+def test_several_stored_details_do_not_multiply(spark):
+    silver = S.rebuild_activities(scenario.bronze(spark)).filter("id = 606062")
+    stored = spark.createDataFrame([(606062, 155180511, float(n), scenario.STAMP.replace(minute=n)) for n in range(9)],
+                                   "id long, athlete_id long, calories double, ingestion_timestamp timestamp")
+    assert features(silver, stored).select("calories").collect() == [(8.0,)]
+
+
 def test_stream_as_sql_view_and_run_log(spark):
     work = run_dir(spark, "view")
     B.append_batch(spark.range(10), f"{work}/in", 0)
