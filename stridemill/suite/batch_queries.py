@@ -68,6 +68,12 @@ def p3_silver_projection(spark, sf_dir):
     return plain(silver(spark, sf_dir))
 
 
+def p4_qualified_projection(spark, sf_dir):
+    joined = J.with_details(silver(spark, sf_dir, "id", "athlete_id", "sport_type", "distance_km"),
+                            details(spark, sf_dir).select("id", "athlete_id", "calories", "ingestion_timestamp"))
+    return joined.select("a.id", "a.athlete_id", "a.sport_type", "a.distance_km", "b.calories", "b.id_sub_activity")
+
+
 def p5_owner_split(spark, sf_dir):
     bronze = bronze_activities(spark, sf_dir).select("id", "athlete_id")
     owned = S.with_owner(bronze).withColumn("is_error", F.lit(False))
@@ -327,7 +333,7 @@ def c4_pending_ids(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f for f in (
-        p2_stamps, p3_silver_projection, p5_owner_split, p6_runs, p7_predicates, p8_since, p9_distinct,
+        p2_stamps, p3_silver_projection, p4_qualified_projection, p5_owner_split, p6_runs, p7_predicates, p8_since, p9_distinct,
         p10_transform_chain, p11_existence, j1_features, j2_control_join, j3_calorie_report, j4_missing_details,
         j4_orders_without_lines, j5_load_mode, a1_weekly_runs, a2_type_counts, a3_key_uniqueness, a4_reject_report,
         a5_total_count, a6_duplicate_keys, a7_distinct_ids, a8_monthly, a8_elevation_per_km, a8_period_over_period,

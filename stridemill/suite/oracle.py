@@ -206,6 +206,8 @@ def oracle_sql() -> dict[str, str]:
         "p1_nested_owner": f"{bronze} select id, athlete_id from bronze where redelivery = 0",
         "p2_stamps": f"{bronze} select id, true as stamped, true as same_stamp from bronze",
         "p3_silver_projection": f"{silver} select {silver_plain} from silver",
+        "p4_qualified_projection": f"{both} select a.id, a.athlete_id, a.sport_type, a.distance_km, b.calories, b.id as"
+                                   f" id_sub_activity from silver a {FEATURE_JOIN}",
         "p5_owner_split": f"{bronze} select id, athlete_id, athlete_id is null as is_error from bronze",
         "p6_runs": f"{silver} select id, distance_km from silver where sport_type = 'Run'",
         "p7_predicates": f"{silver} select id, name, cast(start_date as varchar) as start_date from silver"
