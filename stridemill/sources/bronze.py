@@ -12,7 +12,7 @@ from .. import fsio
 from ..functions.transforms import add_athlete_id, add_ingestion_time
 from ..operators.tables import MAX_BATCH_BYTES, append_batch
 from ..streaming.runs import RunLog, append_stream, batch_stream, finish
-from .evolution import DOCUMENT, SchemaStore, evolve
+from .evolution import SchemaStore, evolve, parse_lines
 
 
 class BronzeLoader:
@@ -72,10 +72,13 @@ class BronzeLoader:
         return finish(query) if await_termination else query
 
     def load_evolving(self, output_path: str, owner_documents: bool = False) -> RunLog:
-        """JSON intake whose schema grows batch by batch (one partition folder per batch)."""
+        """JSON intake whose schema grows batch by batch (one partition folder per batch).
+
+        Documents are one per line; the option ``wholetext`` takes each file as one document.
+        """
         store = SchemaStore(self.spark, self.checkpoint_path)
-        documents = (self.spark.readStream.format("json").option("singleVariantColumn", DOCUMENT)
-                     .options(**self.options, **self.stream_options).load(self.input_path))
+        documents = parse_lines(self.spark.readStream.format("text")
+                                .options(**self.options, **self.stream_options).load(self.input_path))
         written: dict[int, int] = {}
 
         def intake(batch: DataFrame, batch_id: int) -> None:

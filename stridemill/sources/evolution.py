@@ -1,8 +1,9 @@
 """Schemas that grow with the landed documents.
 
-Documents are read as one VARIANT column.  A batch's own schema comes from a distributed
+Lines are parsed to one VARIANT column.  A batch's own schema comes from a distributed
 aggregate over it; new fields widen the stored schema, and whatever a row holds that the
-stored types cannot express is kept as JSON text in ``_rescued_data``.
+stored types cannot express, up to a line that is no JSON at all, is kept as text in
+``_rescued_data``.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql.types import ArrayType, DataType, LongType, NullType, StructFie
 
 from .. import fsio
 
-DOCUMENT = "_document"
+DOCUMENT, UNPARSED = "_document", "_unparsed"
 RESCUED = "_rescued_data"
 
 
@@ -41,9 +42,24 @@ class SchemaStore:
         fsio.write_text(self.spark, f"{self.location}/{following}.json", schema.json())
 
 
-def observed_schema(documents: DataFrame, column: str = DOCUMENT) -> StructType:
-    """Schema of all documents of a frame: one short text reaches the driver."""
-    described = documents.agg(F.schema_of_variant_agg(column).alias("s")).first()["s"]
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """One row per document: a line holds an object or an array of objects; blank lines hold none."""
+    parsed = (lines.filter(F.trim("value") != "")
+              .select("value", F.try_parse_json("value").alias("_parsed")))
+    items = F.coalesce(F.col("_parsed").try_cast("array<variant>"), F.array("_parsed"))
+    return parsed.select(F.explode(items).alias(DOCUMENT),
+                         F.when(F.col("_parsed").isNull(), F.col("value")).alias(UNPARSED))
+
+
+def _entries() -> Column:
+    """Fields of a document by name; NULL when it is not an object."""
+    return F.col(DOCUMENT).try_cast("map<string,variant>")
+
+
+def observed_schema(documents: DataFrame) -> StructType:
+    """Schema of all objects of a frame: one short text reaches the driver."""
+    objects = documents.filter(_entries().isNotNull())
+    described = objects.agg(F.schema_of_variant_agg(DOCUMENT).alias("s")).first()["s"]
     if not described or not described.startswith("OBJECT<") or described == "OBJECT<>":
         return StructType()
     # JSON knows no decimals: fractional numbers are doubles; mixed types stay text.
@@ -82,37 +98,38 @@ def _widen_type(stored: DataType, seen: DataType) -> DataType:
     return stored
 
 
-def _path(name: str) -> str:
-    return "$['" + name.replace("\\", "\\\\").replace("'", "\\'") + "']"
-
-
-def _extract(document: Column, field: StructField) -> Column:
-    value = F.try_variant_get(document, _path(field.name), field.dataType.simpleString())
+def _extract(field: StructField) -> Column:
+    if re.fullmatch(r"[\w -]+", field.name):
+        held, path = F.col(DOCUMENT), f"$['{field.name}']"
+    else:  # paths know no quoting
+        held, path = F.try_element_at(_entries(), F.lit(field.name)), "$"
+    value = F.try_variant_get(held, path, field.dataType.simpleString())
     if isinstance(field.dataType, LongType):
         # a fraction would be cut off silently: treat it as not fitting
-        exact = F.try_variant_get(document, _path(field.name), "double")
+        exact = F.try_variant_get(held, path, "double")
         value = F.when(exact.isNull() | (exact == value.cast("double")), value)
     return value
 
 
-def conform(documents: DataFrame, schema: StructType, column: str = DOCUMENT) -> DataFrame:
+def conform(documents: DataFrame, schema: StructType) -> DataFrame:
     """Typed columns of a schema, plus ``_rescued_data`` for all that did not fit."""
-    document = F.col(column)
-    typed = documents.select(document, *[_extract(document, f).alias(f.name) for f in schema.fields])
-    entries = document.try_cast("map<string,variant>")
+    document = F.col(DOCUMENT)
+    typed = documents.select(document, UNPARSED, *[_extract(f).alias(f.name) for f in schema.fields])
     names = [f.name for f in schema.fields]
     misfits = F.array_compact(F.array(F.lit(None).cast("string"), *[
         F.when(F.col(f"`{n}`").isNull(), F.lit(n)) for n in names]))
-    left_over = F.map_filter(entries, lambda key, value: ~F.is_variant_null(value)
+    left_over = F.map_filter(_entries(), lambda key, value: ~F.is_variant_null(value)
                              & (~key.isin(names) | F.array_contains(misfits, key)))
-    rescued = F.when(entries.isNull(), F.to_json(document)).when(F.size(left_over) > 0, F.to_json(left_over))
+    rescued = (F.when(document.isNull(), F.col(UNPARSED))
+               .when(_entries().isNull(), F.to_json(document))
+               .when(F.size(left_over) > 0, F.to_json(left_over)))
     return typed.select(*[F.col(f"`{n}`") for n in names], rescued.alias(RESCUED))
 
 
-def evolve(documents: DataFrame, store: SchemaStore, column: str = DOCUMENT) -> DataFrame:
+def evolve(documents: DataFrame, store: SchemaStore) -> DataFrame:
     """Widen the stored schema by a batch, then shape the batch by it."""
     stored = store.load()
-    merged = widen(stored, observed_schema(documents, column))
+    merged = widen(stored, observed_schema(documents))
     if merged != stored:
         store.save(merged)
-    return conform(documents, merged, column)
+    return conform(documents, merged)

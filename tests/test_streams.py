@@ -73,6 +73,47 @@ def test_evolving_intake(spark):
         (1, 9, 5, None, None), (3, 7, None, None, None), (None, 8, None, "new", '{"id":"bad","pace":5.5}')]
 
 
+def test_broken_lines_and_arrays_are_kept(spark):
+    work = run_dir(spark, "broken")
+    loader = BronzeLoader(f"{work}/landing", f"{work}/checkpoint", "json", spark=spark)
+    os.makedirs(f"{work}/landing")
+    with open(f"{work}/landing/a.json", "w", encoding="utf-8") as out:
+        out.write('{"id":1}\n{broken\n[{"id":2},{"id":3}]\n\n"text"\n{"it\'s":4,"b c":5}\n')
+    loader.load_evolving(f"{work}/bronze")
+    rows = spark.read.parquet(f"{work}/bronze")
+    assert listed(rows.select("id", "`it's`", "b c", "_rescued_data")) == [
+        (1, None, None, None), (2, None, None, None), (3, None, None, None), (None, 4, 5, None),
+        (None, None, None, '"text"'), (None, None, None, "{broken")]
+
+
+def test_whole_files_as_documents(spark):
+    work = run_dir(spark, "pages")
+    loader = BronzeLoader(f"{work}/landing", f"{work}/checkpoint", "json", options={"wholetext": "true"}, spark=spark)
+    os.makedirs(f"{work}/landing")
+    with open(f"{work}/landing/page.json", "w", encoding="utf-8") as out:
+        json.dump([{"id": 1, "athlete": {"id": 9}}, {"id": 2, "athlete": {"id": 9}}], out, indent=2)
+    loader.load_evolving(f"{work}/bronze")
+    assert listed(spark.read.parquet(f"{work}/bronze").select("id", "athlete_id")) == [(1, 9), (2, 9)]
+
+
+def test_landing_to_features(spark):
+    """The whole flow: JSON landing, bronze, silver, features."""
+    work = run_dir(spark, "flow")
+    loader = BronzeLoader(f"{work}/landing", f"{work}/bronze_checkpoint", "json", declared=ACTIVITY_DOCUMENT,
+                          spark=spark)
+    scenario.bronze(spark).select(*ACTIVITY_DOCUMENT.names).write.json(f"{work}/landing")
+    loader.write_to_bronze(loader.standardize(loader.read_autoloader()), f"{work}/bronze")
+    bronze = spark.read.parquet(f"{work}/bronze").schema
+    S.activity_load(f"{work}/silver", f"{work}/rejects").run_stream(
+        B.stream_batches(spark, f"{work}/bronze", bronze), f"{work}/silver_checkpoint")
+    silver = S.silver_schema(bronze, spark, S.apply_all_silver_calcs)
+    FeatureLoad(f"{work}/features").run_stream(
+        B.stream_batches(spark, f"{work}/silver", silver), details_for(spark, (606062, 155180511, 650.0)),
+        f"{work}/feature_checkpoint")
+    assert listed(B.snapshot(spark, f"{work}/features", FEATURES).select("id_sub_activity", "start_date_local")) == [
+        (606062, "2025-10-23T09:32:00Z"), (None, "2024-12-28T13:59:37Z"), (None, "2025-10-23T09:32:00Z")]
+
+
 def test_widen_keeps_stored_types():
     old = struct(a="long", s=struct(x="long"))
     assert widen(old, struct(b="string", a="double", s=struct(y="string", x="string"))) == struct(
