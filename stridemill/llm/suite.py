@@ -5,7 +5,9 @@ from __future__ import annotations
 from functools import wraps
 
 from ..session import apply_semantics
-from . import native_queries
+from . import native_queries, token_queries
+
+QUERIES = native_queries.QUERIES | token_queries.QUERIES
 
 
 def _prepared(query):
@@ -16,7 +18,7 @@ def _prepared(query):
 
 
 def queries() -> dict:
-    return {name: _prepared(query) for name, query in native_queries.QUERIES.items()}
+    return {name: _prepared(query) for name, query in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
