@@ -37,15 +37,18 @@ def edited(frame: DataFrame, docs: DataFrame, carry: str) -> DataFrame:
     A successor with several rows lends the smallest head.  Rows without an id end with
     their first three quarters and have no successor.
     """
+    # Both joins read the same rows by the same key, so that Spark shuffles them once.
+    placed = frame.filter("doc_id is not null")
     asked = successors(docs).select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("_for"),
                                     F.floor(F.col("n_chars") / 4).cast("int").alias("_need"))
-    heads = (frame.join(asked, "doc_id")
+    heads = (placed.join(asked, "doc_id")
              .select(F.col("_for").alias("doc_id"),
                      F.substring("text", F.lit(1), F.col("_need")).alias("_head"), F.col(carry).alias("_kept"))
              .groupBy("doc_id").agg(F.min(F.struct("_head", "_kept")).alias("_lent")))
+    lent = placed.join(heads, "doc_id", "left").unionByName(
+        frame.filter("doc_id is null"), allowMissingColumns=True)
     n = F.char_length("text")
     keep = n - F.floor(n / 4).cast("int")
-    return (frame.join(heads, "doc_id", "left")
-            .withColumn("edited", F.concat(F.substring("text", F.lit(1), keep),
-                                           F.coalesce(F.col("_lent._head"), F.lit(""))))
+    return (lent.withColumn("edited", F.concat(F.substring("text", F.lit(1), keep),
+                                               F.coalesce(F.col("_lent._head"), F.lit(""))))
             .withColumn(f"next_{carry}", F.col("_lent._kept")).drop("_lent"))
