@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -16,16 +18,32 @@ from tokenizers import Tokenizer
 
 from .common import spread_rank
 
-CACHE_WORDS = 300_000    # encodings a worker remembers before it starts anew
+CACHE_WORDS = 600_000    # encodings a worker remembers before it starts anew
 BATCH_ROWS = 256
 END = 0                  # id that closes a document
+PARTS = re.compile(r"[^\W_]+|(?:[^\w \n\t]|_)+")
+
+
+class _Codes(dict):
+    """Numbers for words; a new word gets the next one and is put on ``new``."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = code = len(self)
+        self.new.append(word)
+        return code
 
 
 class WordEncoder:
     """Ids of whole texts from the tokenizers library, each distinct word encoded once.
 
-    Holds for tokenizers whose pre-tokens never span a blank; words met before come from
-    ragged arrays.
+    Holds for tokenizers that lower-case and whose pre-tokens span neither a blank nor, outside
+    of contractions and special tokens, an edge between letters or digits and other marks.
+    Texts with an apostrophe, a special token's opening or unnormalized letters are cut at
+    blanks only.  Words met before come from ragged arrays.
     """
 
     def __init__(self, path: str):
@@ -33,29 +51,31 @@ class WordEncoder:
         self.reset()
 
     def reset(self) -> None:
-        self.code: dict[str, int] = {}
+        self.code = _Codes()
         self.ids, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def learn(self, split: list[list[str]]) -> None:
-        new = list({w for words in split for w in words if w not in self.code})
-        if len(self.code) + len(new) > CACHE_WORDS:
+    def words(self, text: str) -> list[str]:
+        if "'" in text or "<|" in text or not unicodedata.is_normalized("NFC", text):
+            return text.replace("\n", " ").replace("\t", " ").split(" ")
+        return PARTS.findall(text.lower() if text.isascii() else text.encode().lower().decode())
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        if len(self.code) > CACHE_WORDS:
             self.reset()
-            new = list({w for words in split for w in words})
-        ids = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
-        self.code.update(zip(new, range(len(self.code), len(self.code) + len(new))))
+        coded = []
+        for text in texts:
+            words = self.words(text)
+            coded.append(np.fromiter(map(self.code.__getitem__, words), np.int64, len(words)))
+        ids = [e.ids for e in self.library.encode_batch_fast(self.code.new, add_special_tokens=False)]
+        self.code.new.clear()
         ends = self.at[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
         self.at = np.concatenate([self.at, ends])
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.uint32)])
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        self.learn(split)
-        for words in split:
-            codes = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
+        for codes in coded:
             starts = self.at[codes]
             sizes = self.at[codes + 1] - starts
             ends = np.cumsum(sizes)
-            yield self.ids[np.arange(ends[-1]) + np.repeat(starts - ends + sizes, sizes)]
+            yield self.ids[np.arange(sizes.sum()) + np.repeat(starts - ends + sizes, sizes)]
 
 
 @lru_cache(maxsize=2)
@@ -218,11 +238,13 @@ def layout(counts: dict[int, int], capacity: int = 2048, groups: int = 24, large
         share, room = -(-total // groups), -(-total // groups)
         for n in lengths:
             left = counts[n]
+            if len(lengths) <= groups and queues[-1]:
+                queues.append([])    # so few lengths need no rounding
             while left:
-                if not room:
+                if not room and len(lengths) > groups:
                     queues.append([])
                     room = share
-                used = min(left, room)
+                used = min(left, room) if len(lengths) > groups else left
                 queues[-1].append([n, used])
                 left, room = left - used, room - used
         merged: dict[int, list[list[int]]] = {}
