@@ -5,9 +5,10 @@ from __future__ import annotations
 from functools import wraps
 
 from ..session import apply_semantics
-from . import dedup_queries, native_queries, page_queries, token_queries
+from . import dedup_queries, native_queries, page_queries, token_queries, vector_queries
 
-QUERIES = dedup_queries.QUERIES | native_queries.QUERIES | page_queries.QUERIES | token_queries.QUERIES
+QUERIES = (dedup_queries.QUERIES | native_queries.QUERIES | page_queries.QUERIES | token_queries.QUERIES
+           | vector_queries.QUERIES)
 
 
 def _prepared(query):
