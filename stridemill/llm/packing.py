@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,64 +17,73 @@ from tokenizers import Tokenizer
 
 from .common import spread_rank
 
-CACHE_WORDS = 600_000    # encodings a worker remembers before it starts anew
+CACHE_WORDS = 300_000    # encodings a worker remembers before it starts anew
 BATCH_ROWS = 256
 END = 0                  # id that closes a document
-PARTS = re.compile(r"[^\W_]+|(?:[^\w \n\t]|_)+")
-
-
-class _Codes(dict):
-    """Numbers for words; a new word gets the next one and is put on ``new``."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = code = len(self)
-        self.new.append(word)
-        return code
+MARKS = r"([\x00-\x08\x0E-\x1F!-/:-@\[-`{-~\x7F]+)"    # ASCII but letters, digits and blanks
 
 
 class WordEncoder:
     """Ids of whole texts from the tokenizers library, each distinct word encoded once.
 
     Holds for tokenizers that lower-case and whose pre-tokens span neither a blank nor, outside
-    of contractions and special tokens, an edge between letters or digits and other marks.
-    Texts with an apostrophe, a special token's opening or unnormalized letters are cut at
-    blanks only.  Words met before come from ragged arrays.
+    of contractions and special tokens, an edge between ASCII marks and letters or digits.
+    Texts with an apostrophe, a special token's opening, unnormalized letters or marks beyond
+    ASCII are cut at blanks only.  Words met before come from ragged arrays; new ones go
+    through the library in rows, kept apart by ``apart``, a special token of it.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, apart: str = "<|startoftext|>"):
         self.library = Tokenizer.from_file(path)
+        self.apart, self.apart_id = apart, self.library.token_to_id(apart)
         self.reset()
 
     def reset(self) -> None:
-        self.code = _Codes()
+        self.code: dict[str, int] = {}
         self.ids, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def words(self, text: str) -> list[str]:
-        if "'" in text or "<|" in text or not unicodedata.is_normalized("NFC", text):
-            return text.replace("\n", " ").replace("\t", " ").split(" ")
-        return PARTS.findall(text.lower() if text.isascii() else text.encode().lower().decode())
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+    @staticmethod
+    def splits(text: str) -> bool:
+        return not ("'" in text or "<|" in text) and unicodedata.is_normalized("NFC", text) and (
+            text.isascii() or "".join(c for c in set(text) if c > "\x7f").isalnum())
+
+    def learn(self, words: list[str]) -> None:
+        odd = [w for w in words if "<|" in w]
+        plain = [w for w in words if "<|" not in w]
+        rows = [self.apart.join([*plain[i:i + 200], ""]) for i in range(0, len(plain), 200)]
+        ids = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(rows, add_special_tokens=False)]
+        flat = np.concatenate([*ids, np.zeros(0, np.uint32)])
+        ends = np.flatnonzero(flat == self.apart_id)
+        sizes = [np.diff(np.append(-1, ends)) - 1]
+        for word in odd:
+            ids = np.array(self.library.encode(word, add_special_tokens=False).ids, np.uint32)
+            flat, ends = np.append(flat, ids), ends
+            sizes.append(np.array([len(ids)]))
+        keep = np.ones(len(flat), bool)
+        keep[ends] = False
+        self.code.update(zip([*plain, *odd], range(len(self.code), len(self.code) + len(words))))
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate(sizes))])
+        self.ids = np.concatenate([self.ids, flat[keep]])
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        texts = texts.cast(pa.string())
+        apart = pa.array([self.splits(t) for t in texts.to_pylist()], pa.bool_())
+        spaced = pc.replace_substring_regex(pc.ascii_lower(texts), MARKS, r" \1 ")
+        words = pc.ascii_split_whitespace(pc.if_else(apart, spaced, texts))
+        found = words.flatten().dictionary_encode()
+        distinct = found.dictionary.to_pylist()
         if len(self.code) > CACHE_WORDS:
             self.reset()
-        coded = []
-        for text in texts:
-            words = self.words(text)
-            coded.append(np.fromiter(map(self.code.__getitem__, words), np.int64, len(words)))
-        ids = [e.ids for e in self.library.encode_batch_fast(self.code.new, add_special_tokens=False)]
-        self.code.new.clear()
-        ends = self.at[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
-        self.at = np.concatenate([self.at, ends])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.uint32)])
-        for codes in coded:
-            starts = self.at[codes]
-            sizes = self.at[codes + 1] - starts
-            ends = np.cumsum(sizes)
-            yield self.ids[np.arange(sizes.sum()) + np.repeat(starts - ends + sizes, sizes)]
+        self.learn([w for w in distinct if w not in self.code])
+        codes = np.fromiter(map(self.code.__getitem__, distinct), np.int64, len(distinct))
+        codes = codes[found.indices.to_numpy()]
+        starts = self.at[codes]
+        sizes = self.at[codes + 1] - starts
+        ends = np.cumsum(sizes)
+        ids = self.ids[np.arange(sizes.sum()) + np.repeat(starts - ends + sizes, sizes)]
+        cuts = np.append(0, ends)[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        for start, end in zip(cuts[:-1], cuts[1:]):
+            yield ids[start:end]
 
 
 @lru_cache(maxsize=2)
@@ -98,7 +106,7 @@ def pieces(frame: DataFrame, text: str, tokenizer: str, capacity: int = 2048,
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(at, BATCH_ROWS)
                 row, piece, start, ids = [], [], [], []
-                for i, found in enumerate(tool.encode(part.column("_text").to_pylist())):
+                for i, found in enumerate(tool.encode(part.column("_text"))):
                     found = np.append(found, np.uint32(END)).astype("<u4")
                     for k, begin in enumerate(range(0, len(found), capacity)):
                         row.append(i), piece.append(k), start.append(begin)
