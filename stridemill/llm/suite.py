@@ -5,10 +5,11 @@ from __future__ import annotations
 from functools import wraps
 
 from ..session import apply_semantics
-from . import (dedup_queries, license_queries, native_queries, page_queries, token_queries,
-               vector_queries)
+from . import (dedup_queries, language_queries, license_queries, native_queries, page_queries,
+               token_queries, vector_queries)
 
-MODULES = (dedup_queries, license_queries, native_queries, page_queries, token_queries, vector_queries)
+MODULES = (dedup_queries, language_queries, license_queries, native_queries, page_queries, token_queries,
+           vector_queries)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
