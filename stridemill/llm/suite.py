@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import wraps
 
+import corpus_pipeline
+
 from ..session import apply_semantics
 from . import (dedup_queries, language_queries, license_queries, native_queries, page_queries,
                token_queries, vector_queries)
@@ -21,8 +23,8 @@ def _prepared(query):
 
 
 def queries() -> dict:
-    return {name: _prepared(query) for name, query in QUERIES.items()}
+    return {name: _prepared(query) for name, query in QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
