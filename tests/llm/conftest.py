@@ -1,0 +1,22 @@
+import pytest
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, at string, size string"
+
+
+@pytest.fixture(scope="session")
+def make_docs(spark):
+    """Documents from (doc_id, text, lang, source), with extra columns whose names clash."""
+    def make(rows):
+        return spark.createDataFrame(
+            [(i, t, lang, source, None if t is None else len(t), "r", "a", "s") for i, t, lang, source in rows], DOCS)
+    return make
+
+
+@pytest.fixture
+def as_tables(tmp_path):
+    """Write data frames as the tables of a folder that queries can read."""
+    def write(**tables):
+        for name, df in tables.items():
+            df.write.parquet(f"{tmp_path}/{name}.parquet")
+        return str(tmp_path)
+    return write

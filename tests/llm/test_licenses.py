@@ -1,0 +1,50 @@
+import random
+import re
+
+from stridemill.llm.license_queries import op7_license_scan
+from stridemill.llm.licenses import PHRASES, scan
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def brute(text):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    starts, labels = [], set()
+    for label, phrase in PHRASES:
+        p = phrase.split()
+        for i in range(len(words) - len(p) + 1):
+            if words[i:i + len(p)] == p:
+                starts.append(i)
+                labels.add(label)
+    return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels))
+
+
+def test_base_places_against_plain_python(spark, make_docs, as_tables):
+    draw = random.Random(6)
+    bag = "cc by all rights reserved general public license CC-BY é ünder. Reserved! x 4".split()
+    texts = [" ".join(draw.choices(bag, k=draw.choice([0, 3, 40, 300]))) for _ in range(60)]
+    texts += [None, "", "cc by", "CC  BY", "cc by cc by cc by", "all rights reserved", "ALL-rights/reserved", "general public", "cc bý",
+              "the general public license " * 3000]
+    rows = [(i, t, None, None) for i, t in enumerate(texts)] + [(3, "cc by", None, None), (None, "cc by", None, None), (None, "cc by", None, None)]
+    got = op7_license_scan(spark, as_tables(documents=make_docs(rows).repartition(3))).collect()
+    have = sorted((str(r.doc_id), r.n_words, r.n_base, str(r.first_word), str(r.last_word), r.base_labels) for r in got)
+    assert have == sorted((str(i), *map(lambda x: x if isinstance(x, int) else str(x), b[:2]), str(b[2]), str(b[3]), b[4])
+                          for i, t, _, _ in rows for b in [brute(t)])
+    for r in got:
+        assert 0 <= r.score <= 1 and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
+
+
+def test_notices_with_words_put_in_and_left_out(spark, make_docs, as_tables):
+    texts = ["Text. Licensed under the Apache License, Version 2.0. More",
+             "Permission is hereby granted, free of any charge, to any person obtaining a copy of this new software",
+             "Licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0", "of the and to any person"]
+    got = {r.doc_id: r for r in op7_license_scan(spark, as_tables(documents=make_docs([(i, t, None, None) for i, t in enumerate(texts)]))).collect()}
+    assert [got[i].labels for i in range(5)] == ["apache-2.0", "mit", "gpl,gpl-3.0", "cc-by,cc-by-nc", ""]
+    assert got[0].score == 1 and 0.5 <= got[1].score < 1 and got[4].score == 0
+
+
+def test_spans_and_empty_table(spark, make_docs):
+    rows, spans = scan(make_docs([(1, "x x all rights reserved y", None, None)]), "text")
+    assert [(s.label, s.first_word, s.last_word, s.cover) for s in spans.collect()] == [("reserved", 2, 4, 1.0)]
+    rows, spans = scan(make_docs([]), "text")
+    assert rows.collect() == [] and spans.collect() == []

@@ -1,0 +1,89 @@
+import random
+from collections import Counter, defaultdict
+
+import pytest
+
+import corpus_pipeline
+from corpus_pipeline import STAGES, language, mixture, near_dedup, packing, run
+
+from .test_mixing import filled
+from .test_near_duplicates import brute, family
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture
+def odd_docs(make_docs):
+    draw = random.Random(2)
+    rows = [(i, t, "en", draw.choice(["a", "b", None])) for i, t in enumerate(family(draw, 15, [0, 1, 3, 8]) + family(draw, 4, [0]))]
+    rows += [(100, None, None, None), (101, "", "en", "a"), (None, "the one of", "en", "b"), (7, rows[7][1], "en", rows[7][3]),
+             (102, "the of and with that " * 3000, "en", "a"), (None, rows[3][1], None, None), (103, "the of and", "en", "a")]
+    return make_docs(rows)
+
+
+def test_order_and_registration():
+    assert [name for name, _ in STAGES] == ["language", "near_dedup", "mixture", "packing"]
+    from __spark_entry__ import oracle_sql, queries
+    assert "pipeline" in queries() and corpus_pipeline.ORACLE_SQL is None and "pipeline" not in oracle_sql()
+    assert {f"op{n}" for n in range(1, 11)} <= {name.split("_")[0] for name in queries()}
+
+
+@pytest.mark.parametrize("name, stage", STAGES)
+def test_every_stage_takes_odd_and_empty_tables(spark, odd_docs, make_docs, name, stage):
+    for docs in (odd_docs, make_docs([])):
+        out = stage(spark, docs, None)
+        rows = out.collect()
+        if name != "packing":
+            assert out.columns == docs.columns
+        assert bool(rows) == bool(docs.head(1))
+
+
+def test_language_keeps_what_it_knows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert language(spark, docs, None).count() >= 0.99 * docs.filter("length(text) > 5").count()
+
+
+def test_dedup_keeps_the_smallest_id_of_each_group(spark, make_docs):
+    draw = random.Random(4)
+    texts = family(draw, 20, [0, 1, 2, 5, 9]) + family(draw, 5, [0, 1]) + ["", None, "single words here"]
+    rows = list(zip(draw.sample(range(500), len(texts)), texts))
+    kept = near_dedup(spark, make_docs([(i, t, None, None) for i, t in rows]).repartition(4), None).collect()
+    parts, _ = brute(rows, k=5)
+    assert sorted(r.doc_id for r in kept) == sorted(set(parts.values()))
+    both = near_dedup(spark, make_docs([(None, "a b c d e f", None, None), (4, "a b c d e f", None, None), (4, "a b c d e f", None, None)]), None)
+    assert [r.doc_id for r in both.collect()] == [4]
+
+
+def test_mixture_takes_words_by_weight(spark, make_docs):
+    draw = random.Random(9)
+    rows = [(i, " ".join(["w"] * draw.randint(1, 30)), "en", draw.choice("abcd")) for i in range(800)]
+    out = mixture(spark, make_docs(rows), None).collect()
+    words, sizes, seen = defaultdict(int), defaultdict(int), Counter(r.doc_id for r in out)
+    for r in out:
+        words[r.source] += len(r.text.split())
+    for i, t, _, s in rows:
+        sizes[s] += len(t.split())
+    assert max(seen.values()) <= 2
+    for s, target in filled(sizes).items():
+        assert abs(words[s] - target) <= 20
+
+
+def test_packing_is_gapless(spark, odd_docs):
+    places = defaultdict(list)
+    for r in packing(spark, odd_docs, None).collect():
+        places[r.sequence_id].append((r.offset, r.length))
+    for parts in places.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
+def test_run_equals_the_stages_in_turn(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in STAGES:
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert Counter(run(spark, SF).select(*columns).collect()) == Counter(docs.select(*columns).collect())
