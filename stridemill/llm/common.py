@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import run_dir
@@ -27,6 +27,14 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Let Python tasks get whole texts in batches of so many rows at most, so that their
+    memory doesn't depend on how rows lie in files.  A lower setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def join_small(frame: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner",
                limit: int = SMALL_ROWS) -> DataFrame:
     """Join a staged table: broadcast when its counted rows are few, else an ordinary

@@ -17,12 +17,12 @@ def components(links: DataFrame) -> DataFrame:
     written to the shared folder; the one before it is deleted.  Nothing but a count of
     changes reaches the driver.  No links give an empty table.
     """
-    edges = stage(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = stage(edges.groupBy(F.col("a").alias("node"))
-                   .agg(F.least(F.col("node"), F.min("b")).alias("root")), "labels")
+    pairs = links.select(F.col("a").alias("node"), F.col("b").alias("peer"))
+    edges = stage(pairs.union(pairs.select("peer", "node")).distinct(), "edges")
+    labels = stage(edges.groupBy("node").agg(F.least(F.col("node"), F.min("peer")).alias("root")), "labels")
     while True:
-        near = (edges.join(labels.withColumnRenamed("node", "b"), "b")
-                .groupBy(F.col("a").alias("node")).agg(F.min("root").alias("_near")))
+        near = (edges.join(labels.withColumnRenamed("node", "peer"), "peer")
+                .groupBy("node").agg(F.min("root").alias("_near")))
         low = (labels.join(near, "node")
                .select("node", F.col("root").alias("_old"), F.least("root", "_near").alias("_label")))
         jump = labels.select(F.col("node").alias("_label"), F.col("root").alias("_beyond"))

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 # HTML's elements by the way they are treated.
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -219,6 +221,7 @@ def extract(frame: DataFrame, html: str) -> DataFrame:
     are left out by element, role, class or id before.  Pages are independent of each other;
     null and empty pages give an empty text, and an empty table an empty result.
     """
+    text_batches(frame.sparkSession)
     kept = [c for c in frame.columns if c != html]
     names = [f"c{i}" for i in range(len(kept))]
 

@@ -11,13 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small, stage
+from .common import join_small, stage, text_batches
 from .components import components
 from .shingles import common, mix64, shingle_set
 
 HASHES, ROWS, BANDS, STEP = 256, 5, 30, 32   # the bands take the first 150 hashes
 BLOCK = 1024             # members of a bucket that meet in one task
-PAIRS_AT_ONCE = 400_000
+PAIRS_AT_ONCE = 50_000
 _RANDOM = np.random.default_rng(7919)
 _FACTOR = _RANDOM.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _RANDOM.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -147,7 +147,7 @@ def _exact(pairs: DataFrame, members: DataFrame, frame: DataFrame, id_: str, tex
 
 
 def near_duplicates(frame: DataFrame, id_: str, text: str, width: int = 5, percent: int = 80,
-                    miss: float = 2e-4) -> DataFrame:
+                    miss: float = 2e-3) -> DataFrame:
     """Group rows whose word shingle sets have a Jaccard similarity of ``percent`` or more.
 
     Returns one row per row of ``frame``: ``id``, ``n`` (set size) and ``component``, the
@@ -168,6 +168,7 @@ def near_duplicates(frame: DataFrame, id_: str, text: str, width: int = 5, perce
     an id aren't linked and have no component.  Rows that share an id are one node.  An empty
     table gives an empty result.
     """
+    text_batches(frame.sparkSession)
     least = least_matches(percent / 100, miss)
     rows = stage(signed(frame, id_, text, width), "signed")
     # A class is named by a number, since rows of equal id may have different sets.
@@ -211,9 +212,12 @@ def near_duplicates(frame: DataFrame, id_: str, text: str, width: int = 5, perce
     more = stage(_exact(rest, classes, frame, id_, text, width, percent), "links")
 
     # From classes to ids: a component is called by the smallest id in it.
-    named = components(links.union(more).union(
-        # rows of equal id are one node
-        classes.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("a", "b")))
+    many = rows.filter("digest is not null").groupBy("id").agg(F.min("digest").alias("_a"), F.max("digest").alias("_b"))
+    same = (rows.select("id", "digest").distinct().join(many.filter("_a < _b").select("id"), "id")
+            .join(classes.select("digest", "rep"), "digest").select("id", "rep"))
+    same = (same.join(same.groupBy("id").agg(F.min("rep").alias("a")), "id").filter("rep != a")
+            .select("a", F.col("rep").alias("b")))
+    named = components(links.union(more).union(same))
     of_class = classes.select("digest", F.col("id").alias("_first"), "rep").join(
         named.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     least_id = of_class.groupBy("root").agg(F.min("_first").alias("_component"))

@@ -12,6 +12,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 NONE = np.int64(1) << 40          # rank of a pair that never merges
 CACHE_WORDS = 300_000             # counts a worker remembers before it starts anew
 BATCH_ROWS = 256
@@ -183,6 +185,7 @@ def count_tokens(frame: DataFrame, text: str, model_file: str, limit: int = 4096
     their length, rows are independent, and an empty table gives an empty result.  The model
     file is a path that executors can open, installed with the tokenizers.
     """
+    text_batches(frame.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = counter(model_file)
         for batch in batches:
