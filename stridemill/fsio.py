@@ -39,6 +39,29 @@ def rename(spark: SparkSession, source: str, destination: str) -> None:
         raise OSError(f"could not move {source} to {destination}")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme, without a trailing slash."""
+    fs, target = _fs(spark, path)
+    return fs.makeQualified(target).toString().rstrip("/")
+
+
+def decoded(spark: SparkSession, uri: str) -> str:
+    """The path behind an escaped address, as stream logs write it."""
+    jvm = spark._jvm
+    return qualified(spark, jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri)).toString())
+
+
+def replace(spark: SparkSession, source: str, destination: str) -> None:
+    """Rename over an existing file in one step of the file system."""
+    jvm = spark._jvm
+    src, dst = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(destination)
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        dst.getFileSystem(spark._jsc.hadoopConfiguration()).getUri(), spark._jsc.hadoopConfiguration())
+    context.rename(src, dst, options)
+
+
 def same_file_system(spark: SparkSession, one: str, other: str) -> bool:
     return _fs(spark, one)[0].getUri().equals(_fs(spark, other)[0].getUri())
 

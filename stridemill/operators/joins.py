@@ -28,6 +28,12 @@ def with_details(activities: DataFrame, details: DataFrame, how: str = "left") -
     return a.join(b, same, how)
 
 
+def details_of(activities: DataFrame, details: DataFrame) -> DataFrame:
+    """The details of the given activities, every stored version of them."""
+    wanted = activities.select("id", "athlete_id").distinct()
+    return details.join(wanted, ["id", "athlete_id"], "left_semi")
+
+
 def missing_details(activities: DataFrame, details: DataFrame, key: str = "id") -> DataFrame:
     """Distinct activity keys without a detail row.
 

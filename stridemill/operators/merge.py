@@ -3,6 +3,12 @@
 Both kinds of table keep a batch id as their innermost partition column.  A batch writes
 only folders that carry its own id, so repeating it replaces its own rows and nothing else.
 
+With ``catalog_table`` a merge works on that table, which it creates on first use.  Nothing
+is moved then: the new files stay where they were written and the catalog's partitions are
+pointed at them, one by one, so a reader of the table sees a partition's old rows or its new
+ones.  Without it the table is a folder, and its folders are replaced by renames; readers of
+a bare folder must not run beside an updating merge.
+
 Neither merge shuffles its target when the source is a modest micro-batch.  The target is
 first narrowed to the keys the source carries: file statistics prune by the source's range
 of one key column, then a semi-join against the source's keys, which Spark runs as a
@@ -14,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_
@@ -25,7 +32,8 @@ from pyspark.sql.types import StructType
 from .. import fsio
 from ..session import shared_dir
 from .dedupe import dedupe_microbatch
-from .tables import BATCH_COLUMN, append_batch, batch_path, read_batches, write_partitioned
+from .tables import (BATCH_COLUMN, BatchId, add_partitions, append_batch, batch_path, create_partitioned,
+                     drop_partitions, read_batches, write_partitioned)
 
 
 def key_match(left: str, right: str, keys: Sequence[str], null_safe: bool) -> Column:
@@ -43,6 +51,17 @@ def value_range(df: DataFrame, column: str) -> Column:
     return within | F.col(column).isNull() if seen["has_null"] else within
 
 
+def value_set(df: DataFrame, column: str) -> Column:
+    """Filter that keeps the values of ``column`` seen in ``df``.
+
+    For columns with few values, such as months: they come to the driver, and the filter
+    prunes partitions.
+    """
+    seen = [r[0] for r in df.select(column).distinct().collect()]
+    within = F.col(column).isin([v for v in seen if v is not None])
+    return within | F.col(column).isNull() if None in seen else within
+
+
 def matched(target: DataFrame, source: DataFrame, keys: Sequence[str], null_safe: bool) -> DataFrame:
     """Target rows whose keys the source has."""
     wanted = source.select(*keys).distinct()
@@ -59,28 +78,59 @@ def unmatched(source: DataFrame, target: DataFrame, keys: Sequence[str], null_sa
     return source.alias("s").join(present.alias("p"), key_match("s", "p", keys, null_safe), "left_anti")
 
 
-def merge_insert(source: DataFrame, target: str, keys: Sequence[str], batch_id: int, *, null_safe: bool = True,
-                 prune_by: str | None = None) -> bool:
+def merge_insert(source: DataFrame, target: str, keys: Sequence[str], batch_id: BatchId, *, null_safe: bool = True,
+                 prune_by: str | None = None, partitions: Sequence[str] = (), catalog_table: str | None = None) -> bool:
     """Insert the rows whose keys the target table lacks; existing rows stay untouched.
 
-    ``source`` is read more than once, so a caller with an expensive plan persists it.  A
+    ``source`` is read more than once, so a caller with an expensive plan stages it.  A
     replayed batch changes nothing, which also holds with ``null_safe=False``, where rows
-    with a NULL key always count as new.
+    with a NULL key always count as new.  ``partitions`` lay the table out in folders above
+    those of the batches; pruning by one of them reads only the folders the batch has rows for.
     """
     spark = source.sparkSession
+    if partitions:
+        _rewrite(source, None, lambda current: unmatched(source, current, keys, null_safe), target, keys, partitions,
+                 batch_id, source.schema, prune_by, null_safe, catalog_table)
+        return True
     if fsio.is_committed(spark, batch_path(target, batch_id)):
         return False
     existing = read_batches(spark, target, StructType([source.schema[k] for k in keys]))
-    existing = existing.filter(F.col(BATCH_COLUMN) != batch_id)
+    existing = existing.filter(F.col(BATCH_COLUMN) != str(batch_id))
     if prune_by:
         existing = existing.filter(value_range(source, prune_by))
     fresh = unmatched(source, existing, keys, null_safe)
     if prune_by:
         fresh = fresh.sortWithinPartitions(prune_by)
-    return append_batch(fresh, target, batch_id)
+    done = append_batch(fresh, target, batch_id)
+    if catalog_table:
+        ensure_table(spark, catalog_table, source.schema, (), target)
+        add_partitions(spark, catalog_table, [BATCH_COLUMN], [f"{BATCH_COLUMN}={batch_id}"])
+    return done
+
+
+def ensure_table(spark: SparkSession, name: str, schema: StructType, partitions: Sequence[str], location: str) -> None:
+    """The catalog entry of a merged table."""
+    if not spark.catalog.tableExists(name):
+        fields = StructType([f for f in schema.fields if f.name != BATCH_COLUMN]).add(BATCH_COLUMN, "string")
+        create_partitioned(spark, name, fields, [*partitions, BATCH_COLUMN], location)
+
 
+def merge_newest(source: DataFrame, target: str, keys: Sequence[str], partitions: Sequence[str], batch_id: BatchId, *,
+                 newest_by: str, prune_by: str | None = None, catalog_table: str | None = None) -> int:
+    """Keep the newest row of every key, whichever batch brings it and in whatever order.
 
-def upsert_data(batch: DataFrame, batch_id: int, target_table: str, key_columns: Sequence[str],
+    The result doesn't depend on how deliveries are cut into batches.  Keys match null-safely.
+    A key's rows must lie in partitions that ``prune_by`` keeps together.
+    """
+    def rows(current: DataFrame) -> DataFrame:
+        known = matched(current.select(*source.columns), source, keys, null_safe=True)
+        return dedupe_microbatch(known.unionByName(source), keys, (newest_by,))
+
+    return _rewrite(source, source, rows, target, keys, partitions, batch_id, source.schema, prune_by, True,
+                    catalog_table)
+
+
+def upsert_data(batch: DataFrame, batch_id: BatchId, target_table: str, key_columns: Sequence[str],
                 temp_view_name: str | None = None) -> bool:
     """Insert-only merge under a dynamic key list; also publishes the batch as a view."""
     if temp_view_name:
@@ -88,9 +138,9 @@ def upsert_data(batch: DataFrame, batch_id: int, target_table: str, key_columns:
     return merge_insert(batch, target_table, key_columns, batch_id)
 
 
-def merge_upsert(source: DataFrame, target: str, keys: Sequence[str], partitions: Sequence[str], batch_id: int, *,
-                 schema: StructType | None = None, order_cols: Sequence[str] = (), prune_by: str | None = None,
-                 null_keys: str = "identity") -> int:
+def merge_upsert(source: DataFrame, target: str, keys: Sequence[str], partitions: Sequence[str],
+                 batch_id: BatchId, *, schema: StructType | None = None, order_cols: Sequence[str] = (),
+                 prune_by: str | None = None, null_keys: str = "identity", catalog_table: str | None = None) -> int:
     """Update the rows whose keys match, insert the others; returns how many folders it rewrote.
 
     Of several source rows with one complete key the first under ``order_cols`` (descending,
@@ -114,45 +164,52 @@ def merge_upsert(source: DataFrame, target: str, keys: Sequence[str], partitions
         return complete.unionByName(unmatched(partial, current.filter(~has_key), names))
 
     return _rewrite(source, source.filter(has_key), rows, target, keys, partitions, batch_id, schema, prune_by,
-                    null_safe=False)
+                    False, catalog_table)
 
 
-def merge_groups(source: DataFrame, target: str, keys: Sequence[str], partitions: Sequence[str], batch_id: int, *,
-                 schema: StructType | None = None, prune_by: str | None = None) -> int:
+def merge_groups(source: DataFrame, target: str, keys: Sequence[str], partitions: Sequence[str],
+                 batch_id: BatchId, *, schema: StructType | None = None, prune_by: str | None = None,
+                 catalog_table: str | None = None) -> int:
     """Replace every group of ``keys`` that the source has, as a whole; NULL keys form groups too."""
     source = source.select(*(schema or source.schema).names)
     return _rewrite(source, source, lambda current: source, target, keys, partitions, batch_id, schema, prune_by,
-                    null_safe=True)
+                    True, catalog_table)
 
 
-def _rewrite(source: DataFrame, matching: DataFrame, new_rows: Callable[[DataFrame], DataFrame], target: str,
-             keys: Sequence[str], partitions: Sequence[str], batch_id: int, schema: StructType | None,
-             prune_by: str | None, null_safe: bool) -> int:
-    """Common part of the updating merges.
+def _rewrite(source: DataFrame, matching: DataFrame | None, new_rows: Callable[[DataFrame], DataFrame], target: str,
+             keys: Sequence[str], partitions: Sequence[str], batch_id: BatchId, schema: StructType | None,
+             prune_by: str | None, null_safe: bool, catalog_table: str | None) -> int:
+    """Common part of the partitioned merges.
 
     New rows go to folders of their own batch.  Older folders are rewritten only if they
-    hold a row that is replaced, so a batch that merely inserts rewrites nothing, whatever
-    the size of the partition it inserts into.  The list of such folders is bounded by the
-    table's folder count and is all the driver sees.
+    hold a row that ``matching`` replaces, so a batch that merely inserts rewrites nothing,
+    whatever the size of the partition it inserts into.  The list of such folders is bounded
+    by the table's folder count and is all the driver sees.
 
-    The result is staged completely, then its folders are moved into the table, so rows are
-    written once.  A batch that dies in between is finished from its staged copy on retry.
-    ``source`` is read more than once, so a caller with an expensive plan persists it.
+    The result is staged completely before it is published, so rows are written once.  A
+    batch that dies in between is finished from its staged copy on retry.  ``source`` is read
+    more than once, so a caller with an expensive plan stages it.
     """
-    spark = source.sparkSession
+    spark, batch = source.sparkSession, str(batch_id)
     schema = schema or source.schema
     slots = [*partitions, BATCH_COLUMN]
-    stage = staging_folder(spark, target, batch_id)
+    stage = f"{target}/_versions/{_safe(batch)}" if catalog_table else staging_folder(spark, target, batch)
+    if catalog_table:
+        ensure_table(spark, catalog_table, schema, partitions, target)
 
     if not fsio.exists(spark, f"{stage}/plan.json"):
-        table = read_batches(spark, target, schema)
-        current = table.filter(F.col(BATCH_COLUMN) != batch_id)
-        candidates = current.filter(value_range(source, prune_by)) if prune_by else current
-        replaced = matched(candidates.select(*dict.fromkeys([*keys, *slots])), matching, keys, null_safe)
-        own = table.filter(F.col(BATCH_COLUMN) == batch_id)  # left by a run whose staged copy is gone
-        touched = [tuple(r) for r in replaced.select(*slots).unionByName(own.select(*slots)).distinct().collect()]
-        fresh = new_rows(candidates.drop(BATCH_COLUMN)).withColumn(BATCH_COLUMN, F.lit(batch_id).cast("long"))
-        if touched:
+        table = spark.read.table(catalog_table) if catalog_table else read_batches(spark, target, schema)
+        table = table.select(*dict.fromkeys([*schema.names, *slots]))
+        current = table.filter(F.col(BATCH_COLUMN) != batch)
+        prune = value_set if prune_by in partitions else value_range
+        candidates = current.filter(prune(source, prune_by)) if prune_by else current
+        touched = table.filter(F.col(BATCH_COLUMN) == batch).select(*slots)  # left by a run whose staged copy is gone
+        if matching is not None:
+            touched = touched.unionByName(matched(candidates.select(*dict.fromkeys([*keys, *slots])), matching, keys,
+                                                  null_safe).select(*slots))
+        touched = [tuple(r) for r in touched.distinct().collect()]
+        fresh = new_rows(candidates.drop(BATCH_COLUMN)).withColumn(BATCH_COLUMN, F.lit(batch))
+        if touched and matching is not None:
             wanted = matching.select(*keys).distinct()
             kept = current.filter(_in_folders(slots, touched)).alias("t").join(
                 wanted.alias("s"), key_match("t", "s", keys, null_safe), "left_anti")
@@ -163,6 +220,12 @@ def _rewrite(source: DataFrame, matching: DataFrame, new_rows: Callable[[DataFra
             "written": fsio.folders(spark, f"{stage}/rows", len(slots))}))
 
     plan = json.loads(fsio.read_text(spark, f"{stage}/plan.json"))
+    emptied = sorted(set(plan["rewritten"]) - set(plan["written"]))
+    if catalog_table:
+        add_partitions(spark, catalog_table, slots, plan["written"], f"{stage}/rows")
+        drop_partitions(spark, catalog_table, slots, emptied)  # all their rows were replaced
+        spark.catalog.refreshTable(catalog_table)
+        return len(plan["rewritten"])
     movable = fsio.same_file_system(spark, stage, target)
     if plan["written"] and not movable:  # renames do not cross file systems: copy as a Spark job
         (read_batches(spark, f"{stage}/rows", schema).write.mode("overwrite")
@@ -171,16 +234,21 @@ def _rewrite(source: DataFrame, matching: DataFrame, new_rows: Callable[[DataFra
         if fsio.exists(spark, f"{stage}/rows/{folder}"):  # else moved before an interruption
             fsio.delete(spark, f"{target}/{folder}")
             fsio.rename(spark, f"{stage}/rows/{folder}", f"{target}/{folder}")
-    for folder in set(plan["rewritten"]) - set(plan["written"]):
-        fsio.delete(spark, f"{target}/{folder}")  # all its rows were replaced
+    for folder in emptied:
+        fsio.delete(spark, f"{target}/{folder}")
     _forget_older(spark, stage)
     return len(plan["rewritten"])
 
 
-def staging_folder(spark: SparkSession, target: str, batch_id: int) -> str:
+def staging_folder(spark: SparkSession, target: str, batch_id: BatchId) -> str:
     """Where a batch's result waits; the same after a restart, in the shared folder."""
     digest = hashlib.md5(target.encode("utf-8")).hexdigest()
-    return f"{shared_dir(spark)}/stridemill/upsert/{digest}/batch={batch_id}"
+    query, _, number = str(batch_id).rpartition("-")
+    return f"{shared_dir(spark)}/stridemill/upsert/{digest}/{_safe(query) or 'direct'}/batch={_safe(number)}"
+
+
+def _safe(name: str) -> str:
+    return re.sub(r"[^A-Za-z0-9-]", "_", name)
 
 
 def _in_folders(slots: Sequence[str], folders: list[tuple]) -> Column:
@@ -197,8 +265,10 @@ def _folder_name(spark: SparkSession, slots: Sequence[str], values: tuple) -> st
 
 
 def _forget_older(spark: SparkSession, stage: str) -> None:
+    """Drop the staged copies of a writer's earlier batches; numbers tell which are earlier."""
     parent, name = stage.rsplit("/", 1)
-    newest = int(name.split("=")[1])
+    newest = name.split("=")[1]
     for path in fsio.children(spark, parent):
-        if int(path.rsplit("=", 1)[1]) < newest:
+        number = path.rsplit("=", 1)[1]
+        if newest.isdigit() and number.isdigit() and int(number) < int(newest):
             fsio.delete(spark, path)

@@ -11,11 +11,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
+from .. import fsio
 from ..functions.columns import all_reasons
 from ..schemas import REJECT_COLUMNS
-from .tables import append_batch
+from ..session import run_dir
+from .tables import BatchId, append_batch
 
 # Rule names and predicates.
 ACTIVITY_RULES = {
@@ -56,11 +57,12 @@ def rejected_rows(annotated: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Assessment:
-    """Annotated rows held for several reads, with the counts taken while filling them."""
+    """Annotated rows staged for several reads, with their counts."""
 
     annotated: DataFrame
     total: int
     rejected: int
+    location: str
 
     @property
     def valid(self) -> DataFrame:
@@ -71,23 +73,22 @@ class Assessment:
         return rejected_rows(self.annotated)
 
     def release(self) -> None:
-        self.annotated.unpersist()
+        fsio.delete(self.annotated.sparkSession, self.location)
 
 
 def assess(df: DataFrame, rules: Mapping[str, str]) -> Assessment:
-    """Annotate and keep one micro-batch, so that its source is read a single time.
-
-    The kept rows may spill to disk; a lost executor's share is recomputed from the
-    source, with the same outcome because upstream ordering is total.
-    """
-    annotated = annotate(df, rules).persist(StorageLevel.MEMORY_AND_DISK)
-    counts = annotated.agg(F.count(F.lit(1)).alias("total"),
-                           F.count("reject_reasons").alias("rejected")).first()
-    return Assessment(annotated, counts["total"], counts["rejected"])
-
-
-def assert_quality(df: DataFrame, rules: Mapping[str, str], reject_path: str, batch_id: int = 0) -> Assessment:
-    """Persist the rejects of a batch, if it has any, and hand back the assessment.
+    """Annotate one micro-batch and write it to the shared folder, so that its source is read
+    a single time whatever the batch's size, and a lost executor costs a read."""
+    spark, location = df.sparkSession, run_dir(df.sparkSession, "assessed")
+    annotated = annotate(df, rules)
+    annotated.write.parquet(location)
+    staged = spark.read.schema(annotated.schema).parquet(location)
+    counts = staged.agg(F.count(F.lit(1)).alias("total"), F.count("reject_reasons").alias("rejected")).first()
+    return Assessment(staged, counts["total"], counts["rejected"], location)
+
+
+def assert_quality(df: DataFrame, rules: Mapping[str, str], reject_path: str, batch_id: BatchId = 0) -> Assessment:
+    """Store the rejects of a batch, if it has any, and hand back the assessment.
 
     Rejects go to the batch's own partition, so a retried batch cannot add them twice.
     """

@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import fsio
+from ..session import run_dir
 
+# A batch is named by the caller's number, or by the query and the number a stream gives it
+# (see streaming.runs), so that neither a reset checkpoint nor a second stream repeats a name.
 BATCH_COLUMN = "_batch_id"
-MAX_BATCH_BYTES = 512 * 1024 ** 3
+BatchId = int | str
 
 
-def batch_path(table: str, batch_id: int) -> str:
+def batch_path(table: str, batch_id: BatchId) -> str:
     return f"{table}/{BATCH_COLUMN}={batch_id}"
 
 
-def append_batch(df: DataFrame, table: str, batch_id: int, fmt: str = "parquet") -> bool:
+def append_batch(df: DataFrame, table: str, batch_id: BatchId, fmt: str = "parquet") -> bool:
     """Append a batch exactly once; returns False when it was already committed.
 
     A batch owns one partition folder.  A retry after a crash overwrites the unfinished
@@ -33,7 +37,7 @@ def append_batch(df: DataFrame, table: str, batch_id: int, fmt: str = "parquet")
 
 
 def _with_batch(schema: StructType) -> StructType:
-    return StructType([*[f for f in schema.fields if f.name != BATCH_COLUMN], StructField(BATCH_COLUMN, LongType())])
+    return StructType([*[f for f in schema.fields if f.name != BATCH_COLUMN], StructField(BATCH_COLUMN, StringType())])
 
 
 def read_batches(spark: SparkSession, table: str, schema: StructType, fmt: str = "parquet") -> DataFrame:
@@ -50,14 +54,26 @@ def snapshot(spark: SparkSession, table: str, schema: StructType) -> DataFrame:
 
 
 def stream_batches(spark: SparkSession, table: str, schema: StructType, fmt: str = "parquet",
-                   max_bytes_per_trigger: int = MAX_BATCH_BYTES) -> DataFrame:
+                   max_bytes_per_trigger: int | None = None) -> DataFrame:
     """Only the rows added since the reading query's last checkpoint.
 
-    A long backlog is worked off in micro-batches of a bounded size, which also bounds what
-    a batch keeps for its repeated reads.
+    Everything available is one micro-batch unless the caller asks for smaller ones.
     """
-    return (spark.readStream.format(fmt).schema(schema).option("maxBytesPerTrigger", max_bytes_per_trigger)
-            .load(table).drop(BATCH_COLUMN))
+    reader = spark.readStream.format(fmt).schema(schema)
+    if max_bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
+    return reader.load(table).select(*schema.names).drop(BATCH_COLUMN)
+
+
+@contextmanager
+def held(df: DataFrame, label: str) -> Iterator[DataFrame]:
+    """``df``, computed once into the shared folder for several reads; gone afterwards."""
+    spark, path = df.sparkSession, run_dir(df.sparkSession, label)
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        fsio.delete(spark, path)
 
 
 def compact(spark: SparkSession, table: str, schema: StructType, destination: str,
@@ -65,17 +81,18 @@ def compact(spark: SparkSession, table: str, schema: StructType, destination: st
     """Rewrite many small batch folders as one well-filled copy of the table.
 
     The copy is a new folder: readers keep the old one until the catalog entry moves.  It
-    carries the newest batch id, so later batches go on from there; run it when no batch
-    that may still be retried is older.
+    takes the newest batch's name, and every batch it holds leaves an empty committed folder,
+    so that a batch retried afterwards is still known.
     """
-    rows = read_batches(spark, table, schema)
-    newest = rows.agg(F.max(BATCH_COLUMN)).first()[0]
-    if newest is None:
+    batches = sorted((p.rsplit(f"{BATCH_COLUMN}=", 1)[1] for p in fsio.data_files(spark, table)), key=_batch_order)
+    if not batches:
         return
-    packed = rows.drop(BATCH_COLUMN).hint("rebalance")
+    packed = read_batches(spark, table, schema).drop(BATCH_COLUMN).hint("rebalance")
     if cluster_by:
         packed = packed.sortWithinPartitions(*cluster_by)
-    append_batch(packed, destination, newest)
+    append_batch(packed, destination, batches[-1])
+    for batch in batches[:-1]:
+        fsio.write_text(spark, f"{batch_path(destination, batch)}/_SUCCESS", "")
     if catalog_table:
         known = spark.catalog.getTable(catalog_table)
         if known.tableType != "EXTERNAL":
@@ -87,6 +104,11 @@ def compact(spark: SparkSession, table: str, schema: StructType, destination: st
         recover_partitions(spark, catalog_table)
 
 
+def _batch_order(name: str) -> tuple[str, int]:
+    query, _, number = name.rpartition("-")
+    return query, int(number) if number.isdigit() else -1
+
+
 def append_rows(df: DataFrame, table: str) -> None:
     """Append to a managed table, creating it on first use."""
     df.write.mode("append").saveAsTable(table)
@@ -96,13 +118,28 @@ def replace_snapshot(df: DataFrame, root: str, version: str, table: str | None =
     """Full rebuild with schema replacement.
 
     Written beside the running snapshot (a folder cannot be overwritten while it is read),
-    then published by moving the catalog entry.
+    then published by moving the catalog entry's location, with new columns added before.
+    Only a schema that drops or retypes a column needs a new entry, for whose making the
+    table is absent for a moment.
     """
     spark = df.sparkSession
     location = f"{root}/{version}"
     df.write.mode("overwrite").parquet(location)
-    if table:
-        spark.sql(f"DROP TABLE IF EXISTS {table}")  # external: the files stay
+    if not table:
+        return location
+    if not spark.catalog.tableExists(table):
+        register_external(spark, table, location)
+        return location
+    known = {f.name: f.dataType for f in spark.read.table(table).schema.fields}
+    fields = {f.name: f.dataType for f in df.schema.fields}
+    if all(fields.get(name) == kind for name, kind in known.items()):
+        new = {f"`{n}`": k.simpleString() for n, k in fields.items() if n not in known}
+        if new:
+            add_columns(spark, table, **new)
+        spark.sql(f"ALTER TABLE {table} SET LOCATION '{location}'")
+        spark.catalog.refreshTable(table)
+    else:
+        spark.sql(f"DROP TABLE {table}")  # external: the files stay
         register_external(spark, table, location)
     return location
 
@@ -158,8 +195,7 @@ def export_single_csv(df: DataFrame, destination: str) -> str:
     staging = f"{destination}.staging"
     df.repartition(1).write.mode("overwrite").option("header", True).option("escapeQuotes", False).csv(staging)
     parts = [p for p in fsio.data_files(spark, staging) if p.rsplit("/", 1)[1].startswith("part-")]
-    fsio.delete(spark, destination)
-    fsio.rename(spark, parts[0], destination)
+    fsio.replace(spark, parts[0], destination)
     fsio.delete(spark, staging)
     return destination
 
@@ -180,7 +216,40 @@ def add_columns(spark: SparkSession, table: str, **columns: str) -> None:
     spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({listed})")
 
 
+def add_partitions(spark: SparkSession, table: str, partitions: Sequence[str], folders: Sequence[str],
+                   root: str | None = None) -> None:
+    """Let the catalog point the named partitions at their folders below ``root`` (by default
+    the table's own), whether it knows them already or not; each one switches at once."""
+    for folder in folders:
+        values = dict(part.split("=", 1) for part in folder.split("/"))
+        naming = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+        spec = ", ".join(f"`{c}` = {_literal(naming.unescapePathName(values[c]))}" for c in partitions)
+        where = f" LOCATION '{root}/{folder}'" if root else ""
+        spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS PARTITION ({spec}){where}")
+        if root:
+            spark.sql(f"ALTER TABLE {table} PARTITION ({spec}) SET{where}")
+
+
+def drop_partitions(spark: SparkSession, table: str, partitions: Sequence[str], folders: Sequence[str]) -> None:
+    """Take partitions out of the catalog; files of an external table stay."""
+    naming = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    for folder in folders:
+        values = dict(part.split("=", 1) for part in folder.split("/"))
+        spec = ", ".join(f"`{c}` = {_literal(naming.unescapePathName(values[c]))}" for c in partitions)
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({spec})")
+
+
+def _literal(value: str) -> str:
+    if value == "__HIVE_DEFAULT_PARTITION__":
+        return "NULL"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def reset_checkpoints(spark: SparkSession, *paths: str) -> None:
-    """Forget stream progress, so the next run starts from the beginning."""
+    """Forget stream progress, so the next run starts from the beginning.
+
+    Stored schemas lie beside the checkpoint and stay.  The next run has another query id, so
+    its batches are new ones to the tables they are merged into.
+    """
     for path in paths:
         fsio.delete(spark, path)

@@ -38,12 +38,16 @@ def split_by_mode(athletes: DataFrame, control: DataFrame, athlete_col: str = "i
 
 def incremental_after(landed: DataFrame, modes: DataFrame, stamp: str = "start_ts",
                       owner: str = "athlete_id") -> DataFrame:
-    """Landed records after each athlete's high-water mark; all of them for a full load or without a mark."""
+    """Landed records after each athlete's high-water mark.
+
+    All of them for a full load or without a mark, and so for records without an owner or of
+    an athlete that ``modes`` doesn't list.
+    """
     # an athlete landed several times must not multiply its records
     marks = modes.select(F.col("athlete_id_json").alias(owner), "full_carga", "start_date_unix").distinct()
     mark = F.col("start_date_unix")
-    wanted = F.col("full_carga") | mark.isNull() | (F.unix_timestamp(stamp) > mark)
-    return landed.join(marks, owner, "inner").filter(wanted).drop("full_carga", "start_date_unix")
+    wanted = F.coalesce("full_carga", F.lit(True)) | mark.isNull() | (F.unix_timestamp(stamp) > mark)
+    return landed.join(marks, owner, "left").filter(wanted).drop("full_carga", "start_date_unix")
 
 
 def pending_detail_ids(activities: DataFrame, details: DataFrame | None = None, key: str = "id") -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import transforms as T
-from ..operators.joins import with_details
+from ..operators.joins import details_of, with_details
 from ..operators.merge import merge_groups, merge_upsert
-from ..operators.tables import snapshot
+from ..operators.tables import BatchId, held, snapshot
 from ..schemas import FEATURE_PARTITIONS, FEATURES
 from ..streaming.runs import RunLog, batch_stream, finish
 
@@ -38,25 +38,31 @@ def features(activities: DataFrame, details: DataFrame, **options) -> DataFrame:
 class FeatureLoad:
     """Incremental feature table: new silver activities, enriched from the details at hand."""
 
-    def __init__(self, target: str):
-        self.target = target
-        self.counts: dict[int, int] = {}
-
-    def run_batch(self, batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            rows = batch.count()
-            if rows:
-                merge_upsert(batch, self.target, MERGE_KEYS, FEATURE_PARTITIONS, batch_id,
-                             order_cols=("start_date_local",), prune_by="start_date")
-            self.counts[batch_id] = rows
-        finally:
-            batch.unpersist()
+    def __init__(self, target: str, catalog_table: str | None = None):
+        self.target, self.catalog_table = target, catalog_table
+        self.counts: dict[BatchId, int] = {}
+
+    def run_batch(self, batch: DataFrame, batch_id: BatchId) -> None:
+        """Merge one batch of feature rows."""
+        with held(batch, "features") as rows:
+            self.counts[batch_id] = rows.count()
+            if self.counts[batch_id]:
+                merge_upsert(rows, self.target, MERGE_KEYS, FEATURE_PARTITIONS, batch_id,
+                             order_cols=("start_date_local",), prune_by="start_date",
+                             catalog_table=self.catalog_table)
 
     def run_stream(self, activities: DataFrame, details: DataFrame, checkpoint: str) -> RunLog:
-        """``activities`` streams, ``details`` is the snapshot each micro-batch joins."""
+        """``activities`` streams, ``details`` is the table each micro-batch joins.
+
+        The join is made batch by batch: details are cut to the batch's activities before the
+        latest of each is chosen, so a batch ranks its own details and not all history.
+        """
+        def enrich(batch: DataFrame, batch_id: BatchId) -> None:
+            with held(batch, "activities") as rows:
+                self.run_batch(features(rows, details_of(rows, details)), batch_id)
+
         marked = activities.withWatermark(*WATERMARK)
-        return finish(batch_stream(features(marked, details), self.run_batch, checkpoint, "features"), self.counts)
+        return finish(batch_stream(marked, enrich, checkpoint, "features"), self.counts)
 
 
 def late_groups(table: DataFrame, activities: DataFrame, details: DataFrame) -> DataFrame:
@@ -70,7 +76,7 @@ def late_groups(table: DataFrame, activities: DataFrame, details: DataFrame) ->
     return features(activities.join(news, [*days], "left_semi"), details)
 
 
-def refresh_late_details(target: str, activities: DataFrame, details: DataFrame, batch_id: int) -> int:
+def refresh_late_details(target: str, activities: DataFrame, details: DataFrame, batch_id: BatchId) -> int:
     """Maintenance job: bring details that came after their activity into the feature table.
 
     The affected athlete-days are recomputed from silver and replaced whole, so no row is
@@ -78,11 +84,8 @@ def refresh_late_details(target: str, activities: DataFrame, details: DataFrame,
     """
     spark = activities.sparkSession
     table = snapshot(spark, target, FEATURES)
-    rows = late_groups(table, activities, details).persist()
-    try:
+    with held(late_groups(table, activities, details), "late-details") as rows:
         if rows.isEmpty():
             return 0
         return merge_groups(rows, target, ("athlete_id", "start_date"), FEATURE_PARTITIONS, batch_id,
                             prune_by="start_date")
-    finally:
-        rows.unpersist()

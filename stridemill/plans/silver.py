@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import columns as C
 from ..functions import transforms as T
 from ..operators.dedupe import dedupe_microbatch, latest_ingested
-from ..operators.merge import merge_insert
+from ..operators.merge import merge_insert, merge_newest
 from ..operators.quality import ACTIVITY_RULES, DETAIL_RULES, assert_quality
+from ..operators.tables import BATCH_COLUMN, BatchId, read_batches
 from ..schemas import SILVER_COLUMNS
 from ..streaming.runs import RunLog, batch_stream, finish
 
@@ -94,9 +95,21 @@ def rebuild_details(bronze: DataFrame) -> DataFrame:
     return apply_detail_calcs(latest_ingested(with_owner(bronze)))
 
 
+MONTH = "start_month"
+
+
 @dataclass(frozen=True)
 class SilverLoad:
-    """What one entity's bronze-to-silver load needs to know."""
+    """What one entity's bronze-to-silver load needs to know.
+
+    ``keep="first"``: deliveries are deduplicated within their batch, then checked, and what
+    the table lacks is inserted; where a backlog is cut into batches decides which delivery of
+    a redelivered row stays.  ``keep="newest"``: every delivery is checked, and the newest
+    valid one of its business key stays; the result is the same however batches are cut.
+
+    The table is laid out by the month of the activity.  Inserting reads only the months of
+    the batch; for ``newest`` a row may move between months, so all are searched by key.
+    """
 
     target: str
     rejects: str
@@ -105,19 +118,33 @@ class SilverLoad:
     business_keys: Sequence[str] = ("athlete_id", "id")
     order_cols: Sequence[str] = ("ingestion_timestamp",)
     merge_keys: Sequence[str] = ("athlete_id", "id", "start_date")
-    counts: dict[int, int] = field(default_factory=dict)
+    keep: str = "first"
+    catalog_table: str | None = None
+    counts: dict[BatchId, int] = field(default_factory=dict)
 
-    def run_batch(self, batch: DataFrame, batch_id: int) -> None:
+    def run_batch(self, batch: DataFrame, batch_id: BatchId) -> None:
         """One micro-batch.  Every step can be repeated after a crash without a trace."""
-        latest = dedupe_microbatch(batch, self.business_keys, self.order_cols)
-        checked = assert_quality(self.derive(latest), self.rules, self.rejects, batch_id)
+        newest = self.keep == "newest"
+        rows = batch if newest else dedupe_microbatch(batch, self.business_keys, self.order_cols)
+        checked = assert_quality(self.derive(rows), self.rules, self.rejects, batch_id)
         try:
-            merge_insert(T.add_silver_ingestion_time(checked.valid), self.target, self.merge_keys, batch_id,
-                         prune_by="start_date")
-            self.counts[batch_id] = checked.total - checked.rejected
+            valid = T.add_silver_ingestion_time(checked.valid).withColumn(MONTH, F.date_format("start_date", "yyyy-MM"))
+            if newest:
+                merge_newest(valid, self.target, self.business_keys, [MONTH], batch_id, newest_by=self.order_cols[0],
+                             catalog_table=self.catalog_table)
+            else:
+                merge_insert(valid, self.target, self.merge_keys, batch_id, prune_by=MONTH, partitions=[MONTH],
+                             catalog_table=self.catalog_table)
+            self.counts[batch_id] = self.inserted(batch.sparkSession, batch_id, valid)
         finally:
             checked.release()
 
+    def inserted(self, spark: SparkSession, batch_id: BatchId, valid: DataFrame) -> int:
+        """Rows of the table that the batch brought."""
+        rows = (spark.read.table(self.catalog_table) if self.catalog_table
+                else read_batches(spark, self.target, valid.schema))
+        return rows.filter(F.col(BATCH_COLUMN) == str(batch_id)).count()
+
     def run_stream(self, bronze: DataFrame, checkpoint: str, name: str = "silver") -> RunLog:
         return finish(batch_stream(bronze, self.run_batch, checkpoint, name), self.counts)
 

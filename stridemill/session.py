@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -21,14 +22,31 @@ SEMANTICS = {
 _fallback_dirs: dict[str, str] = {}
 
 
-def build_session(app: str = "stridemill", master: str | None = None, **conf: str) -> SparkSession:
+def shuffle_settings(shuffle_bytes: float | None, partition_bytes: int = 256 * 1024 ** 2) -> dict[str, str]:
+    """Shuffle settings for a cluster job whose largest shuffle moves ``shuffle_bytes``.
+
+    Spark starts with that many partitions of ``partition_bytes`` and joins small neighbours
+    afterwards; it never splits an aggregate's partitions, so starting with too few is what
+    must not happen.  Without a size the default of two hundred stays.
+    """
+    if not shuffle_bytes:
+        return {}
+    parts = str(max(200, -(-int(shuffle_bytes) // partition_bytes)))
+    return {"spark.sql.shuffle.partitions": parts,
+            "spark.sql.adaptive.coalescePartitions.initialPartitionNum": parts,
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes)}
+
+
+def build_session(app: str = "stridemill", master: str | None = None, shuffle_bytes: float | None = None,
+                  **conf: str) -> SparkSession:
     """Session with the package defaults; ``conf`` entries win over them.
 
-    On a cluster leave ``master`` unset and let ``spark-submit`` size the executors.
+    On a cluster leave ``master`` unset, let ``spark-submit`` size the executors and give
+    ``shuffle_bytes``, what the job's largest shuffle moves (see :func:`shuffle_settings`).
     A local session gets one shuffle partition per core, because two hundred tiny
     ones only cost scheduling time there.
     """
-    settings = dict(SEMANTICS)
+    settings = dict(SEMANTICS) | ({} if master else shuffle_settings(shuffle_bytes))
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -61,7 +79,7 @@ def shared_dir(spark: SparkSession) -> str:
     if configured:
         return configured.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     app = context.applicationId
     if app not in _fallback_dirs:

@@ -5,51 +5,74 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from .. import fsio
 from ..functions.transforms import add_athlete_id, add_ingestion_time
-from ..operators.tables import MAX_BATCH_BYTES, append_batch
+from ..operators.tables import BatchId, append_batch, held
 from ..streaming.runs import RunLog, append_stream, batch_stream, finish
-from .evolution import SchemaStore, evolve, parse_lines
+from .evolution import SchemaStore, conform, evolve, observed_schema, parse_lines
 
 
 class BronzeLoader:
     """Reads each landed file once and appends it to a bronze table.
 
-    ``declared`` fixes the schema.  Without it the schema is inferred once, kept beside the
+    ``declared`` fixes the schema.  Without it the schema is inferred once, from the files a
+    ``sample`` path names or else from all that landed, kept in ``schema_path`` beside the
     checkpoint and reused by later runs; :meth:`load_evolving` lets it grow instead.
+
+    JSON documents lose nothing to either: fields the schema does not know, values that do not
+    fit and broken lines are kept as text in ``_rescued_data``.  With the option ``wholetext``
+    (or ``multiLine``) each file is one document, else each line.
     """
 
     def __init__(self, input_path: str, checkpoint_path: str, format_file: str, *,
                  declared: StructType | None = None, name_filter: str | None = None,
-                 max_bytes_per_trigger: int = MAX_BATCH_BYTES, archive_path: str | None = None,
-                 options: dict[str, str] | None = None, spark: SparkSession | None = None):
+                 max_bytes_per_trigger: int | None = None, archive_path: str | None = None,
+                 options: dict[str, str] | None = None, schema_path: str | None = None, sample: str | None = None,
+                 spark: SparkSession | None = None):
         self.spark = spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
         self.input_path, self.checkpoint_path, self.format_file = input_path, checkpoint_path, format_file
-        self.declared = declared
+        self.declared, self.sample = declared, sample or input_path
+        self.schema_path = schema_path or f"{checkpoint_path.rstrip('/')}-schemas"
         self.options = dict(options or {})
         if name_filter:
             self.options["pathGlobFilter"] = name_filter
-        self.stream_options = {"maxBytesPerTrigger": str(max_bytes_per_trigger)}
+        if format_file == "json" and "multiLine" in self.options:
+            self.options["wholetext"] = self.options.pop("multiLine")
+        self.stream_options = {}
+        if max_bytes_per_trigger:
+            self.stream_options["maxBytesPerTrigger"] = str(max_bytes_per_trigger)
         if archive_path:
             self.stream_options |= {"cleanSource": "archive", "sourceArchiveDir": archive_path}
 
     def _schema(self) -> StructType:
         if self.declared is not None:
             return self.declared
-        store = SchemaStore(self.spark, self.checkpoint_path)
+        store = SchemaStore(self.spark, self.schema_path)
         known = store.load()
         if not known.fields:
-            known = self.spark.read.format(self.format_file).options(**self.options).load(self.input_path).schema
+            if self.format_file == "json":
+                known = observed_schema(parse_lines(
+                    self.spark.read.format("text").options(**self.options).load(self.sample)))
+            else:
+                known = self.spark.read.format(self.format_file).options(**self.options).load(self.sample).schema
             store.save(known)
         return known
 
+    def _documents(self) -> DataFrame:
+        return parse_lines(self.spark.readStream.format("text").options(**self.options, **self.stream_options)
+                           .load(self.input_path))
+
     def read_autoloader(self, schema: Sequence[str] | None = None) -> DataFrame:
         """Stream of new files; ``schema`` is an optional list of select expressions."""
-        stream = (self.spark.readStream.format(self.format_file).schema(self._schema())
-                  .options(**self.options, **self.stream_options).load(self.input_path))
+        if self.format_file == "json":
+            stream = conform(self._documents(), self._schema())
+        else:
+            stream = (self.spark.readStream.format(self.format_file).schema(self._schema())
+                      .options(**self.options, **self.stream_options).load(self.input_path))
         return stream.selectExpr(*schema) if schema else stream
 
     def get_ingestion_time_column(self, df: DataFrame) -> DataFrame:
@@ -76,37 +99,50 @@ class BronzeLoader:
 
         Documents are one per line; the option ``wholetext`` takes each file as one document.
         """
-        store = SchemaStore(self.spark, self.checkpoint_path)
-        documents = parse_lines(self.spark.readStream.format("text")
-                                .options(**self.options, **self.stream_options).load(self.input_path))
-        written: dict[int, int] = {}
-
-        def intake(batch: DataFrame, batch_id: int) -> None:
-            batch.persist()
-            try:
-                shaped = evolve(batch, store)
+        store = SchemaStore(self.spark, self.schema_path)
+        written: dict[BatchId, int] = {}
+
+        def intake(batch: DataFrame, batch_id: BatchId) -> None:
+            with held(batch, "landed") as rows:
+                shaped = evolve(rows, store)
                 if not owner_documents and "athlete" in shaped.columns:
                     shaped = add_athlete_id(shaped)
                 append_batch(add_ingestion_time(shaped), output_path, batch_id)
-                written[batch_id] = batch.count()
-            finally:
-                batch.unpersist()
+                written[batch_id] = rows.count()
+
+        return finish(batch_stream(self._documents(), intake, self.checkpoint_path, name="bronze_evolving"), written)
 
-        return finish(batch_stream(documents, intake, self.checkpoint_path, name="bronze_evolving"), written)
+
+def load_bronze(input_path: str, output_path: str, format_file: str, checkpoint_path: str, *,
+                owner_folder: str = "/athlete/", **options) -> RunLog:
+    """One bronze job: everything new below ``input_path``, stamped, appended to ``output_path``.
+
+    Documents get the id of the athlete they belong to, unless they are the athletes
+    themselves, which land below ``owner_folder``.
+    """
+    loader = BronzeLoader(input_path, checkpoint_path, format_file, **options)
+    rows = loader.standardize(loader.read_autoloader(), owner_documents=owner_folder in f"{input_path}/")
+    return loader.write_to_bronze(rows, output_path)
 
 
-def archive_landing(spark: SparkSession, landing: str, archive: str) -> int:
-    """Move consumed landing files into a (dated) folder; returns how many entries moved.
+def archive_landing(spark: SparkSession, landing: str, archive: str, checkpoint: str) -> int:
+    """Move the landing files that a stream has read and committed into a (dated) folder.
 
-    Moving is a rename, so no content travels.  The usual case, an archive folder not there
-    yet, is a single rename of the whole landing folder.
+    Which ones those are is in the stream's own checkpoint; a file that landed since stays and
+    is read by the next run.  Moving is a rename, so no content travels; the names of the
+    files to move pass through the driver one after the other.  Returns how many moved.
     """
-    moving = fsio.children(spark, landing)
-    if not moving:
+    commits = [name for name in (p.rsplit("/", 1)[1] for p in fsio.children(spark, f"{checkpoint}/commits"))
+               if name.isdigit()]
+    if not commits:
         return 0
-    if not fsio.exists(spark, archive):
-        fsio.rename(spark, landing, archive)
-    else:
-        for path in moving:
-            fsio.rename(spark, path, f"{archive}/{path.rsplit('/', 1)[1]}")
-    return len(moving)
+    entries = spark.read.schema("path string, batchId long").json(f"{checkpoint}/sources/*/*")
+    read = (entries.filter(F.col("path").isNotNull() & (F.col("batchId") <= max(map(int, commits))))
+            .select("path").distinct())
+    root, moved = fsio.qualified(spark, landing), 0
+    for row in read.toLocalIterator():
+        path = fsio.decoded(spark, row["path"])
+        if path.startswith(f"{root}/") and fsio.exists(spark, path):
+            fsio.rename(spark, path, f"{archive}/{path[len(root) + 1:]}")
+            moved += 1
+    return moved

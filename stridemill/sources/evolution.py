@@ -13,7 +13,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, LongType, NullType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, LongType, NullType, StructField, StructType
 
 from .. import fsio
 
@@ -62,14 +62,24 @@ def observed_schema(documents: DataFrame) -> StructType:
     described = objects.agg(F.schema_of_variant_agg(DOCUMENT).alias("s")).first()["s"]
     if not described or not described.startswith("OBJECT<") or described == "OBJECT<>":
         return StructType()
-    # JSON knows no decimals: fractional numbers are doubles; mixed types stay text.
-    ddl = re.sub(r"DECIMAL\(\d+,\s*\d+\)", "DOUBLE", described)
-    ddl = ddl.replace("OBJECT<>", "STRING").replace("OBJECT<", "STRUCT<").replace("VARIANT", "STRING")
-    parsed = StructType.fromDDL(f"d {ddl}")["d"].dataType
+    parsed = StructType.fromDDL(f"d {_TYPES.sub(_as_ddl, described)}")["d"].dataType
     return StructType([StructField(f.name, _settled(f.dataType)) for f in parsed.fields
                        if not isinstance(f.dataType, NullType)])
 
 
+# A field's name with its colon, or a type that has no name in DDL.
+_TYPES = re.compile(r"((?:`(?:``|[^`])*`|[^\s<>:,`()]+)\s*:)|OBJECT<>|OBJECT(?=<)|VARIANT|DECIMAL\((\d+),\s*(\d+)\)")
+
+
+def _as_ddl(found: re.Match) -> str:
+    """JSON knows no decimals: fractions are doubles, integers beyond BIGINT text, like mixed types."""
+    if found[1]:
+        return found[1]
+    if found[0].startswith("DECIMAL"):
+        return "DOUBLE" if int(found[2]) - int(found[3]) <= 15 else "STRING"
+    return "STRUCT" if found[0] == "OBJECT" else "STRING"
+
+
 def _settled(kind: DataType) -> DataType:
     if isinstance(kind, NullType):
         return StructType.fromDDL("x STRING")["x"].dataType
@@ -108,20 +118,42 @@ def _extract(field: StructField) -> Column:
         # a fraction would be cut off silently: treat it as not fitting
         exact = F.try_variant_get(held, path, "double")
         value = F.when(exact.isNull() | (exact == value.cast("double")), value)
+    elif isinstance(field.dataType, DoubleType):
+        # digits a double cannot hold
+        long_whole = F.try_variant_get(held, path, "string").rlike(r"^-?\d{16,}$")
+        value = F.when(~F.coalesce(long_whole, F.lit(False)), value)
     return value
 
 
+def _holds_more(value: Column, kind: DataType) -> Column:
+    """Whether an object has a field, at any depth of nested objects, that its type does not name."""
+    if not isinstance(kind, StructType):
+        return F.lit(False)
+    entries = value.try_cast("map<string,variant>")
+    more = F.exists(F.map_keys(entries), lambda k: ~k.isin(kind.names))
+    for field in kind.fields:
+        if isinstance(field.dataType, StructType):
+            more = more | _holds_more(F.try_element_at(entries, F.lit(field.name)), field.dataType)
+    return F.coalesce(more, F.lit(False))
+
+
 def conform(documents: DataFrame, schema: StructType) -> DataFrame:
-    """Typed columns of a schema, plus ``_rescued_data`` for all that did not fit."""
-    document = F.col(DOCUMENT)
+    """Typed columns of a schema, plus ``_rescued_data`` for all that did not fit.
+
+    An object with a nested field that the schema lacks is rescued whole beside its typed form.
+    """
+    document, entries = F.col(DOCUMENT), _entries()
+    schema = StructType([f for f in schema.fields if f.name != RESCUED])
     typed = documents.select(document, UNPARSED, *[_extract(f).alias(f.name) for f in schema.fields])
     names = [f.name for f in schema.fields]
+    nested = [f for f in schema.fields if isinstance(f.dataType, StructType)]
     misfits = F.array_compact(F.array(F.lit(None).cast("string"), *[
-        F.when(F.col(f"`{n}`").isNull(), F.lit(n)) for n in names]))
-    left_over = F.map_filter(_entries(), lambda key, value: ~F.is_variant_null(value)
+        F.when(F.col(f"`{n}`").isNull(), F.lit(n)) for n in names], *[
+        F.when(_holds_more(F.try_element_at(entries, F.lit(f.name)), f.dataType), F.lit(f.name)) for f in nested]))
+    left_over = F.map_filter(entries, lambda key, value: ~F.is_variant_null(value)
                              & (~key.isin(names) | F.array_contains(misfits, key)))
     rescued = (F.when(document.isNull(), F.col(UNPARSED))
-               .when(_entries().isNull(), F.to_json(document))
+               .when(entries.isNull(), F.to_json(document))
                .when(F.size(left_over) > 0, F.to_json(left_over)))
     return typed.select(*[F.col(f"`{n}`") for n in names], rescued.alias(RESCUED))
 

@@ -154,9 +154,7 @@ def a3_key_uniqueness(spark, sf_dir):
 
 
 def a4_reject_report(spark, sf_dir):
-    report = A.reject_report(rejected_rows(checked(spark, sf_dir)))
-    # the day of the run is not part of the comparison
-    return report.groupBy("reject_reason").agg(F.sum("total").alias("total"))
+    return plain(A.reject_report(rejected_rows(checked(spark, sf_dir)), stamp="ingestion_timestamp"))
 
 
 def a5_total_count(spark, sf_dir):
@@ -320,9 +318,11 @@ def c2_split_by_mode(spark, sf_dir):
 
 def c3_incremental_after(spark, sf_dir):
     early = silver(spark, sf_dir, "sport_type", *OWNER_STAMPS).filter("start_date < DATE '2024-01-03' AND sport_type = 'Run'")
-    events = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("athlete_id"),
+    """Some records have no owner, and the modes leave out a fifth of the owners: both load in full."""
+    owner = F.when(F.col("event_type") != "error", F.col("user_id"))
+    events = table(spark, sf_dir, "events").select("event_id", owner.alias("athlete_id"),
                                                    F.col("ts").cast("timestamp").alias("start_ts"))
-    owners = events.select(F.col("athlete_id").alias("id")).distinct()
+    owners = events.filter("athlete_id % 5 <> 0").select(F.col("athlete_id").alias("id")).distinct()
     modes = J.load_mode(owners, K.control_table(early))
     return K.incremental_after(events, modes).select("event_id", "athlete_id")
 

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from ..operators.quality import ACTIVITY_RULES, DETAIL_RULES
 from ..schemas import FEATURES, SILVER_COLUMNS
 from .mapping import CHECK_ONLY, COLUMNS, HAS_DETAIL, REDELIVERED
 
 _MAPPED = ", ".join(f"{text} AS {name}" for name, text in [*COLUMNS, *CHECK_ONLY])
-_RULES, _DETAIL_RULES = list(ACTIVITY_RULES.items()), list(DETAIL_RULES.items())
+# Written out here, so that a wrong predicate in the library does not pass on both sides.
+_RULES = [
+    ("missing_id", "id is null"), ("missing_start_date", "start_date is null"),
+    ("sport_type_missing", "coalesce(sport_type, '') = ''"), ("neg_distance", "distance_km < 0"),
+    ("zero_distance_run", "sport_type = 'Run' and distance_km = 0"), ("speed_negative", "average_speed_kmh < 0"),
+    ("speed_implausible_run", "sport_type = 'Run' and average_speed_kmh > 30"),
+    ("pace_negative", "pace_min_km_new < 0"),
+    ("pace_null_when_should", "moving_time > 0 and distance_km > 0 and pace_min_km_new is null"),
+]
+_DETAIL_RULES = [("missing_id", "id is null"), ("missing_start_date", "athlete_id is null"), ("neg_calories", "calories < 0")]
 
 
 def rounded(text: str, digits: int) -> str:
@@ -175,33 +183,34 @@ def oracle_sql() -> dict[str, str]:
         "s2_schema_evolution":
             "select case when event_type = 'error' then null else event_id end as id, user_id as athlete_id, event_type"
             " as kind, case when event_type in ('view', 'click') then null else value end as value,"
+            " case when event_type = 'error' then event_id end as \"VARIANT\","
+            " case when event_type = 'error' then '99999999999999999999' end as big,"
             " case when event_type = 'error' then concat('{\"id\":\"E', cast(event_id as varchar), '\"}') end"
-            " as _rescued_data from events",
-        "s3_stream_from_table": "select event_id, user_id, value from events where event_type = 'purchase'",
-        "s4_table_scan": "select o_orderkey, o_totalprice from orders where o_orderstatus = 'F'",
+            " as _rescued_data from events union all select null, null, null, null, null, null,"
+            " concat('{broken ', cast(event_id as varchar)) from events where event_type = 'error'",
+        "s3_stream_from_table": "select event_id, user_id, event_type, value from events",
+        "s4_table_scan": "select o_orderkey, o_orderstatus, o_totalprice from orders",
         "s5_json_documents":
             "select c_custkey as id, c_name as username, c_mktsegment as bio, c_acctbal as weight,"
             " cast(null as varchar) as country from customer",
         "s6_csv_scan": f"{silver}, {CONTROL} select {CONTROL_COLUMNS} from control",
-        "s7_stream_view_sql": "select user_id as athlete_id, event_id as id from events where event_type = 'view'"
-                              " and value > 20",
+        "s7_stream_view_sql": "select user_id as athlete_id, event_id as id, upper(event_type) as kind from events",
         "s8_catalog_top_n": "select o_orderkey, o_custkey, o_totalprice from orders"
                             " order by o_totalprice desc, o_orderkey limit 10",
         # sinks
-        "k2_run_log": "select 'bronze_loader' as query, count(*) as input_rows from events",
+        "k2_run_log": "select 'bronze_loader' as query, count(*) as input_rows, count(*) as output_rows from events",
         "k4_append": f"{bronze} select id, sport_type, {moment('ingestion_timestamp')} as ingestion_timestamp"
                      " from bronze where athlete_id is null",
         "k5_overwrite_schema": f"{silver} select {silver_plain} from silver",
         "k6_overwrite_table": f"{silver}, {CONTROL} select {CONTROL_COLUMNS} from control",
         "k7_external_table": f"{bronze} select count(*) as total, count(id) as with_id from bronze",
-        "k8_partitioned_table": f"{both} select * from (select {FEATURE_LIST} from silver a {FEATURE_JOIN})"
-                                " where ano = 2024 and mes_ref = 'Jan/2024'",
+        "k8_partitioned_table": f"{both} select {FEATURE_LIST} from silver a {FEATURE_JOIN}",
         "k9_create_as_select": f"{both}, {BEST}, {FINAL} select sport_type, id, calories from chosen",
         "k10_csv_export": f"{silver}, {CONTROL} select {CONTROL_COLUMNS} from control",
         "k11_typed_insert": "select event_id as id, user_id as athlete_id, concat('map', cast(event_id as varchar))"
                             " as map_id, cast(2 as integer) as points, value as first_point from events",
-        "k12_maintenance": "select event_id as id, 'added' as note from events where event_type = 'click'",
-        "k13_archive": "select event_id as id, event_type from events",
+        "k12_maintenance": "select event_id as id, concat('kept ', event_type) as note from events",
+        "k13_archive": "select event_id as id, event_type, event_type <> 'error' as archived from events",
         # projections and filters
         "p1_nested_owner": f"{bronze} select id, athlete_id from bronze where redelivery = 0",
         "p2_stamps": f"{bronze} select id, true as stamped, true as same_stamp from bronze",
@@ -244,8 +253,8 @@ def oracle_sql() -> dict[str, str]:
         "a1_weekly_runs": f"{silver}, {WEEKLY} select * from weekly",
         "a2_type_counts": f"{silver} select type, count(*) as total from silver group by type",
         "a3_key_uniqueness": f"{silver} select count(id) as total, count(distinct id) as distinct_total from silver",
-        "a4_reject_report": f"{stream} select reject_reason, count(*) as total from checked"
-                            " where reject_reason is not null group by reject_reason",
+        "a4_reject_report": f"{stream} select reject_reason, cast(cast(ingestion_timestamp as date) as varchar) as dt, count(*) as total"
+                            " from checked where reject_reason is not null group by 1, 2",
         "a5_total_count": "select count(*) as total from lineitem",
         "a6_duplicate_keys": "select l_orderkey, l_linenumber, count(*) as total from lineitem"
                              " group by l_orderkey, l_linenumber having count(*) > 1",
@@ -340,7 +349,8 @@ def oracle_sql() -> dict[str, str]:
         "c3_incremental_after":
             f"{silver}, early as (select athlete_id, max(start_date) as mark from silver"
             " where start_date < date '2024-01-03' and sport_type = 'Run' group by athlete_id)"
-            " select event_id, user_id as athlete_id from events left join early on user_id = athlete_id"
+            " select event_id, owner as athlete_id from (select *, case when event_type <> 'error' then user_id end as owner"
+            " from events) left join early on owner = athlete_id and owner % 5 <> 0"
             " where mark is null or floor(epoch(ts)) > epoch(mark)",
         "c4_pending_ids": f"{both} select distinct id as id_activity from silver where id is not null"
                           " and id not in (select id from details where id is not null)",

@@ -17,7 +17,7 @@ from ..schemas import ATHLETE, CONTROL, FEATURE_PARTITIONS, FEATURES, struct
 from ..session import run_dir
 from ..sources import files
 from ..sources.bronze import BronzeLoader, archive_landing
-from ..streaming.runs import append_stream, finish
+from ..streaming.runs import append_stream, batch_stream, finish
 from .batch_queries import CHECKED_COLUMNS, OWNER_STAMPS, chosen, details, silver
 from .mapping import activity_documents, bronze_activities, bronze_details, plain, table
 
@@ -49,7 +49,8 @@ def s1_bronze_stream(spark, sf_dir):
 
 
 def s2_schema_evolution(spark, sf_dir):
-    """Two intakes: the second lands documents with a new field and ids of another type."""
+    """Two intakes: the second lands new fields (one named like a type, one with integers beyond
+    BIGINT), ids of another type and broken lines."""
     work = run_dir(spark, "s2")
     events = table(spark, sf_dir, "events")
     owner = F.struct(F.col("user_id").alias("id")).alias("athlete")
@@ -58,15 +59,20 @@ def s2_schema_evolution(spark, sf_dir):
     (events.filter(early).select(F.col("event_id").alias("id"), owner, F.col("event_type").alias("kind"))
      .write.json(f"{work}/landing/one"))
     loader.load_evolving(f"{work}/bronze")
-    late_id = F.when(F.col("event_type") == "error", F.concat(F.lit("E"), F.col("event_id")))
     later = events.filter(~early)
-    (later.filter("event_type = 'error'").select(late_id.alias("id"), owner, F.col("event_type").alias("kind"), "value")
-     .write.json(f"{work}/landing/two"))
+    errors = later.filter("event_type = 'error'")
+    line = F.to_json(F.struct(F.concat(F.lit("E"), F.col("event_id")).alias("id"), owner, F.col("event_type").alias("kind"),
+                              "value", F.col("event_id").alias("VARIANT")))
+    (errors.select(line.alias("line"))
+     .select(F.concat(F.expr("substring(line, 1, length(line) - 1)"), F.lit(',"big":99999999999999999999}')))
+     .write.text(f"{work}/landing/two"))
+    errors.select(F.concat(F.lit("{broken "), F.col("event_id"))).write.text(f"{work}/landing/broken")
     (later.filter("event_type <> 'error'").select(F.col("event_id").alias("id"), owner,
                                                   F.col("event_type").alias("kind"), "value")
      .write.json(f"{work}/landing/three"))
     loader.load_evolving(f"{work}/bronze")
-    shape = struct(id="long", athlete_id="long", kind="string", value="double", _rescued_data="string")
+    shape = struct(id="long", athlete_id="long", kind="string", value="double", VARIANT="long", big="string",
+                   _rescued_data="string")
     return B.snapshot(spark, f"{work}/bronze", shape)
 
 
@@ -74,16 +80,16 @@ def s3_stream_from_table(spark, sf_dir):
     work = run_dir(spark, "s3")
     B.append_batch(table(spark, sf_dir, "events"), f"{work}/bronze", 0)
     stream = B.stream_batches(spark, f"{work}/bronze", EVENTS)
-    finish(append_stream(stream.filter("event_type = 'purchase'").select("event_id", "user_id", "value"),
-                         f"{work}/out", f"{work}/checkpoint", "s3"))
+    finish(append_stream(stream.select("event_id", "user_id", "event_type", "value"), f"{work}/out",
+                         f"{work}/checkpoint", "s3"))
     return spark.read.parquet(f"{work}/out")
 
 
 def s4_table_scan(spark, sf_dir):
     database = scratch_database(spark, "s4")
     B.register_external(spark, f"{database}.orders", f"{sf_dir}/orders.parquet")
-    return files.read_table(spark, f"{database}.orders").filter("o_orderstatus = 'F'").select("o_orderkey",
-                                                                                              "o_totalprice")
+    return files.read_table(spark, f"{database}.orders").select("o_orderkey", "o_orderstatus",
+                                                                              "o_totalprice")
 
 
 def s5_json_documents(spark, sf_dir):
@@ -109,8 +115,7 @@ def s6_csv_scan(spark, sf_dir):
 def s7_stream_view_sql(spark, sf_dir):
     work = run_dir(spark, "s7")
     event_loader(spark, sf_dir, work).read_autoloader().createOrReplaceTempView("bronze_stream")
-    rows = spark.sql("SELECT user_id AS athlete_id, event_id AS id FROM bronze_stream"
-                     " WHERE event_type = 'view' AND value > 20")
+    rows = spark.sql("SELECT user_id AS athlete_id, event_id AS id, upper(event_type) AS kind FROM bronze_stream")
     finish(append_stream(rows, f"{work}/out", f"{work}/checkpoint", "s7"))
     return spark.read.parquet(f"{work}/out")
 
@@ -136,7 +141,7 @@ def k2_run_log(spark, sf_dir):
     log = loader.write_to_bronze(loader.read_autoloader(), f"{work}/bronze")
     log.append_to(spark, f"{database}.run_log")
     return (spark.read.table(f"{database}.run_log").groupBy("query")
-            .agg(F.sum("inputRows").alias("input_rows")))
+            .agg(F.sum("inputRows").alias("input_rows"), F.sum("outputRows").alias("output_rows")))
 
 
 def k4_append(spark, sf_dir):
@@ -178,8 +183,7 @@ def k8_partitioned_table(spark, sf_dir):
     B.write_partitioned(features(silver(spark, sf_dir), details(spark, sf_dir)), f"{work}/features",
                         FEATURE_PARTITIONS)
     B.recover_partitions(spark, f"{database}.features")
-    return plain(spark.read.table(f"{database}.features").filter("ano = 2024 AND mes_ref = 'Jan/2024'")
-                 .select(*FEATURES.names))
+    return plain(spark.read.table(f"{database}.features").select(*FEATURES.names))
 
 
 def k9_create_as_select(spark, sf_dir):
@@ -211,26 +215,46 @@ def k11_typed_insert(spark, sf_dir):
 
 
 def k12_maintenance(spark, sf_dir):
+    """Truncate, widen and drop; then a stream whose checkpoint is reset before more rows come."""
     database, work = scratch_database(spark, "k12"), run_dir(spark, "k12_data")
     name = f"{database}.silver"
     events = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "event_type")
     B.append_rows(events.select("id"), name)
     B.truncate(spark, name)
     B.add_columns(spark, name, note="STRING COMMENT 'added later'")
-    B.append_rows(events.filter("event_type = 'click'").select("id", F.lit("added").alias("note")), name)
     B.append_rows(events.select("id"), f"{database}.gone")
     B.drop(spark, f"{database}.gone")
-    B.reset_checkpoints(spark, f"{work}/checkpoint")
+    early = F.col("event_type").isin("view", "click")
+
+    def merge(batch: DataFrame, batch_id: B.BatchId) -> None:
+        merge_insert(batch, f"{work}/merged", ["id"], batch_id)
+
+    for batch, part in enumerate((early, ~early)):
+        B.append_batch(events.filter(part), f"{work}/bronze", batch)
+        stream = B.stream_batches(spark, f"{work}/bronze", events.schema)
+        finish(batch_stream(stream, merge, f"{work}/checkpoint", "k12"))
+        B.reset_checkpoints(spark, f"{work}/checkpoint")
+    merged = B.snapshot(spark, f"{work}/merged", events.schema)
+    B.append_rows(merged.select("id", F.concat(F.lit("kept "), "event_type").alias("note")), name)
     return spark.read.table(name)
 
 
 def k13_archive(spark, sf_dir):
+    """A stream reads the landing, a file comes late, what was read is archived, the late one is read next."""
     work = run_dir(spark, "k13")
     rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "event_type")
-    rows.write.json(f"{work}/landing/processing_data")
-    archive_landing(spark, f"{work}/landing/processing_data", f"{work}/landing/2024-01-31")
-    return files.read_documents(spark, f"{work}/landing/2024-01-31",
-                                struct(id="long", event_type="string"))
+    shape = struct(id="long", event_type="string")
+    landing, checkpoint = f"{work}/landing/processing_data", f"{work}/checkpoint"
+    loader = BronzeLoader(landing, checkpoint, "json", declared=shape, spark=spark)
+    late = F.col("event_type") == "error"
+    for part, day in ((~late, "2024-01-31"), (late, "2024-02-01")):
+        rows.filter(part).write.mode("append").json(landing)
+        if day == "2024-02-01":  # what is there now came after the run
+            archive_landing(spark, landing, f"{work}/landing/2024-01-31", checkpoint)
+        loader.write_to_bronze(loader.read_autoloader(), f"{work}/bronze")
+    archived = files.read_documents(spark, f"{work}/landing/2024-01-31", shape).select("id", F.lit(True).alias("archived"))
+    return (spark.read.parquet(f"{work}/bronze").join(archived, "id", "left")
+            .select("id", "event_type", F.coalesce("archived", F.lit(False)).alias("archived")))
 
 
 def p1_nested_owner(spark, sf_dir):
@@ -245,18 +269,20 @@ def p1_nested_owner(spark, sf_dir):
 # merges
 
 def j6_merge_insert(spark, sf_dir):
-    target = f"{run_dir(spark, 'j6')}/orders"
+    database, target = scratch_database(spark, "j6"), f"{run_dir(spark, 'j6_data')}/orders"
+    name = f"{database}.orders"
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
     keys = ["o_orderkey", "o_custkey"]
-    merge_insert(orders.filter("o_orderdate < TIMESTAMP_NTZ '1997-01-01 00:00:00'"), target, keys, 0)
+    merge_insert(orders.filter("o_orderdate < TIMESTAMP_NTZ '1997-01-01 00:00:00'"), target, keys, 0, catalog_table=name)
     changed = orders.withColumn("o_totalprice", F.col("o_totalprice") * 2)
     for _ in range(2):  # a replayed batch changes nothing
-        merge_insert(changed, target, keys, 1, prune_by="o_orderkey")
-    return plain(B.snapshot(spark, target, orders.schema))
+        merge_insert(changed, target, keys, 1, prune_by="o_orderkey", catalog_table=name)
+    return plain(spark.read.table(name).select(*orders.columns))
 
 
 def j7_merge_upsert(spark, sf_dir):
-    target = f"{run_dir(spark, 'j7')}/orders"
+    database, target = scratch_database(spark, "j7"), f"{run_dir(spark, 'j7_data')}/orders"
+    name = f"{database}.orders"
     key = F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderkey"))
     base = table(spark, sf_dir, "orders").select(
         key.alias("o_orderkey"), "o_custkey", "o_totalprice", "o_orderpriority",
@@ -266,10 +292,10 @@ def j7_merge_upsert(spark, sf_dir):
     fresh = base.filter("o_day >= DATE '1997-06-01'").withColumns({"o_totalprice": F.col("o_totalprice") * 2,
                                                                    "status": moved})
     keys, slots = ["o_orderkey"], ["year", "status"]
-    merge_upsert(base.filter("o_day < DATE '1998-01-01'"), target, keys, slots, 0)
+    merge_upsert(base.filter("o_day < DATE '1998-01-01'"), target, keys, slots, 0, catalog_table=name)
     for _ in range(2):
-        merge_upsert(fresh, target, keys, slots, 1, prune_by="o_orderkey")
-    return plain(B.snapshot(spark, target, base.schema))
+        merge_upsert(fresh, target, keys, slots, 1, prune_by="o_orderkey", catalog_table=name)
+    return plain(spark.read.table(name).select(*base.columns))
 
 
 # quality and streams
@@ -294,9 +320,9 @@ def t2_restarted_stream(spark, sf_dir):
     return spark.read.parquet(f"{work}/out")
 
 
-def _run_silver(spark: SparkSession, sf_dir: str, work: str) -> S.SilverLoad:
+def _run_silver(spark: SparkSession, sf_dir: str, work: str, catalog_table: str | None = None) -> S.SilverLoad:
     """First deliveries, then second ones, each as a run of the silver stream."""
-    load = S.activity_load(f"{work}/silver", f"{work}/rejects")
+    load = S.activity_load(f"{work}/silver", f"{work}/rejects", catalog_table=catalog_table)
     for batch in (0, 1):
         rows = bronze_activities(spark, sf_dir, redelivery=batch)
         B.append_batch(rows, f"{work}/bronze", batch)
@@ -309,9 +335,9 @@ def _silver_schema(spark: SparkSession, sf_dir: str) -> StructType:
 
 
 def t4_silver_stream(spark, sf_dir):
-    work = run_dir(spark, "t4")
-    _run_silver(spark, sf_dir, work)
-    return plain(B.read_batches(spark, f"{work}/silver", _silver_schema(spark, sf_dir)).select(*CHECKED_COLUMNS))
+    database, work = scratch_database(spark, "t4"), run_dir(spark, "t4_data")
+    _run_silver(spark, sf_dir, work, f"{database}.silver")
+    return plain(spark.read.table(f"{database}.silver").select(*CHECKED_COLUMNS))
 
 
 def t4_stream_rejects(spark, sf_dir):

@@ -54,9 +54,9 @@ def test_modes_and_incremental(spark):
     assert listed(incremental.select("athlete_id_json")) == [(1,), (3,)]
     landed = spark.createDataFrame([
         (10, 1, datetime(2025, 1, 9)), (11, 1, datetime(2025, 1, 9, 0, 0, 1)), (12, 4, datetime(2020, 1, 1)),
-        (13, 3, datetime(2020, 1, 1)), (14, 5, datetime(2025, 1, 1))], "id long, athlete_id long, start_ts timestamp")
+        (13, 3, datetime(2020, 1, 1)), (14, 5, datetime(2025, 1, 1)), (15, None, datetime(2025, 1, 1))], "id long, athlete_id long, start_ts timestamp")
     taken = K.incremental_after(landed, J.load_mode(athletes.union(athletes), control))
-    assert listed(taken.select("id")) == [(11,), (12,), (13,)]
+    assert listed(taken.select("id")) == [(11,), (12,), (13,), (14,), (15,)]
     assert taken.columns == ["athlete_id", "id", "start_ts"]
 
 

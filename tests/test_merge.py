@@ -157,3 +157,60 @@ def test_value_range(spark):
     assert listed(probe.filter(M.value_range(df, "x"))) == [(3,), (5,), (7,), (None,)]
     assert listed(probe.filter(M.value_range(df.filter("x is null"), "x"))) == [(None,)]
     assert probe.filter(M.value_range(df.filter("false"), "x")).isEmpty()
+
+
+def test_merged_tables_are_seen_through_the_catalog(spark):
+    folder = run_dir(spark, "merge_db")
+    spark.sql(f"CREATE DATABASE merge_db LOCATION '{folder}'")
+    for batch, rows in enumerate(([(1, 1, "x"), (2, 1, "x")], [(2, 1, "y"), (3, 1, "y")])):
+        insert(spark, f"{folder}/i", rows, batch, catalog_table="merge_db.inserted")
+    assert listed(spark.read.table("merge_db.inserted").select("a", "v")) == [(1, "x"), (2, "x"), (3, "y")]
+    table = []
+    for batch, rows in enumerate(([(1, "d", "a", "p/1"), (2, "d", "a", "it's"), (None, "d", "a", None)],
+                                  [(1, "d", "b", "it's"), (4, "d", "b", "p/1")], [(2, "d", "c", "it's")])):
+        for _ in range(2):
+            upsert(spark, f"{folder}/u", rows, batch, catalog_table="merge_db.upserted")
+        table = model(table, rows)
+        assert listed(spark.read.table("merge_db.upserted").select("k", "day", "v", "part")) == listed(
+            spark.createDataFrame(table, UPSERT))
+
+
+def test_readers_see_a_partition_before_or_after_an_interrupted_publish(spark, monkeypatch):
+    folder = run_dir(spark, "switch_db")
+    spark.sql(f"CREATE DATABASE switch_db LOCATION '{folder}'")
+    name, first = "switch_db.t", [(1, "d", "a", "p"), (2, "d", "a", "q")]
+    upsert(spark, f"{folder}/t", first, 0, catalog_table=name)
+    rows = [(1, "d", "b", "p"), (2, "d", "b", "q")]
+
+    def read():
+        return [r[0] for r in spark.read.table(name).orderBy("k").select("v").collect()]
+
+    real, seen = B.SparkSession.sql, []
+
+    def watched(session, text, *args, **kwargs):
+        out = real(session, text, *args, **kwargs)
+        if text.startswith("ALTER TABLE") and session is spark:
+            by_part = {}
+            for r in real(session, f"SELECT part, k, v FROM {name}").collect():
+                by_part.setdefault(r.part, []).append((r.k, r.v))
+            seen.append(by_part)
+        return out
+
+    with monkeypatch.context() as patch:
+        patch.setattr(type(spark), "sql", watched)
+        upsert(spark, f"{folder}/t", rows, 1, catalog_table=name)
+    assert read() == ["b", "b"] and seen
+    for part, key in (("p", 1), ("q", 2)):
+        for by_part in seen:  # old rows or new rows; while a batch's folder is added, never none
+            assert by_part[part] and set(by_part[part]) <= {(key, "a"), (key, "b")}
+
+
+def test_partitioned_insert_replays_and_prunes(spark):
+    target = run_dir(spark, "months")
+    rows = spark.createDataFrame([(1, 1, "x", "2024-01"), (2, 1, "x", "2024-02")], INSERT + ", m string")
+    more = spark.createDataFrame([(2, 1, "y", "2024-02"), (3, 1, "y", "2024-02")], INSERT + ", m string")
+    for batch, frame in ((0, rows), (1, more), (1, more)):
+        M.merge_insert(frame, target, ["a", "b"], batch, prune_by="m", partitions=["m"])
+    assert listed(B.snapshot(spark, target, rows.schema)) == [
+        (1, 1, "x", "2024-01"), (2, 1, "x", "2024-02"), (3, 1, "y", "2024-02")]
+    assert M.value_set(rows, "m") is not None
