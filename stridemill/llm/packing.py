@@ -13,12 +13,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-from .common import spread_rank
+from .common import spread_rank, text_batches
 
 CACHE_WORDS = 300_000    # encodings a worker remembers before it starts anew
-BATCH_ROWS = 256
+BATCH_ROWS = 1024
 END = 0                  # id that closes a document
 MARKS = r"([\x00-\x08\x0E-\x1F!-/:-@\[-`{-~\x7F]+)"    # ASCII but letters, digits and blanks
 
@@ -26,7 +26,7 @@ MARKS = r"([\x00-\x08\x0E-\x1F!-/:-@\[-`{-~\x7F]+)"    # ASCII but letters, digi
 class WordEncoder:
     """Ids of whole texts from the tokenizers library, each distinct word encoded once.
 
-    Holds for tokenizers that lower-case and whose pre-tokens span neither a blank nor, outside
+    Holds for byte-level tokenizers with word ends that lower-case and whose pre-tokens span neither a blank nor, outside
     of contractions and special tokens, an edge between ASCII marks and letters or digits.
     Texts with an apostrophe, a special token's opening, unnormalized letters or marks beyond
     ASCII are cut at blanks only.  Words met before come from ragged arrays; new ones go
@@ -36,6 +36,12 @@ class WordEncoder:
     def __init__(self, path: str, apart: str = "<|startoftext|>"):
         self.library = Tokenizer.from_file(path)
         self.apart, self.apart_id = apart, self.library.token_to_id(apart)
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        end = self.library.model.end_of_word_suffix
+        self.closes = np.array([self.library.id_to_token(i).endswith(end) for i in range(self.library.get_vocab_size())])
         self.reset()
 
     def reset(self) -> None:
@@ -48,22 +54,31 @@ class WordEncoder:
             text.isascii() or "".join(c for c in set(text) if c > "\x7f").isalnum())
 
     def learn(self, words: list[str]) -> None:
-        odd = [w for w in words if "<|" in w]
-        plain = [w for w in words if "<|" not in w]
-        rows = [self.apart.join([*plain[i:i + 200], ""]) for i in range(0, len(plain), 200)]
-        ids = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(rows, add_special_tokens=False)]
-        flat = np.concatenate([*ids, np.zeros(0, np.uint32)])
-        ends = np.flatnonzero(flat == self.apart_id)
-        sizes = [np.diff(np.append(-1, ends)) - 1]
+        # Lower-case letters alone are one pre-token, whose last symbol carries the word's end.
+        plain, mixed, odd = [], [], []
+        for word in words:
+            (plain if word.isalpha() and word == word.lower() else odd if "<|" in word else mixed).append(word)
+        flat = self._ids(self.letters, plain, " ")
+        ends = np.flatnonzero(self.closes[flat])
+        ids, at = [flat], [ends + 1]
+        flat = self._ids(self.library, mixed, self.apart)
+        keep = flat != self.apart_id
+        ids.append(flat[keep])
+        at.append(at[0][-1:].sum() + np.cumsum(keep)[~keep])
         for word in odd:
-            ids = np.array(self.library.encode(word, add_special_tokens=False).ids, np.uint32)
-            flat, ends = np.append(flat, ids), ends
-            sizes.append(np.array([len(ids)]))
-        keep = np.ones(len(flat), bool)
-        keep[ends] = False
-        self.code.update(zip([*plain, *odd], range(len(self.code), len(self.code) + len(words))))
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate(sizes))])
-        self.ids = np.concatenate([self.ids, flat[keep]])
+            ids.append(np.array(self.library.encode(word, add_special_tokens=False).ids, np.uint32))
+            at.append(np.array([sum(map(len, ids))]))
+        first = len(self.code)
+        self.code.update(zip([*plain, *mixed, *odd], range(first, first + len(words))))
+        self.at = np.concatenate([self.at, self.at[-1] + np.concatenate(at)])
+        self.ids = np.concatenate([self.ids, *ids])
+
+    @staticmethod
+    def _ids(tool: Tokenizer, words: list[str], apart: str) -> np.ndarray:
+        """Ids of words, each followed by ``apart``, some hundred in a row."""
+        rows = [apart.join([*words[i:i + 200], ""]) for i in range(0, len(words), 200)]
+        found = [np.array(e.ids, np.uint32) for e in tool.encode_batch_fast(rows, add_special_tokens=False)]
+        return np.concatenate([*found, np.zeros(0, np.uint32)])
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         texts = texts.cast(pa.string())
@@ -74,9 +89,12 @@ class WordEncoder:
         distinct = found.dictionary.to_pylist()
         if len(self.code) > CACHE_WORDS:
             self.reset()
-        self.learn([w for w in distinct if w not in self.code])
-        codes = np.fromiter(map(self.code.__getitem__, distinct), np.int64, len(distinct))
-        codes = codes[found.indices.to_numpy()]
+        codes = list(map(self.code.get, distinct))
+        new = [i for i, code in enumerate(codes) if code is None]
+        self.learn([distinct[i] for i in new])
+        for i in new:
+            codes[i] = self.code[distinct[i]]
+        codes = np.array(codes, np.int64)[found.indices.to_numpy()]
         starts = self.at[codes]
         sizes = self.at[codes + 1] - starts
         ends = np.cumsum(sizes)
@@ -100,6 +118,7 @@ def pieces(frame: DataFrame, text: str, tokenizer: str, capacity: int = 2048,
     of one id.  Only documents above ``capacity`` are cut.  ``tokenizer`` is a path that
     executors can open.
     """
+    text_batches(frame.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(tokenizer)
         for batch in batches:
