@@ -10,10 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small, stage
+from .common import join_small, stage, text_batches
 
 BINS = 1 << 14          # hashed byte trigrams
-TRAIN_ROWS = 20_000     # labelled rows that fit the text model, first in hash order
+TRAIN_ROWS = 20_000     # labelled texts that fit the text model, first in hash order
+LEAST_SHARE = 0.001     # of those texts, for a label to count as a language: a thousand at most
 REACH, TRUST = 400, 0.5  # trigrams follow each other: so many count at most, each that much
 STRANGE = 0.01          # prior of a text in no known language
 KAPPA = 10.0            # rows that the level above counts for in a smoothed prior
@@ -52,12 +53,20 @@ class TextModel:
 def fit(labelled: DataFrame, text: str, label: str, seed: int = 3) -> TextModel:
     """Trigram model of every language among the labelled rows.
 
-    Fitted on ``TRAIN_ROWS`` rows, first in the order of a seeded hash; what comes to the
-    driver is one count for each language and bin.  Without labelled rows it knows no language.
+    Fitted on ``TRAIN_ROWS`` distinct texts, first in the order of a seeded hash; what comes to
+    the driver is one count for each language and bin.  Without labelled rows it knows no
+    language.
     """
-    some = (labelled.select(labelled[f"`{text}`"].alias("_text"), labelled[f"`{label}`"].cast("string").alias("_label"))
-            .filter("_text is not null and _label is not null")
-            .orderBy(F.xxhash64(F.lit(seed), "_text"), "_label").limit(TRAIN_ROWS))
+    text_batches(labelled.sparkSession)
+    rows = (labelled.select(labelled[f"`{text}`"].alias("_text"), labelled[f"`{label}`"].cast("string").alias("_label"))
+            .filter("_text is not null and _label is not null").withColumn("_hash", F.xxhash64(F.lit(seed), "_text")))
+    # Only hashes are sorted; the texts below the last one are read where they lie.
+    last = rows.select("_hash").distinct().orderBy("_hash").limit(TRAIN_ROWS).agg(F.max("_hash")).first()[0]
+    some = (rows.filter(F.col("_hash") <= F.lit(last)).groupBy("_hash")
+            .agg(F.min(F.struct("_label", "_text")).alias("_one")).select("_one.*"))
+    shares = some.groupBy("_label").count().collect()    # a row per label among those texts
+    least = LEAST_SHARE * sum(r["count"] for r in shares)
+    some = some.filter(F.col("_label").isin([r["_label"] for r in shares if r["count"] >= least]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -96,6 +105,7 @@ def declared_language(html: Column) -> Column:
 
 def scored(frame: DataFrame, text: str, keep: Sequence[str], model: TextModel) -> DataFrame:
     """``keep`` and the text's log likelihoods ``ll`` and trigrams ``grams``."""
+    text_batches(frame.sparkSession)
     shared = frame.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
