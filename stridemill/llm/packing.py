@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import unicodedata
 import zlib
 from collections.abc import Iterator, Sequence
@@ -17,7 +18,7 @@ from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from .common import spread_rank, text_batches
 
-CACHE_WORDS = 300_000    # encodings a worker remembers before it starts anew
+CACHE_WORDS = 150_000    # encodings a worker remembers before it starts anew
 BATCH_ROWS = 1024
 END = 0                  # id that closes a document
 MARKS = r"([\x00-\x08\x0E-\x1F!-/:-@\[-`{-~\x7F]+)"    # ASCII but letters, digits and blanks
@@ -106,6 +107,8 @@ class WordEncoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
+    # Spark runs one task per core; threads of the library would only add memory.
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return WordEncoder(path)
 
 
