@@ -17,6 +17,11 @@ def exact_sum(column: str, decimals: int = 2) -> Column:
     return F.sum(F.round(F.col(column) * scale).cast("long")) / F.lit(float(scale))
 
 
+def decimal_sum(column: str) -> Column:
+    """Sum of doubles in six decimals, which no order of tasks changes."""
+    return F.sum(F.col(column).try_cast("decimal(28,6)")).cast("double")
+
+
 def exact_avg(column: str, decimals: int = 2) -> Column:
     return F.try_divide(exact_sum(column, decimals), F.count(column))
 
@@ -33,7 +38,7 @@ def weekly_summary(activities: DataFrame, sport: str = "Run", iso_year: bool = F
             .groupBy(year.cast("int").alias("year"), F.weekofyear(day).alias("week"))
             .agg(F.count(F.lit(1)).alias("total_activities"),
                  F.round(exact_sum("distance_km"), 2).alias("total_distance_km"),
-                 F.round(F.sum("total_elevation_gain"), 2).alias("total_elevation_gain"),
+                 F.round(decimal_sum("total_elevation_gain"), 2).alias("total_elevation_gain"),
                  F.round(exact_avg("pace_min_km"), 2).alias("avg_pace_min_km"),
                  F.round(exact_avg("average_speed_kmh"), 2).alias("avg_speed_kmh")))
 
@@ -41,7 +46,7 @@ def weekly_summary(activities: DataFrame, sport: str = "Run", iso_year: bool = F
 def monthly_distribution(activities: DataFrame) -> DataFrame:
     """Activities, distance and climb per month and sport, with metres climbed per kilometre."""
     month = F.trunc("start_date", "MM")
-    km, climb = exact_sum("distance_km"), F.sum("total_elevation_gain")
+    km, climb = exact_sum("distance_km"), decimal_sum("total_elevation_gain")
     return (activities.groupBy(month.alias("month"), "sport_type")
             .agg(F.count(F.lit(1)).alias("total_activities"),
                  F.round(km, 2).alias("total_distance_km"),
@@ -59,7 +64,8 @@ def period_over_period(periods: DataFrame, order: Sequence[str], measures: Seque
                        by: Sequence[str] = ()) -> DataFrame:
     """Each period beside the one before it.
 
-    Runs on an already aggregated frame, one row per period (and ``by`` group).
+    Runs on an already aggregated frame, one row per period (and ``by`` group).  Without ``by``
+    all periods meet in one task, whose size the calendar bounds.
     """
     earlier = Window.partitionBy(*by).orderBy(*order)
     added = {}

@@ -104,7 +104,7 @@ def merge_insert(source: DataFrame, target: str, keys: Sequence[str], batch_id:
     done = append_batch(fresh, target, batch_id)
     if catalog_table:
         ensure_table(spark, catalog_table, source.schema, (), target)
-        add_partitions(spark, catalog_table, [BATCH_COLUMN], [f"{BATCH_COLUMN}={batch_id}"])
+        add_partitions(spark, catalog_table, [f"{BATCH_COLUMN}={batch_id}"])
     return done
 
 
@@ -222,8 +222,8 @@ def _rewrite(source: DataFrame, matching: DataFrame | None, new_rows: Callable[[
     plan = json.loads(fsio.read_text(spark, f"{stage}/plan.json"))
     emptied = sorted(set(plan["rewritten"]) - set(plan["written"]))
     if catalog_table:
-        add_partitions(spark, catalog_table, slots, plan["written"], f"{stage}/rows")
-        drop_partitions(spark, catalog_table, slots, emptied)  # all their rows were replaced
+        add_partitions(spark, catalog_table, plan["written"], f"{stage}/rows")
+        drop_partitions(spark, catalog_table, emptied)  # all their rows were replaced
         spark.catalog.refreshTable(catalog_table)
         return len(plan["rewritten"])
     movable = fsio.same_file_system(spark, stage, target)

@@ -216,27 +216,32 @@ def add_columns(spark: SparkSession, table: str, **columns: str) -> None:
     spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({listed})")
 
 
-def add_partitions(spark: SparkSession, table: str, partitions: Sequence[str], folders: Sequence[str],
-                   root: str | None = None) -> None:
+def add_partitions(spark: SparkSession, table: str, folders: Sequence[str], root: str | None = None) -> None:
     """Let the catalog point the named partitions at their folders below ``root`` (by default
-    the table's own), whether it knows them already or not; each one switches at once."""
+    the table's own).  New ones are added together; each one that is known switches at once."""
+    known = {r[0] for r in spark.sql(f"SHOW PARTITIONS {table}").collect()} if root else set()
+
+    def where(folder: str) -> str:
+        return f" LOCATION '{root}/{folder}'" if root else ""
+    new = [f"PARTITION {_spec(spark, f)}{where(f)}" for f in folders if f not in known]
+    for at in range(0, len(new), 200):
+        spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {' '.join(new[at:at + 200])}")
     for folder in folders:
-        values = dict(part.split("=", 1) for part in folder.split("/"))
-        naming = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
-        spec = ", ".join(f"`{c}` = {_literal(naming.unescapePathName(values[c]))}" for c in partitions)
-        where = f" LOCATION '{root}/{folder}'" if root else ""
-        spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS PARTITION ({spec}){where}")
-        if root:
-            spark.sql(f"ALTER TABLE {table} PARTITION ({spec}) SET{where}")
+        if folder in known:
+            spark.sql(f"ALTER TABLE {table} PARTITION {_spec(spark, folder)} SET{where(folder)}")
 
 
-def drop_partitions(spark: SparkSession, table: str, partitions: Sequence[str], folders: Sequence[str]) -> None:
+def drop_partitions(spark: SparkSession, table: str, folders: Sequence[str]) -> None:
     """Take partitions out of the catalog; files of an external table stay."""
+    specs = [f"PARTITION {_spec(spark, f)}" for f in folders]
+    for at in range(0, len(specs), 200):
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {', '.join(specs[at:at + 200])}")
+
+
+def _spec(spark: SparkSession, folder: str) -> str:
     naming = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
-    for folder in folders:
-        values = dict(part.split("=", 1) for part in folder.split("/"))
-        spec = ", ".join(f"`{c}` = {_literal(naming.unescapePathName(values[c]))}" for c in partitions)
-        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({spec})")
+    pairs = [part.split("=", 1) for part in folder.split("/")]
+    return "(" + ", ".join(f"`{c}` = {_literal(naming.unescapePathName(v))}" for c, v in pairs) + ")"
 
 
 def _literal(value: str) -> str:

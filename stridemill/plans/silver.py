@@ -14,41 +14,60 @@ from ..functions import transforms as T
 from ..operators.dedupe import dedupe_microbatch, latest_ingested
 from ..operators.merge import merge_insert, merge_newest
 from ..operators.quality import ACTIVITY_RULES, DETAIL_RULES, assert_quality
-from ..operators.tables import BATCH_COLUMN, BatchId, read_batches
+from ..operators.tables import BATCH_COLUMN, BatchId, append_rows, read_batches, replace_snapshot
 from ..schemas import SILVER_COLUMNS
 from ..streaming.runs import RunLog, batch_stream, finish
 
 PACE_CLOCK = "pace_clock"
 
 
+@dataclass(frozen=True)
+class Edges:
+    """What the measures give where their inputs have no plain answer."""
+
+    non_run_pace: float | None = 0.0
+    without_distance: float | None = 0.0
+    carry_seconds: bool = True
+
+
+@dataclass(frozen=True)
+class Measure:
+    """The bronze columns a derived column is made of, and how."""
+
+    inputs: Sequence[str]
+    build: Callable[[Mapping[str, str], Edges], Column]
+
+
+def _new_pace(c: Mapping[str, str], e: Edges) -> Column:
+    return C.moving_pace(c["moving_time"], c["distance"], without_distance=e.without_distance)
+
+
+# Both loads make their derived columns from this one table.
+MEASURES = {
+    "start_date": Measure(["start_date"], lambda c, e: C.iso_date(c["start_date"])),
+    "distance_km": Measure(["distance"], lambda c, e: C.kilometres(c["distance"])),
+    "average_speed_kmh": Measure(["average_speed"], lambda c, e: C.km_per_hour(c["average_speed"])),
+    "pace_min_km": Measure(["elapsed_time", "distance", "type"], lambda c, e: C.run_pace(
+        c["elapsed_time"], c["distance"], c["type"], non_run_value=e.non_run_pace)),
+    "pace_min_km_moving_time": Measure(["moving_time", "distance", "type"], lambda c, e: C.run_pace(
+        c["moving_time"], c["distance"], c["type"], non_run_value=e.non_run_pace)),
+    "tempo_real": Measure(["moving_time"], lambda c, e: C.hours_minutes_seconds(c["moving_time"])),
+    "pace_min_km_new": Measure(["moving_time", "distance"], _new_pace),
+    PACE_CLOCK: Measure(["moving_time", "distance"], lambda c, e: C.pace_clock(_new_pace(c, e), e.carry_seconds)),
+    "dia_semana": Measure(["start_date"], lambda c, e: C.weekday(C.iso_date(c["start_date"]))),
+}
+
+
 def apply_all_silver_calcs(df: DataFrame, *, type_col: str = "type", distance_col: str = "distance",
                            average_speed_col: str = "average_speed", moving_time_col: str = "moving_time",
                            elapsed_time_col: str = "elapsed_time", start_date_col: str = "start_date",
                            non_run_value_for_pace: float | None = 0.0, pace_clock_col: str = PACE_CLOCK) -> DataFrame:
-    """All derived activity measures, as a chain of steps that Catalyst makes one projection."""
-    return (df
-            .transform(T.add_start_date, start_date_col)
-            .transform(T.add_distance_km, distance_col)
-            .transform(T.add_average_speed_kmh, average_speed_col)
-            .transform(T.add_pace_min_km, elapsed_time_col, distance_col, type_col,
-                       non_run_value=non_run_value_for_pace)
-            .transform(T.add_pace_min_km_moving_time, moving_time_col, distance_col, type_col,
-                       non_run_value=non_run_value_for_pace)
-            .transform(T.add_tempo_real, moving_time_col)
-            .transform(T.add_pace_min_km_new, moving_time_col, distance_col)
-            .transform(T.add_pace_clock, out_col=pace_clock_col)
-            .transform(T.add_dia_semana))
-
-
-def derived_columns(without_distance: float | None, carry: bool) -> dict[str, Column]:
-    """The same measures one by one, over bronze columns."""
-    pace = C.moving_pace("moving_time", "distance", without_distance=without_distance)
-    day = C.iso_date("start_date")
-    return {"start_date": day, "distance_km": C.kilometres("distance"),
-            "average_speed_kmh": C.km_per_hour("average_speed"), "tempo_real": C.hours_minutes_seconds("moving_time"),
-            "pace_min_km": C.run_pace("elapsed_time", "distance", non_run_value=0.0),
-            "pace_min_km_moving_time": C.run_pace("moving_time", "distance", non_run_value=0.0),
-            "pace_min_km_new": pace, PACE_CLOCK: C.pace_clock(pace, carry), "dia_semana": C.weekday(day)}
+    """All derived activity measures in one projection."""
+    names = {"type": type_col, "distance": distance_col, "average_speed": average_speed_col,
+             "moving_time": moving_time_col, "elapsed_time": elapsed_time_col, "start_date": start_date_col}
+    edges = Edges(non_run_pace=non_run_value_for_pace)
+    return df.withColumns({pace_clock_col if name == PACE_CLOCK else name: measure.build(names, edges)
+                           for name, measure in MEASURES.items()})
 
 
 def apply_detail_calcs(df: DataFrame, *, start_date_col: str = "start_date") -> DataFrame:
@@ -64,16 +83,6 @@ def without_owner(bronze: DataFrame) -> DataFrame:
     return bronze.filter(F.col("athlete_id").isNull())
 
 
-# what each derived column is made of
-INPUTS = {
-    "distance_km": ("distance",), "average_speed_kmh": ("average_speed",), "tempo_real": ("moving_time",),
-    "pace_min_km": ("elapsed_time", "distance", "type"),
-    "pace_min_km_moving_time": ("moving_time", "distance", "type"),
-    "pace_min_km_new": ("moving_time", "distance"), PACE_CLOCK: ("moving_time", "distance"),
-    "dia_semana": ("start_date",),
-}
-
-
 def rebuild_activities(bronze: DataFrame, columns: Sequence[str] = SILVER_COLUMNS, pace_clock_col: str = PACE_CLOCK,
                        stream_edges: bool = True) -> DataFrame:
     """Silver snapshot from bronze, whole or only the named columns.
@@ -83,12 +92,24 @@ def rebuild_activities(bronze: DataFrame, columns: Sequence[str] = SILVER_COLUMN
     cases, so both loads agree.  Without it a missing distance gives a NULL pace and 60
     rounded seconds do not carry.
     """
-    raw = [name for column in columns for name in INPUTS.get(column, (column,))]
+    raw = [name for column in columns for name in (MEASURES[column].inputs if column in MEASURES else [column])]
     needed = dict.fromkeys(["athlete_id", "id", "start_date", "ingestion_timestamp", *raw])
     latest = latest_ingested(with_owner(bronze.select(*needed)))
-    measures = derived_columns(without_distance=0.0 if stream_edges else None, carry=stream_edges)
+    edges = Edges() if stream_edges else Edges(without_distance=None, carry_seconds=False)
+    names = {name: name for measure in MEASURES.values() for name in measure.inputs}
     return latest.select(*[
-        measures[c].alias(pace_clock_col if c == PACE_CLOCK else c) if c in measures else F.col(c) for c in columns])
+        MEASURES[c].build(names, edges).alias(pace_clock_col if c == PACE_CLOCK else c) if c in MEASURES else F.col(c)
+        for c in columns])
+
+
+def rebuild_silver(spark: SparkSession, bronze: DataFrame, root: str, version: str, table: str | None = None,
+                   errors_table: str | None = None, rebuild: Callable[[DataFrame], DataFrame] = rebuild_activities,
+                   **options) -> str:
+    """The batch silver job: rows without an owner are appended to the errors table, the rest is
+    rebuilt whole, written as a new version under ``root`` and published as ``table``."""
+    if errors_table:
+        append_rows(without_owner(bronze), errors_table)
+    return replace_snapshot(rebuild(bronze, **options), root, version, table)
 
 
 def rebuild_details(bronze: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+from . import fsio
+
 # Settings every result of this package relies on.  They are all runtime SQL
 # settings, so they can also be applied to a session somebody else built.
 SEMANTICS = {
@@ -88,5 +90,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def run_dir(spark: SparkSession, label: str) -> str:
-    """A fresh, uniquely named folder below :func:`shared_dir`."""
-    return f"{shared_dir(spark)}/stridemill/{label}-{uuid.uuid4().hex[:12]}"
+    """A fresh, uniquely named folder of this application below :func:`shared_dir`."""
+    return f"{_application_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def _application_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/stridemill/{spark.sparkContext.applicationId}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete the run folders of this application, with the databases that lie in them.
+
+    Results that are read from there lazily end with it: call it when none is in use.
+    """
+    folder = _application_dir(spark)
+    inside = fsio.qualified(spark, folder)
+    for database in spark.catalog.listDatabases():
+        if fsio.qualified(spark, database.locationUri).startswith(f"{inside}/"):
+            spark.sql(f"DROP DATABASE `{database.name}` CASCADE")
+    fsio.delete(spark, folder)

@@ -180,6 +180,12 @@ def oracle_sql() -> dict[str, str]:
     return {
         # sources
         "s1_bronze_stream": "select event_id as id, user_id as athlete_id, event_type, value from events",
+        "s1_bronze_rescue":
+            "select case when event_type <> 'error' then event_id end as id, user_id as athlete_id, event_type, value,"
+            " concat('{\"VARIANT\":', cast(event_id as varchar), case when event_type = 'error' then"
+            " ',\"id\":99999999999999999999' else '' end, '}') as _rescued_data from events union all"
+            " select null, null, null, null, concat('{broken ', cast(event_id as varchar)) from events"
+            " where event_type = 'error'",
         "s2_schema_evolution":
             "select case when event_type = 'error' then null else event_id end as id, user_id as athlete_id, event_type"
             " as kind, case when event_type in ('view', 'click') then null else value end as value,"
@@ -350,7 +356,8 @@ def oracle_sql() -> dict[str, str]:
             f"{silver}, early as (select athlete_id, max(start_date) as mark from silver"
             " where start_date < date '2024-01-03' and sport_type = 'Run' group by athlete_id)"
             " select event_id, owner as athlete_id from (select *, case when event_type <> 'error' then user_id end as owner"
-            " from events) left join early on owner = athlete_id and owner % 5 <> 0"
+            " from events) left join early on owner = athlete_id and owner in (select c_custkey from customer"
+            " where c_mktsegment <> 'BUILDING')"
             " where mark is null or floor(epoch(ts)) > epoch(mark)",
         "c4_pending_ids": f"{both} select distinct id as id_activity from silver where id is not null"
                           " and id not in (select id from details where id is not null)",

@@ -16,7 +16,7 @@ from ..plans.features import FeatureLoad, features
 from ..schemas import ATHLETE, CONTROL, FEATURE_PARTITIONS, FEATURES, struct
 from ..session import run_dir
 from ..sources import files
-from ..sources.bronze import BronzeLoader, archive_landing
+from ..sources.bronze import BronzeLoader, archive_landing, load_bronze
 from ..streaming.runs import append_stream, batch_stream, finish
 from .batch_queries import CHECKED_COLUMNS, OWNER_STAMPS, chosen, details, silver
 from .mapping import activity_documents, bronze_activities, bronze_details, plain, table
@@ -48,6 +48,22 @@ def s1_bronze_stream(spark, sf_dir):
     return spark.read.parquet(f"{work}/bronze").drop("ingestion_timestamp")
 
 
+def s1_bronze_rescue(spark, sf_dir):
+    """The bronze job over documents with an undeclared field, oversized ids and broken lines."""
+    work = run_dir(spark, "s1_rescue")
+    events = table(spark, sf_dir, "events")
+    owner, error = F.struct(F.col("user_id").alias("id")).alias("athlete"), F.col("event_type") == "error"
+    fields = [owner, F.col("event_type"), F.col("value"), F.col("event_id").alias("VARIANT")]
+    (events.filter(~error).select(F.col("event_id").alias("id"), *fields).write.json(f"{work}/landing/events"))
+    (events.filter(error).select(F.to_json(F.struct(*fields)).alias("line"))
+     .select(F.concat(F.lit('{"id":99999999999999999999,'), F.expr("substring(line, 2)")))
+     .write.text(f"{work}/landing/large"))
+    events.filter(error).select(F.concat(F.lit("{broken "), "event_id")).write.text(f"{work}/landing/broken")
+    load_bronze(f"{work}/landing/*", f"{work}/bronze", "json", f"{work}/checkpoint", spark=spark,
+                declared=struct(id="long", athlete=struct(id="long"), event_type="string", value="double"))
+    return spark.read.parquet(f"{work}/bronze").drop("ingestion_timestamp", "athlete")
+
+
 def s2_schema_evolution(spark, sf_dir):
     """Two intakes: the second lands new fields (one named like a type, one with integers beyond
     BIGINT), ids of another type and broken lines."""
@@ -146,17 +162,18 @@ def k2_run_log(spark, sf_dir):
 
 def k4_append(spark, sf_dir):
     database = scratch_database(spark, "k4")
-    errors = S.without_owner(bronze_activities(spark, sf_dir)).select("id", "sport_type", "ingestion_timestamp")
-    B.append_rows(errors.filter("sport_type = 'Run'"), f"{database}.errors")
-    B.append_rows(errors.filter("sport_type <> 'Run'"), f"{database}.errors")
-    return plain(spark.read.table(f"{database}.errors"))
+    bronze, runs = bronze_activities(spark, sf_dir), F.col("sport_type") == "Run"
+    for version, part in (("v1", runs), ("v2", ~runs)):  # two batch jobs, each with its errors
+        S.rebuild_silver(spark, bronze.filter(part), run_dir(spark, "k4_data"), version, None, f"{database}.errors",
+                         columns=("id",))
+    return plain(spark.read.table(f"{database}.errors").select("id", "sport_type", "ingestion_timestamp"))
 
 
 def k5_overwrite_schema(spark, sf_dir):
     database, work = scratch_database(spark, "k5"), run_dir(spark, "k5_data")
-    full = silver(spark, sf_dir)
-    B.replace_snapshot(full.select("id", "start_date"), work, "v1", f"{database}.silver")
-    B.replace_snapshot(full, work, "v2", f"{database}.silver")
+    bronze = bronze_activities(spark, sf_dir)
+    S.rebuild_silver(spark, bronze, work, "v1", f"{database}.silver", columns=("id", "start_date"))
+    S.rebuild_silver(spark, bronze, work, "v2", f"{database}.silver")
     return plain(spark.read.table(f"{database}.silver"))
 
 
@@ -367,7 +384,7 @@ def t3_feature_stream(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    s1_bronze_stream, s2_schema_evolution, s3_stream_from_table, s4_table_scan, s5_json_documents, s6_csv_scan,
+    s1_bronze_stream, s1_bronze_rescue, s2_schema_evolution, s3_stream_from_table, s4_table_scan, s5_json_documents, s6_csv_scan,
     s7_stream_view_sql, s8_catalog_top_n, k2_run_log, k4_append, k5_overwrite_schema, k6_overwrite_table,
     k7_external_table, k8_partitioned_table, k9_create_as_select, k10_csv_export, k11_typed_insert, k12_maintenance,
     k13_archive, p1_nested_owner, j6_merge_insert, j7_merge_upsert, q4_stored_rejects, t2_restarted_stream,

@@ -200,3 +200,14 @@ def test_snapshot_with_new_columns_is_never_absent(spark, database, monkeypatch)
     assert seen and all(seen) and spark.read.table(name).filter("extra = 'x'").count() == 5
     B.replace_snapshot(spark.range(2).select(F.col("id").cast("string")), root, "v3", name)
     assert spark.read.table(name).schema["id"].dataType.simpleString() == "string"
+
+
+def test_clean_up_removes_the_applications_folders_and_databases(spark, monkeypatch):
+    from stridemill import session
+    monkeypatch.setattr(session, "_application_dir", lambda s: f"{shared_dir(s)}/stridemill/other-app")
+    folder = run_dir(spark, "gone")
+    spark.sql(f"CREATE DATABASE gone_db LOCATION '{folder}'")
+    B.replace_managed(spark.range(2), "gone_db.t")
+    session.clean_up(spark)
+    assert not fsio.exists(spark, folder) and not spark.catalog.databaseExists("gone_db")
+    assert spark.catalog.databaseExists("default")
