@@ -41,12 +41,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                      .withColumn("at", F.monotonically_increasing_id()), "dedup-rows")
     found = stage(near_duplicates(numbered.select("at", F.col("row.text").alias("text")), "at", "text", width=5),
                   "dedup-groups").select(F.col("id").alias("at"), "component")
-    grouped = found.groupBy("component").count().filter("count > 1").select("component")
-    members = (found.join(grouped, "component")
-               .join(numbered.select("at", F.col("row.doc_id").alias("doc_id")), "at"))
+    members = found.join(numbered.select("at", F.col("row.doc_id").alias("doc_id")), "at")
     order = F.struct(F.col("doc_id").isNull().alias("_null"), F.col("doc_id"), F.col("at"))
-    first = members.groupBy("component").agg(F.min(order)["at"].alias("_first"))
-    dropped = stage(members.join(first, "component").filter(F.col("at") != F.col("_first")).select("at"), "dedup-dropped")
+    groups = (members.groupBy("component").agg(F.count(F.lit(1)).alias("_n"), F.min(order)["at"].alias("_first"))
+              .filter("_n > 1").select("component", "_first"))
+    dropped = stage(found.join(groups, "component").filter(F.col("at") != F.col("_first")).select("at"), "dedup-dropped")
     return join_small(numbered, dropped, ["at"], "left_anti", limit=1_000_000).select("row.*")
 
 
