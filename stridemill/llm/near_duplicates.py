@@ -181,8 +181,9 @@ def near_duplicates(frame: DataFrame, id_: str, text: str, width: int = 5, perce
     sigs = classes.select("rep", "sig")
 
     degree = buckets.groupBy("rep").agg(F.sum("m").alias("degree"))
-    leaders = (buckets.join(degree, "rep").groupBy("key")
-               .agg(F.max_by("rep", F.col("degree") * 1024 + F.pmod("rep", F.lit(1024))).alias("lead")))
+    # Tables that many rows join by one key are staged, so that Spark may split those joins.
+    leaders = stage(buckets.join(degree, "rep").groupBy("key")
+                    .agg(F.max_by("rep", F.col("degree") * 1024 + F.pmod("rep", F.lit(1024))).alias("lead")), "leaders")
     stars = (buckets.join(leaders, "key").filter("rep != lead")
              .select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct())
 
@@ -200,7 +201,8 @@ def near_duplicates(frame: DataFrame, id_: str, text: str, width: int = 5, perce
     roots = components(links)
     placed = buckets.filter("m > 3").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
         "root", F.coalesce("root", "rep"))
-    parted = placed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high")
+    parted = stage(placed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high"))
+                   .filter("_low < _high").select("key"), "parted")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     cells = (placed.join(parted, "key").join(sigs, "rep")
@@ -220,7 +222,7 @@ def near_duplicates(frame: DataFrame, id_: str, text: str, width: int = 5, perce
     named = components(links.union(more).union(same))
     of_class = classes.select("digest", F.col("id").alias("_first"), "rep").join(
         named.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    least_id = of_class.groupBy("root").agg(F.min("_first").alias("_component"))
+    least_id = stage(of_class.groupBy("root").agg(F.min("_first").alias("_component")), "components")
     of_class = stage(of_class.join(least_id, "root").select("digest", "_component"), "named")
     return (rows.select("id", "n", "digest").join(of_class, "digest", "left")
             .select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("_component", "id")).alias("component")))
