@@ -16,6 +16,7 @@ BINS = 1 << 14          # hashed byte trigrams
 TRAIN_ROWS = 20_000     # labelled texts that fit the text model, first in hash order
 LEAST_SHARE = 0.001     # of those texts, for a label to count as a language: a thousand at most
 REACH, TRUST = 400, 0.5  # trigrams follow each other: so many count at most, each that much
+NOISE = 0.1             # share of trigrams a text of any language may owe to codes, names and the like
 STRANGE = 0.01          # prior of a text in no known language
 KAPPA = 10.0            # rows that the level above counts for in a smoothed prior
 LEAST = 0.5             # posterior a language needs
@@ -82,10 +83,11 @@ def fit(labelled: DataFrame, text: str, label: str, seed: int = 3) -> TextModel:
     counts = some.mapInArrow(count, "label string, bin long, n long").groupBy("label", "bin").agg(F.sum("n").alias("n"))
     table = counts.toArrow().to_pydict()
     languages = sorted(set(table["label"]))
-    n = np.full((len(languages), BINS), 0.5)
+    n = np.zeros((len(languages), BINS))
     place = {name: i for i, name in enumerate(languages)}
     n[[place[x] for x in table["label"]], table["bin"]] += table["n"]
-    return TextModel(languages, np.log(n / n.sum(axis=1, keepdims=True)))
+    share = n / np.maximum(n.sum(axis=1, keepdims=True), 1)
+    return TextModel(languages, np.log((1 - NOISE) * share + NOISE / BINS))
 
 
 def address_parts(url: Column) -> list[Column]:

@@ -54,6 +54,11 @@ def test_strange_texts_are_rejected(make_docs, model):
     assert [r.kept for r in identify(make_docs([(1, junk, None, None)]), "text", model).collect()] == [False]
 
 
+def test_codes_in_short_texts_reject_nothing(make_docs, model):
+    docs = make_docs([(1, "On the by that to AKQJRTPEYD7FQBC2ZHJX and.", None, None), (2, "of the AKQIART5HK7G62XQ7KS7J with from that", None, None)])
+    assert [r.kept for r in identify(docs, "text", model).collect()] == [True, True]
+
+
 def test_no_labels_reject_nothing(make_docs):
     docs = make_docs([(1, "abc", None, None), (2, None, None, None)])
     got = identify(docs, "text", fit(docs, "text", "lang"))
