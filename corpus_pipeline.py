@@ -43,9 +43,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                   "dedup-groups").select(F.col("id").alias("at"), "component")
     members = found.join(numbered.select("at", F.col("row.doc_id").alias("doc_id")), "at")
     order = F.struct(F.col("doc_id").isNull().alias("_null"), F.col("doc_id"), F.col("at"))
-    groups = (members.groupBy("component").agg(F.count(F.lit(1)).alias("_n"), F.min(order)["at"].alias("_first"))
-              .filter("_n > 1").select("component", "_first"))
-    dropped = stage(found.join(groups, "component").filter(F.col("at") != F.col("_first")).select("at"), "dedup-dropped")
+    # Staged, so that Spark may split the join of a large group's members.
+    groups = stage(members.groupBy("component").agg(F.count(F.lit(1)).alias("_n"), F.min(order)["at"].alias("_first"))
+                   .filter("_n > 1").select("component", "_first"), "dedup-first")
+    dropped = stage(join_small(found, groups, ["component"]).filter(F.col("at") != F.col("_first")).select("at"),
+                    "dedup-dropped")
     return join_small(numbered, dropped, ["at"], "left_anti", limit=1_000_000).select("row.*")
 
 
