@@ -56,9 +56,11 @@ class WordEncoder:
 
     def learn(self, words: list[str]) -> None:
         # Lower-case letters alone are one pre-token, whose last symbol carries the word's end.
+        # The library composes letters (NFC) first, so only composed words may go without its normalizer.
         plain, mixed, odd = [], [], []
         for word in words:
-            (plain if word.isalpha() and word == word.lower() else odd if "<|" in word else mixed).append(word)
+            (plain if word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word)
+             else odd if "<|" in word else mixed).append(word)
         flat = self._ids(self.letters, plain, " ")
         ends = np.flatnonzero(self.closes[flat])
         ids, at = [flat], [ends + 1]

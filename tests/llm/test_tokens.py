@@ -1,4 +1,5 @@
 import random
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -56,6 +57,15 @@ def test_word_encoder_equals_the_library():
     assert [list(map(int, x)) for x in encoder(WORDS).encode(pa.array(texts))] == want
 
 
+def test_word_encoder_composes_letters_like_the_library():
+    words = [unicodedata.normalize("NFD", "한국어"), "\u1f71", "\uf900", "λ\u1f79γος", "한국어", "\uf900\u8c48"]
+    assert all(w.isalpha() and w == w.lower() for w in words)
+    texts = [*words, " ".join(words), "plain " + words[0] + " words, " + words[1]]
+    library = Tokenizer.from_file(WORDS)
+    want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert [list(map(int, x)) for x in encoder(WORDS).encode(pa.array(texts))] == want
+
+
 def check_packing(rows, got):
     library = Tokenizer.from_file(WORDS)
     want = defaultdict(int)
