@@ -147,7 +147,7 @@ def _exact(pairs: DataFrame, members: DataFrame, frame: DataFrame, id_: str, tex
 
 
 def near_duplicates(frame: DataFrame, id_: str, text: str, width: int = 5, percent: int = 80,
-                    miss: float = 2e-3) -> DataFrame:
+                    miss: float = 2e-4) -> DataFrame:
     """Group rows whose word shingle sets have a Jaccard similarity of ``percent`` or more.
 
     Returns one row per row of ``frame``: ``id``, ``n`` (set size) and ``component``, the
@@ -160,8 +160,9 @@ def near_duplicates(frame: DataFrame, id_: str, text: str, width: int = 5, perce
     3. Pairs are compared batch after batch of hashes and dropped once the posterior chance of
        similarity falls below ``miss``; what is left is verified on the full sets.
     4. Where the components leave a bucket in parts, its members meet in blocks, inside which
-       only pairs of different components are compared, each in the first band it shares;
-       those that stay candidates are verified too.
+       only pairs of different components are compared, each in the first band it shares.
+       First every member's likeliest pair is verified; then the members meet once more, and
+       all candidates that are still of different components are verified.
 
     30 bands of 5 rows miss a pair of similarity 0.8 with chance 7e-6.  Null and empty texts,
     and texts without words, have the empty set and are linked with nothing.  Rows without
@@ -198,20 +199,27 @@ def near_duplicates(frame: DataFrame, id_: str, text: str, width: int = 5, perce
                    .select("a", "b", "x", "y").mapInArrow(bayes, "a long, b long"), "likely")
     links = stage(_exact(likely, classes, frame, id_, text, width, percent), "links")
 
-    roots = components(links)
-    placed = buckets.filter("m > 3").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
-        "root", F.coalesce("root", "rep"))
-    parted = stage(placed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high"))
-                   .filter("_low < _high").select("key"), "parted")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    cells = (placed.join(parted, "key").join(sigs, "rep")
-             .withColumn("_mine", mine).withColumn("_with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-             .select("key", "band", F.least("_mine", "_with").alias("lo"), F.greatest("_mine", "_with").alias("hi"),
-                     F.col("_mine").alias("mine"), "rep", "root", "sig")
-             .repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "rep"))
-    rest = stage(cells.mapInArrow(lambda batches: _cell_pairs(batches, least), "a long, b long"), "rest")
-    more = stage(_exact(rest, classes, frame, id_, text, width, percent), "links")
+    def meeting(links: DataFrame, likeliest: bool) -> DataFrame:
+        """Likely pairs (a, b) of different components in the buckets that ``links`` leave in parts."""
+        roots = components(links)
+        placed = buckets.filter("m > 3").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
+            "root", F.coalesce("root", "rep"))
+        parted = stage(placed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high"))
+                       .filter("_low < _high").select("key"), "parted")
+        blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+        mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+        cells = (placed.join(parted, "key").join(sigs, "rep")
+                 .withColumn("_mine", mine).withColumn("_with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+                 .select("key", "band", F.least("_mine", "_with").alias("lo"), F.greatest("_mine", "_with").alias("hi"),
+                         F.col("_mine").alias("mine"), "rep", "root", "sig")
+                 .repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "rep"))
+        return stage(cells.mapInArrow(lambda batches: _cell_pairs(batches, least, likeliest), "a long, b long"), "rest")
+
+    # The first verified links leave few pairs of different components to the second meeting.
+    first = meeting(links, True)
+    if not first.isEmpty():
+        links = stage(links.union(_exact(first, classes, frame, id_, text, width, percent)), "links")
+        links = links.union(stage(_exact(meeting(links, False), classes, frame, id_, text, width, percent), "links"))
 
     # From classes to ids: a component is called by the smallest id in it.
     many = rows.filter("digest is not null").groupBy("id").agg(F.min("digest").alias("_a"), F.max("digest").alias("_b"))
@@ -219,7 +227,7 @@ def near_duplicates(frame: DataFrame, id_: str, text: str, width: int = 5, perce
             .join(classes.select("digest", "rep"), "digest").select("id", "rep"))
     same = (same.join(same.groupBy("id").agg(F.min("rep").alias("a")), "id").filter("rep != a")
             .select("a", F.col("rep").alias("b")))
-    named = components(links.union(more).union(same))
+    named = components(links.union(same))
     of_class = classes.select("digest", F.col("id").alias("_first"), "rep").join(
         named.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     least_id = stage(of_class.groupBy("root").agg(F.min("_first").alias("_component")), "components")
@@ -228,17 +236,20 @@ def near_duplicates(frame: DataFrame, id_: str, text: str, width: int = 5, perce
             .select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("_component", "id")).alias("component")))
 
 
-def _cell_pairs(batches: Iterator[pa.RecordBatch], least: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Likely pairs of different components inside each (key, lo, hi), rows sorted by it."""
+def _cell_pairs(batches: Iterator[pa.RecordBatch], least: np.ndarray, likeliest: bool) -> Iterator[pa.RecordBatch]:
+    """Likely pairs of different components inside each (key, lo, hi), rows sorted by it.
+
+    With ``likeliest`` only the pair with most matches of every member with those after it.
+    """
     held: pa.Table | None = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
         table = pa.concat_tables([held, table]) if held is not None else table
         cut = _last_cell(table)
         held = table.slice(cut)
-        yield from _pairs_of(table.slice(0, cut), least)
+        yield from _pairs_of(table.slice(0, cut), least, likeliest)
     if held is not None:
-        yield from _pairs_of(held, least)
+        yield from _pairs_of(held, least, likeliest)
 
 
 def _cell_numbers(table: pa.Table) -> np.ndarray:
@@ -253,7 +264,7 @@ def _last_cell(table: pa.Table) -> int:
     return int(np.searchsorted(number, number[-1]))
 
 
-def _pairs_of(table: pa.Table, least: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _pairs_of(table: pa.Table, least: np.ndarray, likeliest: bool) -> Iterator[pa.RecordBatch]:
     if table.num_rows < 2:
         return
     number = _cell_numbers(table)
@@ -276,7 +287,13 @@ def _pairs_of(table: pa.Table, least: np.ndarray) -> Iterator[pa.RecordBatch]:
         # A pair counts in the first band it shares.
         alike = (sig[i, :ROWS * BANDS] == sig[j, :ROWS * BANDS]).reshape(-1, BANDS, ROWS).all(axis=2)
         here = alike.argmax(axis=1) == band[i]
-        one, other = rep[i[here]], rep[j[here]]
+        i, j = i[here], j[here]
+        if likeliest:
+            order = np.lexsort((-(sig[i] == sig[j]).sum(axis=1), i))
+            i, j = i[order], j[order]
+            top = np.append(True, np.diff(i) != 0)[:len(i)]
+            i, j = i[top], j[top]
+        one, other = rep[i], rep[j]
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, other)), pa.array(np.maximum(one, other))],
                                          ["a", "b"])
         at = upto

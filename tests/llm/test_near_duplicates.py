@@ -105,6 +105,15 @@ def test_posterior_bounds_lose_few_and_drop_many():
     assert kept(0.8) > 0.985 and kept(0.9) > 0.999 and kept(0.65) < 0.01 and kept(0.3) == 0
 
 
+def test_default_bounds_lose_few_pairs_at_the_threshold():
+    import inspect
+    need = least_matches(0.8, inspect.signature(near_duplicates).parameters["miss"].default)
+    draw = np.random.default_rng(0)
+    one = draw.integers(0, 256, (20_000, HASHES), dtype=np.uint8)
+    other = np.where(draw.random(one.shape) < 0.8, one, one + 1).astype(np.uint8)
+    assert len(survivors(one, other, need)) >= 0.997 * 20_000
+
+
 def test_signatures_estimate_similarity():
     draw = np.random.default_rng(1)
     a = np.unique(draw.integers(0, 1 << 63, 1000, dtype=np.uint64))
