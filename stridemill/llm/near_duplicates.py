@@ -202,7 +202,7 @@ def near_duplicates(frame: DataFrame, id_: str, text: str, width: int = 5, perce
     def meeting(links: DataFrame, likeliest: bool) -> DataFrame:
         """Likely pairs (a, b) of different components in the buckets that ``links`` leave in parts."""
         roots = components(links)
-        placed = buckets.filter("m > 3").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
+        placed = buckets.filter("m > 2").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
             "root", F.coalesce("root", "rep"))
         parted = stage(placed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high"))
                        .filter("_low < _high").select("key"), "parted")

@@ -82,6 +82,22 @@ def test_blocks_of_a_large_bucket_meet(spark, make_docs, monkeypatch):
     assert got == brute(list(enumerate(texts)))[0]
 
 
+def test_two_of_three_are_compared_where_the_lead_is_just_below(spark, make_docs):
+    """B and C are alike by 134/166, both to A by 133/167, and share buckets with A alone."""
+    texts = []
+    for seed in (527, 573, 1136, 1372, 1373, 2183, 2258, 2542, 2570, 2624, 2976, 3018):
+        draw = np.random.default_rng(seed)
+        base = [f"w{x}" for x in draw.integers(0, 10 ** 9, 153)]
+        for changed in ([10, 18], [30, 38], [60, 70, 71]):
+            words = list(base)
+            for k in changed:
+                words[k] = f"x{draw.integers(0, 10 ** 9)}"
+            texts.append(" ".join(words))
+    docs = make_docs([(i, t, None, None) for i, t in enumerate(texts)])
+    got = {r.id: r.component for r in near_duplicates(docs, "doc_id", "text", width=4).collect()}
+    assert got == brute(list(enumerate(texts)))[0] == {i: i - (i % 3 == 1) for i in range(len(texts))}
+
+
 def test_empty_table(spark, make_docs, as_tables):
     assert op1_near_dedup(spark, as_tables(documents=make_docs([]))).collect() == []
 
