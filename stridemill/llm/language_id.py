@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from .common import join_small, stage, text_batches
 
 BINS = 1 << 14          # hashed byte trigrams
-TRAIN_ROWS = 20_000     # labelled texts that fit the text model, first in hash order
-LEAST_SHARE = 0.001     # of those texts, for a label to count as a language: a thousand at most
+LABEL_ROWS = 4_000      # texts of each label that fit the text model, about; all of a label with fewer
 REACH, TRUST = 400, 0.5  # trigrams follow each other: so many count at most, each that much
 NOISE = 0.1             # share of trigrams a text of any language may owe to codes, names and the like
 STRANGE = 0.01          # prior of a text in no known language
@@ -54,20 +53,21 @@ class TextModel:
 def fit(labelled: DataFrame, text: str, label: str, seed: int = 3) -> TextModel:
     """Trigram model of every language among the labelled rows.
 
-    Fitted on ``TRAIN_ROWS`` distinct texts, first in the order of a seeded hash; what comes to
-    the driver is one count for each language and bin.  Without labelled rows it knows no
-    language.
+    Fitted on about ``LABEL_ROWS`` distinct texts of each label, those whose seeded hash is
+    lowest, and on all of a label with fewer: every label with a text that has letters is a
+    language, however rare.  What comes to the driver is one count for each language and bin.
+    Without labelled rows it knows no language.
     """
     text_batches(labelled.sparkSession)
     rows = (labelled.select(labelled[f"`{text}`"].alias("_text"), labelled[f"`{label}`"].cast("string").alias("_label"))
             .filter("_text is not null and _label is not null").withColumn("_hash", F.xxhash64(F.lit(seed), "_text")))
-    # Only hashes are sorted; the texts below the last one are read where they lie.
-    last = rows.select("_hash").distinct().orderBy("_hash").limit(TRAIN_ROWS).agg(F.max("_hash")).first()[0]
-    some = (rows.filter(F.col("_hash") <= F.lit(last)).groupBy("_hash")
-            .agg(F.min(F.struct("_label", "_text")).alias("_one")).select("_one.*"))
-    shares = some.groupBy("_label").count().collect()    # a row per label among those texts
-    least = LEAST_SHARE * sum(r["count"] for r in shares)
-    some = some.filter(F.col("_label").isin([r["_label"] for r in shares if r["count"] >= least]))
+    # Each label's share of the hash range; nothing is sorted, and texts are read where they lie.
+    share = LABEL_ROWS / F.col("_n")
+    last = stage(rows.groupBy("_label").agg(F.approx_count_distinct("_hash").alias("_n")).select(
+        "_label", F.when(share >= 1, F.lit((1 << 63) - 1)).otherwise(
+            (F.lit(-2.0 ** 63) + F.lit(2.0 ** 64) * share).cast("long")).alias("_last")), "language-labels")
+    some = (join_small(rows, last, ["_label"]).filter(F.col("_hash") <= F.col("_last"))
+            .groupBy("_hash", "_label").agg(F.min("_text").alias("_text")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -165,26 +165,29 @@ def identify(frame: DataFrame, text: str, model: TextModel, declared: Column | N
     total = [int(x or 0) for x in total]
     everywhere = [(t + 1) / (sum(total) + len(names)) for t in total]
 
+    every_language = F.aggregate(F.array(*[f"n{i}" for i in range(len(names))]), F.lit(0).cast("long"), lambda s, x: s + x)
+
     def table(key: str) -> DataFrame:
         return stage(cube.filter(F.col(key).isNotNull()).groupBy(key).agg(
-            *[F.sum(f"n{i}").alias(f"{key}_n{i}") for i in range(len(names))]), f"language-{key}")
+            *[F.sum(f"n{i}").alias(f"{key}_n{i}") for i in range(len(names))],
+            F.sum(every_language).alias(f"{key}_all")), f"language-{key}")
 
     final = scored(base, "_t", ["row", *keys], model)
     for key in keys:
         if not (key == "declared" and declared is None or key == "suffix" and suffix is None):
             final = join_small(final, table(key), [key], "left")
         else:
-            final = final.withColumns({f"{key}_n{i}": F.lit(None).cast("long") for i in range(len(names))})
+            final = final.withColumns({f"{key}_{i}": F.lit(None).cast("long")
+                                       for i in [*[f"n{k}" for k in range(len(names))], "all"]})
     prior = [F.lit(p) for p in everywhere]
     for i in reversed(range(len(levels))):
         own = [F.coalesce(F.col(f"level{i}_n{k}"), F.lit(0)) for k in range(len(names))]
-        every = sum(own[1:], own[0])
+        every = F.coalesce(F.col(f"level{i}_all"), F.lit(0))
         prior = [(o + KAPPA * p) / (every + KAPPA) for o, p in zip(own, prior)]
 
     def given(key: str, k: int) -> Column:
         """How much likelier language k makes this value than all languages together do."""
-        every = [F.coalesce(F.col(f"{key}_n{j}"), F.lit(0)) for j in range(len(names))]
-        overall = (sum(every[1:], every[0]) + 1.0) / (sum(total) + 1.0)
+        overall = (F.coalesce(F.col(f"{key}_all"), F.lit(0)) + 1.0) / (sum(total) + 1.0)
         return F.log(((F.col(f"{key}_n{k}") + KAPPA * overall) / (total[k] + KAPPA)) / overall)
 
     logits = [ll[k] + F.log(prior[k]) + F.coalesce(given("declared", k), F.lit(0.0))

@@ -75,6 +75,30 @@ def test_other_evidence_decides_short_texts(spark, documents, model):
     assert short["a.fr"] == "fr" and short["b.com"] == "en" and short["new.org"] in model.languages
 
 
+def test_rare_labels_are_languages_and_stay(spark, make_docs):
+    import random
+
+    from corpus_pipeline import language
+    draw = random.Random(3)
+    words = "the of and to in that it is was for with on as by at from this which".split()
+    rows = [(i, " ".join(draw.choices(words, k=30)), "en", draw.choice("ab")) for i in range(1500)]
+    greek = "η γλώσσα των εγγράφων είναι σπάνια αλλά γνωστή και το κείμενο μένει στη συλλογή όπως όλα τα άλλα κείμενα"
+    rows += [(5000, greek, "el", "a"), (5001, greek + " εδώ", "el", "b"), (5002, "tyto řádky jsou psány česky a zůstanou také zde", "cs", "a")]
+    docs = make_docs(rows)
+    model = fit(docs, "text", "lang")
+    assert model.languages == ["cs", "el", "en"]
+    got = {r.row.doc_id: (r.language, r.kept) for r in identify(docs, "text", model, levels=[F.col("source")]).collect()}
+    assert got[5000] == got[5001] == ("el", True) and got[5002] == ("cs", True)
+    assert language(spark, docs, None).count() == len(rows)
+
+
+def test_many_texts_of_a_label_are_sampled(make_docs, monkeypatch):
+    from stridemill.llm import language_id
+    monkeypatch.setattr(language_id, "LABEL_ROWS", 100)
+    docs = make_docs([(i, f"abc{'x' * (i % 40)} def{'y' * (i // 40)}", "en", None) for i in range(1600)] + [(9999, "ab ñandú", "es", None)])
+    assert fit(docs, "text", "lang").languages == ["en", "es"]
+
+
 def test_address_and_declaration(spark):
     df = spark.createDataFrame([("https://u@m.Site.co.example.org:80/a?b#c", '<HTML class=x LANG="pt-BR">'), ("nothing", "<p lang=de>"), (None, None)],
                                "url string, html string")
