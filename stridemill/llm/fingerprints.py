@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import words_of
 
 SHINGLE = 5
-ONE_IN = 32      # the fixed fraction of the hash range that is kept
+ONE_IN = 4      # the fixed fraction of the hash range that is kept
 AT_LEAST = 32    # smallest hashes a short text keeps besides
 
 _MIN, _SPAN = -(1 << 63), 1 << 64
@@ -65,14 +65,16 @@ def containment(one: Column, other: Column, one_in: int = ONE_IN, at_least: int
     """Share of the smaller text's shingles that the larger one has, from 0 to 1.
 
     Estimated on the hashes up to which both sketches are complete.  Equal sketches give 1,
-    an empty one against another 0.
+    an empty one against another 0.  Null if one of them has no hash there, so that nothing
+    can be said: against a long text a short one of n shingles has none with chance
+    (1 - 1 / ``one_in``) ** n.
     """
     def of(pair: Column) -> Column:
         a, b = pair["a"], pair["b"]
         upto = F.least(_bound(a, one_in, at_least), _bound(b, one_in, at_least))
         a, b = F.filter(a, lambda h: h <= upto), F.filter(b, lambda h: h <= upto)
         smaller = F.least(F.size(a), F.size(b))
-        return F.when(smaller == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / smaller)
+        return F.when(smaller > 0, F.size(F.array_intersect(a, b)) / smaller)
     pair = F.struct(one.alias("a"), other.alias("b"))
     return (F.when(one == other, F.lit(1.0))
             .when((F.size(one) == 0) | (F.size(other) == 0), F.lit(0.0))

@@ -25,16 +25,21 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sketches of whole texts, of their edited texts, and how near those and the successors are."""
+    """Sketches of whole texts, of their edited texts, and how near those and the successors are.
+
+    ``near_next`` is 0 as well where nothing can be said, because there is no successor or the
+    sketches have no hash to compare; ``next_compared`` is false there.
+    """
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kept = docs.withColumn("kept", sketch(F.col("text")))
     both = edited(kept, docs, "kept").withColumn("edited_kept", sketch(F.col("edited")))
+    both = both.withColumn("_next", containment(F.col("kept"), F.col("next_kept")))
     return both.select(
         "doc_id", F.char_length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         as_text(F.col("kept")).alias("fingerprint"), as_text(F.col("edited_kept")).alias("edited_fingerprint"),
         containment(F.col("kept"), F.col("edited_kept")).alias("near_edited"),
-        F.coalesce(containment(F.col("kept"), F.col("next_kept")), F.lit(0.0)).alias("near_next"))
+        F.coalesce("_next", F.lit(0.0)).alias("near_next"), F.col("_next").isNotNull().alias("next_compared"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

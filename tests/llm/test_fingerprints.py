@@ -60,6 +60,30 @@ def test_sketches_merge_and_estimate_containment(spark):
     assert set(row.w) <= set(row.m) and len(row.w) >= AT_LEAST
 
 
+def test_short_texts_inside_a_long_one(spark):
+    draw = random.Random(6)
+    whole = prose(draw, 5000).split(" ")
+    parts = [(n, " ".join(whole[at:at + n])) for n in (20, 50, 100) for at in range(100, 4900, 240)]
+    long = sketch(F.lit(" ".join(whole)))
+    got = spark.createDataFrame(parts, "n int, t string").select("n", containment(sketch(F.col("t")), long).alias("c")).collect()
+    for n in (20, 50, 100):
+        found = [r.c for r in got if r.n == n]
+        assert sum(c is not None for c in found) >= 0.95 * len(found)
+        assert sum(c or 0 for c in found) / len(found) == pytest.approx((n - 4) / n, abs=0.1)
+
+
+def test_no_hash_to_compare_is_not_nothing_shared(spark, make_docs, as_tables):
+    low = spark.createDataFrame([([-(1 << 63) + i for i in range(40)], [5], [-(1 << 63) + 99])], "a array<long>, b array<long>, c array<long>")
+    row = low.select(containment(F.col("a"), F.col("b")).alias("none"), containment(F.col("a"), F.col("c")).alias("zero")).first()
+    assert row.none is None and row.zero == 0
+    draw = random.Random(7)
+    whole = prose(draw, 3000)
+    docs = [(i, whole if i % 2 else prose(draw, 1), None, None) for i in range(30)] + [(None, "x", None, None)]
+    got = op6_fingerprints(spark, as_tables(documents=make_docs(docs))).collect()
+    assert {r.next_compared for r in got if r.doc_id is not None} == {True, False}
+    assert all(r.near_next == 0 for r in got if not r.next_compared) and not [r for r in got if r.doc_id is None][0].next_compared
+
+
 def test_empty_null_and_text_form(spark):
     df = spark.createDataFrame([(None,), ("",), (" \n ",)], "t string")
     kept = [r[0] for r in df.select(sketch(F.col("t"))).collect()]
