@@ -35,12 +35,33 @@ MARKS = re.compile(
     r"|toolbar|widgets?|alert|skip-?link|search)(?![a-z])")
 LAYOUT = re.compile(r"\b(?:with|has|no|without)-[\w-]+")
 TAG = re.compile(
-    r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)"
-    r"((?:[^>\"']++|\"[^\"]{0,20000}+\"|'[^']{0,20000}+')*+>|[^>]*+(?:>|\Z)))", re.S)
+    r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+))", re.S)
+STOP = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 LEVELS = 5       # ancestors that a paragraph's points reach
 
 
+def _tag_end(html: str, at: int, dead: set[int]) -> int:
+    """Place after the bracket that closes a tag; brackets in quotes of any length don't.
+
+    Where a quote stays open, or no bracket follows, the tag ends at the first bracket.  The
+    quotes on such a way lead nowhere for later tags either; ``dead`` remembers them, so that
+    no part of a page is looked through again and again.
+    """
+    place, met = at, []
+    while found := STOP.search(html, place):
+        if found[0] == ">":
+            return found.end()
+        if found.start() in dead:
+            break
+        met.append(found.start())
+        place = html.find(found[0], found.end()) + 1
+        if not place:
+            break
+    dead.update(met)
+    return html.find(">", at) + 1 or len(html)
+
+
 def _unwanted(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
     """(left out for what it is, left out for what its class or id says)."""
     if tag in LEFT_OUT or (tag == "header" and not inside_article):
@@ -78,6 +99,7 @@ class Page:
     def _read(self, html: str) -> None:
         stack, links, articles, block, at = [0], 0, 0, 0, 0
         runs, tags = self.runs, self.tag
+        dead: set[int] = set()
 
         def close(depth: int) -> None:
             nonlocal links, articles
@@ -102,10 +124,11 @@ class Page:
             if not found:
                 return
             at = found.end()
-            slash, name, attributes = found.groups()
+            slash, name = found.groups()
             if not name:
                 continue
-            name = name.lower()
+            at = _tag_end(html, at, dead)
+            name, attributes = name.lower(), html[found.end():at]
             inline = name in INLINE
             if not inline:
                 block += 1

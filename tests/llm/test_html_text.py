@@ -34,6 +34,19 @@ def test_broken_and_very_long_pages():
     assert main_text(f"<article>{body}</article>") == " ".join([LONG] * 3000)
 
 
+@pytest.mark.parametrize("quote", ["'", '"'])
+@pytest.mark.parametrize("size", [10, 19_000, 21_000, 500_000])
+def test_quoted_values_of_any_length(quote, size):
+    value = ("<nav>junk > <script>" * (size // 20 + 1))[:size]
+    assert main_text(f"<article><p>Before.</p><p data-x={quote}{value}{quote}>After.</p></article>") == "Before. After."
+
+
+def test_quotes_that_stay_open_end_at_the_first_bracket():
+    assert main_text(f"<article><p title=\"x>{LONG}</p><p>End.</p></article>") == f"{LONG} End."
+    # No bracket outside quotes from any of these tags on: the page is looked through once.
+    assert main_text('<a ">"x"<b>"' * 100_000) is not None
+
+
 def test_query(spark, as_tables):
     rows = [(1, "u", f"<article><p>{LONG}</p></article>", "t"), (None, None, None, None), (1, "u", "", "t"), (2, None, "<p>é", None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
