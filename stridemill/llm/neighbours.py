@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from .common import stage
 
 CURVES, AXES, BITS, BLOCK = 20, 12, 5, 1024
-SAMPLE = 4096       # vectors that fit the grid of every curve; the index holds all of them
+SAMPLE = 4096       # vectors that fit the grids of a norm range; the index holds all of them
+RANGES = 8          # norm ranges, each down to half its largest squared norm; the last takes the rest
+ASKS = 4096         # queries that meet a block in one task, about
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -53,7 +55,12 @@ class Curves:
         self.grids = [np.sort(self.lifted(sample, True) @ plane, axis=0) for plane in self.planes]
 
     def lifted(self, vectors: np.ndarray, indexed: bool) -> np.ndarray:
-        """One more coordinate makes the largest inner product the smallest distance."""
+        """One more coordinate makes the largest inner product the smallest distance.
+
+        The length of a query doesn't matter; it gets that of the lifted points.
+        """
+        if not indexed:
+            vectors = vectors * np.sqrt(self.reach / (vectors ** 2).sum(axis=1))[:, None]
         rest = np.sqrt(np.maximum(self.reach - (vectors ** 2).sum(axis=1), 0)) if indexed else np.zeros(len(vectors))
         return np.column_stack([vectors, rest])
 
@@ -88,13 +95,15 @@ def nearest(frame: DataFrame, id_: str, vector: str, is_query: Column, k: int =
 
     Equal vectors are one point that carries its k + 1 smallest ids, all that any answer can
     take from it.  Points lie on several Hilbert curves of randomly projected, shifted grids.
-    Every curve is range-partitioned and cut into blocks of equally many points; a query meets
-    its own block and both neighbours on every curve, is scored there on the original vectors
-    in double precision, and the best of all curves are merged.  Ties go to the smaller id.
+    Points are parted by norm, and every range has curves of its own, so that a few long vectors
+    move nobody else's place.  Every curve is range-partitioned and cut into blocks of equally
+    many points; a query meets its own block and both neighbours on every curve, is scored
+    there on the original vectors in double precision, and the best of all curves are merged.
+    Ties go to the smaller id.
 
     Rows whose vector isn't usable, and rows without an id, take no part.  Vectors of
     different length count as ending with zeros.  Fewer than k candidates give all of them.
-    The grid is fitted to ``SAMPLE`` points; every point is indexed.  An empty table gives an
+    Grids are fitted to ``SAMPLE`` points of a range; every point is indexed.  An empty table gives an
     empty result.
     """
     spark = frame.sparkSession
@@ -105,26 +114,35 @@ def nearest(frame: DataFrame, id_: str, vector: str, is_query: Column, k: int =
     few = (rows.select("id", "vec").withColumn("_n", F.row_number().over(Window.partitionBy("vec").orderBy("id")))
            .filter(F.col("_n") <= k + 1).groupBy("vec").agg(F.array_sort(F.collect_set("id")).alias("ids")))
     asked = rows.groupBy("vec").agg(F.max("asks").alias("asks"))
-    points = stage(few.join(asked, "vec").withColumn("point", F.monotonically_increasing_id()), "points")
-    reach, width = points.agg(
-        F.max(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))),
-        F.max(F.size("vec"))).first()
+    points = stage(few.join(asked, "vec").withColumn("point", F.monotonically_increasing_id()).withColumn(
+        "norm", F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), "points")
+    reach, width = points.agg(F.max("norm"), F.max(F.size("vec"))).first()
     answers = "query_id long, rank int, vec_id long, score double"
     if reach is None:
         return spark.createDataFrame([], answers)
-    sample = points.orderBy(F.xxhash64("point"), "point").limit(SAMPLE).select("vec").toArrow()["vec"]
-    curves = spark.sparkContext.broadcast(Curves(_matrix(sample.combine_chunks(), width), reach, seed))
+    ranges: list[Curves] = []
+    while reach is not None:
+        low = reach / 2 if len(ranges) < RANGES - 1 else -1.0
+        sample = (points.filter((F.col("norm") <= reach) & (F.col("norm") > low)).orderBy(F.xxhash64("point"), "point")
+                  .limit(SAMPLE).select("vec").toArrow()["vec"])
+        ranges.append(Curves(_matrix(sample.combine_chunks(), width), reach, seed))
+        reach = points.filter(F.col("norm") <= low).agg(F.max("norm")).first()[0]
+    curves = spark.sparkContext.broadcast(ranges)
+    tops = np.array([r.reach for r in ranges])
 
     def along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors, number = _matrix(batch.column("vec"), width), batch.column("point").to_numpy()
             asks = np.flatnonzero(batch.column("asks").to_numpy(zero_copy_only=False))
-            for kind, at in ((0, np.arange(len(vectors))), (1, asks)):
-                keys = curves.value.keys(vectors[at], kind == 0)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.tile(np.arange(CURVES, dtype=np.int32), len(at))), pa.array(keys.ravel()),
-                     pa.array(np.full(keys.size, kind, np.int32)), pa.array(np.repeat(number[at], CURVES))],
-                    ["curve", "key", "kind", "point"])
+            place = (batch.column("norm").to_numpy()[:, None] <= tops[1:]).sum(axis=1)
+            for r, of_range in enumerate(curves.value):
+                names = np.arange(r * CURVES, (r + 1) * CURVES, dtype=np.int32)
+                for kind, at in ((0, np.flatnonzero(place == r)), (1, asks)):
+                    keys = of_range.keys(vectors[at], kind == 0)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.tile(names, len(at))), pa.array(keys.ravel()),
+                         pa.array(np.full(keys.size, kind, np.int32)), pa.array(np.repeat(number[at], CURVES))],
+                        ["curve", "key", "kind", "point"])
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Count the points of each curve that the sorted partition has had so far."""
@@ -143,7 +161,7 @@ def nearest(frame: DataFrame, id_: str, vector: str, is_query: Column, k: int =
                 ["curve", "kind", "point", "part", "before"])
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), CURVES)
-    ordered = stage(points.select("vec", "point", "asks").mapInArrow(along, "curve int, key long, kind int, point long")
+    ordered = stage(points.select("vec", "point", "asks", "norm").mapInArrow(along, "curve int, key long, kind int, point long")
                     .repartitionByRange(parts, "curve", "key", "kind", "point")
                     .sortWithinPartitions("curve", "key", "kind", "point")
                     .withColumn("part", F.spark_partition_id())
@@ -157,11 +175,17 @@ def nearest(frame: DataFrame, id_: str, vector: str, is_query: Column, k: int =
               .withColumn("block", F.floor((F.col("before") + F.col("_first")) / BLOCK))
               .withColumn("last", F.floor((F.col("_all") - 1) / BLOCK))
               .withColumn("block", F.least("block", "last")))
-    meets = F.when(F.col("kind") == 0, F.array("block")).otherwise(
-        F.sequence(F.greatest(F.col("block") - 1, F.lit(0)), F.least(F.col("block") + 1, F.col("last"))))
-    cells = (placed.select("curve", "kind", "point", F.explode(meets).alias("block"))
+    side = 1
+    asking = (placed.filter("kind = 1").select("curve", "kind", "point", F.explode(F.sequence(
+        F.greatest(F.col("block") - side, F.lit(0)), F.least(F.col("block") + side, F.col("last")))).alias("block")))
+    # A block that many queries meet is dealt to several tasks with a part of them each.
+    deals = stage(asking.groupBy("curve", "block").agg(F.ceil(F.count(F.lit(1)) / ASKS).cast("int").alias("deals")), "deals")
+    cells = (asking.join(deals, ["curve", "block"])
+             .withColumn("deal", F.pmod(F.xxhash64("point"), F.col("deals")).cast("int")).drop("deals")
+             .unionByName(placed.filter("kind = 0").select("curve", "kind", "point", "block").join(deals, ["curve", "block"])
+                          .withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).drop("deals"))
              .join(points.select("point", "vec", F.element_at("ids", 1).alias("least")), "point")
-             .repartition("curve", "block").sortWithinPartitions("curve", "block", "kind", "point"))
+             .repartition("curve", "block", "deal").sortWithinPartitions("curve", "block", "deal", "kind", "point"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in _cells(batches):
@@ -170,18 +194,9 @@ def nearest(frame: DataFrame, id_: str, vector: str, is_query: Column, k: int =
             base, ask = kind == 0, kind == 1
             if not base.any() or not ask.any():
                 continue
-            scores = vectors[ask] @ vectors[base].T
-            keep = min(k + 1, int(base.sum()))
-            rim = np.partition(scores, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep]
-            one, other = np.nonzero(scores >= rim[:, None])
-            score = scores[one, other]
-            order = np.lexsort((smallest[base][other], -score, one))
-            one, other, score = one[order], other[order], score[order]
-            place = np.arange(len(one)) - np.searchsorted(one, one)
-            best = place < keep
+            one, other, score = _top(vectors[ask], vectors[base], smallest[base], k + 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(number[ask][one[best]]), pa.array(number[base][other[best]]), pa.array(score[best])],
-                ["asker", "point", "score"])
+                [pa.array(number[ask][one]), pa.array(number[base][other]), pa.array(score)], ["asker", "point", "score"])
 
     found = cells.mapInArrow(meet, "asker long, point long, score double")
     best = Window.partitionBy("asker").orderBy(F.desc("score"), "least")
@@ -204,14 +219,28 @@ def nearest(frame: DataFrame, id_: str, vector: str, is_query: Column, k: int =
                     F.col("_hit.score").alias("score")))
 
 
+def _top(asks: np.ndarray, base: np.ndarray, smallest: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, point, score) of the ``keep`` largest inner products; ties go to the smaller id."""
+    keep, found = min(keep, len(base)), []
+    for at in range(0, len(asks), 512):
+        scores = asks[at:at + 512] @ base.T
+        rim = np.partition(scores, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep]
+        one, other = np.nonzero(scores >= rim[:, None])
+        score = scores[one, other]
+        order = np.lexsort((smallest[other], -score, one))
+        one, other, score = one[order], other[order], score[order]
+        best = np.arange(len(one)) - np.searchsorted(one, one) < keep
+        found.append((one[best] + at, other[best], score[best]))
+    return tuple(map(np.concatenate, zip(*found)))
+
+
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Runs of equal (curve, block) of a sorted partition, whatever batches they come in."""
+    """Runs of equal (curve, block, deal) of a sorted partition, whatever batches they come in."""
     held: pa.Table | None = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
         table = pa.concat_tables([held, table]) if held is not None else table
-        curve, block = table["curve"].to_numpy(), table["block"].to_numpy()
-        cuts = np.flatnonzero((np.diff(curve) != 0) | (np.diff(block) != 0)) + 1
+        cuts = np.flatnonzero(np.logical_or.reduce([np.diff(table[c].to_numpy()) != 0 for c in ("curve", "block", "deal")])) + 1
         start = 0
         for cut in cuts.tolist():
             yield table.slice(start, cut - start)

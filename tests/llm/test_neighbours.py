@@ -71,6 +71,25 @@ def test_norms_differ(spark, monkeypatch):
     assert compare(got, brute(rows, 20, 20)) >= 0.9
 
 
+def even(seed, n):
+    draw = np.random.default_rng(seed)
+    vectors = draw.normal(size=(n, 64))
+    return vectors / np.linalg.norm(vectors, axis=1)[:, None]
+
+
+def test_an_outlier_norm_costs_no_recall(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    plain = even(6, 3000)
+    longer = plain.copy()
+    longer[7] *= 10
+    found = []
+    for vectors in (plain, longer):
+        rows = list(enumerate(vectors.tolist()))
+        got = nearest(table(spark, rows), "vec_id", "embedding", F.col("vec_id") % 20 == 0).collect()
+        found.append(compare(got, brute(rows, 20, 20)))
+    assert found[1] >= found[0] - 0.03, found
+
+
 def test_few_candidates_and_none(spark, as_tables):
     got = nearest(table(spark, [(0, [1.0, 0.0]), (1, [0.5, 0.5])]), "vec_id", "embedding", F.col("vec_id") % 20 == 0).collect()
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == [(0, 1, 1, 0.5)]
