@@ -14,6 +14,7 @@ from .common import stage
 CURVES, AXES, BITS, BLOCK = 20, 12, 5, 1024
 SAMPLE = 4096       # vectors that fit the grids of a norm range; the index holds all of them
 RANGES = 8          # norm ranges, each down to half its largest squared norm; the last takes the rest
+TRIALS, RECALL = 128, 0.95      # queries answered in full, and the share of their answers a window must hold
 ASKS = 4096         # queries that meet a block in one task, about
 
 
@@ -97,9 +98,10 @@ def nearest(frame: DataFrame, id_: str, vector: str, is_query: Column, k: int =
     take from it.  Points lie on several Hilbert curves of randomly projected, shifted grids.
     Points are parted by norm, and every range has curves of its own, so that a few long vectors
     move nobody else's place.  Every curve is range-partitioned and cut into blocks of equally
-    many points; a query meets its own block and both neighbours on every curve, is scored
-    there on the original vectors in double precision, and the best of all curves are merged.
-    Ties go to the smaller id.
+    many points; a query meets its own block and as many on both sides as let ``TRIALS`` queries
+    find ``RECALL`` of their true answers, one at least; it is scored there on the original
+    vectors in double precision, and the best of all curves are merged.  On evenly spread
+    vectors that window grows with the table.  Ties go to the smaller id.
 
     Rows whose vector isn't usable, and rows without an id, take no part.  Vectors of
     different length count as ending with zeros.  Fewer than k candidates give all of them.
@@ -175,7 +177,7 @@ def nearest(frame: DataFrame, id_: str, vector: str, is_query: Column, k: int =
               .withColumn("block", F.floor((F.col("before") + F.col("_first")) / BLOCK))
               .withColumn("last", F.floor((F.col("_all") - 1) / BLOCK))
               .withColumn("block", F.least("block", "last")))
-    side = 1
+    side = _width(points, placed, width, k)
     asking = (placed.filter("kind = 1").select("curve", "kind", "point", F.explode(F.sequence(
         F.greatest(F.col("block") - side, F.lit(0)), F.least(F.col("block") + side, F.col("last")))).alias("block")))
     # A block that many queries meet is dealt to several tasks with a part of them each.
@@ -234,6 +236,31 @@ def _top(asks: np.ndarray, base: np.ndarray, smallest: np.ndarray, keep: int) ->
     return tuple(map(np.concatenate, zip(*found)))
 
 
+def _width(points: DataFrame, placed: DataFrame, width: int, k: int) -> int:
+    """Blocks on either side that hold ``RECALL`` of the true answers of ``TRIALS`` queries."""
+    trial = points.filter("asks").orderBy(F.xxhash64("point"), "point").limit(TRIALS).select("point", "vec").toArrow()
+    if not trial.num_rows:
+        return 1
+    asker, asks = trial["point"].to_numpy(), _matrix(trial["vec"].combine_chunks(), width)
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                one, other, score = _top(asks, _matrix(batch.column("vec"), width), batch.column("least").to_numpy(), k + 1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(asker[one]), batch.column("point").take(pa.array(other)), pa.array(score)], ["asker", "point", "score"])
+
+    best = Window.partitionBy("asker").orderBy(F.desc("score"), "point")
+    truth = stage(points.select("point", "vec", F.element_at("ids", 1).alias("least"))
+                  .mapInArrow(full, "asker long, point long, score double").filter("asker != point")
+                  .withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k).select("asker", "point"), "trials")
+    theirs = placed.filter("kind = 1").select(F.col("point").alias("asker"), "curve", F.col("block").alias("_from"))
+    far = (placed.filter("kind = 0").select("point", "curve", "block").join(F.broadcast(truth), "point")
+           .join(theirs, ["asker", "curve"]).groupBy("asker", "point").agg(F.min(F.abs(F.col("block") - F.col("_from"))).alias("far"))
+           .toArrow()["far"].to_numpy())
+    return max(1, int(np.quantile(far, RECALL, method="higher"))) if len(far) else 1
+
+
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Runs of equal (curve, block, deal) of a sorted partition, whatever batches they come in."""
     held: pa.Table | None = None

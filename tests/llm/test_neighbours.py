@@ -90,6 +90,17 @@ def test_an_outlier_norm_costs_no_recall(spark, monkeypatch):
     assert found[1] >= found[0] - 0.03, found
 
 
+@pytest.mark.parametrize("outlier", [False, True])
+def test_recall_on_even_vectors_where_the_least_window_is_a_few_percent(spark, monkeypatch, outlier):
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    vectors = even(6, 5000)
+    if outlier:
+        vectors[7] *= 10
+    rows = list(enumerate(vectors.tolist()))
+    got = nearest(table(spark, rows), "vec_id", "embedding", F.col("vec_id") % 20 == 0).collect()
+    assert compare(got, brute(rows, 20, 20)) >= 0.9
+
+
 def test_few_candidates_and_none(spark, as_tables):
     got = nearest(table(spark, [(0, [1.0, 0.0]), (1, [0.5, 0.5])]), "vec_id", "embedding", F.col("vec_id") % 20 == 0).collect()
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == [(0, 1, 1, 0.5)]
