@@ -7,11 +7,11 @@ from functools import wraps
 import corpus_pipeline
 
 from ..session import apply_semantics
-from . import (dedup_queries, language_queries, license_queries, native_queries, page_queries,
+from . import (audit_queries, dedup_queries, language_queries, license_queries, native_queries, page_queries,
                token_queries, vector_queries)
 
-MODULES = (dedup_queries, language_queries, license_queries, native_queries, page_queries, token_queries,
-           vector_queries)
+MODULES = (audit_queries, dedup_queries, language_queries, license_queries, native_queries, page_queries,
+           token_queries, vector_queries)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
@@ -27,5 +27,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    checks = dict(dedup_queries.ORACLE)
+    checks = audit_queries.ORACLE | dedup_queries.ORACLE
     return checks | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
