@@ -8,10 +8,10 @@ import corpus_pipeline
 
 from ..session import apply_semantics
 from . import (audit_queries, dedup_queries, language_queries, license_queries, native_queries, page_queries,
-               spelling_queries, token_queries, vector_queries)
+               secret_queries, spelling_queries, token_queries, vector_queries)
 
 MODULES = (audit_queries, dedup_queries, language_queries, license_queries, native_queries, page_queries,
-           spelling_queries, token_queries, vector_queries)
+           secret_queries, spelling_queries, token_queries, vector_queries)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
