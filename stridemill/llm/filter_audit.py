@@ -9,12 +9,12 @@ from itertools import permutations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import join_small, stage
 
-SHARD_BYTES = 8 << 20    # text whose rows make one shard of the matrix
+SHARD_BYTES = 16 << 20    # text whose rows make one shard of the matrix
 
 
 def term_shards(frame: DataFrame, text: str, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -44,22 +44,25 @@ def term_shards(frame: DataFrame, text: str, shard_bytes: int = SHARD_BYTES) ->
             for i in range(batch.num_rows):
                 data = texts[i].as_py() or b""
                 if shard.indptr[-1] and size + len(data) > shard_bytes:
-                    shard.rows.append(batch.column("row").slice(begun, i - begun))
+                    shard.rows.append(_copied(batch.column("row"), begun, i))
                     yield shard.packed(number)
                     number, begun, shard, size = number + 1, i, _Shard(), 0
                 shard.add(data)
                 size += len(data)
-            shard.rows.append(batch.column("row").slice(begun))
+            shard.rows.append(_copied(batch.column("row"), begun, batch.num_rows))
         if sum(map(len, shard.rows)):
             yield shard.packed(number)
 
     local = stage(slim.mapInArrow(encode, f"shard long, rows array<{kind}>, words array<binary>, indptr binary, "
                                           "terms binary, counts binary"), "local-shards")
-    used = local.select("shard", F.posexplode("words").alias("at", "word"))
-    dictionary = stage(used.select("word").distinct().withColumn("term", F.monotonically_increasing_id()), "dictionary")
+    # A word is numbered by the first of its rows, so one shuffle by word numbers them all.
+    used = local.select("shard", F.posexplode("words").alias("at", "word")).withColumn(
+        "id", F.monotonically_increasing_id())
+    term = F.min("id").over(Window.partitionBy("word"))
+    numbered = stage(used.withColumn("term", term).select(
+        "shard", "at", "term", F.when(F.col("id") == F.col("term"), F.col("word")).alias("word")), "numbered")
     # One shard's vocabulary is bounded by the shard's bytes.
-    numbers = (used.join(dictionary, "word").groupBy("shard")
-               .agg(F.array_sort(F.collect_list(F.struct("at", "term")))["term"].alias("numbers")))
+    numbers = numbered.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("at", "term")))["term"].alias("numbers"))
 
     def renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,7 +76,12 @@ def term_shards(frame: DataFrame, text: str, shard_bytes: int = SHARD_BYTES) ->
                     ["shard", "rows", "indptr", "terms", "counts"])
     matrix = local.drop("words").join(numbers, "shard", "left").mapInArrow(
         renumber, f"shard long, rows array<{kind}>, indptr binary, terms binary, counts binary")
-    return matrix, dictionary
+    return matrix, numbered.filter("word is not null").select("word", "term")
+
+
+def _copied(rows: pa.Array, begin: int, end: int) -> pa.Array:
+    """Some rows without the batch they came in, whose texts would stay in memory with them."""
+    return rows.take(pa.array(range(begin, end), pa.int32()))
 
 
 class _Shard:
