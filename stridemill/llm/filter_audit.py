@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_small, stage
@@ -17,7 +17,12 @@ from .common import join_small, stage
 SHARD_BYTES = 16 << 20    # text whose rows make one shard of the matrix
 
 
-def term_shards(frame: DataFrame, text: str, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
+def number_of(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word) >> 1
+
+
+def term_shards(frame: DataFrame, text: str, shard_bytes: int = SHARD_BYTES,
+                number: Callable[[bytes], int] = number_of) -> tuple[DataFrame, DataFrame]:
     """The document-term matrix of ``frame`` in compressed sparse rows, and its dictionary.
 
     The dictionary (word binary, term long) has one row per distinct word of the whole table.
@@ -26,17 +31,20 @@ def term_shards(frame: DataFrame, text: str, shard_bytes: int = SHARD_BYTES) ->
     of the dictionary) and ``counts`` (int32).  Words are maximal runs without white space
     (20, 09-0D), told by case.
 
-    Documents are counted against a vocabulary of their shard first, so that a word meets the
-    dictionary once per shard and not once per document, and a frequent word has as many rows
-    there as there are shards.  Null and empty texts are rows without entries; a single text
-    above ``shard_bytes`` is a shard of its own.  An empty table gives empty results.
+    Documents are counted against a vocabulary of their shard first, so a frequent word
+    reaches the dictionary once per shard and not once per document.  A word's term is a
+    63-bit hash, which needs no second trip from dictionary to shards; the dictionary shows
+    which words share one.  Of those, some v^2 / 2^64 of v words, all but the smallest get
+    terms below zero, so terms and words are one to one.
+
+    Null and empty texts are rows without entries; a single text above ``shard_bytes`` is a
+    shard of its own.  An empty table gives empty results.
     """
     others = [c for c in frame.columns if c != text]
     slim = frame.select(F.struct(*[frame[f"`{c}`"] for c in others]).alias("row"), frame[f"`{text}`"].alias("_text"))
     kind = slim.schema["row"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
         shard, size = _Shard(), 0
         for batch in batches:
             texts = batch.column("_text").cast(pa.binary())
@@ -46,37 +54,41 @@ def term_shards(frame: DataFrame, text: str, shard_bytes: int = SHARD_BYTES) ->
                 if shard.indptr[-1] and size + len(data) > shard_bytes:
                     shard.rows.append(_copied(batch.column("row"), begun, i))
                     yield shard.packed(number)
-                    number, begun, shard, size = number + 1, i, _Shard(), 0
+                    begun, shard, size = i, _Shard(), 0
                 shard.add(data)
                 size += len(data)
             shard.rows.append(_copied(batch.column("row"), begun, batch.num_rows))
         if sum(map(len, shard.rows)):
             yield shard.packed(number)
 
-    local = stage(slim.mapInArrow(encode, f"shard long, rows array<{kind}>, words array<binary>, indptr binary, "
-                                          "terms binary, counts binary"), "local-shards")
-    # A word is numbered by the first of its rows, so one shuffle by word numbers them all.
-    used = local.select("shard", F.posexplode("words").alias("at", "word")).withColumn(
-        "id", F.monotonically_increasing_id())
-    term = F.min("id").over(Window.partitionBy("word"))
-    numbered = stage(used.withColumn("term", term).select(
-        "shard", "at", "term", F.when(F.col("id") == F.col("term"), F.col("word")).alias("word")), "numbered")
-    # One shard's vocabulary is bounded by the shard's bytes.
-    numbers = numbered.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("at", "term")))["term"].alias("numbers"))
+    local = stage(slim.mapInArrow(encode, f"rows array<{kind}>, words array<binary>, numbers array<bigint>, "
+                                          "indptr binary, terms binary, counts binary"), "local-shards")
+    known = stage(local.select(F.explode(F.arrays_zip("words", "numbers")).alias("w"))
+                  .select(F.col("w.words").alias("word"), F.col("w.numbers").alias("term")).distinct(), "dictionary")
+    twice = known.groupBy("term").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("term")
+    clashing = sorted((r.term, bytes(r.word)) for r in known.join(twice, "term").collect())
+    second = [word for k, (term, word) in enumerate(clashing) if k and clashing[k - 1][0] == term]
+    instead = {word: -1 - k for k, word in enumerate(second)}
 
     def renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
                 numbers = one.column("numbers").flatten().to_numpy()
+                if instead:
+                    words = one.column("words").flatten().to_pylist()
+                    numbers = np.array([instead.get(w, n) for w, n in zip(words, numbers)], np.int64)
                 at = np.frombuffer(one.column("terms")[0].as_py(), np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [one.column("shard"), one.column("rows"), one.column("indptr"),
+                    [one.column("rows"), one.column("indptr"),
                      pa.array([numbers[at].astype(np.int64).tobytes()], pa.binary()), one.column("counts")],
-                    ["shard", "rows", "indptr", "terms", "counts"])
-    matrix = local.drop("words").join(numbers, "shard", "left").mapInArrow(
-        renumber, f"shard long, rows array<{kind}>, indptr binary, terms binary, counts binary")
-    return matrix, numbered.filter("word is not null").select("word", "term")
+                    ["rows", "indptr", "terms", "counts"])
+    matrix = (local if instead else local.drop("words")).mapInArrow(
+        renumber, f"rows array<{kind}>, indptr binary, terms binary, counts binary")
+    if instead:
+        place = F.create_map(*[F.lit(x) for pair in instead.items() for x in pair])
+        known = known.withColumn("term", F.coalesce(F.try_element_at(place, F.col("word")), F.col("term")))
+    return matrix, known
 
 
 def _copied(rows: pa.Array, begin: int, end: int) -> pa.Array:
@@ -99,18 +111,19 @@ class _Shard:
         self.counts.append(np.fromiter(found.values(), np.int32, len(found)))
         self.indptr.append(self.indptr[-1] + len(found))
 
-    def packed(self, number: int) -> pa.RecordBatch:
+    def packed(self, number: Callable[[bytes], int]) -> pa.RecordBatch:
         rows = pa.concat_arrays(self.rows)
         buffers = (np.array(self.indptr, np.int64), np.concatenate(self.terms), np.concatenate(self.counts))
         return pa.RecordBatch.from_arrays(
-            [pa.array([number]), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows),
+            [pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows),
              pa.array([list(self.vocabulary)], pa.list_(pa.binary())),
+             pa.array([np.fromiter(map(number, self.vocabulary), np.int64, len(self.vocabulary))]),
              *[pa.array([b.tobytes()], pa.binary()) for b in buffers]],
-            ["shard", "rows", "words", "indptr", "terms", "counts"])
+            ["rows", "words", "numbers", "indptr", "terms", "counts"])
 
 
 def row_totals(shards: DataFrame) -> DataFrame:
-    """(row, n_words, n_distinct) for every row of the shards: row sums and entries per row."""
+    """(row, n_words, n_distinct) for every row of the shards: row sums and numbers of terms."""
     kind = shards.schema["rows"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

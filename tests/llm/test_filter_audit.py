@@ -3,10 +3,11 @@ from collections import Counter
 from itertools import permutations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from stridemill.llm.audit_queries import op11_filter_audit
-from stridemill.llm.filter_audit import row_totals, term_shards
+from stridemill.llm.filter_audit import number_of, row_totals, term_shards
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -63,10 +64,12 @@ def test_no_documents_and_no_labels(spark, make_docs, as_tables):
     assert op11_filter_audit(spark, folder).collect() == []
 
 
-def test_matrix_holds_every_count(spark, make_docs):
+@pytest.mark.parametrize("number", [number_of, len, lambda word: 7], ids=["hash", "length", "one"])
+def test_matrix_holds_every_count(spark, make_docs, number):
+    """Also where many words, or all, have the same hash."""
     draw = random.Random(12)
     texts = [" ".join(draw.choices("a b c dd ee A é zz".split(), k=draw.randrange(0, 30))) for _ in range(200)] + [None, "", "q " * 5000]
-    shards, dictionary = term_shards(make_docs([(i, t, None, None) for i, t in enumerate(texts)]).repartition(3), "text", shard_bytes=300)
+    shards, dictionary = term_shards(make_docs([(i, t, None, None) for i, t in enumerate(texts)]).repartition(3), "text", 300, number)
     word = {r.term: bytes(r.word).decode() for r in dictionary.collect()}
     assert len(word) == len(set(word.values())) == len(set(" ".join(t or "" for t in texts).split()))
     seen, parts = {}, shards.collect()
