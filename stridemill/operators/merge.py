@@ -25,57 +25,22 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .. import fsio
 from ..session import shared_dir
 from .dedupe import dedupe_microbatch
+from .filters import in_folders, key_match, matched, unmatched, value_range, value_set
+from .places import KeyPlaces
 from .tables import (BATCH_COLUMN, BatchId, add_partitions, append_batch, batch_path, create_partitioned,
                      drop_partitions, read_batches, write_partitioned)
 
 
-def key_match(left: str, right: str, keys: Sequence[str], null_safe: bool) -> Column:
-    pairs = [(F.col(f"{left}.{k}"), F.col(f"{right}.{k}")) for k in keys]
-    return reduce(and_, [a.eqNullSafe(b) if null_safe else a == b for a, b in pairs])
-
-
-def value_range(df: DataFrame, column: str) -> Column:
-    """Filter that keeps the range of ``column`` seen in ``df`` (one small aggregate)."""
-    seen = df.agg(F.min(column).alias("low"), F.max(column).alias("high"),
-                  (F.count(F.lit(1)) > F.count(column)).alias("has_null")).first()
-    if seen["low"] is None:
-        return F.col(column).isNull() if seen["has_null"] else F.lit(False)
-    within = F.col(column).between(F.lit(seen["low"]), F.lit(seen["high"]))
-    return within | F.col(column).isNull() if seen["has_null"] else within
-
-
-def value_set(df: DataFrame, column: str) -> Column:
-    """Filter that keeps the values of ``column`` seen in ``df``.
-
-    For columns with few values, such as months: they come to the driver, and the filter
-    prunes partitions.
-    """
-    seen = [r[0] for r in df.select(column).distinct().collect()]
-    within = F.col(column).isin([v for v in seen if v is not None])
-    return within | F.col(column).isNull() if None in seen else within
-
-
-def matched(target: DataFrame, source: DataFrame, keys: Sequence[str], null_safe: bool) -> DataFrame:
-    """Target rows whose keys the source has."""
-    wanted = source.select(*keys).distinct()
-    return target.alias("t").join(wanted.alias("w"), key_match("t", "w", keys, null_safe), "left_semi")
-
-
-def unmatched(source: DataFrame, target: DataFrame, keys: Sequence[str], null_safe: bool = True) -> DataFrame:
-    """Source rows whose keys the target lacks.
-
-    The target's share is cut to distinct, actually occurring keys before the anti-join:
-    a key repeated in a third of the target arrives there once.
-    """
-    present = matched(target.select(*keys), source, keys, null_safe).distinct()
-    return source.alias("s").join(present.alias("p"), key_match("s", "p", keys, null_safe), "left_anti")
+# What a merge through the catalog writes lies here, a folder for each batch with its rows, its
+# plan and, once the catalog points at the rows, a mark.
+VERSIONS, PUBLISHED = "_versions", "_published"
 
 
 def merge_insert(source: DataFrame, target: str, keys: Sequence[str], batch_id: BatchId, *, null_safe: bool = True,
@@ -116,18 +81,22 @@ def ensure_table(spark: SparkSession, name: str, schema: StructType, partitions:
 
 
 def merge_newest(source: DataFrame, target: str, keys: Sequence[str], partitions: Sequence[str], batch_id: BatchId, *,
-                 newest_by: str, prune_by: str | None = None, catalog_table: str | None = None) -> int:
+                 newest_by: str, prune_by: str | None = None, catalog_table: str | None = None,
+                 places: str | None = None) -> int:
     """Keep the newest row of every key, whichever batch brings it and in whatever order.
 
     The result doesn't depend on how deliveries are cut into batches.  Keys match null-safely.
-    A key's rows must lie in partitions that ``prune_by`` keeps together.
+    A key's rows must lie in partitions that ``prune_by`` keeps together.  ``places`` names a
+    folder in which the merge keeps where every key lies (see :mod:`places`): it then reads
+    only the partitions of the batch's keys, however rows move between partitions.
     """
     def rows(current: DataFrame) -> DataFrame:
         known = matched(current.select(*source.columns), source, keys, null_safe=True)
         return dedupe_microbatch(known.unionByName(source), keys, (newest_by,))
 
+    known = KeyPlaces(places, keys, partitions) if places else None
     return _rewrite(source, source, rows, target, keys, partitions, batch_id, source.schema, prune_by, True,
-                    catalog_table)
+                    catalog_table, known)
 
 
 def upsert_data(batch: DataFrame, batch_id: BatchId, target_table: str, key_columns: Sequence[str],
@@ -178,7 +147,7 @@ def merge_groups(source: DataFrame, target: str, keys: Sequence[str], partitions
 
 def _rewrite(source: DataFrame, matching: DataFrame | None, new_rows: Callable[[DataFrame], DataFrame], target: str,
              keys: Sequence[str], partitions: Sequence[str], batch_id: BatchId, schema: StructType | None,
-             prune_by: str | None, null_safe: bool, catalog_table: str | None) -> int:
+             prune_by: str | None, null_safe: bool, catalog_table: str | None, places: KeyPlaces | None = None) -> int:
     """Common part of the partitioned merges.
 
     New rows go to folders of their own batch.  Older folders are rewritten only if they
@@ -193,8 +162,10 @@ def _rewrite(source: DataFrame, matching: DataFrame | None, new_rows: Callable[[
     spark, batch = source.sparkSession, str(batch_id)
     schema = schema or source.schema
     slots = [*partitions, BATCH_COLUMN]
-    stage = f"{target}/_versions/{_safe(batch)}" if catalog_table else staging_folder(spark, target, batch)
+    stage = f"{target}/{VERSIONS}/{_safe(batch)}" if catalog_table else staging_folder(spark, target, batch)
     if catalog_table:
+        if fsio.exists(spark, f"{stage}/{PUBLISHED}"):  # a repeated batch; its files may be gone or outdated
+            return len(json.loads(fsio.read_text(spark, f"{stage}/plan.json"))["rewritten"])
         ensure_table(spark, catalog_table, schema, partitions, target)
 
     if not fsio.exists(spark, f"{stage}/plan.json"):
@@ -203,6 +174,8 @@ def _rewrite(source: DataFrame, matching: DataFrame | None, new_rows: Callable[[
         current = table.filter(F.col(BATCH_COLUMN) != batch)
         prune = value_set if prune_by in partitions else value_range
         candidates = current.filter(prune(source, prune_by)) if prune_by else current
+        if places:
+            candidates = candidates.filter(places.within(source, current, batch))
         touched = table.filter(F.col(BATCH_COLUMN) == batch).select(*slots)  # left by a run whose staged copy is gone
         if matching is not None:
             touched = touched.unionByName(matched(candidates.select(*dict.fromkeys([*keys, *slots])), matching, keys,
@@ -211,7 +184,7 @@ def _rewrite(source: DataFrame, matching: DataFrame | None, new_rows: Callable[[
         fresh = new_rows(candidates.drop(BATCH_COLUMN)).withColumn(BATCH_COLUMN, F.lit(batch))
         if touched and matching is not None:
             wanted = matching.select(*keys).distinct()
-            kept = current.filter(_in_folders(slots, touched)).alias("t").join(
+            kept = current.filter(in_folders(slots, touched)).alias("t").join(
                 wanted.alias("s"), key_match("t", "s", keys, null_safe), "left_anti")
             fresh = kept.unionByName(fresh)
         write_partitioned(fresh, f"{stage}/rows", slots)
@@ -225,6 +198,7 @@ def _rewrite(source: DataFrame, matching: DataFrame | None, new_rows: Callable[[
         add_partitions(spark, catalog_table, plan["written"], f"{stage}/rows")
         drop_partitions(spark, catalog_table, emptied)  # all their rows were replaced
         spark.catalog.refreshTable(catalog_table)
+        fsio.write_text(spark, f"{stage}/{PUBLISHED}", "")
         return len(plan["rewritten"])
     movable = fsio.same_file_system(spark, stage, target)
     if plan["written"] and not movable:  # renames do not cross file systems: copy as a Spark job
@@ -251,13 +225,6 @@ def _safe(name: str) -> str:
     return re.sub(r"[^A-Za-z0-9-]", "_", name)
 
 
-def _in_folders(slots: Sequence[str], folders: list[tuple]) -> Column:
-    """Filter on partition columns only, as one set lookup, so pruning happens before the scan."""
-    absent, between = "\u0001", "\u0002"
-    label = F.concat_ws(between, *[F.coalesce(F.col(c).cast("string"), F.lit(absent)) for c in slots])
-    return label.isin([between.join(absent if v is None else str(v) for v in row) for row in folders])
-
-
 def _folder_name(spark: SparkSession, slots: Sequence[str], values: tuple) -> str:
     naming = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
     return "/".join(naming.getPartitionPathString(c, None if v is None else str(v))

@@ -82,8 +82,11 @@ def compact(spark: SparkSession, table: str, schema: StructType, destination: st
 
     The copy is a new folder: readers keep the old one until the catalog entry moves.  It
     takes the newest batch's name, and every batch it holds leaves an empty committed folder,
-    so that a batch retried afterwards is still known.
+    so that a batch retried afterwards is still known.  For tables without other partitions;
+    :mod:`upkeep` packs what the partitioned merges write.
     """
+    if any(f"/{BATCH_COLUMN}=" not in p for p in fsio.data_files(spark, table)):
+        raise ValueError(f"{table} has partitions besides its batches")
     batches = sorted((p.rsplit(f"{BATCH_COLUMN}=", 1)[1] for p in fsio.data_files(spark, table)), key=_batch_order)
     if not batches:
         return
@@ -238,14 +241,20 @@ def drop_partitions(spark: SparkSession, table: str, folders: Sequence[str]) ->
         spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {', '.join(specs[at:at + 200])}")
 
 
-def _spec(spark: SparkSession, folder: str) -> str:
+def partition_values(spark: SparkSession, folder: str) -> tuple[str | None, ...]:
+    """The values a partition's name spells, as text."""
     naming = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
-    pairs = [part.split("=", 1) for part in folder.split("/")]
-    return "(" + ", ".join(f"`{c}` = {_literal(naming.unescapePathName(v))}" for c, v in pairs) + ")"
+    values = [naming.unescapePathName(part.split("=", 1)[1]) for part in folder.split("/")]
+    return tuple(None if v == "__HIVE_DEFAULT_PARTITION__" else v for v in values)
+
+
+def _spec(spark: SparkSession, folder: str) -> str:
+    columns = [part.split("=", 1)[0] for part in folder.split("/")]
+    return "(" + ", ".join(f"`{c}` = {_literal(v)}" for c, v in zip(columns, partition_values(spark, folder))) + ")"
 
 
-def _literal(value: str) -> str:
-    if value == "__HIVE_DEFAULT_PARTITION__":
+def _literal(value: str | None) -> str:
+    if value is None:
         return "NULL"
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 

@@ -129,7 +129,8 @@ class SilverLoad:
     valid one of its business key stays; the result is the same however batches are cut.
 
     The table is laid out by the month of the activity.  Inserting reads only the months of
-    the batch; for ``newest`` a row may move between months, so all are searched by key.
+    the batch; for ``newest`` a row may move between months, so the months of every key are
+    kept beside the table, and those of the batch's keys are read.
     """
 
     target: str
@@ -152,7 +153,7 @@ class SilverLoad:
             valid = T.add_silver_ingestion_time(checked.valid).withColumn(MONTH, F.date_format("start_date", "yyyy-MM"))
             if newest:
                 merge_newest(valid, self.target, self.business_keys, [MONTH], batch_id, newest_by=self.order_cols[0],
-                             catalog_table=self.catalog_table)
+                             catalog_table=self.catalog_table, places=f"{self.target}/_places")
             else:
                 merge_insert(valid, self.target, self.merge_keys, batch_id, prune_by=MONTH, partitions=[MONTH],
                              catalog_table=self.catalog_table)

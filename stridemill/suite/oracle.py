@@ -255,6 +255,11 @@ def oracle_sql() -> dict[str, str]:
             " cast(o_day as varchar) as o_day, status, year from (select * from old where o_orderkey is null or"
             " o_orderkey not in (select o_orderkey from fresh where o_orderkey is not null)"
             " union all select * from fresh)",
+        "j7_packed_upsert":
+            f"with {_ORDER_UPSERT} select o_orderkey, o_custkey, o_totalprice, o_orderpriority,"
+            " cast(o_day as varchar) as o_day, status, year from (select * from old where o_orderkey is null or"
+            " o_orderkey not in (select o_orderkey from fresh where o_orderkey is not null)"
+            " union all select * from fresh)",
         # aggregates
         "a1_weekly_runs": f"{silver}, {WEEKLY} select * from weekly",
         "a2_type_counts": f"{silver} select type, count(*) as total from silver group by type",
@@ -341,6 +346,10 @@ def oracle_sql() -> dict[str, str]:
         "t3_feature_stream": f"with {TWO_BATCHES}, {SILVER_DETAILS}"
                              f" select {FEATURE_LIST} from merged a {FEATURE_JOIN}",
         "t4_silver_stream": f"with {TWO_BATCHES} select {valid_columns} from merged",
+        "t4_newest_stream":
+            f"with {BRONZE}, " + derived("every", "select * from bronze")
+            + f", valid as (select * from every where {reasons(_RULES)} = '') select {valid_columns} from ("
+            + latest("valid", STREAM_KEYS, NEWEST) + ")",
         "t4_detail_stream":
             f"{bronze}, {DETAILS} select id, athlete_id, cast({DATE} as varchar) as start_date, calories from ("
             + latest("bronze_details", STREAM_KEYS, NEWEST) + ") where id is not null and athlete_id is not null"

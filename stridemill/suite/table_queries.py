@@ -10,6 +10,7 @@ from ..functions import transforms as T
 from ..operators import tables as B
 from ..operators.merge import merge_insert, merge_upsert
 from ..operators.quality import ACTIVITY_RULES, assert_quality
+from ..operators.upkeep import compact_merged, reclaim
 from ..plans import control as K
 from ..plans import silver as S
 from ..plans.features import FeatureLoad, features
@@ -299,7 +300,16 @@ def j6_merge_insert(spark, sf_dir):
 
 def j7_merge_upsert(spark, sf_dir):
     database, target = scratch_database(spark, "j7"), f"{run_dir(spark, 'j7_data')}/orders"
-    name = f"{database}.orders"
+    name, keys, slots = f"{database}.orders", ["o_orderkey"], ["year", "status"]
+    base, fresh = _upserted_orders(spark, sf_dir)
+    merge_upsert(base.filter("o_day < DATE '1998-01-01'"), target, keys, slots, 0, catalog_table=name)
+    for _ in range(2):
+        merge_upsert(fresh, target, keys, slots, 1, prune_by="o_orderkey", catalog_table=name)
+    return plain(spark.read.table(name).select(*base.columns))
+
+
+def _upserted_orders(spark, sf_dir):
+    """Orders, some without a key, and later ones at another price and partly in another partition."""
     key = F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderkey"))
     base = table(spark, sf_dir, "orders").select(
         key.alias("o_orderkey"), "o_custkey", "o_totalprice", "o_orderpriority",
@@ -308,10 +318,21 @@ def j7_merge_upsert(spark, sf_dir):
     moved = F.when(F.col("o_orderpriority") == "1-URGENT", "U").otherwise(F.col("status"))
     fresh = base.filter("o_day >= DATE '1997-06-01'").withColumns({"o_totalprice": F.col("o_totalprice") * 2,
                                                                    "status": moved})
-    keys, slots = ["o_orderkey"], ["year", "status"]
-    merge_upsert(base.filter("o_day < DATE '1998-01-01'"), target, keys, slots, 0, catalog_table=name)
-    for _ in range(2):
-        merge_upsert(fresh, target, keys, slots, 1, prune_by="o_orderkey", catalog_table=name)
+    return base, fresh
+
+
+def j7_packed_upsert(spark, sf_dir):
+    """The same upserts in smaller batches, with packing and removal of old files in between and a repeat of all."""
+    database, target = scratch_database(spark, "j7_packed"), f"{run_dir(spark, 'j7_packed_data')}/orders"
+    name, slots = f"{database}.orders", ["year", "status"]
+    base, fresh = _upserted_orders(spark, sf_dir)
+    batches = [base.filter("o_day < DATE '1995-01-01'"), base.filter("o_day between DATE '1995-01-01' and DATE '1996-12-31'"),
+               base.filter("o_day between DATE '1997-01-01' and DATE '1997-12-31'"), fresh]
+    for batch, rows in enumerate([*batches, *batches]):
+        merge_upsert(rows, target, ["o_orderkey"], slots, batch % 4, prune_by="o_orderkey", catalog_table=name)
+        if batch in (2, 4):
+            compact_merged(spark, name, target)
+            reclaim(spark, name, target, older_than=0)
     return plain(spark.read.table(name).select(*base.columns))
 
 
@@ -357,6 +378,20 @@ def t4_silver_stream(spark, sf_dir):
     return plain(spark.read.table(f"{database}.silver").select(*CHECKED_COLUMNS))
 
 
+def t4_newest_stream(spark, sf_dir):
+    """The newest valid delivery of every activity, the second deliveries first, with upkeep in between."""
+    database, work = scratch_database(spark, "t4_newest"), run_dir(spark, "t4_newest_data")
+    name = f"{database}.silver"
+    load = S.activity_load(f"{work}/silver", f"{work}/rejects", keep="newest", catalog_table=name)
+    for batch in (1, 0):
+        rows = bronze_activities(spark, sf_dir, redelivery=batch)
+        B.append_batch(rows, f"{work}/bronze", batch)
+        load.run_stream(B.stream_batches(spark, f"{work}/bronze", rows.schema), f"{work}/silver_checkpoint")
+        compact_merged(spark, name, f"{work}/silver")
+        reclaim(spark, name, f"{work}/silver", older_than=0)
+    return plain(spark.read.table(name).select(*CHECKED_COLUMNS))
+
+
 def t4_stream_rejects(spark, sf_dir):
     work = run_dir(spark, "t4_rejects")
     _run_silver(spark, sf_dir, work)
@@ -387,5 +422,5 @@ QUERIES = {f.__name__: f for f in (
     s1_bronze_stream, s1_bronze_rescue, s2_schema_evolution, s3_stream_from_table, s4_table_scan, s5_json_documents, s6_csv_scan,
     s7_stream_view_sql, s8_catalog_top_n, k2_run_log, k4_append, k5_overwrite_schema, k6_overwrite_table,
     k7_external_table, k8_partitioned_table, k9_create_as_select, k10_csv_export, k11_typed_insert, k12_maintenance,
-    k13_archive, p1_nested_owner, j6_merge_insert, j7_merge_upsert, q4_stored_rejects, t2_restarted_stream,
-    t3_feature_stream, t4_silver_stream, t4_stream_rejects, t4_detail_stream)}
+    k13_archive, p1_nested_owner, j6_merge_insert, j7_merge_upsert, j7_packed_upsert, q4_stored_rejects, t2_restarted_stream,
+    t3_feature_stream, t4_silver_stream, t4_newest_stream, t4_stream_rejects, t4_detail_stream)}

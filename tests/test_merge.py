@@ -4,6 +4,7 @@ import pytest
 
 from conftest import listed
 from stridemill import fsio
+from stridemill.operators import filters
 from stridemill.operators import merge as M
 from stridemill.operators import tables as B
 from stridemill.session import run_dir
@@ -154,9 +155,9 @@ def test_groups_are_replaced_whole(spark):
 def test_value_range(spark):
     df = spark.createDataFrame([(3,), (None,), (7,)], "x long")
     probe = spark.createDataFrame([(2,), (3,), (5,), (7,), (8,), (None,)], "x long")
-    assert listed(probe.filter(M.value_range(df, "x"))) == [(3,), (5,), (7,), (None,)]
-    assert listed(probe.filter(M.value_range(df.filter("x is null"), "x"))) == [(None,)]
-    assert probe.filter(M.value_range(df.filter("false"), "x")).isEmpty()
+    assert listed(probe.filter(filters.value_range(df, "x"))) == [(3,), (5,), (7,), (None,)]
+    assert listed(probe.filter(filters.value_range(df.filter("x is null"), "x"))) == [(None,)]
+    assert probe.filter(filters.value_range(df.filter("false"), "x")).isEmpty()
 
 
 def test_merged_tables_are_seen_through_the_catalog(spark):
@@ -213,4 +214,4 @@ def test_partitioned_insert_replays_and_prunes(spark):
         M.merge_insert(frame, target, ["a", "b"], batch, prune_by="m", partitions=["m"])
     assert listed(B.snapshot(spark, target, rows.schema)) == [
         (1, 1, "x", "2024-01"), (2, 1, "x", "2024-02"), (3, 1, "y", "2024-02")]
-    assert M.value_set(rows, "m") is not None
+    assert filters.value_set(rows, "m") is not None

@@ -1,0 +1,156 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import listed
+from stridemill import fsio
+from stridemill.operators import merge as M
+from stridemill.operators import tables as B
+from stridemill.operators import upkeep as U
+from stridemill.operators.places import KeyPlaces
+from stridemill.session import run_dir
+from stridemill.suite.table_queries import scratch_database
+
+ROW = "k long, v long, month string"
+
+
+@pytest.fixture
+def merged(spark):
+    return f"{scratch_database(spark, 'upkeep')}.rows", f"{run_dir(spark, 'upkeep_data')}/rows"
+
+
+def newest(spark, table, target, rows, batch, places=True):
+    return M.merge_newest(spark.createDataFrame(rows, ROW), target, ["k"], ["month"], batch, newest_by="v",
+                          catalog_table=table, places=f"{target}/_places" if places else None)
+
+
+def files(spark, target):
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{target}/_versions").filter(
+        F.col("_metadata.file_path").rlike("/_versions/[^/]*/rows/"))
+
+
+def random_batches(draw, count):
+    return [[(draw.randrange(60), 1000 * b + i, f"2024-0{draw.randrange(1, 6)}") for i in range(draw.choice([1, 8, 30]))] for b in range(count)]
+
+
+def best(batches):
+    rows = {}
+    for row in sorted((r for batch in batches for r in batch), key=lambda r: r[1]):
+        rows[row[0]] = row
+    return sorted(rows.values(), key=str)
+
+
+def test_many_merges_pack_into_one_folder_a_month(spark, merged):
+    table, target = merged
+    batches = random_batches(random.Random(1), 6)
+    for b, rows in enumerate(batches):
+        newest(spark, table, target, rows, b)
+    want = [r for r in best(batches)]
+    crowded = U._crowded(spark, table)
+    assert len(crowded) == 5 and U.compact_merged(spark, table, target) == 5
+    assert listed(spark.read.table(table).select("k", "v", "month")) == want
+    parts = [r[0] for r in spark.sql(f"SHOW PARTITIONS {table}").collect()]
+    assert len(parts) == 5 and all("packed-" in p for p in parts)
+
+    # the default spares what a running reader may still have open
+    assert U.reclaim(spark, table, target) == 0
+    assert U.reclaim(spark, table, target, older_than=0) > 5
+    assert U.unreferenced(spark, table, target).count() == 0 == U.reclaim(spark, table, target, older_than=0)
+    used = {r[0] for r in spark.read.table(table).select("_metadata.file_path").distinct().collect()}
+    assert {r[0] for r in files(spark, target).select("_metadata.file_path").collect()} == used
+
+    for b in (0, 5):  # repeated batches are known, though their files are gone
+        newest(spark, table, target, batches[b], b)
+    assert U.compact_merged(spark, table, target) == 0
+    assert listed(spark.read.table(table).select("k", "v", "month")) == want
+    more = random_batches(random.Random(2), 2)
+    for b, rows in enumerate(more):
+        newest(spark, table, target, [(k, v + 50_000, m) for k, v, m in rows], f"more-{b}")
+    assert listed(spark.read.table(table).select("k", "v", "month")) == best(
+        [*batches, *[[(k, v + 50_000, m) for k, v, m in rows] for rows in more]])
+
+
+def test_a_run_that_dies_is_taken_up_again(spark, merged, monkeypatch):
+    table, target = merged
+    batches = [[(k, 10 * b + k, f"2024-0{1 + k % 3}") for k in range(b, b + 9)] for b in range(0, 40, 20)]
+    for b, rows in enumerate(batches):
+        newest(spark, table, target, rows, b)
+    calls = []
+
+    def dies(*args, **kwargs):
+        calls.append(args)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return B.drop_partitions(*args, **kwargs)
+    monkeypatch.setattr(U, "drop_partitions", dies)
+    with pytest.raises(RuntimeError):
+        U.compact_merged(spark, table, target)
+    monkeypatch.undo()
+    assert U.reclaim(spark, table, target, older_than=0) >= 0
+    U.compact_merged(spark, table, target)
+    assert listed(spark.read.table(table).select("k", "v", "month")) == best(batches)
+    assert spark.sql(f"SHOW PARTITIONS {table}").count() == 3
+
+
+def test_unfinished_batches_and_other_tables_are_refused(spark, merged):
+    table, target = merged
+    for b in (0, 1):
+        newest(spark, table, target, [(b, b, "2024-01")], b)
+    fsio.delete(spark, f"{target}/_versions/1/_published")  # as if the merge had died before its mark
+    with pytest.raises(ValueError, match="repeat it first"):
+        U.compact_merged(spark, table, target)
+    newest(spark, table, target, [(1, 1, "2024-01")], 1)
+    assert U.compact_merged(spark, table, target, cluster_by=["k"]) == 1
+    flat = f"{table}_flat"
+    M.merge_insert(spark.createDataFrame([(1, 1, "m")], ROW), f"{target}_flat", ["k"], 0, catalog_table=flat)
+    with pytest.raises(ValueError, match="tables.compact"):
+        U.compact_merged(spark, flat, f"{target}_flat")
+    with pytest.raises(ValueError, match="besides its batches"):
+        B.compact(spark, f"{M.VERSIONS and target}/_versions/0/rows", spark.createDataFrame([], ROW).schema, f"{target}_new")
+
+
+def test_null_and_odd_partition_values(spark, merged):
+    table, target = merged
+    rows = [(1, 1, None), (2, 1, "a b/c=d"), (3, 1, "x'y")]
+    newest(spark, table, target, rows, 0)
+    newest(spark, table, target, [(k + 10, v, m) for k, v, m in rows], 1)
+    assert U.compact_merged(spark, table, target) == 3
+    U.reclaim(spark, table, target, older_than=0)
+    assert listed(spark.read.table(table).select("k", "v", "month")) == listed(
+        spark.createDataFrame(rows + [(k + 10, v, m) for k, v, m in rows], ROW))
+
+
+def test_places_name_only_the_months_of_the_batch(spark, merged):
+    table, target = merged
+    newest(spark, table, target, [(k, k, f"2024-{1 + k % 12:02d}") for k in range(48)], 0)
+    source = spark.createDataFrame([(5, 900, "2024-02"), (17, 901, "2024-06"), (100, 1, "2025-01"), (None, 3, "2024-03")], ROW)
+    places = KeyPlaces(f"{target}/_places", ["k"], ["month"])
+    current = spark.read.table(table)
+    found = current.filter(places.within(source, current, 1))
+    months = {r[0] for r in found.select("month").distinct().collect()}
+    assert months == {"2024-06", "2024-02", "2024-03"}
+    read = {f.split("month=")[1][:7] for f in found.inputFiles()}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "2025-01" in plan and read >= months
+    scanned = found.select(F.input_file_name().alias("f")).distinct().collect()
+    assert {r.f.split("month=")[1][:7] for r in scanned} == months
+    places.compact(current.schema, spark, "packed-1")
+    assert {tuple(r) for r in places.read(source).collect()} >= {(5, "2024-06"), (5, "2024-02"), (100, "2025-01"), (None, "2024-03")}
+    assert places.read(source).count() == places.read(source).distinct().count()
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_any_cut_gives_the_same_rows_with_and_without_places(spark, seed, merged):
+    table, target = merged
+    draw = random.Random(seed)
+    rows = [(draw.randrange(25), v, f"2024-0{draw.randrange(1, 5)}") for v in range(120)]
+    draw.shuffle(rows)
+    cuts = sorted(draw.sample(range(1, 119), 4))
+    batches = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, 120])]
+    for b, part in enumerate(batches):
+        # a table that had rows before places were kept is entered on first use
+        newest(spark, table, target, part, b, places=b > 0)
+        if b == 2:
+            newest(spark, table, target, part, b)
+    assert listed(spark.read.table(table).select("k", "v", "month")) == best([rows])
