@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +13,10 @@ from pyspark.sql.types import StructType
 
 from .. import fsio
 from ..functions.transforms import add_athlete_id, add_ingestion_time
-from ..operators.tables import BatchId, append_batch, held
+from ..operators.tables import BatchId, append_batch, batch_path, held, read_batches
 from ..streaming.runs import RunLog, append_stream, batch_stream, finish
 from .evolution import SchemaStore, conform, evolve, observed_schema, parse_lines
+from .moving import mover, reachable
 
 
 class BronzeLoader:
@@ -125,24 +128,47 @@ def load_bronze(input_path: str, output_path: str, format_file: str, checkpoint_
     return loader.write_to_bronze(rows, output_path)
 
 
+ARCHIVED = "query string, path string, moved boolean"
+
+
 def archive_landing(spark: SparkSession, landing: str, archive: str, checkpoint: str) -> int:
     """Move the landing files that a stream has read and committed into a (dated) folder.
 
     Which ones those are is in the stream's own checkpoint; a file that landed since stays and
-    is read by the next run.  Moving is a rename, so no content travels; the names of the
-    files to move pass through the driver one after the other.  Returns how many moved.
+    is read by the next run.  The list stays a table: tasks rename the files of their share (no
+    content travels), and what they did is a batch of the manifest beside the checkpoint.  Files
+    of earlier manifests are left out, so a run looks only at what was read since, and a file
+    that lands again under an old name is not taken for a read one.  A run that died is
+    repeated: files it had moved already count as moved.  Returns how many moved.
+
+    Tasks reach the file system through Arrow.  Where that cannot open the landing (a store
+    only Hadoop knows), the driver renames one file after the other instead.
     """
     commits = [name for name in (p.rsplit("/", 1)[1] for p in fsio.children(spark, f"{checkpoint}/commits"))
                if name.isdigit()]
     if not commits:
         return 0
+    query, last = json.loads(fsio.read_text(spark, f"{checkpoint}/metadata"))["id"], max(map(int, commits))
+    manifest, root = f"{checkpoint.rstrip('/')}-archived", fsio.qualified(spark, landing)
+    known = read_batches(spark, manifest, StructType.fromDDL(ARCHIVED)).filter(F.col("query") == query)
     entries = spark.read.schema("path string, batchId long").json(f"{checkpoint}/sources/*/*")
-    read = (entries.filter(F.col("path").isNotNull() & (F.col("batchId") <= max(map(int, commits))))
-            .select("path").distinct())
-    root, moved = fsio.qualified(spark, landing), 0
-    for row in read.toLocalIterator():
-        path = fsio.decoded(spark, row["path"])
-        if path.startswith(f"{root}/") and fsio.exists(spark, path):
-            fsio.rename(spark, path, f"{archive}/{path[len(root) + 1:]}")
-            moved += 1
-    return moved
+    read = (entries.filter(F.col("path").isNotNull() & (F.col("batchId") <= last)).select("path").distinct()
+            .join(known.select("path"), "path", "left_anti"))
+    name = f"{query}-{last}-{hashlib.md5(archive.encode()).hexdigest()[:8]}"
+    if fsio.is_committed(spark, batch_path(manifest, name)):  # nothing new was read since
+        return 0
+    if reachable(root):
+        done = read.mapInPandas(mover(root, fsio.qualified(spark, archive)), "path string, moved boolean")
+    else:
+        done = spark.createDataFrame(
+            [(row.path, _rename(spark, row.path, root, archive)) for row in read.toLocalIterator()], "path string, moved boolean")
+    append_batch(done.select(F.lit(query).alias("query"), "path", "moved"), manifest, name)
+    return spark.read.parquet(batch_path(manifest, name)).filter("moved").count()
+
+
+def _rename(spark: SparkSession, uri: str, root: str, archive: str) -> bool:
+    path = fsio.decoded(spark, uri)
+    there = path.startswith(f"{root}/") and fsio.exists(spark, path)
+    if there:
+        fsio.rename(spark, path, f"{archive}/{path[len(root) + 1:]}")
+    return there

@@ -13,7 +13,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, DoubleType, LongType, NullType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, LongType, NullType, StringType, StructField, StructType
 
 from .. import fsio
 
@@ -114,42 +114,52 @@ def _extract(field: StructField) -> Column:
     else:  # paths know no quoting
         held, path = F.try_element_at(_entries(), F.lit(field.name)), "$"
     value = F.try_variant_get(held, path, field.dataType.simpleString())
-    if isinstance(field.dataType, LongType):
-        # a fraction would be cut off silently: treat it as not fitting
-        exact = F.try_variant_get(held, path, "double")
-        value = F.when(exact.isNull() | (exact == value.cast("double")), value)
-    elif isinstance(field.dataType, DoubleType):
-        # digits a double cannot hold
-        long_whole = F.try_variant_get(held, path, "string").rlike(r"^-?\d{16,}$")
-        value = F.when(~F.coalesce(long_whole, F.lit(False)), value)
+    if isinstance(field.dataType, (LongType, DoubleType)):
+        value = F.when(~_exceeds(F.try_variant_get(held, path, "variant"), field.dataType), value)
     return value
 
 
-def _holds_more(value: Column, kind: DataType) -> Column:
-    """Whether an object has a field, at any depth of nested objects, that its type does not name."""
-    if not isinstance(kind, StructType):
-        return F.lit(False)
-    entries = value.try_cast("map<string,variant>")
-    more = F.exists(F.map_keys(entries), lambda k: ~k.isin(kind.names))
-    for field in kind.fields:
-        if isinstance(field.dataType, StructType):
-            more = more | _holds_more(F.try_element_at(entries, F.lit(field.name)), field.dataType)
-    return F.coalesce(more, F.lit(False))
+def _exceeds(value: Column, kind: DataType) -> Column:
+    """Whether a value holds what its type cannot express, at any depth of objects and arrays: a
+    field the type does not name, a value of another kind, a fraction where it has whole
+    numbers, or digits a double cannot hold."""
+    if isinstance(kind, StructType):
+        typed = value.try_cast("map<string,variant>")
+        more = F.exists(F.map_keys(typed), lambda k: ~k.isin(kind.names))
+        for field in kind.fields:
+            if _can_exceed(field.dataType):
+                more = more | _exceeds(F.try_element_at(typed, F.lit(field.name)), field.dataType)
+    elif isinstance(kind, ArrayType):
+        typed = value.try_cast("array<variant>")
+        more = F.exists(typed, lambda item: _exceeds(item, kind.elementType)) if _can_exceed(kind.elementType) else F.lit(False)
+    else:
+        typed, more = value.try_cast(kind), F.lit(False)
+        if isinstance(kind, LongType):
+            more = value.try_cast("double") != typed.cast("double")
+        elif isinstance(kind, DoubleType):
+            more = value.try_cast("string").rlike(r"^-?\d{16,}$")
+    other = value.isNotNull() & ~F.is_variant_null(value) & typed.isNull()
+    return F.coalesce(more, F.lit(False)) | F.coalesce(other, F.lit(False))
+
+
+def _can_exceed(kind: DataType) -> bool:
+    return not isinstance(kind, StringType)
 
 
 def conform(documents: DataFrame, schema: StructType) -> DataFrame:
     """Typed columns of a schema, plus ``_rescued_data`` for all that did not fit.
 
-    An object with a nested field that the schema lacks is rescued whole beside its typed form.
+    An object or array with a nested field that the schema lacks, or a nested number that its
+    type would change, is rescued whole beside its typed form.
     """
     document, entries = F.col(DOCUMENT), _entries()
     schema = StructType([f for f in schema.fields if f.name != RESCUED])
     typed = documents.select(document, UNPARSED, *[_extract(f).alias(f.name) for f in schema.fields])
     names = [f.name for f in schema.fields]
-    nested = [f for f in schema.fields if isinstance(f.dataType, StructType)]
+    nested = [f for f in schema.fields if isinstance(f.dataType, (StructType, ArrayType))]
     misfits = F.array_compact(F.array(F.lit(None).cast("string"), *[
         F.when(F.col(f"`{n}`").isNull(), F.lit(n)) for n in names], *[
-        F.when(_holds_more(F.try_element_at(entries, F.lit(f.name)), f.dataType), F.lit(f.name)) for f in nested]))
+        F.when(_exceeds(F.try_element_at(entries, F.lit(f.name)), f.dataType), F.lit(f.name)) for f in nested]))
     left_over = F.map_filter(entries, lambda key, value: ~F.is_variant_null(value)
                              & (~key.isin(names) | F.array_contains(misfits, key)))
     rescued = (F.when(document.isNull(), F.col(UNPARSED))

@@ -186,6 +186,16 @@ def oracle_sql() -> dict[str, str]:
             " ',\"id\":99999999999999999999' else '' end, '}') as _rescued_data from events union all"
             " select null, null, null, null, concat('{broken ', cast(event_id as varchar)) from events"
             " where event_type = 'error'",
+        "s1_array_rescue":
+            "select event_id as id, user_id as athlete_id, event_id % 7 + 0.5e0 as km, user_id as x, case when event_type"
+            " = 'error' then concat('{\"laps\":[', " + ", ',', ".join(
+                f"""'{{"at":{{"x":', user_id, ',"y":', event_id, '}},"km":', event_id % 7 + 0.5e0, ',"lap":{k}{"" if k == 1 else ',"pulse":'}'{
+                    "" if k == 1 else ", event_id % 100"}, '}}'""" for k in (1, 2))
+            + ", ']}') end as _rescued_data from events",
+        "s2_array_evolution":
+            "select event_id as id, cast(lap as bigint) as lap, event_id % 7 + 0.5e0 as km, case when event_type = 'error' and"
+            " lap = 2 then event_id % 100 end as pulse, user_id as x, case when event_type = 'error' then event_id end as y,"
+            " cast(null as varchar) as _rescued_data from events, (values (1), (2)) l(lap)",
         "s2_schema_evolution":
             "select case when event_type = 'error' then null else event_id end as id, user_id as athlete_id, event_type"
             " as kind, case when event_type in ('view', 'click') then null else value end as value,"

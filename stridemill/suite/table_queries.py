@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from ..functions import transforms as T
 from ..operators import tables as B
@@ -18,6 +20,7 @@ from ..schemas import ATHLETE, CONTROL, FEATURE_PARTITIONS, FEATURES, struct
 from ..session import run_dir
 from ..sources import files
 from ..sources.bronze import BronzeLoader, archive_landing, load_bronze
+from ..sources.evolution import SchemaStore
 from ..streaming.runs import append_stream, batch_stream, finish
 from .batch_queries import CHECKED_COLUMNS, OWNER_STAMPS, chosen, details, silver
 from .mapping import activity_documents, bronze_activities, bronze_details, plain, table
@@ -65,6 +68,39 @@ def s1_bronze_rescue(spark, sf_dir):
     return spark.read.parquet(f"{work}/bronze").drop("ingestion_timestamp", "athlete")
 
 
+def _lap_documents(events):
+    """Activities with laps; those of errors have a field and a fraction that the others lack."""
+    error = F.col("event_type") == "error"
+    laps = F.array(*[F.struct(F.lit(k).alias("lap"), (F.col("event_id") % 7 + 0.5).alias("km"),
+                              F.when(error & (F.lit(k) == 2), F.col("event_id") % 100).alias("pulse"),
+                              F.struct(F.col("user_id").alias("x"), F.when(error, F.col("event_id")).alias("y")).alias("at"))
+                     for k in (1, 2)])
+    return events.select(F.col("event_id").alias("id"), F.struct(F.col("user_id").alias("id")).alias("athlete"), laps.alias("laps"))
+
+
+def s1_array_rescue(spark, sf_dir):
+    """The bronze job over documents with undeclared fields inside an array of objects."""
+    work = run_dir(spark, "s1_arrays")
+    _lap_documents(table(spark, sf_dir, "events")).write.json(f"{work}/landing")
+    load_bronze(f"{work}/landing", f"{work}/bronze", "json", f"{work}/checkpoint", spark=spark, declared=struct(
+        id="long", athlete=struct(id="long"), laps=ArrayType(struct(lap="long", km="double", at=struct(x="long")))))
+    return spark.read.parquet(f"{work}/bronze").select(
+        "id", "athlete_id", F.col("laps")[1]["km"].alias("km"), F.col("laps")[1]["at"]["x"].alias("x"), "_rescued_data")
+
+
+def s2_array_evolution(spark, sf_dir):
+    """Two intakes: the second lands new fields inside an array of objects."""
+    work = run_dir(spark, "s2_arrays")
+    loader = BronzeLoader(f"{work}/landing/*", f"{work}/checkpoint", "json", spark=spark)
+    events = table(spark, sf_dir, "events")
+    for part in (F.col("event_type") != "error", F.col("event_type") == "error"):
+        _lap_documents(events.filter(part)).write.json(f"{work}/landing/{uuid.uuid4().hex}")
+        loader.load_evolving(f"{work}/bronze")
+    shape = SchemaStore(spark, loader.schema_path).load().add("_rescued_data", "string")
+    laps = B.snapshot(spark, f"{work}/bronze", shape).select("id", F.inline("laps"), "_rescued_data")
+    return laps.select("id", "lap", "km", "pulse", "at.x", "at.y", "_rescued_data")
+
+
 def s2_schema_evolution(spark, sf_dir):
     """Two intakes: the second lands new fields (one named like a type, one with integers beyond
     BIGINT), ids of another type and broken lines."""
@@ -419,7 +455,8 @@ def t3_feature_stream(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    s1_bronze_stream, s1_bronze_rescue, s2_schema_evolution, s3_stream_from_table, s4_table_scan, s5_json_documents, s6_csv_scan,
+    s1_bronze_stream, s1_bronze_rescue, s1_array_rescue, s2_schema_evolution,
+    s2_array_evolution, s3_stream_from_table, s4_table_scan, s5_json_documents, s6_csv_scan,
     s7_stream_view_sql, s8_catalog_top_n, k2_run_log, k4_append, k5_overwrite_schema, k6_overwrite_table,
     k7_external_table, k8_partitioned_table, k9_create_as_select, k10_csv_export, k11_typed_insert, k12_maintenance,
     k13_archive, p1_nested_owner, j6_merge_insert, j7_merge_upsert, j7_packed_upsert, q4_stored_rejects, t2_restarted_stream,
