@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_small, stage, text_batches
@@ -17,6 +17,7 @@ from .shingles import common, mix64, shingle_set
 
 HASHES, ROWS, BANDS, STEP = 256, 5, 30, 32   # the bands take the first 150 hashes
 BLOCK = 1024             # members of a bucket that meet in one task
+SET_BYTES = 32 << 20     # and their shingle sets
 PAIRS_AT_ONCE = 50_000
 _RANDOM = np.random.default_rng(7919)
 _FACTOR = _RANDOM.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -105,14 +106,9 @@ def digest(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def _exact(pairs: DataFrame, members: DataFrame, frame: DataFrame, id_: str, text: str, width: int,
-           percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are alike enough.
-
-    Sets are made again from the texts of the rows in question, and only those travel.
-    """
-    wanted = stage(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-                   .join(members.select("rep", F.col("id").alias("_id"), "digest"), "rep"), "wanted")
+def _sets(reps: DataFrame, members: DataFrame, frame: DataFrame, id_: str, text: str, width: int) -> DataFrame:
+    """(rep, members): the full shingle sets of some classes, made again from their texts."""
+    wanted = stage(reps.join(members.select("rep", F.col("id").alias("_id"), "digest"), "rep"), "wanted")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,17 +123,24 @@ def _exact(pairs: DataFrame, members: DataFrame, frame: DataFrame, id_: str, tex
                      pa.array([sets[i].tobytes() for i in mine], pa.binary())], ["rep", "members"])
 
     texts = frame.select(frame[f"`{id_}`"].alias("_id"), frame[f"`{text}`"].alias("_text"))
-    sets = stage(join_small(texts, wanted, ["_id"], limit=500_000).mapInArrow(build, "rep long, members binary"),
+    return stage(join_small(texts, wanted, ["_id"], limit=500_000).mapInArrow(build, "rep long, members binary"),
                  "sets")
 
+
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = common(x, y)
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _exact(pairs: DataFrame, members: DataFrame, frame: DataFrame, id_: str, text: str, width: int,
+           percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are alike enough.  Only the sets in question travel."""
+    sets = _sets(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), members, frame, id_, text, width)
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             one, other = (map(lambda x: np.frombuffer(x, np.uint64), batch.column(c).to_pylist()) for c in "xy")
-            good = []
-            for i, (x, y) in enumerate(zip(one, other)):
-                both = common(x, y)
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    good.append(i)
+            good = [i for i, (x, y) in enumerate(zip(one, other)) if _alike(x, y, percent)]
             yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
     def side(node: str, name: str) -> DataFrame:
@@ -161,8 +164,9 @@ def near_duplicates(frame: DataFrame, id_: str, text: str, width: int = 5, perce
        similarity falls below ``miss``; what is left is verified on the full sets.
     4. Where the components leave a bucket in parts, its members meet in blocks, inside which
        only pairs of different components are compared, each in the first band it shares.
-       First every member's likeliest pair is verified; then the members meet once more, and
-       all candidates that are still of different components are verified.
+       First every member's likeliest pair is verified.  Then those that still have a candidate
+       meet with their sets: candidates are verified on the spot, the likeliest first, unless
+       links found before join the two already, so what leaves a task are spanning links.
 
     30 bands of 5 rows miss a pair of similarity 0.8 with chance 7e-6.  Null and empty texts,
     and texts without words, have the empty set and are linked with nothing.  Rows without
@@ -199,27 +203,41 @@ def near_duplicates(frame: DataFrame, id_: str, text: str, width: int = 5, perce
                    .select("a", "b", "x", "y").mapInArrow(bayes, "a long, b long"), "likely")
     links = stage(_exact(likely, classes, frame, id_, text, width, percent), "links")
 
-    def meeting(links: DataFrame, likeliest: bool) -> DataFrame:
-        """Likely pairs (a, b) of different components in the buckets that ``links`` leave in parts."""
+    def parted(links: DataFrame) -> DataFrame:
+        """(key, band, m, rep, root) of the buckets that ``links`` leave in parts."""
         roots = components(links)
         placed = buckets.filter("m > 2").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
             "root", F.coalesce("root", "rep"))
-        parted = stage(placed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high"))
-                       .filter("_low < _high").select("key"), "parted")
-        blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+        apart = stage(placed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high"))
+                      .filter("_low < _high").select("key"), "parted")
+        return stage(placed.join(apart, "key").select("key", "band", "m", "rep", "root"), "parts")
+
+    def cells(members: DataFrame, blocks: Column, *carry: str) -> DataFrame:
+        """Rows of each pair of blocks of a bucket, together and in order."""
         mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-        cells = (placed.join(parted, "key").join(sigs, "rep")
-                 .withColumn("_mine", mine).withColumn("_with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-                 .select("key", "band", F.least("_mine", "_with").alias("lo"), F.greatest("_mine", "_with").alias("hi"),
-                         F.col("_mine").alias("mine"), "rep", "root", "sig")
-                 .repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "rep"))
-        return stage(cells.mapInArrow(lambda batches: _cell_pairs(batches, least, likeliest), "a long, b long"), "rest")
-
-    # The first verified links leave few pairs of different components to the second meeting.
-    first = meeting(links, True)
+        return (members.withColumn("_mine", mine).withColumn("_with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+                .select("key", "band", F.least("_mine", "_with").alias("lo"), F.greatest("_mine", "_with").alias("hi"),
+                        F.col("_mine").alias("mine"), "rep", "root", "sig", *carry)
+                .repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "rep"))
+    by_count = F.ceil(F.col("m") / BLOCK).cast("int")
+
+    # First the likeliest pair of every member is verified, which joins most of what belongs together.
+    first = stage(cells(parted(links).join(sigs, "rep"), by_count)
+                  .mapInArrow(lambda batches: _in_cells(batches, least, _likeliest), "a long, b long"), "likeliest")
     if not first.isEmpty():
         links = stage(links.union(_exact(first, classes, frame, id_, text, width, percent)), "links")
-        links = links.union(stage(_exact(meeting(links, False), classes, frame, id_, text, width, percent), "links"))
+        left = parted(links)
+        # Then only members that still have a candidate meet, with their sets.
+        flagged = stage(cells(left.join(sigs, "rep"), by_count)
+                        .mapInArrow(lambda batches: _in_cells(batches, least, _flagged), "key long, rep long").distinct(), "flagged")
+        sets = _sets(flagged.select("rep").distinct(), classes, frame, id_, text, width)
+        sized = flagged.join(sets.select("rep", F.octet_length("members").alias("_size")), "rep")
+        blocks = stage(sized.groupBy("key").agg(F.greatest(
+            F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("_size") / SET_BYTES)).cast("int").alias("blocks")), "blocks")
+        again = left.join(flagged, ["key", "rep"]).join(blocks, "key").join(sigs, "rep").join(sets, "rep")
+        spanning = cells(again, F.col("blocks"), "members").mapInArrow(
+            lambda batches: _in_cells(batches, least, lambda *cell: _spanning(*cell, percent)), "a long, b long")
+        links = links.union(stage(spanning, "links"))
 
     # From classes to ids: a component is called by the smallest id in it.
     many = rows.filter("digest is not null").groupBy("id").agg(F.min("digest").alias("_a"), F.max("digest").alias("_b"))
@@ -236,20 +254,20 @@ def near_duplicates(frame: DataFrame, id_: str, text: str, width: int = 5, perce
             .select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("_component", "id")).alias("component")))
 
 
-def _cell_pairs(batches: Iterator[pa.RecordBatch], least: np.ndarray, likeliest: bool) -> Iterator[pa.RecordBatch]:
-    """Likely pairs of different components inside each (key, lo, hi), rows sorted by it.
+Found = Callable[[pa.Table, np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]], Iterator[pa.RecordBatch]]
 
-    With ``likeliest`` only the pair with most matches of every member with those after it.
-    """
+
+def _in_cells(batches: Iterator[pa.RecordBatch], least: np.ndarray, found: Found) -> Iterator[pa.RecordBatch]:
+    """What ``found`` makes of the likely pairs inside each (key, lo, hi), rows sorted by it."""
     held: pa.Table | None = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
         table = pa.concat_tables([held, table]) if held is not None else table
         cut = _last_cell(table)
         held = table.slice(cut)
-        yield from _pairs_of(table.slice(0, cut), least, likeliest)
+        yield from _of_table(table.slice(0, cut), least, found)
     if held is not None:
-        yield from _pairs_of(held, least, likeliest)
+        yield from _of_table(held, least, found)
 
 
 def _cell_numbers(table: pa.Table) -> np.ndarray:
@@ -264,12 +282,16 @@ def _last_cell(table: pa.Table) -> int:
     return int(np.searchsorted(number, number[-1]))
 
 
-def _pairs_of(table: pa.Table, least: np.ndarray, likeliest: bool) -> Iterator[pa.RecordBatch]:
-    if table.num_rows < 2:
-        return
+def _of_table(table: pa.Table, least: np.ndarray, found: Found) -> Iterator[pa.RecordBatch]:
+    if table.num_rows > 1:
+        sig = _bytes(table.column("sig"), HASHES)
+        yield from found(table, sig, _likely(table, sig, least))
+
+
+def _likely(table: pa.Table, sig: np.ndarray, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one cell and different components that outlast the bounds, in portions."""
     number = _cell_numbers(table)
-    sig = _bytes(table.column("sig"), HASHES)
-    rep, root, mine = (table.column(c).to_numpy() for c in ("rep", "root", "mine"))
+    root, mine = (table.column(c).to_numpy() for c in ("root", "mine"))
     crossing = table.column("lo").to_numpy() != table.column("hi").to_numpy()
     band = table.column("band").to_numpy()
     after = np.searchsorted(number, number, side="right") - np.arange(len(number)) - 1
@@ -287,13 +309,51 @@ def _pairs_of(table: pa.Table, least: np.ndarray, likeliest: bool) -> Iterator[p
         # A pair counts in the first band it shares.
         alike = (sig[i, :ROWS * BANDS] == sig[j, :ROWS * BANDS]).reshape(-1, BANDS, ROWS).all(axis=2)
         here = alike.argmax(axis=1) == band[i]
-        i, j = i[here], j[here]
-        if likeliest:
-            order = np.lexsort((-(sig[i] == sig[j]).sum(axis=1), i))
-            i, j = i[order], j[order]
-            top = np.append(True, np.diff(i) != 0)[:len(i)]
-            i, j = i[top], j[top]
-        one, other = rep[i], rep[j]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, other)), pa.array(np.maximum(one, other))],
-                                         ["a", "b"])
+        yield i[here], j[here]
         at = upto
+
+
+def _pairs(table: pa.Table, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    one, other = table.column("rep").to_numpy()[i], table.column("rep").to_numpy()[j]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(one, other)), pa.array(np.maximum(one, other))], ["a", "b"])
+
+
+def _likeliest(table: pa.Table, sig: np.ndarray, likely: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Of every member the pair with most matches among those after it."""
+    for i, j in likely:
+        order = np.lexsort((-(sig[i] == sig[j]).sum(axis=1), i))
+        i, j = i[order], j[order]
+        top = np.append(True, np.diff(i) != 0)[:len(i)]
+        yield _pairs(table, i[top], j[top])
+
+
+def _flagged(table: pa.Table, sig: np.ndarray, likely: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """The members of a bucket that have any likely pair."""
+    met = np.zeros(table.num_rows, bool)
+    for i, j in likely:
+        met[i] = met[j] = True
+    yield pa.RecordBatch.from_arrays([pa.array(table.column(c).to_numpy()[met]) for c in ("key", "rep")], ["key", "rep"])
+
+
+def _spanning(table: pa.Table, sig: np.ndarray, likely: Iterator[tuple[np.ndarray, np.ndarray]],
+              percent: int) -> Iterator[pa.RecordBatch]:
+    """Verified pairs, the likeliest first, each of which joins two components not joined here yet.
+
+    So a cell gives fewer links than it has members, however many pairs are near the threshold.
+    """
+    sets = [np.frombuffer(x, np.uint64) for x in table.column("members").to_pylist()]
+    root = table.column("root").to_numpy()
+    up: dict[int, int] = {}
+
+    def top(node: int) -> int:
+        while node in up:
+            up[node] = node = up.get(up[node], up[node])
+        return node
+    for i, j in likely:
+        links = []
+        for k in np.argsort(-(sig[i] == sig[j]).sum(axis=1), kind="stable").tolist():
+            one, other = top(int(root[i[k]])), top(int(root[j[k]]))
+            if one != other and _alike(sets[i[k]], sets[j[k]], percent):
+                up[one] = other
+                links.append(k)
+        yield _pairs(table, i[links], j[links])

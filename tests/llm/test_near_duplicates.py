@@ -2,8 +2,10 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from stridemill.llm import near_duplicates as near_duplicates_module
 from stridemill.llm.components import components
 from stridemill.llm.dedup_queries import op1_near_dedup
 from stridemill.llm.near_duplicates import HASHES, STEP, least_matches, near_duplicates, signature, survivors
@@ -143,3 +145,56 @@ def test_components_of_chains_and_stars(spark):
     got = components(spark.createDataFrame(chain + star + [(5000, 4000)], "a long, b long")).collect()
     assert {r.root for r in got} == {0, 1000, 4000} and len(got) == 61 + 40 + 2
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def near_threshold(draw, size, edits):
+    """Copies of one text of 1003 words with ``edits`` far-apart words replaced: 14 give pairs of similarity 0.799, 13 of 0.812."""
+    base = [f"w{k}" for k in range(1003)]
+    copies = []
+    for _ in range(size):
+        words = list(base)
+        for k in draw.sample(range(1, 200), draw.choice(edits)):
+            words[5 * k] = str(draw.random())
+        copies.append(" ".join(words))
+    return copies
+
+
+@pytest.mark.parametrize("edits", [[14], [13, 14]])
+def test_near_threshold_groups_leave_a_cell_as_spanning_links(edits):
+    sets = [shingle_set(t, 4) for t in near_threshold(random.Random(7), 400, edits)]
+    n = len(sets)
+    sig = [signature(s).tobytes() for s in sets]
+    ones = np.zeros(n, np.int64)
+    table = pa.table({"key": ones, "band": ones.astype(np.int32), "lo": ones, "hi": ones, "mine": ones, "rep": np.arange(n),
+                      "root": np.arange(n), "sig": sig, "members": [s.tobytes() for s in sets]})
+    least = least_matches(0.8, 2e-4)
+    everything = [(i, j) for part in near_duplicates_module._likely(table, near_duplicates_module._bytes(table.column("sig"), HASHES), least)
+                  for i, j in zip(*part)]
+    out = near_duplicates_module._in_cells(iter(table.to_batches()), least, lambda *cell: near_duplicates_module._spanning(*cell, 80))
+    links = [(a, b) for batch in out for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist())]
+    assert len(links) < n < len(everything)
+
+    def joined(pairs):
+        up = list(range(n))
+        for a, b in pairs:
+            while up[a] != a:
+                a = up[a]
+            while up[b] != b:
+                b = up[b]
+            up[max(a, b)] = min(a, b)
+        out = []
+        for a in range(n):
+            while up[a] != a:
+                a = up[a]
+            out.append(a)
+        return out
+    alike = [(i, j) for i, j in everything if 100 * common(sets[i], sets[j]) >= 80 * len(np.union1d(sets[i], sets[j]))]
+    assert joined(links) == joined(alike)
+
+
+def test_near_threshold_group_through_the_operator(spark, make_docs):
+    draw = random.Random(8)
+    texts = near_threshold(draw, 40, [14]) + near_threshold(draw, 25, [10, 13, 14, 15])
+    rows = list(enumerate(texts))
+    got = near_duplicates(make_docs([(i, t, None, None) for i, t in rows]), "doc_id", "text", width=4).collect()
+    assert {r.id: r.component for r in got} == brute(rows)[0]
