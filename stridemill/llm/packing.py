@@ -51,8 +51,9 @@ class WordEncoder:
 
     @staticmethod
     def splits(text: str) -> bool:
+        # Letters are looked at as the library lower-cases them: one, U+0130, becomes a letter and a mark.
         return not ("'" in text or "<|" in text) and unicodedata.is_normalized("NFC", text) and (
-            text.isascii() or "".join(c for c in set(text) if c > "\x7f").isalnum())
+            text.isascii() or "".join(c for c in set(text) if c > "\x7f").lower().isalnum())
 
     def learn(self, words: list[str]) -> None:
         # Lower-case letters alone are one pre-token, whose last symbol carries the word's end.

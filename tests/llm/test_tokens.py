@@ -57,6 +57,18 @@ def test_word_encoder_equals_the_library():
     assert [list(map(int, x)) for x in encoder(WORDS).encode(pa.array(texts))] == want
 
 
+def test_word_encoder_equals_the_library_on_letters_that_lower_to_marks():
+    draw = random.Random(23)
+    pool = ["İ", "i̇", "I", "ı", "́", "̇", "한", "각", "ß", "Σ", "ς", "ǰ", "ﬁ", "ά", "豈", "é", "<|startoftext|>", "<|endoftext|>", "<|", "'s", "'",
+            "#", "-", ",", ".", "_", "0", "9", "a", "B", "zz", " ", "  ", "\n", "\t", "\x00", "\x1c", "\x85", "\xa0", "日", "👩", "‍"]
+    texts = ["Ali İ. Yılmaz", "TBMM İ-2", "Sİ, bu", "İstanbul. İ!", "İ#X"]
+    texts += ["".join(draw.choices(pool, k=draw.randrange(1, 14))) for _ in range(15_000)]
+    library = Tokenizer.from_file(WORDS)
+    want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    got = [list(map(int, x)) for x in encoder(WORDS).encode(pa.array(texts))]
+    assert [t for t, a, b in zip(texts, got, want) if a != b] == []
+
+
 def test_word_encoder_composes_letters_like_the_library():
     words = [unicodedata.normalize("NFD", "한국어"), "\u1f71", "\uf900", "λ\u1f79γος", "한국어", "\uf900\u8c48"]
     assert all(w.isalpha() and w == w.lower() for w in words)
