@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -100,21 +101,19 @@ class Page:
         stack, links, articles, block, at = [0], 0, 0, 0, 0
         runs, tags = self.runs, self.tag
         dead: set[int] = set()
+        depths: defaultdict[str, list[int]] = defaultdict(list)    # of every open element, by name
 
         def close(depth: int) -> None:
             nonlocal links, articles
             for node in stack[depth:]:
+                depths[tags[node]].pop()
                 links -= tags[node] == "a"
                 articles -= tags[node] == "article"
             del stack[depth:]
 
         def nearest(names: tuple[str, ...], stops: tuple[str, ...]) -> int:
-            for depth in range(len(stack) - 1, 0, -1):
-                if tags[stack[depth]] in names:
-                    return depth
-                if tags[stack[depth]] in stops:
-                    return 0
-            return 0
+            depth = max((depths[name][-1] for name in names if depths[name]), default=0)
+            return depth if all(not depths[name] or depths[name][-1] <= depth for name in stops) else 0
 
         while True:
             found = TAG.search(html, at)
@@ -157,6 +156,7 @@ class Page:
             out, marked = _unwanted(name, attributes, articles > 0)
             self.parent.append(stack[-1]), tags.append(name), self.out.append(out), self.marked.append(marked)
             if not attributes.rstrip(">").endswith("/") or inline or name in TEXTUAL or name in ("div", "section", "article"):
+                depths[name].append(len(stack))
                 stack.append(len(tags) - 1)
                 links += name == "a"
                 articles += name == "article"
@@ -169,6 +169,10 @@ class Page:
         blocks: dict[int, list[str]] = {}
         owner: dict[int, int] = {}
         chars, linked = [0] * n, [0] * n
+        carrier = list(range(n))    # the block element a node's text belongs to
+        for i in range(1, n):
+            if tag[i] in INLINE:
+                carrier[i] = carrier[parent[i]]
         for block, node, in_link, text in self.runs:
             if gone[node]:
                 continue
@@ -177,9 +181,7 @@ class Page:
             chars[node] += size
             linked[node] += size * in_link
             if block not in blocks:
-                while tag[node] in INLINE:
-                    node = parent[node]
-                blocks[block], owner[block] = [], node
+                blocks[block], owner[block] = [], carrier[node]
             blocks[block].append(text)
         texts = {b: " ".join("".join(parts).split()) for b, parts in blocks.items()}
         texts = {b: t for b, t in texts.items() if t}

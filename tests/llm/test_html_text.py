@@ -1,3 +1,4 @@
+import time
 import pytest
 
 from stridemill.llm.html_text import extract, main_text
@@ -54,3 +55,11 @@ def test_query(spark, as_tables):
     assert sorted((str(r.page_id), str(r.url), r.text, r.n_chars) for r in got) == [
         ("1", "u", "", 0), ("1", "u", LONG, len(LONG)), ("2", "None", "é", 1), ("None", "None", "", 0)]
     assert extract(pages.limit(0), "html").collect() == []
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "<p>Some text, with commas, in it.</p>", "<b>" * 50_000 + "text<br>" * 50_000,
+                                  "<ul><li>" * 30_000 + "x", "<p>" * 100_000, "<div><p>x" * 50_000 + "</div>" * 50_000])
+def test_deep_pages_take_time_in_proportion(page):
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 4
