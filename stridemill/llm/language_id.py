@@ -47,7 +47,7 @@ class TextModel:
         if not n:
             return [0.0] * (len(self.languages) + 1), 0
         scale = TRUST * min(n, REACH) / n
-        return [*(self.weights[:, bins].sum(axis=1) * scale).tolist(), -np.log(BINS) * scale * n], n
+        return [*(self.weights @ np.bincount(bins, minlength=BINS) * scale).tolist(), -np.log(BINS) * scale * n], n
 
 
 def fit(labelled: DataFrame, text: str, label: str, seed: int = 3) -> TextModel:

@@ -1,7 +1,9 @@
+import tracemalloc
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stridemill.llm.language_id import address_parts, declared_language, fit, identify
+from stridemill.llm.language_id import BINS, TextModel, address_parts, declared_language, fit, identify, trigram_counts
 from stridemill.llm.language_queries import language_of_pages, op9_language_id
 
 SF = "/root/testdata/sf0.001"
@@ -114,3 +116,15 @@ def test_queries(spark):
     pages = language_of_pages(spark, SF).collect()
     assert len(pages) == spark.read.parquet(f"{SF}/pages.parquet").count()
     assert sum(r.language == r.declared for r in pages) >= 0.97 * len(pages)
+
+
+def test_memory_does_not_grow_with_text_and_languages():
+    tracemalloc.start()
+    model = TextModel([str(k) for k in range(30)], np.log(np.random.default_rng(1).dirichlet(np.ones(BINS), 30)))
+    text = "abcdefghij klmnop " * 110_000
+    tracemalloc.reset_peak()
+    scores, n = model.likelihoods(text)
+    assert tracemalloc.get_traced_memory()[1] < 120e6
+    tracemalloc.stop()
+    bins, _ = trigram_counts(text)
+    assert np.allclose(scores[:3], [model.weights[k][bins].sum() * 0.5 * 400 / n for k in range(3)])
