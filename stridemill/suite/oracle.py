@@ -369,6 +369,7 @@ def oracle_sql() -> dict[str, str]:
                              " from two where reject_reason is not null",
         # load control
         "c1_control_table": f"{silver}, {CONTROL} select {CONTROL_COLUMNS} from control",
+        "c1_control_batches": f"{silver}, {CONTROL} select {CONTROL_COLUMNS} from control",
         "c2_split_by_mode": f"{silver}, {CONTROL}, modes as ({control_modes})"
                             " select athlete_id_json, full_carga from modes",
         "c3_incremental_after":

@@ -443,6 +443,17 @@ def t4_detail_stream(spark, sf_dir):
     return plain(spark.read.parquet(f"{work}/silver").select("id", "athlete_id", "start_date", "calories"))
 
 
+def c1_control_batches(spark, sf_dir):
+    """The control table kept up to date by batches of silver rows, one of them repeated."""
+    database, work = scratch_database(spark, "c1_batches"), run_dir(spark, "c1_batches_data")
+    state = K.ControlState(f"{work}/control", f"{database}.control")
+    rows = silver(spark, sf_dir).select("athlete_id", "id", "start_date", "ingestion_timestamp")
+    with B.held(rows, "c1-silver") as kept:
+        for batch in (2, 0, 1, 0):
+            state.run_batch(kept.filter(F.pmod(F.coalesce("id", F.lit(0)), F.lit(3)) == batch), batch)
+    return plain(state.table(spark))
+
+
 def t3_feature_stream(spark, sf_dir):
     """Silver stream, watermarked, joined with the detail snapshot and upserted."""
     work = run_dir(spark, "t3")
@@ -459,5 +470,6 @@ QUERIES = {f.__name__: f for f in (
     s2_array_evolution, s3_stream_from_table, s4_table_scan, s5_json_documents, s6_csv_scan,
     s7_stream_view_sql, s8_catalog_top_n, k2_run_log, k4_append, k5_overwrite_schema, k6_overwrite_table,
     k7_external_table, k8_partitioned_table, k9_create_as_select, k10_csv_export, k11_typed_insert, k12_maintenance,
-    k13_archive, p1_nested_owner, j6_merge_insert, j7_merge_upsert, j7_packed_upsert, q4_stored_rejects, t2_restarted_stream,
+    k13_archive, p1_nested_owner, j6_merge_insert, j7_merge_upsert, j7_packed_upsert, q4_stored_rejects,
+    c1_control_batches, t2_restarted_stream,
     t3_feature_stream, t4_silver_stream, t4_newest_stream, t4_stream_rejects, t4_detail_stream)}

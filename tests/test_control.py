@@ -1,3 +1,4 @@
+import random
 from datetime import date, datetime
 
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from stridemill.operators import tables as B
 from stridemill.plans import control as K
 from stridemill.session import run_dir
 from stridemill.sources.files import read_control
+from stridemill.suite.table_queries import scratch_database
 
 SILVER = "athlete_id long, start_date date, ingestion_timestamp timestamp"
 
@@ -73,3 +75,20 @@ def test_export_is_one_file_for_many_partitions(spark):
     B.export_single_csv(spark.range(0, 100, 1, 8).withColumn("t", F.lit('a "quoted", text')), f"{work}/all.csv")
     with open(f"{work}/all.csv", encoding="utf-8") as lines:
         assert sum(1 for _ in lines) == 101
+
+
+def test_control_state_equals_the_table_in_any_order_and_with_repeats(spark):
+    draw = random.Random(4)
+    shape = "athlete_id long, start_date date, ingestion_timestamp timestamp"
+    moments = [datetime(2024, 1, d, 8) for d in range(1, 28)]
+    rows = [(draw.choice([1, 2, 3, 4, 5, None]), draw.choice([None, *[m.date() for m in moments]]),
+             draw.choice(moments) if draw.random() < 0.95 else None) for _ in range(80)]
+    work = run_dir(spark, "control-state")
+    state = K.ControlState(f"{work}/control", f"{scratch_database(spark, 'control_state')}.control")
+    batches = [rows[k::4] for k in range(4)]
+    for number in (3, 1, 1, 0, 2, 3):
+        state.run_batch(spark.createDataFrame(batches[number], shape), number)
+    assert listed(state.table(spark)) == listed(K.control_table(spark.createDataFrame(rows, shape)))
+    # another stream that brings the same rows again
+    state.run_batch(spark.createDataFrame(rows, shape), "other-0")
+    assert listed(state.table(spark)) == listed(K.control_table(spark.createDataFrame(rows, shape)))
