@@ -26,6 +26,11 @@ def exact_avg(column: str, decimals: int = 2) -> Column:
     return F.try_divide(exact_sum(column, decimals), F.count(column))
 
 
+def iso_year_of(day: Column) -> Column:
+    """The year that an ISO week is counted in."""
+    return F.extract(F.lit("YEAROFWEEK"), day).cast("int")
+
+
 def weekly_summary(activities: DataFrame, sport: str = "Run", iso_year: bool = False) -> DataFrame:
     """Totals and averages of one sport per week.
 
@@ -33,9 +38,9 @@ def weekly_summary(activities: DataFrame, sport: str = "Run", iso_year: bool = F
     fall into the other end of the same year; ``iso_year=True`` keeps such weeks whole.
     """
     day = F.col("start_date")
-    year = F.extract(F.lit("YEAROFWEEK"), day) if iso_year else F.year(day)
+    year = iso_year_of(day) if iso_year else F.year(day)
     return (activities.filter(F.col("sport_type") == sport)
-            .groupBy(year.cast("int").alias("year"), F.weekofyear(day).alias("week"))
+            .groupBy(year.alias("year"), F.weekofyear(day).alias("week"))
             .agg(F.count(F.lit(1)).alias("total_activities"),
                  F.round(exact_sum("distance_km"), 2).alias("total_distance_km"),
                  F.round(decimal_sum("total_elevation_gain"), 2).alias("total_elevation_gain"),

@@ -138,13 +138,32 @@ def merge_upsert(source: DataFrame, target: str, keys: Sequence[str], partitions
 
 def merge_groups(source: DataFrame, target: str, keys: Sequence[str], partitions: Sequence[str],
                  batch_id: BatchId, *, schema: StructType | None = None, prune_by: str | None = None,
-                 catalog_table: str | None = None) -> int:
-    """Replace every group of ``keys`` that the source has, as a whole; NULL keys form groups too."""
-    source = source.select(*(schema or source.schema).names)
-    return _rewrite(source, source, lambda current: source, target, keys, partitions, batch_id, schema, prune_by,
+                 catalog_table: str | None = None, groups: DataFrame | None = None) -> int:
+    """Replace every group of ``keys`` that the source has, as a whole; NULL keys form groups too.
+
+    ``groups`` names the groups to replace instead: one without rows in the source disappears.
+    """
+    schema = schema or source.schema
+    source = source.select(*schema.names)
+    groups = source if groups is None else groups
+    return _rewrite(groups, groups, lambda current: source, target, keys, partitions, batch_id, schema, prune_by,
                     True, catalog_table)
 
 
+def changed_values(spark: SparkSession, target: str, batch_id: BatchId, column: str) -> set[str | None]:
+    """Values of a partition column where a batch merged through the catalog added, changed or removed rows.
+
+    They stand in the batch's plan, which outlasts the batch, so they are known after a crash.
+    A row that moved to another partition counts in both.
+    """
+    plan = json.loads(fsio.read_text(spark, f"{target}/{VERSIONS}/{_safe(str(batch_id))}/plan.json"))
+    naming = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    values = {part.partition("=")[2] for folder in [*plan["rewritten"], *plan["written"]]
+              for part in folder.split("/") if part.startswith(f"{column}=")}
+    absent = naming.DEFAULT_PARTITION_NAME()
+    return {None if v == absent else naming.unescapePathName(v) for v in values}
+
+
 def _rewrite(source: DataFrame, matching: DataFrame | None, new_rows: Callable[[DataFrame], DataFrame], target: str,
              keys: Sequence[str], partitions: Sequence[str], batch_id: BatchId, schema: StructType | None,
              prune_by: str | None, null_safe: bool, catalog_table: str | None, places: KeyPlaces | None = None) -> int:

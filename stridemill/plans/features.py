@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import transforms as T
+from ..operators.filters import matched, value_range, value_set
 from ..operators.joins import details_of, with_details
 from ..operators.merge import merge_groups, merge_upsert
 from ..operators.tables import BatchId, held, snapshot
 from ..schemas import FEATURE_PARTITIONS, FEATURES
 from ..streaming.runs import RunLog, batch_stream, finish
+from .silver import MONTH
 
 MERGE_KEYS = ("athlete_id", "start_date", "id_sub_activity")
 WATERMARK = ("silver_ingestion_timestamp", "7 days")
@@ -65,6 +69,57 @@ class FeatureLoad:
         return finish(batch_stream(marked, enrich, checkpoint, "features"), self.counts)
 
 
+class FeatureDays:
+    """Feature table that equals the full rebuild, in whatever order activities and details arrive.
+
+    A stream of activities and a stream of details drive it, one run after the other.  Each
+    batch names the athlete-days it touches; these are computed anew from the two tables as
+    they are by then and replaced whole, so neither order nor repetition matters, and a
+    later version of a detail counts too.  ``activities`` and ``details`` open the tables that
+    the streams read; they are called for every batch.
+
+    An activity that a correction moves to another day leaves a row on its old day until that
+    day is touched: pass such days to :meth:`refresh`.
+    """
+
+    days = ("athlete_id", "start_date")
+
+    def __init__(self, target: str, activities: Callable[[], DataFrame], details: Callable[[], DataFrame],
+                 catalog_table: str | None = None):
+        self.target, self.activities, self.details = target, activities, details
+        self.catalog_table = catalog_table
+        self.counts: dict[BatchId, int] = {}
+
+    def refresh(self, days: DataFrame, batch_id: BatchId) -> None:
+        """Replace the feature rows of the given athletes and days."""
+        with held(days.select(*self.days).distinct(), "days") as touched:
+            near = self.activities().filter(value_range(touched, "start_date"))
+            if dict(near.dtypes).get(MONTH) == "string":  # silver's layout: read the days' months only
+                near = near.filter(value_set(touched.select(F.date_format("start_date", "yyyy-MM").alias(MONTH)), MONTH))
+            with held(matched(near, touched, self.days, null_safe=True), "activities") as rows:
+                known = details_of(rows, self.details().filter(value_range(rows, "id")))
+                merge_groups(features(rows, known), self.target, self.days, FEATURE_PARTITIONS, batch_id,
+                             schema=FEATURES, prune_by="start_date", catalog_table=self.catalog_table, groups=touched)
+                self.counts[batch_id] = rows.count()
+
+    def run_activities(self, batch: DataFrame, batch_id: BatchId) -> None:
+        self.refresh(batch, batch_id)
+
+    def run_details(self, batch: DataFrame, batch_id: BatchId) -> None:
+        """The days of a batch of details: of the activities, keys and days near its ids are read."""
+        with held(batch.select("id", "athlete_id").distinct(), "details") as keys:
+            near = self.activities().select("id", *self.days).filter(value_range(keys, "id"))
+            self.refresh(matched(near, keys, ["id", "athlete_id"], null_safe=False), batch_id)
+
+    def run_streams(self, activities: DataFrame, details: DataFrame, checkpoint: str) -> RunLog:
+        """Drain both streams; each has its checkpoint below ``checkpoint``."""
+        log = RunLog()
+        for name, stream, each in (("activities", activities, self.run_activities),
+                                   ("details", details, self.run_details)):
+            log += finish(batch_stream(stream, each, f"{checkpoint}/{name}", f"feature_{name}"), self.counts)
+        return log
+
+
 def late_groups(table: DataFrame, activities: DataFrame, details: DataFrame) -> DataFrame:
     """Feature rows, computed anew, of each athlete and day whose missing detail has since arrived."""
     days = ("athlete_id", "start_date")

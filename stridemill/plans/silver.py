@@ -131,6 +131,9 @@ class SilverLoad:
     The table is laid out by the month of the activity.  Inserting reads only the months of
     the batch; for ``newest`` a row may move between months, so the months of every key are
     kept beside the table, and those of the batch's keys are read.
+
+    ``followers`` are called after each batch is merged, and again when it is repeated: tables
+    that are kept up to date with this one (see :mod:`summaries`).
     """
 
     target: str
@@ -142,6 +145,7 @@ class SilverLoad:
     merge_keys: Sequence[str] = ("athlete_id", "id", "start_date")
     keep: str = "first"
     catalog_table: str | None = None
+    followers: Sequence[Callable[[SparkSession, BatchId], None]] = ()
     counts: dict[BatchId, int] = field(default_factory=dict)
 
     def run_batch(self, batch: DataFrame, batch_id: BatchId) -> None:
@@ -160,6 +164,8 @@ class SilverLoad:
             self.counts[batch_id] = self.inserted(batch.sparkSession, batch_id, valid)
         finally:
             checked.release()
+        for follow in self.followers:
+            follow(batch.sparkSession, batch_id)
 
     def inserted(self, spark: SparkSession, batch_id: BatchId, valid: DataFrame) -> int:
         """Rows of the table that the batch brought."""

@@ -87,6 +87,11 @@ TWO_BATCHES = (BRONZE
                  " one.reject_reason is null and one.athlete_id is not distinct from two.athlete_id"
                  " and one.id is not distinct from two.id and one.start_date is not distinct from two.start_date))")
 
+# the newest valid delivery of every activity
+NEWEST_VALID = (BRONZE + ", " + derived("every", "select * from bronze")
+                + f", valid as (select * from every where {reasons(_RULES)} = ''), newest_valid as ("
+                + latest("valid", STREAM_KEYS, NEWEST) + ")")
+
 
 def shown(columns) -> str:
     special = {"start_date": "cast(start_date as varchar) as start_date",
@@ -272,6 +277,7 @@ def oracle_sql() -> dict[str, str]:
             " union all select * from fresh)",
         # aggregates
         "a1_weekly_runs": f"{silver}, {WEEKLY} select * from weekly",
+        "a1_weekly_batches": f"with {NEWEST_VALID}, silver as (select * from newest_valid), {WEEKLY} select * from weekly",
         "a2_type_counts": f"{silver} select type, count(*) as total from silver group by type",
         "a3_key_uniqueness": f"{silver} select count(id) as total, count(distinct id) as distinct_total from silver",
         "a4_reject_report": f"{stream} select reject_reason, cast(cast(ingestion_timestamp as date) as varchar) as dt, count(*) as total"
@@ -281,6 +287,7 @@ def oracle_sql() -> dict[str, str]:
                              " group by l_orderkey, l_linenumber having count(*) > 1",
         "a7_distinct_ids": f"{bronze} select distinct id as id_activity from bronze where id is not null",
         "a8_monthly": f"{silver} {MONTHLY}",
+        "a8_monthly_batches": f"with {TWO_BATCHES}, silver as (select * from merged) {MONTHLY}",
         "a8_elevation_per_km":
             f"{silver} select id, athlete_id, case when distance_km > 0 then"
             f" {rounded('total_elevation_gain / distance_km', 2)} end as elevation_gain_per_km from silver",
@@ -353,13 +360,11 @@ def oracle_sql() -> dict[str, str]:
                              " where reject_reason is not null",
         # streaming
         "t2_restarted_stream": "select event_id, event_type from events",
+        "t3_any_order": features_all,
         "t3_feature_stream": f"with {TWO_BATCHES}, {SILVER_DETAILS}"
                              f" select {FEATURE_LIST} from merged a {FEATURE_JOIN}",
         "t4_silver_stream": f"with {TWO_BATCHES} select {valid_columns} from merged",
-        "t4_newest_stream":
-            f"with {BRONZE}, " + derived("every", "select * from bronze")
-            + f", valid as (select * from every where {reasons(_RULES)} = '') select {valid_columns} from ("
-            + latest("valid", STREAM_KEYS, NEWEST) + ")",
+        "t4_newest_stream": f"with {NEWEST_VALID} select {valid_columns} from newest_valid",
         "t4_detail_stream":
             f"{bronze}, {DETAILS} select id, athlete_id, cast({DATE} as varchar) as start_date, calories from ("
             + latest("bronze_details", STREAM_KEYS, NEWEST) + ") where id is not null and athlete_id is not null"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ from ..operators.quality import ACTIVITY_RULES, assert_quality
 from ..operators.upkeep import compact_merged, reclaim
 from ..plans import control as K
 from ..plans import silver as S
-from ..plans.features import FeatureLoad, features
+from ..plans.features import FeatureDays, FeatureLoad, features
+from ..plans.summaries import MONTHLY, WEEKLY, Summary, SummaryTable
 from ..schemas import ATHLETE, CONTROL, FEATURE_PARTITIONS, FEATURES, struct
 from ..session import run_dir
 from ..sources import files
@@ -465,11 +467,50 @@ def t3_feature_stream(spark, sf_dir):
     return plain(B.snapshot(spark, f"{work}/features", FEATURES))
 
 
+def t3_any_order(spark, sf_dir):
+    """Features kept equal to the full rebuild: details come before, with and after their activities."""
+    work = run_dir(spark, "t3_any_order")
+    parts = []
+    for name, rows in (("activities", silver(spark, sf_dir)), ("details", details(spark, sf_dir))):
+        half = F.pmod(F.coalesce("id", F.lit(0)), F.lit(2)) == (0 if name == "activities" else 1)
+        parts.append((f"{work}/{name}", rows.schema, [rows.filter(half), rows.filter(~half)]))
+    load = FeatureDays(f"{work}/features", *[partial(B.snapshot, spark, path, schema) for path, schema, _ in parts])
+    for batch in (0, 1):
+        for path, _, halves in parts:
+            B.append_batch(halves[batch], path, batch)
+        load.run_streams(*[B.stream_batches(spark, path, schema) for path, schema, _ in parts], f"{work}/checkpoint")
+    return plain(B.snapshot(spark, f"{work}/features", FEATURES))
+
+
+def _followed(spark: SparkSession, sf_dir: str, label: str, keep: str, batches: tuple[int, ...],
+              summary: Summary) -> DataFrame:
+    """A summary that followed a silver stream, delivery by delivery."""
+    database, work = scratch_database(spark, label), run_dir(spark, f"{label}_data")
+    kept = SummaryTable(f"{database}.silver", f"{work}/silver", f"{work}/summary", f"{database}.summary", summary)
+    load = S.activity_load(f"{work}/silver", f"{work}/rejects", keep=keep, catalog_table=f"{database}.silver",
+                           followers=[kept.follow])
+    for batch in batches:
+        rows = bronze_activities(spark, sf_dir, redelivery=batch)
+        B.append_batch(rows, f"{work}/bronze", batch)
+        load.run_stream(B.stream_batches(spark, f"{work}/bronze", rows.schema), f"{work}/silver_checkpoint")
+    return plain(spark.read.table(f"{database}.summary").drop(B.BATCH_COLUMN))
+
+
+def a1_weekly_batches(spark, sf_dir):
+    """Weekly runs kept up to date with the newest valid deliveries, the second deliveries first."""
+    return _followed(spark, sf_dir, "a1_batches", "newest", (1, 0), WEEKLY)
+
+
+def a8_monthly_batches(spark, sf_dir):
+    """Monthly distribution kept up to date with a silver table that inserts what it lacks."""
+    return _followed(spark, sf_dir, "a8_batches", "first", (0, 1), MONTHLY)
+
+
 QUERIES = {f.__name__: f for f in (
     s1_bronze_stream, s1_bronze_rescue, s1_array_rescue, s2_schema_evolution,
     s2_array_evolution, s3_stream_from_table, s4_table_scan, s5_json_documents, s6_csv_scan,
     s7_stream_view_sql, s8_catalog_top_n, k2_run_log, k4_append, k5_overwrite_schema, k6_overwrite_table,
     k7_external_table, k8_partitioned_table, k9_create_as_select, k10_csv_export, k11_typed_insert, k12_maintenance,
     k13_archive, p1_nested_owner, j6_merge_insert, j7_merge_upsert, j7_packed_upsert, q4_stored_rejects,
-    c1_control_batches, t2_restarted_stream,
-    t3_feature_stream, t4_silver_stream, t4_newest_stream, t4_stream_rejects, t4_detail_stream)}
+    a1_weekly_batches, a8_monthly_batches, c1_control_batches, t2_restarted_stream,
+    t3_any_order, t3_feature_stream, t4_silver_stream, t4_newest_stream, t4_stream_rejects, t4_detail_stream)}
