@@ -138,8 +138,10 @@ def identify(frame: DataFrame, text: str, model: TextModel, declared: Column | N
     * the share of the language among the rows of the same host, smoothed towards that of the
       next of ``levels`` (host, domain and so on, the narrowest first) and at last of all rows.
 
-    All of these are counted over all rows, by the language of the text alone, with grouped
-    aggregations; only rows with letters count.  Missing evidence changes nothing.
+    All of these are counted over all other rows, by the language of their text alone, with
+    grouped aggregations: a row's own vote is left out, so that a host, a suffix or a declared
+    language seen once confirms nothing.  Only rows with letters count.  Missing evidence
+    changes nothing.  Texts are scored once; the scores are kept in a staged copy of the rows.
 
     Rows without letters (null, empty, marks only) and rows that no language explains better
     than chance are ``und`` and not kept; ties go to the language first in code point order.
@@ -157,13 +159,17 @@ def identify(frame: DataFrame, text: str, model: TextModel, declared: Column | N
                            F.lit(True).alias("kept"))
     keys = ["declared", "suffix", *[f"level{i}" for i in range(len(levels))]]
     ll = [F.element_at("ll", i + 1) for i in range(len(names))]
-    alone = scored(base, "_t", keys, model).filter("grams > 0").withColumn("_top", _best(ll))
+    final = stage(scored(base, "_t", ["row", *keys], model).withColumn("_top", F.when(F.col("grams") > 0, _best(ll))),
+                  "language-scores")
+    alone = final.filter("grams > 0").select(*keys, "_top")
     counts = [F.sum((F.col("_top") == i).cast("long")).alias(f"n{i}") for i in range(len(names))]
     again = [F.sum(f"n{i}").alias(f"n{i}") for i in range(len(names))]
     cube = stage(alone.groupBy(*keys).agg(*counts), "language-counts")
     total = cube.agg(*again).first()
     total = [int(x or 0) for x in total]
-    everywhere = [(t + 1) / (sum(total) + len(names)) for t in total]
+    own = [F.coalesce(F.col("_top") == k, F.lit(False)).cast("long") for k in range(len(names))]
+    voted = F.col("_top").isNotNull().cast("long")
+    everywhere = [(t - o + 1.0) / (sum(total) - voted + len(names)) for t, o in zip(total, own)]
 
     every_language = F.aggregate(F.array(*[f"n{i}" for i in range(len(names))]), F.lit(0).cast("long"), lambda s, x: s + x)
 
@@ -172,23 +178,24 @@ def identify(frame: DataFrame, text: str, model: TextModel, declared: Column | N
             *[F.sum(f"n{i}").alias(f"{key}_n{i}") for i in range(len(names))],
             F.sum(every_language).alias(f"{key}_all")), f"language-{key}")
 
-    final = scored(base, "_t", ["row", *keys], model)
     for key in keys:
         if not (key == "declared" and declared is None or key == "suffix" and suffix is None):
             final = join_small(final, table(key), [key], "left")
         else:
             final = final.withColumns({f"{key}_{i}": F.lit(None).cast("long")
                                        for i in [*[f"n{k}" for k in range(len(names))], "all"]})
-    prior = [F.lit(p) for p in everywhere]
+    prior = everywhere
     for i in reversed(range(len(levels))):
-        own = [F.coalesce(F.col(f"level{i}_n{k}"), F.lit(0)) for k in range(len(names))]
-        every = F.coalesce(F.col(f"level{i}_all"), F.lit(0))
-        prior = [(o + KAPPA * p) / (every + KAPPA) for o, p in zip(own, prior)]
+        near = [F.coalesce(F.col(f"level{i}_n{k}") - own[k], F.lit(0)) for k in range(len(names))]
+        every = F.coalesce(F.col(f"level{i}_all") - voted, F.lit(0))
+        prior = [(n + KAPPA * p) / (every + KAPPA) for n, p in zip(near, prior)]
 
     def given(key: str, k: int) -> Column:
-        """How much likelier language k makes this value than all languages together do."""
-        overall = (F.coalesce(F.col(f"{key}_all"), F.lit(0)) + 1.0) / (sum(total) + 1.0)
-        return F.log(((F.col(f"{key}_n{k}") + KAPPA * overall) / (total[k] + KAPPA)) / overall)
+        """How much likelier language k makes this value than all languages together do; null if no other row has it."""
+        others = F.col(f"{key}_all") - voted
+        overall = (others + 1.0) / (sum(total) - voted + 1.0)
+        return F.when(others > 0, F.log(
+            ((F.col(f"{key}_n{k}") - own[k] + KAPPA * overall) / (total[k] - own[k] + KAPPA)) / overall))
 
     logits = [ll[k] + F.log(prior[k]) + F.coalesce(given("declared", k), F.lit(0.0))
               + F.coalesce(given("suffix", k), F.lit(0.0)) for k in range(len(names))]

@@ -128,3 +128,72 @@ def test_memory_does_not_grow_with_text_and_languages():
     tracemalloc.stop()
     bins, _ = trigram_counts(text)
     assert np.allclose(scores[:3], [model.weights[k][bins].sum() * 0.5 * 400 / n for k in range(3)])
+
+
+def fused(model, rows):
+    """The stated rule in plain Python: (language, posterior) of each (text, declared, suffix, host, domain)."""
+    from math import exp, log
+
+    from stridemill.llm.language_id import KAPPA, LEAST, STRANGE
+    names = model.languages
+    found = [model.likelihoods(r[0]) for r in rows]
+    tops = [int(np.argmax(ll[:-1])) if n else None for ll, n in found]
+    out = []
+    for i, row in enumerate(rows):
+        others = [(tops[j], rows[j]) for j in range(len(rows)) if j != i and tops[j] is not None]
+
+        def votes(place, value, k=None):
+            return sum(1 for top, r in others if r[place] == value and (k is None or top == k))
+
+        logits = []
+        for k in range(len(names)):
+            mine = sum(top == k for top, _ in others)
+            prior = (mine + 1) / (len(others) + len(names))
+            for place in (4, 3):
+                if row[place] is not None:
+                    prior = (votes(place, row[place], k) + KAPPA * prior) / (votes(place, row[place]) + KAPPA)
+            logit = found[i][0][k] + log(prior)
+            for place in (1, 2):
+                if row[place] is not None and votes(place, row[place]):
+                    overall = (votes(place, row[place]) + 1) / (len(others) + 1)
+                    logit += log((votes(place, row[place], k) + KAPPA * overall) / (mine + KAPPA) / overall)
+            logits.append(logit)
+        logits.append(found[i][0][-1] + log(STRANGE))
+        top = max(logits)
+        posterior = 1 / sum(exp(x - top) for x in logits)
+        best = logits.index(top)
+        known = found[i][1] > 0 and best < len(names) and posterior >= LEAST
+        out.append((names[best] if known else "und", posterior if found[i][1] else 0.0))
+    return out
+
+
+def test_posteriors_equal_plain_python(spark, documents, model):
+    import random
+    draw = random.Random(6)
+    texts = [r.text[:k] for r, k in zip(documents.filter("text is not null").limit(60).collect(), [4, 9, 15, 30, 80] * 12)]
+    texts += ["", None, "12 34", "on", "la", "qxz kvw"]
+    rows = [(text, draw.choice([None, "en", "fr", "xx"]), draw.choice([None, "org", "fr"]), draw.choice([None, "a.org", "b.org"]),
+             draw.choice([None, "org"])) for text in texts] + [("of the", "once", "only", "single.only", "single")]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)],
+                                  "at int, t string, said string, suffix string, host string, domain string")
+    got = {r.row["at"]: (r.language, r.posterior) for r in identify(
+        frame, "t", model, F.col("said"), F.col("suffix"), [F.col("host"), F.col("domain")]).collect()}
+    for i, (language, posterior) in enumerate(fused(model, rows)):
+        assert got[i][0] == language and abs(got[i][1] - posterior) < 1e-9
+
+
+def test_a_host_of_one_row_confirms_nothing(spark, documents, model):
+    text = "on la zzk"
+    others = [(r.text, "big.org", None) for r in documents.limit(30).collect()]
+    with_host = spark.createDataFrame([*others, (text, "one.org", "zz")], "t string, host string, said string")
+    without = spark.createDataFrame([*others, (text, None, None)], "t string, host string, said string")
+    one, other = [[r.posterior for r in identify(f, "t", model, F.col("said"), levels=[F.col("host")]).collect() if r.row.t == text]
+                  for f in (with_host, without)]
+    assert one == pytest.approx(other, abs=1e-9)
+
+
+def test_no_rows_and_nulls(spark, model):
+    frame = spark.createDataFrame([], "t string, host string")
+    assert identify(frame, "t", model, levels=[F.col("host")]).collect() == []
+    nulls = spark.createDataFrame([(None, None), (None, None)], "t string, host string")
+    assert [(r.language, r.posterior, r.kept) for r in identify(nulls, "t", model, levels=[F.col("host")]).collect()] == [("und", 0.0, False)] * 2
