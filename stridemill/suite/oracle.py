@@ -219,6 +219,7 @@ def oracle_sql() -> dict[str, str]:
         "s8_catalog_top_n": "select o_orderkey, o_custkey, o_totalprice from orders"
                             " order by o_totalprice desc, o_orderkey limit 10",
         # sinks
+        "k2_recovered_log": "select 'bronze_loader' as query, count(*) as input_rows, count(*) as output_rows from events",
         "k2_run_log": "select 'bronze_loader' as query, count(*) as input_rows, count(*) as output_rows from events",
         "k4_append": f"{bronze} select id, sport_type, {moment('ingestion_timestamp')} as ingestion_timestamp"
                      " from bronze where athlete_id is null",
