@@ -11,10 +11,15 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
-CURVES, AXES, BITS, BLOCK = 20, 12, 5, 1024
+CURVES, AXES, BITS = 20, 12, 5
+LEAST = 4           # curves that are used at least; the others as far as they pay
+BLOCK = 4096        # points of a curve that lie together
+WINDOW = 512        # points before and after a query that it meets at least
 SAMPLE = 4096       # vectors that fit the grids of a norm range; the index holds all of them
 RANGES = 8          # norm ranges, each down to half its largest squared norm; the last takes the rest
 TRIALS, RECALL = 128, 0.95      # queries answered in full, and the share of their answers a window must hold
+ENOUGH = 100        # answers of the trial in a norm range that choose its curves; with fewer, all ranges' do
+ROW = 64            # what a row with a vector costs to shuffle, in inner products
 ASKS = 4096         # queries that meet a block in one task, about
 
 
@@ -97,11 +102,13 @@ def nearest(frame: DataFrame, id_: str, vector: str, is_query: Column, k: int =
     Equal vectors are one point that carries its k + 1 smallest ids, all that any answer can
     take from it.  Points lie on several Hilbert curves of randomly projected, shifted grids.
     Points are parted by norm, and every range has curves of its own, so that a few long vectors
-    move nobody else's place.  Every curve is range-partitioned and cut into blocks of equally
-    many points; a query meets its own block and as many on both sides as let ``TRIALS`` queries
-    find ``RECALL`` of their true answers, one at least; it is scored there on the original
-    vectors in double precision, and the best of all curves are merged.  On evenly spread
-    vectors that window grows with the table.  Ties go to the smaller id.
+    move nobody else's place.  Every curve is range-partitioned and its points are counted.  A
+    query meets the points up to a window before and after its own place on a number of curves;
+    both are chosen for each norm range (``LEAST`` curves and ``WINDOW`` points at least), as the cheapest with which ``TRIALS`` queries find
+    ``RECALL`` of their true answers.  It is scored there on the original vectors in double
+    precision, and the best of all curves are merged.  Clustered vectors need a few curves and
+    short windows whatever the table's size; on evenly spread vectors the window grows with the
+    table.  Ties go to the smaller id.
 
     Rows whose vector isn't usable, and rows without an id, take no part.  Vectors of
     different length count as ending with zeros.  Fewer than k candidates give all of them.
@@ -171,34 +178,43 @@ def nearest(frame: DataFrame, id_: str, vector: str, is_query: Column, k: int =
     # One row for each curve and part.
     so_far = Window.partitionBy("curve").orderBy("part")
     firsts = (ordered.groupBy("curve", "part").agg(F.sum(1 - F.col("kind")).alias("_n"))
-              .withColumn("_first", F.sum("_n").over(so_far) - F.col("_n"))
-              .withColumn("_all", F.sum("_n").over(Window.partitionBy("curve"))).drop("_n"))
+              .withColumn("_first", F.sum("_n").over(so_far) - F.col("_n")).drop("_n"))
     placed = (ordered.join(firsts, ["curve", "part"])
-              .withColumn("block", F.floor((F.col("before") + F.col("_first")) / BLOCK))
-              .withColumn("last", F.floor((F.col("_all") - 1) / BLOCK))
-              .withColumn("block", F.least("block", "last")))
-    side = _width(points, placed, width, k)
-    asking = (placed.filter("kind = 1").select("curve", "kind", "point", F.explode(F.sequence(
-        F.greatest(F.col("block") - side, F.lit(0)), F.least(F.col("block") + side, F.col("last")))).alias("block")))
+              .select("curve", "kind", "point", (F.col("before") + F.col("_first")).alias("at")))
+    chosen = _choices(points, placed, tops, width, k)
+    of_range = (F.floor(F.col("curve") / CURVES) + 1).cast("int")
+    placed = placed.filter(F.col("curve") % CURVES < F.element_at(F.array(*[F.lit(c) for c, _ in chosen]), of_range))
+    window = F.element_at(F.array(*[F.lit(w) for _, w in chosen]), of_range)
+    asking = (placed.filter("kind = 1").withColumn("reach", window.cast("long"))
+              .withColumn("block", F.explode(F.sequence(F.floor(F.greatest(F.col("at") - F.col("reach"), F.lit(0)) / BLOCK),
+                                                        F.floor((F.col("at") + F.col("reach")) / BLOCK)))))
     # A block that many queries meet is dealt to several tasks with a part of them each.
     deals = stage(asking.groupBy("curve", "block").agg(F.ceil(F.count(F.lit(1)) / ASKS).cast("int").alias("deals")), "deals")
     cells = (asking.join(deals, ["curve", "block"])
              .withColumn("deal", F.pmod(F.xxhash64("point"), F.col("deals")).cast("int")).drop("deals")
-             .unionByName(placed.filter("kind = 0").select("curve", "kind", "point", "block").join(deals, ["curve", "block"])
+             .unionByName(placed.filter("kind = 0").withColumn("reach", F.lit(0).cast("long"))
+                          .withColumn("block", F.floor(F.col("at") / BLOCK)).join(deals, ["curve", "block"])
                           .withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).drop("deals"))
              .join(points.select("point", "vec", F.element_at("ids", 1).alias("least")), "point")
-             .repartition("curve", "block", "deal").sortWithinPartitions("curve", "block", "deal", "kind", "point"))
+             .repartition("curve", "block", "deal").sortWithinPartitions("curve", "block", "deal", "kind", "at"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in _cells(batches):
-            kind, number = cell["kind"].to_numpy(), cell["point"].to_numpy()
+            kind, number, at = (cell[name].to_numpy() for name in ("kind", "point", "at"))
             vectors, smallest = _matrix(cell["vec"].combine_chunks(), width), cell["least"].to_numpy()
-            base, ask = kind == 0, kind == 1
-            if not base.any() or not ask.any():
+            bases = int(np.searchsorted(kind, 1))
+            if bases == 0 or bases == len(kind):
                 continue
-            one, other, score = _top(vectors[ask], vectors[base], smallest[base], k + 1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(number[ask][one]), pa.array(number[base][other]), pa.array(score)], ["asker", "point", "score"])
+            reach, places, first = int(cell["reach"][bases].as_py()), at[:bases], bases
+            while first < len(at):
+                # Queries that lie close together meet the points around them at once.
+                end = int(np.searchsorted(at[first:], at[first] + max(reach // 8, 1))) + first
+                low, high = np.searchsorted(places, (at[first] - reach, at[end - 1] + reach + 1))
+                if low < high:
+                    one, other, score = _top(vectors[first:end], vectors[low:high], smallest[low:high], k + 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(number[first:end][one]), pa.array(number[low:high][other]),
+                                                      pa.array(score)], ["asker", "point", "score"])
+                first = end
 
     found = cells.mapInArrow(meet, "asker long, point long, score double")
     best = Window.partitionBy("asker").orderBy(F.desc("score"), "least")
@@ -236,17 +252,25 @@ def _top(asks: np.ndarray, base: np.ndarray, smallest: np.ndarray, keep: int) ->
     return tuple(map(np.concatenate, zip(*found)))
 
 
-def _width(points: DataFrame, placed: DataFrame, width: int, k: int) -> int:
-    """Blocks on either side that hold ``RECALL`` of the true answers of ``TRIALS`` queries."""
+def _choices(points: DataFrame, placed: DataFrame, tops: np.ndarray, width: int, k: int) -> list[tuple[int, int]]:
+    """(curves, window) of each norm range: the cheapest with which ``TRIALS`` queries find ``RECALL``
+    of their true answers there.
+
+    An answer is found on the first so many curves if on one of them it is no more points away
+    than the window.  More curves allow shorter windows and cost a shuffle of the range each.
+    """
+    below = sum(((F.col("norm") <= F.lit(float(top))).cast("int") for top in tops[1:]), F.lit(0))
+    sizes = {r["range"]: r["n"] for r in points.groupBy(below.alias("range")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    asks = points.filter("asks").count()
     trial = points.filter("asks").orderBy(F.xxhash64("point"), "point").limit(TRIALS).select("point", "vec").toArrow()
     if not trial.num_rows:
-        return 1
-    asker, asks = trial["point"].to_numpy(), _matrix(trial["vec"].combine_chunks(), width)
+        return [(LEAST, WINDOW)] * len(tops)
+    asker, trials = trial["point"].to_numpy(), _matrix(trial["vec"].combine_chunks(), width)
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                one, other, score = _top(asks, _matrix(batch.column("vec"), width), batch.column("least").to_numpy(), k + 1)
+                one, other, score = _top(trials, _matrix(batch.column("vec"), width), batch.column("least").to_numpy(), k + 1)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(asker[one]), batch.column("point").take(pa.array(other)), pa.array(score)], ["asker", "point", "score"])
 
@@ -254,11 +278,25 @@ def _width(points: DataFrame, placed: DataFrame, width: int, k: int) -> int:
     truth = stage(points.select("point", "vec", F.element_at("ids", 1).alias("least"))
                   .mapInArrow(full, "asker long, point long, score double").filter("asker != point")
                   .withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k).select("asker", "point"), "trials")
-    theirs = placed.filter("kind = 1").select(F.col("point").alias("asker"), "curve", F.col("block").alias("_from"))
-    far = (placed.filter("kind = 0").select("point", "curve", "block").join(F.broadcast(truth), "point")
-           .join(theirs, ["asker", "curve"]).groupBy("asker", "point").agg(F.min(F.abs(F.col("block") - F.col("_from"))).alias("far"))
-           .toArrow()["far"].to_numpy())
-    return max(1, int(np.quantile(far, RECALL, method="higher"))) if len(far) else 1
+    theirs = placed.filter("kind = 1").select(F.col("point").alias("asker"), "curve", F.col("at").alias("_from"))
+    # TRIALS x k answers on every curve of their range.
+    away = (placed.filter("kind = 0").join(F.broadcast(truth), "point").join(theirs, ["asker", "curve"])
+            .select("asker", "point", "curve", F.abs(F.col("at") - F.col("_from")).alias("far"))
+            .orderBy("asker", "point", "curve").toArrow())
+    if not away.num_rows:
+        return [(LEAST, WINDOW)] * len(tops)
+    place = away["curve"].to_numpy()[::CURVES] // CURVES
+    nearest_so_far = np.minimum.accumulate(away["far"].to_numpy().reshape(-1, CURVES), axis=1)
+    chosen = []
+    for r in range(len(tops)):
+        mine = nearest_so_far[place == r]
+        far = np.quantile(mine if len(mine) >= ENOUGH else nearest_so_far, RECALL, axis=0, method="higher") + 1
+        size, number = sizes.get(r, 0), np.arange(1, CURVES + 1)
+        window = np.maximum(np.minimum(far, size), WINDOW)
+        cost = number * (asks * (2 * window + ROW * (2 * window / BLOCK + 1)) + ROW * size)
+        best = LEAST - 1 + int(np.argmin(cost[LEAST - 1:]))
+        chosen.append((best + 1, int(window[best])))
+    return chosen
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:

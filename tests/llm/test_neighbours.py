@@ -56,6 +56,7 @@ def test_small_tables_are_exact_with_ties_and_unusable_vectors(spark, as_tables)
 
 def test_recall_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 128)
+    monkeypatch.setattr(neighbours, "WINDOW", 128)
     draw = np.random.default_rng(3)
     centres = draw.normal(size=(12, 24))
     rows = [(i, (centres[i % 12] + draw.normal(size=24)).tolist()) for i in range(3000)]
@@ -65,6 +66,7 @@ def test_recall_over_many_blocks(spark, monkeypatch):
 
 def test_norms_differ(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 128)
+    monkeypatch.setattr(neighbours, "WINDOW", 128)
     draw = np.random.default_rng(4)
     rows = [(i, (draw.normal(size=8) * draw.lognormal(0, 1)).tolist()) for i in range(2000)]
     got = nearest(table(spark, rows), "vec_id", "embedding", F.col("vec_id") % 20 == 0).collect()
@@ -79,6 +81,7 @@ def even(seed, n):
 
 def test_an_outlier_norm_costs_no_recall(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 16)
+    monkeypatch.setattr(neighbours, "WINDOW", 16)
     plain = even(6, 3000)
     longer = plain.copy()
     longer[7] *= 10
@@ -93,6 +96,7 @@ def test_an_outlier_norm_costs_no_recall(spark, monkeypatch):
 @pytest.mark.parametrize("outlier", [False, True])
 def test_recall_on_even_vectors_where_the_least_window_is_a_few_percent(spark, monkeypatch, outlier):
     monkeypatch.setattr(neighbours, "BLOCK", 16)
+    monkeypatch.setattr(neighbours, "WINDOW", 16)
     vectors = even(6, 5000)
     if outlier:
         vectors[7] *= 10
@@ -101,6 +105,30 @@ def test_recall_on_even_vectors_where_the_least_window_is_a_few_percent(spark, m
     assert compare(got, brute(rows, 20, 20)) >= 0.9
 
 
+def test_clustered_vectors_take_few_curves_and_short_windows(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "WINDOW", 16)
+    draw, chosen = np.random.default_rng(8), []
+    centres = draw.normal(size=(200, 32))
+    vectors = centres[draw.integers(0, 200, 6000)] + draw.normal(size=(6000, 32)) * 0.2
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    plain = neighbours._choices
+    monkeypatch.setattr(neighbours, "_choices", lambda *given: chosen.append(plain(*given)) or chosen[-1])
+    rows = list(enumerate(vectors.tolist()))
+    got = nearest(table(spark, rows), "vec_id", "embedding", F.col("vec_id") % 20 == 0).collect()
+    assert compare(got, brute(rows, 20, 20)) >= 0.9
+    (curves, window), = chosen[0]
+    assert neighbours.LEAST <= curves < neighbours.CURVES and curves * 2 * window < 0.3 * len(rows), chosen
+
+
+def test_many_queries_at_one_place_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "ASKS", 50)
+    monkeypatch.setattr(neighbours, "BLOCK", 256)
+    draw = np.random.default_rng(9)
+    rows = list(enumerate((np.ones(8) + draw.normal(size=(1200, 8)) * 0.01).tolist()))
+    got = nearest(table(spark, rows), "vec_id", "embedding", F.lit(True), k=5).collect()
+    assert compare(got, brute(rows, 5, 1)) >= 0.9
+
+
 def test_few_candidates_and_none(spark, as_tables):
     got = nearest(table(spark, [(0, [1.0, 0.0]), (1, [0.5, 0.5])]), "vec_id", "embedding", F.col("vec_id") % 20 == 0).collect()
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == [(0, 1, 1, 0.5)]
