@@ -13,13 +13,13 @@ from .common import stage
 
 CURVES, AXES, BITS = 20, 12, 5
 LEAST = 4           # curves that are used at least; the others as far as they pay
-BLOCK = 4096        # points of a curve that lie together
-WINDOW = 512        # points before and after a query that it meets at least
+BLOCK = 4096        # points of a curve that lie together: four windows, between a quarter of this and this
+WINDOW = 64         # points before and after a query that it meets at least
+WHOLE = 1024        # a norm range of so few points is met whole
 SAMPLE = 4096       # vectors that fit the grids of a norm range; the index holds all of them
 RANGES = 8          # norm ranges, each down to half its largest squared norm; the last takes the rest
 TRIALS, RECALL = 128, 0.95      # queries answered in full, and the share of their answers a window must hold
 ENOUGH = 100        # answers of the trial in a norm range that choose its curves; with fewer, all ranges' do
-ROW = 64            # what a row with a vector costs to shuffle, in inner products
 ASKS = 4096         # queries that meet a block in one task, about
 
 
@@ -104,7 +104,8 @@ def nearest(frame: DataFrame, id_: str, vector: str, is_query: Column, k: int =
     Points are parted by norm, and every range has curves of its own, so that a few long vectors
     move nobody else's place.  Every curve is range-partitioned and its points are counted.  A
     query meets the points up to a window before and after its own place on a number of curves;
-    both are chosen for each norm range (``LEAST`` curves and ``WINDOW`` points at least), as the cheapest with which ``TRIALS`` queries find
+    both are chosen for each norm range (``LEAST`` curves and ``WINDOW`` points at least; a range of
+    ``WHOLE`` points or fewer is met whole), as those that meet the fewest points with which ``TRIALS`` queries find
     ``RECALL`` of their true answers.  It is scored there on the original vectors in double
     precision, and the best of all curves are merged.  Clustered vectors need a few curves and
     short windows whatever the table's size; on evenly spread vectors the window grows with the
@@ -185,15 +186,17 @@ def nearest(frame: DataFrame, id_: str, vector: str, is_query: Column, k: int =
     of_range = (F.floor(F.col("curve") / CURVES) + 1).cast("int")
     placed = placed.filter(F.col("curve") % CURVES < F.element_at(F.array(*[F.lit(c) for c, _ in chosen]), of_range))
     window = F.element_at(F.array(*[F.lit(w) for _, w in chosen]), of_range)
+    # Blocks go with the window, so a query touches as many at any size of the table.
+    block = F.element_at(F.array(*[F.lit(min(max(4 * w, BLOCK // 4), BLOCK)) for _, w in chosen]), of_range)
     asking = (placed.filter("kind = 1").withColumn("reach", window.cast("long"))
-              .withColumn("block", F.explode(F.sequence(F.floor(F.greatest(F.col("at") - F.col("reach"), F.lit(0)) / BLOCK),
-                                                        F.floor((F.col("at") + F.col("reach")) / BLOCK)))))
+              .withColumn("block", F.explode(F.sequence(F.floor(F.greatest(F.col("at") - F.col("reach"), F.lit(0)) / block),
+                                                        F.floor((F.col("at") + F.col("reach")) / block)))))
     # A block that many queries meet is dealt to several tasks with a part of them each.
     deals = stage(asking.groupBy("curve", "block").agg(F.ceil(F.count(F.lit(1)) / ASKS).cast("int").alias("deals")), "deals")
     cells = (asking.join(deals, ["curve", "block"])
              .withColumn("deal", F.pmod(F.xxhash64("point"), F.col("deals")).cast("int")).drop("deals")
              .unionByName(placed.filter("kind = 0").withColumn("reach", F.lit(0).cast("long"))
-                          .withColumn("block", F.floor(F.col("at") / BLOCK)).join(deals, ["curve", "block"])
+                          .withColumn("block", F.floor(F.col("at") / block)).join(deals, ["curve", "block"])
                           .withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).drop("deals"))
              .join(points.select("point", "vec", F.element_at("ids", 1).alias("least")), "point")
              .repartition("curve", "block", "deal").sortWithinPartitions("curve", "block", "deal", "kind", "at"))
@@ -253,15 +256,15 @@ def _top(asks: np.ndarray, base: np.ndarray, smallest: np.ndarray, keep: int) ->
 
 
 def _choices(points: DataFrame, placed: DataFrame, tops: np.ndarray, width: int, k: int) -> list[tuple[int, int]]:
-    """(curves, window) of each norm range: the cheapest with which ``TRIALS`` queries find ``RECALL``
-    of their true answers there.
+    """(curves, window) of each norm range with which ``TRIALS`` queries find ``RECALL`` of their true
+    answers there and meet the fewest points; of several the fewest curves.
 
     An answer is found on the first so many curves if on one of them it is no more points away
-    than the window.  More curves allow shorter windows and cost a shuffle of the range each.
+    than the window.  More curves allow shorter windows.  Windows that grow with the table do so on
+    any number of curves, so tables of one distribution get one number whatever their size.
     """
     below = sum(((F.col("norm") <= F.lit(float(top))).cast("int") for top in tops[1:]), F.lit(0))
     sizes = {r["range"]: r["n"] for r in points.groupBy(below.alias("range")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    asks = points.filter("asks").count()
     trial = points.filter("asks").orderBy(F.xxhash64("point"), "point").limit(TRIALS).select("point", "vec").toArrow()
     if not trial.num_rows:
         return [(LEAST, WINDOW)] * len(tops)
@@ -291,10 +294,10 @@ def _choices(points: DataFrame, placed: DataFrame, tops: np.ndarray, width: int,
     for r in range(len(tops)):
         mine = nearest_so_far[place == r]
         far = np.quantile(mine if len(mine) >= ENOUGH else nearest_so_far, RECALL, axis=0, method="higher") + 1
-        size, number = sizes.get(r, 0), np.arange(1, CURVES + 1)
-        window = np.maximum(np.minimum(far, size), WINDOW)
-        cost = number * (asks * (2 * window + ROW * (2 * window / BLOCK + 1)) + ROW * size)
-        best = LEAST - 1 + int(np.argmin(cost[LEAST - 1:]))
+        size = sizes.get(r, 0)
+        window = np.maximum(np.minimum(far, size), size if size <= WHOLE else WINDOW)
+        met = np.arange(1, CURVES + 1) * window
+        best = LEAST - 1 + int(np.argmin(met[LEAST - 1:]))
         chosen.append((best + 1, int(window[best])))
     return chosen
 

@@ -57,6 +57,7 @@ def test_small_tables_are_exact_with_ties_and_unusable_vectors(spark, as_tables)
 def test_recall_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 128)
     monkeypatch.setattr(neighbours, "WINDOW", 128)
+    monkeypatch.setattr(neighbours, "WHOLE", 64)
     draw = np.random.default_rng(3)
     centres = draw.normal(size=(12, 24))
     rows = [(i, (centres[i % 12] + draw.normal(size=24)).tolist()) for i in range(3000)]
@@ -67,6 +68,7 @@ def test_recall_over_many_blocks(spark, monkeypatch):
 def test_norms_differ(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 128)
     monkeypatch.setattr(neighbours, "WINDOW", 128)
+    monkeypatch.setattr(neighbours, "WHOLE", 64)
     draw = np.random.default_rng(4)
     rows = [(i, (draw.normal(size=8) * draw.lognormal(0, 1)).tolist()) for i in range(2000)]
     got = nearest(table(spark, rows), "vec_id", "embedding", F.col("vec_id") % 20 == 0).collect()
@@ -82,6 +84,7 @@ def even(seed, n):
 def test_an_outlier_norm_costs_no_recall(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 16)
     monkeypatch.setattr(neighbours, "WINDOW", 16)
+    monkeypatch.setattr(neighbours, "WHOLE", 64)
     plain = even(6, 3000)
     longer = plain.copy()
     longer[7] *= 10
@@ -97,6 +100,7 @@ def test_an_outlier_norm_costs_no_recall(spark, monkeypatch):
 def test_recall_on_even_vectors_where_the_least_window_is_a_few_percent(spark, monkeypatch, outlier):
     monkeypatch.setattr(neighbours, "BLOCK", 16)
     monkeypatch.setattr(neighbours, "WINDOW", 16)
+    monkeypatch.setattr(neighbours, "WHOLE", 64)
     vectors = even(6, 5000)
     if outlier:
         vectors[7] *= 10
@@ -107,6 +111,7 @@ def test_recall_on_even_vectors_where_the_least_window_is_a_few_percent(spark, m
 
 def test_clustered_vectors_take_few_curves_and_short_windows(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "WINDOW", 16)
+    monkeypatch.setattr(neighbours, "WHOLE", 64)
     draw, chosen = np.random.default_rng(8), []
     centres = draw.normal(size=(200, 32))
     vectors = centres[draw.integers(0, 200, 6000)] + draw.normal(size=(6000, 32)) * 0.2
