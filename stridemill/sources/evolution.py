@@ -52,13 +52,22 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
 
 def _entries() -> Column:
-    """Fields of a document by name; NULL when it is not an object."""
+    """Fields of a document by name; NULL when it is not an object.  Copies every value."""
     return F.col(DOCUMENT).try_cast("map<string,variant>")
 
 
+def _is_object() -> Column:
+    return F.col(DOCUMENT).try_cast("struct<_:boolean>").isNotNull()
+
+
+def _keys(held: Column, path: str) -> Column:
+    """Names of the fields at a path, without a copy of their values; NULL where no object is."""
+    return F.map_keys(F.try_variant_get(held, path, "map<string,boolean>"))
+
+
 def observed_schema(documents: DataFrame) -> StructType:
     """Schema of all objects of a frame: one short text reaches the driver."""
-    objects = documents.filter(_entries().isNotNull())
+    objects = documents.filter(_is_object())
     described = objects.agg(F.schema_of_variant_agg(DOCUMENT).alias("s")).first()["s"]
     if not described or not described.startswith("OBJECT<") or described == "OBJECT<>":
         return StructType()
@@ -108,38 +117,57 @@ def _widen_type(stored: DataType, seen: DataType) -> DataType:
     return stored
 
 
+def _place(held: Column, path: str, name: str) -> tuple[Column, str]:
+    """Where a field of the object at a path lies: the variant to look into, and the path in it."""
+    if re.fullmatch(r"[\w -]+", name):
+        return held, f"{path}['{name}']"
+    # paths know no quoting
+    return F.try_element_at(F.try_variant_get(held, path, "map<string,variant>"), F.lit(name)), "$"
+
+
 def _extract(field: StructField) -> Column:
-    if re.fullmatch(r"[\w -]+", field.name):
-        held, path = F.col(DOCUMENT), f"$['{field.name}']"
-    else:  # paths know no quoting
-        held, path = F.try_element_at(_entries(), F.lit(field.name)), "$"
-    value = F.try_variant_get(held, path, field.dataType.simpleString())
+    place = _place(F.col(DOCUMENT), "$", field.name)
+    value = F.try_variant_get(*place, field.dataType.simpleString())
     if isinstance(field.dataType, (LongType, DoubleType)):
-        value = F.when(~_exceeds(F.try_variant_get(held, path, "variant"), field.dataType), value)
+        value = F.when(~_changed(*place, field.dataType), value)
     return value
 
 
-def _exceeds(value: Column, kind: DataType) -> Column:
-    """Whether a value holds what its type cannot express, at any depth of objects and arrays: a
-    field the type does not name, a value of another kind, a fraction where it has whole
-    numbers, or digits a double cannot hold."""
+def _changed(held: Column, path: str, kind: DataType) -> Column:
+    """Whether a number's type would change it: a fraction where it has whole numbers, or digits
+    a double cannot hold."""
+    if isinstance(kind, LongType):
+        changed = F.try_variant_get(held, path, "double") != F.try_variant_get(held, path, "bigint").cast("double")
+    elif isinstance(kind, DoubleType):
+        digits = F.try_variant_get(held, path, "string")
+        changed = (F.length(digits) >= 16) & digits.rlike(r"^-?\d{16,}$")
+    else:
+        return F.lit(False)
+    return F.coalesce(changed, F.lit(False))
+
+
+def _exceeds(held: Column, path: str, kind: DataType) -> Column:
+    """Whether the value at a path holds what its type cannot express, at any depth of objects and
+    arrays: a field the type does not name, a value of another kind, or a number its type
+    would change.
+
+    Values are looked up by their path from the document or the array's item, since every
+    cast to a map of variants copies all below it.
+    """
     if isinstance(kind, StructType):
-        typed = value.try_cast("map<string,variant>")
-        more = F.exists(F.map_keys(typed), lambda k: ~k.isin(kind.names))
+        typed = _keys(held, path)
+        more = F.exists(typed, lambda k: ~k.isin(kind.names))
         for field in kind.fields:
             if _can_exceed(field.dataType):
-                more = more | _exceeds(F.try_element_at(typed, F.lit(field.name)), field.dataType)
+                more = more | _exceeds(*_place(held, path, field.name), field.dataType)
     elif isinstance(kind, ArrayType):
-        typed = value.try_cast("array<variant>")
-        more = F.exists(typed, lambda item: _exceeds(item, kind.elementType)) if _can_exceed(kind.elementType) else F.lit(False)
+        typed = F.try_variant_get(held, path, "array<variant>")
+        more = (F.exists(typed, lambda item: _exceeds(item, "$", kind.elementType)) if _can_exceed(kind.elementType)
+                else F.lit(False))
     else:
-        typed, more = value.try_cast(kind), F.lit(False)
-        if isinstance(kind, LongType):
-            more = value.try_cast("double") != typed.cast("double")
-        elif isinstance(kind, DoubleType):
-            more = value.try_cast("string").rlike(r"^-?\d{16,}$")
-    other = value.isNotNull() & ~F.is_variant_null(value) & typed.isNull()
-    return F.coalesce(more, F.lit(False)) | F.coalesce(other, F.lit(False))
+        typed, more = F.try_variant_get(held, path, kind.simpleString()), _changed(held, path, kind)
+    value = F.try_variant_get(held, path, "variant")
+    return F.coalesce(more, F.lit(False)) | (typed.isNull() & value.isNotNull() & ~F.is_variant_null(value))
 
 
 def _can_exceed(kind: DataType) -> bool:
@@ -152,20 +180,28 @@ def conform(documents: DataFrame, schema: StructType) -> DataFrame:
     An object or array with a nested field that the schema lacks, or a nested number that its
     type would change, is rescued whole beside its typed form.
     """
-    document, entries = F.col(DOCUMENT), _entries()
+    document = F.col(DOCUMENT)
     schema = StructType([f for f in schema.fields if f.name != RESCUED])
-    typed = documents.select(document, UNPARSED, *[_extract(f).alias(f.name) for f in schema.fields])
     names = [f.name for f in schema.fields]
-    nested = [f for f in schema.fields if isinstance(f.dataType, (StructType, ArrayType))]
-    misfits = F.array_compact(F.array(F.lit(None).cast("string"), *[
-        F.when(F.col(f"`{n}`").isNull(), F.lit(n)) for n in names], *[
-        F.when(_exceeds(F.try_element_at(entries, F.lit(f.name)), f.dataType), F.lit(f.name)) for f in nested]))
-    left_over = F.map_filter(entries, lambda key, value: ~F.is_variant_null(value)
-                             & (~key.isin(names) | F.array_contains(misfits, key)))
+    typed = documents.select(document, UNPARSED, _keys(document, "$").alias("_document_keys"),
+                             *[_extract(f).alias(f.name) for f in schema.fields])
+
+    def fits(field: StructField) -> Column:
+        held = F.col(f"`{field.name}`").isNotNull()
+        if isinstance(field.dataType, (StructType, ArrayType)):
+            held = held & ~_exceeds(*_place(document, "$", field.name), field.dataType)
+        return F.when(held, F.lit(field.name))
+
+    # Columns that a later step reads twice stay projections of their own: within the lambda
+    # they would be computed anew for every field of the document.
+    known = typed.withColumn("_document_fitting", F.array_compact(F.array(F.lit(None).cast("string"), *map(fits, schema.fields))))
+    left_over = F.when(F.size("_document_keys") > F.size("_document_fitting"), F.map_filter(
+        _entries(), lambda key, value: ~F.is_variant_null(value) & ~F.array_contains("_document_fitting", key)))
+    rest = known.withColumn("_document_left", left_over)
     rescued = (F.when(document.isNull(), F.col(UNPARSED))
-               .when(entries.isNull(), F.to_json(document))
-               .when(F.size(left_over) > 0, F.to_json(left_over)))
-    return typed.select(*[F.col(f"`{n}`") for n in names], rescued.alias(RESCUED))
+               .when(F.col("_document_keys").isNull(), F.to_json(document))
+               .when(F.size("_document_left") > 0, F.to_json("_document_left")))
+    return rest.select(*[F.col(f"`{n}`") for n in names], rescued.alias(RESCUED))
 
 
 def evolve(documents: DataFrame, store: SchemaStore) -> DataFrame:
