@@ -12,8 +12,9 @@ def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_a_document_is_copied_once_to_find_what_is_left_over(spark):
-    schema = spark.createDataFrame([], LAPS).schema
+@pytest.mark.parametrize("fields", [LAPS, "id long, laps array<struct<lap:long, km:double, at:struct<x:long>>>"])
+def test_a_document_is_copied_once_to_find_what_is_left_over(spark, fields):
+    schema = spark.createDataFrame([], fields).schema
     plan = optimized(conform(parse_lines(spark.createDataFrame([], "value string")), schema))
     assert plan.count("as map<string,variant>") == 1
     kept = next(line for line in plan.splitlines() if "map_filter" in line)
