@@ -12,7 +12,8 @@ def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("fields", [LAPS, "id long, laps array<struct<lap:long, km:double, at:struct<x:long>>>"])
+@pytest.mark.parametrize("fields", [LAPS, "id long, laps array<struct<lap:long, km:double, at:struct<x:long>>>",
+                                    "id long, athlete struct<id:long>, event_type string, value double"])
 def test_a_document_is_copied_once_to_find_what_is_left_over(spark, fields):
     schema = spark.createDataFrame([], fields).schema
     plan = optimized(conform(parse_lines(spark.createDataFrame([], "value string")), schema))
