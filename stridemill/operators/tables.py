@@ -40,11 +40,16 @@ def _with_batch(schema: StructType) -> StructType:
     return StructType([*[f for f in schema.fields if f.name != BATCH_COLUMN], StructField(BATCH_COLUMN, StringType())])
 
 
+def without_rows(spark: SparkSession, schema: StructType) -> DataFrame:
+    """A table that the optimizer knows to be empty: joins with it move nothing."""
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]).filter(F.lit(False))
+
+
 def read_batches(spark: SparkSession, table: str, schema: StructType, fmt: str = "parquet") -> DataFrame:
     """The table under a declared schema; columns an old batch lacks are NULL."""
     full = _with_batch(schema)
     if not fsio.data_files(spark, table):
-        return spark.createDataFrame([], full)
+        return without_rows(spark, full)
     return spark.read.format(fmt).schema(full).load(table)
 
 

@@ -22,6 +22,10 @@ _FROM_DETAIL = ("calories", "id_sub_activity")
 _DERIVED = ("periodo_dia", "semana", "ano", "mes_ref", "intensidade_calorica", "duracao_tipo")
 
 
+# What an activity gives to its feature row, apart from the keys of its detail.
+_FROM_ACTIVITY = tuple(c for c in FEATURES.names if c not in (*_FROM_DETAIL, *_DERIVED))
+
+
 def build_features(joined: DataFrame, pace_clock_col: str = "pace_clock", wall_time: bool = False) -> DataFrame:
     """The 24 feature columns of a join whose sides are qualified ``a`` and ``b``."""
     plain = [pace_clock_col if c == "pace_clock" else c for c in FEATURES.names if c not in _DERIVED]
@@ -39,6 +43,15 @@ def features(activities: DataFrame, details: DataFrame, **options) -> DataFrame:
     return build_features(with_details(activities, details.select(*needed)), **options)
 
 
+def activity_columns(activities: DataFrame) -> DataFrame:
+    """The columns of activities that :func:`features` reads.
+
+    A micro-batch is read as its stream names it, and a staged table is written whole: neither
+    is cut to the columns that a later step takes, so streams and staged rows are cut by this.
+    """
+    return activities.select(*dict.fromkeys(["id", *_FROM_ACTIVITY]))
+
+
 class FeatureLoad:
     """Incremental feature table: new silver activities, enriched from the details at hand."""
 
@@ -66,7 +79,7 @@ class FeatureLoad:
                 self.run_batch(features(rows, details_of(rows, details)), batch_id)
 
         marked = activities.withWatermark(*WATERMARK)
-        return finish(batch_stream(marked, enrich, checkpoint, "features"), self.counts)
+        return finish(batch_stream(activity_columns(marked), enrich, checkpoint, "features"), self.counts)
 
 
 class FeatureDays:

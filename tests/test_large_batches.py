@@ -3,6 +3,11 @@
 import pytest
 
 from conftest import listed
+from stridemill.operators.filters import unmatched
+from stridemill.operators.tables import BATCH_COLUMN, read_batches
+from stridemill.plans import features as plans
+from stridemill.schemas import FEATURES
+from stridemill.session import run_dir
 from stridemill.sources.evolution import conform, parse_lines
 
 LAPS = "id long, laps array<struct<lap:long, km:double, at:struct<x:long, y:struct<z:long>>>>, at struct<x:struct<s:long>>, km double"
@@ -35,3 +40,22 @@ def test_what_is_left_over(spark, line, rescued):
     schema = spark.createDataFrame([], LAPS).schema
     rows = conform(parse_lines(spark.createDataFrame([(line,)], "value string")), schema)
     assert listed(rows.select("_rescued_data")) == [(rescued,)]
+
+def test_feature_streams_read_only_what_features_need(spark, monkeypatch):
+    empty = run_dir(spark, "empty")
+    spark.range(0).write.parquet(empty)
+    activities = spark.readStream.schema(
+        "id long, notes string, silver_ingestion_timestamp timestamp, " + ", ".join(
+            f"{c} {FEATURES[c].dataType.simpleString()}" for c in FEATURES.names)).parquet(empty)
+    seen = {}
+    monkeypatch.setattr(plans, "batch_stream", lambda stream, each, checkpoint, name: seen.update({name: stream.columns}))
+    monkeypatch.setattr(plans, "finish", lambda query, written: [])
+    plans.FeatureLoad("none").run_stream(activities, None, "none")
+    assert "notes" not in seen["features"] and {"id", "athlete_id", "start_date", "pace_clock"} <= set(seen["features"])
+
+
+def test_a_first_batch_moves_nothing_to_join_an_empty_table(spark):
+    rows = spark.range(10).selectExpr("id", "cast(id as string) AS name")
+    known = read_batches(spark, run_dir(spark, "absent"), rows.schema).drop(BATCH_COLUMN)
+    assert known.dtypes == rows.dtypes and known.count() == 0
+    assert "Join" not in optimized(unmatched(rows, known, ["id"]))
