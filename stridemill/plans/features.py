@@ -109,7 +109,7 @@ class FeatureDays:
             near = self.activities().filter(value_range(touched, "start_date"))
             if dict(near.dtypes).get(MONTH) == "string":  # silver's layout: read the days' months only
                 near = near.filter(value_set(touched.select(F.date_format("start_date", "yyyy-MM").alias(MONTH)), MONTH))
-            with held(matched(near, touched, self.days, null_safe=True), "activities") as rows:
+            with held(activity_columns(matched(near, touched, self.days, null_safe=True)), "activities") as rows:
                 known = details_of(rows, self.details().filter(value_range(rows, "id")))
                 merge_groups(features(rows, known), self.target, self.days, FEATURE_PARTITIONS, batch_id,
                              schema=FEATURES, prune_by="start_date", catalog_table=self.catalog_table, groups=touched)
@@ -127,8 +127,8 @@ class FeatureDays:
     def run_streams(self, activities: DataFrame, details: DataFrame, checkpoint: str) -> RunLog:
         """Drain both streams; each has its checkpoint below ``checkpoint``."""
         log = RunLog()
-        for name, stream, each in (("activities", activities, self.run_activities),
-                                   ("details", details, self.run_details)):
+        for name, stream, each in (("activities", activities.select(*self.days), self.run_activities),
+                                   ("details", details.select("id", "athlete_id"), self.run_details)):
             log += finish(batch_stream(stream, each, f"{checkpoint}/{name}", f"feature_{name}"), self.counts)
         return log
 

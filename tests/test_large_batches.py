@@ -47,11 +47,14 @@ def test_feature_streams_read_only_what_features_need(spark, monkeypatch):
     activities = spark.readStream.schema(
         "id long, notes string, silver_ingestion_timestamp timestamp, " + ", ".join(
             f"{c} {FEATURES[c].dataType.simpleString()}" for c in FEATURES.names)).parquet(empty)
+    details = spark.readStream.schema("id long, athlete_id long, laps string").parquet(empty)
     seen = {}
     monkeypatch.setattr(plans, "batch_stream", lambda stream, each, checkpoint, name: seen.update({name: stream.columns}))
     monkeypatch.setattr(plans, "finish", lambda query, written: [])
-    plans.FeatureLoad("none").run_stream(activities, None, "none")
+    plans.FeatureLoad("none").run_stream(activities, details, "none")
+    plans.FeatureDays("none", None, None).run_streams(activities, details, "none")
     assert "notes" not in seen["features"] and {"id", "athlete_id", "start_date", "pace_clock"} <= set(seen["features"])
+    assert seen["feature_activities"] == ["athlete_id", "start_date"] and seen["feature_details"] == ["id", "athlete_id"]
 
 
 def test_a_first_batch_moves_nothing_to_join_an_empty_table(spark):
