@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .common import join_small, stage
 
 SHARD_BYTES = 8 << 20    # text whose rows make one shard of the matrix
+CHUNK_BYTES = 1 << 20    # text whose words are split and counted in one go
 
 
 def number_of(word: bytes) -> int:
@@ -32,7 +33,8 @@ def term_shards(frame: DataFrame, text: str, shard_bytes: int = SHARD_BYTES,
     (20, 09-0D), told by case.
 
     Documents are counted against a vocabulary of their shard first, so a frequent word
-    reaches the dictionary once per shard and not once per document.  A word's term is a
+    reaches the dictionary once per shard and not once per document.  Texts are split in chunks
+    of ``CHUNK_BYTES`` and counted by sorting pairs of row and word, chunk by chunk.  A word's term is a
     63-bit hash, which needs no second trip from dictionary to shards; the dictionary shows
     which words share one.  Of those, some v^2 / 2^64 of v words, all but the smallest get
     terms below zero, so terms and words are one to one.
@@ -47,17 +49,18 @@ def term_shards(frame: DataFrame, text: str, shard_bytes: int = SHARD_BYTES,
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, size = _Shard(), 0
         for batch in batches:
-            texts = batch.column("_text").cast(pa.binary())
-            begun = 0
-            for i in range(batch.num_rows):
-                data = texts[i].as_py() or b""
-                if shard.indptr[-1] and size + len(data) > shard_bytes:
-                    shard.rows.append(_copied(batch.column("row"), begun, i))
+            texts = batch.column("_text")
+            begun, waiting = 0, 0
+            for i, length in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+                if size and size + length > shard_bytes:
+                    shard.add(batch, begun, i)
                     yield shard.packed(number)
-                    begun, shard, size = i, _Shard(), 0
-                shard.add(data)
-                size += len(data)
-            shard.rows.append(_copied(batch.column("row"), begun, batch.num_rows))
+                    begun, waiting, shard, size = i, 0, _Shard(), 0
+                elif waiting and waiting + length > CHUNK_BYTES:
+                    shard.add(batch, begun, i)
+                    begun, waiting = i, 0
+                size, waiting = size + length, waiting + length
+            shard.add(batch, begun, batch.num_rows)
         if sum(map(len, shard.rows)):
             yield shard.packed(number)
 
@@ -97,27 +100,38 @@ def _copied(rows: pa.Array, begin: int, end: int) -> pa.Array:
 
 
 class _Shard:
-    """Rows under way, counted against the words met in this shard."""
+    """Rows under way, with their texts already split into words."""
 
     def __init__(self) -> None:
-        self.rows, self.indptr, self.terms, self.counts = [], [0], [], []
-        self.vocabulary: defaultdict[bytes, int] = defaultdict()
-        self.vocabulary.default_factory = self.vocabulary.__len__
+        self.rows, self.places, self.words = [], [], []
 
-    def add(self, data: bytes) -> None:
-        found = Counter(data.split())    # bytes split at 20 and 09-0D, nothing else
-        number = self.vocabulary
-        self.terms.append(np.fromiter((number[w] for w in found), np.int32, len(found)))
-        self.counts.append(np.fromiter(found.values(), np.int32, len(found)))
-        self.indptr.append(self.indptr[-1] + len(found))
+    def add(self, batch: pa.RecordBatch, begin: int, end: int) -> None:
+        self.rows.append(_copied(batch.column("row"), begin, end))
+        split = pc.ascii_split_whitespace(pc.fill_null(batch.column("_text").slice(begin, end - begin), ""))
+        words = split.flatten()    # split at 20 and 09-0D, nothing else
+        place = np.repeat(np.arange(len(split)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        some = pc.greater(pc.binary_length(words), 0)    # white space at an end leaves an empty word
+        self.places.append(place[some.to_numpy(zero_copy_only=False)].astype(np.int32))
+        self.words.append(words.filter(some))
 
     def packed(self, number: Callable[[bytes], int]) -> pa.RecordBatch:
-        rows = pa.concat_arrays(self.rows)
-        buffers = (np.array(self.indptr, np.int64), np.concatenate(self.terms), np.concatenate(self.counts))
+        rows, coded = pa.concat_arrays(self.rows), pa.chunked_array(self.words).dictionary_encode()
+        vocabulary = coded.chunk(0).dictionary.cast(pa.binary())    # one for all chunks
+        kinds = max(len(vocabulary), 1)
+        indptr, terms, counts = [np.zeros(1, np.int64)], [], []
+        for some, place, words in zip(self.rows, self.places, coded.chunks):
+            # A key tells row and word, so equal keys are a word's occurrences in a row.
+            keys = np.sort(place * np.int64(kinds) + words.indices.to_numpy(zero_copy_only=False))
+            first = np.flatnonzero(np.diff(keys, prepend=-1))
+            place, term = np.divmod(keys[first], kinds)
+            terms.append(term.astype(np.int32))
+            counts.append(np.diff(first, append=len(keys)).astype(np.int32))
+            indptr.append(indptr[-1][-1] + np.cumsum(np.bincount(place, minlength=len(some)), dtype=np.int64))
+        buffers = map(np.concatenate, (indptr, terms, counts))
+        hashes = np.fromiter(map(number, vocabulary.to_numpy(zero_copy_only=False)), np.int64, len(vocabulary))
         return pa.RecordBatch.from_arrays(
             [pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows),
-             pa.array([list(self.vocabulary)], pa.list_(pa.binary())),
-             pa.array([np.fromiter(map(number, self.vocabulary), np.int64, len(self.vocabulary))]),
+             pa.ListArray.from_arrays(pa.array([0, len(vocabulary)], pa.int32()), vocabulary), pa.array([hashes]),
              *[pa.array([b.tobytes()], pa.binary()) for b in buffers]],
             ["rows", "words", "numbers", "indptr", "terms", "counts"])
 
