@@ -127,11 +127,12 @@ def _best(scores: Sequence[Column]) -> Column:
 
 
 def identify(frame: DataFrame, text: str, model: TextModel, declared: Column | None = None,
-             suffix: Column | None = None, levels: Sequence[Column] = ()) -> DataFrame:
+             suffix: Column | None = None, levels: Sequence[Column] = (), keep: Sequence[str] | None = None) -> DataFrame:
     """Language, posterior and verdict of every row.
 
-    Returns ``row`` (the input columns), ``language`` (``und`` if none), ``posterior`` and
-    ``kept``.  The text's likelihood in each language meets
+    Returns ``row`` (the input columns, or those of ``keep``), ``language`` (``und`` if none),
+    ``posterior`` and ``kept``.  What ``row`` holds goes through Python and into the staged
+    scores; whoever doesn't need the texts back leaves them out.  The text's likelihood in each language meets
 
     * how often texts of that language declare what this one declares,
     * how often they come from this address suffix,
@@ -151,7 +152,7 @@ def identify(frame: DataFrame, text: str, model: TextModel, declared: Column | N
     names = model.languages
     missing = F.lit(None).cast("string")
     base = frame.select(
-        F.struct(*[frame[f"`{c}`"] for c in frame.columns]).alias("row"), frame[f"`{text}`"].alias("_t"),
+        F.struct(*[frame[f"`{c}`"] for c in (frame.columns if keep is None else keep)]).alias("row"), frame[f"`{text}`"].alias("_t"),
         (missing if declared is None else declared).alias("declared"), (missing if suffix is None else suffix).alias("suffix"),
         *[c.cast("string").alias(f"level{i}") for i, c in enumerate(levels)])
     if not names:

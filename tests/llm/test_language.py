@@ -197,3 +197,26 @@ def test_no_rows_and_nulls(spark, model):
     assert identify(frame, "t", model, levels=[F.col("host")]).collect() == []
     nulls = spark.createDataFrame([(None, None), (None, None)], "t string, host string")
     assert [(r.language, r.posterior, r.kept) for r in identify(nulls, "t", model, levels=[F.col("host")]).collect()] == [("und", 0.0, False)] * 2
+
+
+def test_texts_are_not_staged_with_the_scores(spark, make_docs, as_tables, monkeypatch):
+    from stridemill.llm import language_id
+    staged = {}
+
+    def kept(df, label):
+        staged[label] = df.schema.simpleString()
+        return stage(df, label)
+    stage = language_id.stage
+    monkeypatch.setattr(language_id, "stage", kept)
+    rows = [(1, "the and of with this", "en", "s"), (2, None, None, None), (None, "le la les et dans", "fr", "s"), (1, "", "en", "s")]
+    got = op9_language_id(spark, as_tables(documents=make_docs(rows)))
+    assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "1", "2", "None"]
+    assert staged["language-scores"].startswith("struct<row:struct<doc_id:bigint>,") and "text" not in staged["language-scores"]
+
+
+def test_kept_columns_change_no_verdict(spark, documents, model):
+    whole = identify(documents, "text", model, levels=[F.col("source")])
+    slim = identify(documents, "text", model, levels=[F.col("source")], keep=["doc_id"])
+    assert slim.schema["row"].dataType.names == ["doc_id"]
+    columns = ["row.doc_id", "language", "posterior", "kept"]
+    assert sorted(whole.select(*columns).collect()) == sorted(slim.select(*columns).collect())
