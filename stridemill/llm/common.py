@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -35,6 +36,15 @@ def text_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set(key, str(rows))
 
 
+def byte_batches(spark: SparkSession, size: int) -> None:
+    """Let Python tasks get batches of so many bytes at most, longer rows one by one, so that
+    their memory doesn't depend on how rows lie in files.  A lower setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", spark.conf.get(key).strip().lower()).groups()
+    if not 0 < int(number) << 10 * " kmgtp".index(unit or " ") <= size:
+        spark.conf.set(key, str(size))
+
+
 def join_small(frame: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner",
                limit: int = SMALL_ROWS) -> DataFrame:
     """Join a staged table: broadcast when its counted rows are few, else an ordinary

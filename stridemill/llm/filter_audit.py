@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small, stage
+from .common import byte_batches, join_small, stage
 
 SHARD_BYTES = 8 << 20    # text whose rows make one shard of the matrix
 CHUNK_BYTES = 1 << 20    # text whose words are split and counted in one go
@@ -40,8 +40,10 @@ def term_shards(frame: DataFrame, text: str, shard_bytes: int = SHARD_BYTES,
     terms below zero, so terms and words are one to one.
 
     Null and empty texts are rows without entries; a single text above ``shard_bytes`` is a
-    shard of its own.  An empty table gives empty results.
+    shard of its own.  An empty table gives empty results.  Texts come to Python in batches of
+    about a chunk, and shards one by one, however many lie in a file.
     """
+    byte_batches(frame.sparkSession, CHUNK_BYTES)
     others = [c for c in frame.columns if c != text]
     slim = frame.select(F.struct(*[frame[f"`{c}`"] for c in others]).alias("row"), frame[f"`{text}`"].alias("_text"))
     kind = slim.schema["row"].dataType.simpleString()
@@ -127,8 +129,11 @@ class _Shard:
             terms.append(term.astype(np.int32))
             counts.append(np.diff(first, append=len(keys)).astype(np.int32))
             indptr.append(indptr[-1][-1] + np.cumsum(np.bincount(place, minlength=len(some)), dtype=np.int64))
+        del coded, words
+        self.places, self.words = [], []
         buffers = map(np.concatenate, (indptr, terms, counts))
-        hashes = np.fromiter(map(number, vocabulary.to_numpy(zero_copy_only=False)), np.int64, len(vocabulary))
+        hashes = np.fromiter((number(w) for at in range(0, len(vocabulary), 10_000)
+                              for w in vocabulary.slice(at, 10_000).to_numpy(zero_copy_only=False)), np.int64, len(vocabulary))
         return pa.RecordBatch.from_arrays(
             [pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows),
              pa.ListArray.from_arrays(pa.array([0, len(vocabulary)], pa.int32()), vocabulary), pa.array([hashes]),

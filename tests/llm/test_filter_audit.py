@@ -3,6 +3,7 @@ from collections import Counter
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +92,29 @@ def test_shapley_counts_the_removed_rows_once_per_order(spark, as_tables):
     per = got.groupBy("part", "filter_order").agg(F.sum("removed").alias("gone"), F.min("kept").alias("left"))
     sizes = {r.lang or "": r.n for r in spark.read.parquet(f"{folder}/documents.parquet").groupBy("lang").agg(F.count("*").alias("n")).collect()}
     assert all(r.gone + r.left == sizes[r.part] for r in per.collect())
+
+
+def seen_by_python(frame):
+    """(rows, bytes) of every batch that a Python task gets of ``frame``."""
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+    return [(r.n, r.size) for r in frame.mapInArrow(run, "n long, size long").collect()]
+
+
+def test_python_gets_shards_one_by_one_and_few_texts(spark, make_docs):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    long = [" ".join(map(str, range(k, k + 200_000))) for k in range(6)]
+    docs = make_docs([(i, t, None, None) for i, t in enumerate(long)] + [(i, "ab " * 30_000, None, None) for i in range(6, 60)]).coalesce(1)
+    try:
+        shards, _ = term_shards(docs.select("doc_id", "text"), "text", 1 << 20)
+        batches = seen_by_python(shards)
+        assert sum(n for n, _ in batches) == shards.count() >= 7 and all(n == 1 for n, size in batches if size > 2 << 20)
+        assert all(n == 1 or size <= 1.3 * (1 << 20) for n, size in seen_by_python(docs.select("doc_id", "text")))
+        for lower in ("64k", "1000"):
+            spark.conf.set(key, lower)
+            term_shards(docs.limit(0), "text")
+            assert spark.conf.get(key).rstrip("b") in (lower, "65536")
+    finally:
+        spark.conf.set(key, before)
