@@ -66,8 +66,8 @@ def term_shards(frame: DataFrame, text: str, shard_bytes: int = SHARD_BYTES,
         if sum(map(len, shard.rows)):
             yield shard.packed(number)
 
-    local = stage(slim.mapInArrow(encode, f"rows array<{kind}>, words array<binary>, numbers array<bigint>, "
-                                          "indptr binary, terms binary, counts binary"), "local-shards")
+    local = stage(slim.mapInArrow(_tidy(encode), f"rows array<{kind}>, words array<binary>, numbers array<bigint>, "
+                                                 "indptr binary, terms binary, counts binary"), "local-shards")
     known = stage(local.select(F.explode(F.arrays_zip("words", "numbers")).alias("w"))
                   .select(F.col("w.words").alias("word"), F.col("w.numbers").alias("term")).distinct(), "dictionary")
     twice = known.groupBy("term").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("term")
@@ -89,13 +89,22 @@ def term_shards(frame: DataFrame, text: str, shard_bytes: int = SHARD_BYTES,
                      pa.array([numbers[at].astype(np.int64).tobytes()], pa.binary()), one.column("counts")],
                     ["rows", "indptr", "terms", "counts"])
     matrix = (local if instead else local.drop("words")).mapInArrow(
-        renumber, f"rows array<{kind}>, indptr binary, terms binary, counts binary")
+        _tidy(renumber), f"rows array<{kind}>, indptr binary, terms binary, counts binary")
     if instead:
         place = F.create_map(*[F.lit(x) for pair in instead.items() for x in pair])
         known = known.withColumn("term", F.coalesce(F.try_element_at(place, F.col("word")), F.col("term")))
     return matrix, known
 
 
+def _tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+          ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The task, after which its idle worker gives what Arrow has freed back to the system."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+    return run
+
+
 def _copied(rows: pa.Array, begin: int, end: int) -> pa.Array:
     """Some rows without the batch they came in, whose texts would stay in memory with them."""
     return rows.take(pa.array(range(begin, end), pa.int32()))
@@ -155,7 +164,7 @@ def row_totals(shards: DataFrame) -> DataFrame:
                     [batch.column("rows").slice(i, 1).flatten(), pa.array(np.diff(upto[indptr])),
                      pa.array(np.diff(indptr))], ["row", "n_words", "n_distinct"])
     return shards.select("rows", "indptr", "counts").mapInArrow(
-        run, f"row {kind}, n_words long, n_distinct long")
+        _tidy(run), f"row {kind}, n_words long, n_distinct long")
 
 
 def repeats(frame: DataFrame, id_: str, key: str) -> DataFrame:
