@@ -17,14 +17,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SMALL_ROWS = 50_000
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once into the shared folder and read it back.
+def stage(df: DataFrame, label: str, **options: int | str) -> DataFrame:
+    """Write ``df`` once into the shared folder, with ``options`` of the writer, and read it back.
 
     Cuts the lineage at a place every executor can reach, so a lost executor costs a read
     and not the work before it.
     """
     path = run_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -14,8 +14,15 @@ from pyspark.sql import functions as F
 
 from .common import byte_batches, join_small, stage
 
-SHARD_BYTES = 8 << 20    # text whose rows make one shard of the matrix
-CHUNK_BYTES = 1 << 20    # text whose words are split and counted in one go
+SHARD_BYTES = 2 << 20       # text whose rows make one shard of the matrix
+ROW_BYTES = 128             # what a row counts besides its text
+CHUNK_BYTES = 1 << 20       # text whose words are split and counted in one go
+VOCABULARY_BYTES = 8 << 20  # words of shards that are put together before they are written
+VOCABULARY_SHARDS = 16      # shards after which their words are written in any case
+# Row groups of staged shards are what a task holds to write or read; a few rows may fill one.
+BLOCKS = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 4, "parquet.page.size.row.check.max": 1000,
+          "compression": "zstd"}
+MATRIX = ["rows", "indptr", "terms", "counts"]
 
 
 def number_of(word: bytes) -> int:
@@ -27,73 +34,61 @@ def term_shards(frame: DataFrame, text: str, shard_bytes: int = SHARD_BYTES,
     """The document-term matrix of ``frame`` in compressed sparse rows, and its dictionary.
 
     The dictionary (word binary, term long) has one row per distinct word of the whole table.
-    A shard holds the rows of about ``shard_bytes`` of text: ``rows`` (an array of all columns
-    but ``text``), and the little-endian buffers ``indptr`` (int64), ``terms`` (int64, numbers
+    A shard holds the rows of about ``shard_bytes`` of text, a row counting ``ROW_BYTES`` more:
+    ``rows`` (an array of all columns but ``text``), and the little-endian buffers ``indptr`` (int64), ``terms`` (int64, numbers
     of the dictionary) and ``counts`` (int32).  Words are maximal runs without white space
     (20, 09-0D), told by case.
 
-    Documents are counted against a vocabulary of their shard first, so a frequent word
-    reaches the dictionary once per shard and not once per document.  Texts are split in chunks
-    of ``CHUNK_BYTES`` and counted by sorting pairs of row and word, chunk by chunk.  A word's term is a
-    63-bit hash, which needs no second trip from dictionary to shards; the dictionary shows
-    which words share one.  Of those, some v^2 / 2^64 of v words, all but the smallest get
-    terms below zero, so terms and words are one to one.
+    Texts are split in chunks of ``CHUNK_BYTES`` and counted by sorting pairs of row and word,
+    chunk by chunk.  A word's term is a 63-bit hash, so shards are written with their final
+    terms.  Beside them lie the words, a row each; those of several shards are put together
+    first, so a frequent word reaches the dictionary a few times per file and not once per
+    document.  The dictionary shows which words share a hash.  Of those, some v^2 / 2^64 of v
+    words, all but the smallest get terms below zero, and the shards are then made again with
+    these, so terms and words are one to one.
 
     Null and empty texts are rows without entries; a single text above ``shard_bytes`` is a
-    shard of its own.  An empty table gives empty results.  Texts come to Python in batches of
-    about a chunk, and shards one by one, however many lie in a file.
+    shard of its own.  An empty table gives empty results.  What a task holds does not depend
+    on how much lies in a file: texts come to Python in batches of about a chunk, shards one by
+    one, and no row is larger than a shard nor a row group than about 16 MB.
     """
     byte_batches(frame.sparkSession, CHUNK_BYTES)
     others = [c for c in frame.columns if c != text]
     slim = frame.select(F.struct(*[frame[f"`{c}`"] for c in others]).alias("row"), frame[f"`{text}`"].alias("_text"))
     kind = slim.schema["row"].dataType.simpleString()
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, size = _Shard(), 0
+    def encode(number: Callable[[bytes], int], label: str, words: bool = True) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            fresh: list[pa.Array] = []
+            for shard in _shards(batches, shard_bytes):
+                packed = shard.packed(number)
+                yield pa.RecordBatch.from_arrays([*map(packed.column, MATRIX), pa.nulls(1, pa.binary())], [*MATRIX, "word"])
+                if words:
+                    fresh.append(packed.column("words").flatten())
+                    if len(fresh) == VOCABULARY_SHARDS or sum(v.nbytes for v in fresh) > VOCABULARY_BYTES:
+                        yield from _word_rows(fresh, packed.schema)
+                        fresh = []
+            if fresh:
+                yield from _word_rows(fresh, packed.schema)
+        return stage(slim.mapInArrow(_tidy(run), f"rows array<{kind}>, indptr binary, terms binary, counts binary, word binary"),
+                     label, **BLOCKS)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("_text")
-            begun, waiting = 0, 0
-            for i, length in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
-                if size and size + length > shard_bytes:
-                    shard.add(batch, begun, i)
-                    yield shard.packed(number)
-                    begun, waiting, shard, size = i, 0, _Shard(), 0
-                elif waiting and waiting + length > CHUNK_BYTES:
-                    shard.add(batch, begun, i)
-                    begun, waiting = i, 0
-                size, waiting = size + length, waiting + length
-            shard.add(batch, begun, batch.num_rows)
-        if sum(map(len, shard.rows)):
-            yield shard.packed(number)
-
-    local = stage(slim.mapInArrow(_tidy(encode), f"rows array<{kind}>, words array<binary>, numbers array<bigint>, "
-                                                 "indptr binary, terms binary, counts binary"), "local-shards")
-    known = stage(local.select(F.explode(F.arrays_zip("words", "numbers")).alias("w"))
-                  .select(F.col("w.words").alias("word"), F.col("w.numbers").alias("term")).distinct(), "dictionary")
-    twice = known.groupBy("term").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("term")
-    clashing = sorted((r.term, bytes(r.word)) for r in known.join(twice, "term").collect())
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(_numbers(batch.column("word"), number))], ["word", "term"])
+
+    local = encode(number, "shards")
+    known = stage(local.filter("word is not null").select("word").distinct()
+                  .mapInArrow(_tidy(numbered), "word binary, term long"), "dictionary")
+    twice = stage(known.groupBy("term").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("term"), "clashing")
+    clashing = sorted((r.term, bytes(r.word)) for r in join_small(known, twice, ["term"]).collect())
     second = [word for k, (term, word) in enumerate(clashing) if k and clashing[k - 1][0] == term]
     instead = {word: -1 - k for k, word in enumerate(second)}
-
-    def renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                numbers = one.column("numbers").flatten().to_numpy()
-                if instead:
-                    words = one.column("words").flatten().to_pylist()
-                    numbers = np.array([instead.get(w, n) for w, n in zip(words, numbers)], np.int64)
-                at = np.frombuffer(one.column("terms")[0].as_py(), np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [one.column("rows"), one.column("indptr"),
-                     pa.array([numbers[at].astype(np.int64).tobytes()], pa.binary()), one.column("counts")],
-                    ["rows", "indptr", "terms", "counts"])
-    matrix = (local if instead else local.drop("words")).mapInArrow(
-        _tidy(renumber), f"rows array<{kind}>, indptr binary, terms binary, counts binary")
     if instead:
+        local = encode(lambda word: instead[word] if word in instead else number(word), "shards-again", words=False)
         place = F.create_map(*[F.lit(x) for pair in instead.items() for x in pair])
         known = known.withColumn("term", F.coalesce(F.try_element_at(place, F.col("word")), F.col("term")))
-    return matrix, known
+    return local.filter("indptr is not null").select(*MATRIX), known
 
 
 def _tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
@@ -110,6 +105,38 @@ def _copied(rows: pa.Array, begin: int, end: int) -> pa.Array:
     return rows.take(pa.array(range(begin, end), pa.int32()))
 
 
+def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[_Shard]:
+    """Rows in shards of about ``shard_bytes`` of text, each added in chunks."""
+    shard, size = _Shard(), 0
+    for batch in batches:
+        begun, waiting = 0, 0
+        for i, length in enumerate(pc.add(pc.fill_null(pc.binary_length(batch.column("_text")), 0), ROW_BYTES).to_pylist()):
+            if size and size + length > shard_bytes:
+                shard.add(batch, begun, i)
+                yield shard
+                begun, waiting, shard, size = i, 0, _Shard(), 0
+            elif waiting and waiting + length > CHUNK_BYTES:
+                shard.add(batch, begun, i)
+                begun, waiting = i, 0
+            size, waiting = size + length, waiting + length
+        shard.add(batch, begun, batch.num_rows)
+    if sum(map(len, shard.rows)):
+        yield shard
+
+
+def _word_rows(vocabularies: list[pa.Array], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The distinct words of some shards, a row each beside the columns of a shard."""
+    words = pc.unique(pa.chunked_array(vocabularies))
+    for at in range(0, len(words), 10_000):
+        some = words.slice(at, 10_000)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(some), schema.field(c).type) for c in MATRIX), some], [*MATRIX, "word"])
+
+
+def _numbers(words: pa.Array, number: Callable[[bytes], int]) -> np.ndarray:
+    return np.fromiter((number(w) for at in range(0, len(words), 10_000)
+                        for w in words.slice(at, 10_000).to_numpy(zero_copy_only=False)), np.int64, len(words))
+
+
 class _Shard:
     """Rows under way, with their texts already split into words."""
 
@@ -126,28 +153,28 @@ class _Shard:
         self.words.append(words.filter(some))
 
     def packed(self, number: Callable[[bytes], int]) -> pa.RecordBatch:
-        rows, coded = pa.concat_arrays(self.rows), pa.chunked_array(self.words).dictionary_encode()
-        vocabulary = coded.chunk(0).dictionary.cast(pa.binary())    # one for all chunks
+        # As one array: of several, Arrow leaves out those without words.
+        rows, coded = pa.concat_arrays(self.rows), pa.concat_arrays(self.words).dictionary_encode()
+        vocabulary, numbers, upto = coded.dictionary.cast(pa.binary()), coded.indices.to_numpy(), 0
         kinds = max(len(vocabulary), 1)
         indptr, terms, counts = [np.zeros(1, np.int64)], [], []
-        for some, place, words in zip(self.rows, self.places, coded.chunks):
+        for some, place in zip(self.rows, self.places):
             # A key tells row and word, so equal keys are a word's occurrences in a row.
-            keys = np.sort(place * np.int64(kinds) + words.indices.to_numpy(zero_copy_only=False))
+            keys = np.sort(place * np.int64(kinds) + numbers[upto:upto + len(place)])
+            upto += len(place)
             first = np.flatnonzero(np.diff(keys, prepend=-1))
             place, term = np.divmod(keys[first], kinds)
             terms.append(term.astype(np.int32))
             counts.append(np.diff(first, append=len(keys)).astype(np.int32))
             indptr.append(indptr[-1][-1] + np.cumsum(np.bincount(place, minlength=len(some)), dtype=np.int64))
-        del coded, words
+        del coded, numbers
         self.places, self.words = [], []
-        buffers = map(np.concatenate, (indptr, terms, counts))
-        hashes = np.fromiter((number(w) for at in range(0, len(vocabulary), 10_000)
-                              for w in vocabulary.slice(at, 10_000).to_numpy(zero_copy_only=False)), np.int64, len(vocabulary))
+        indptr, terms, counts = map(np.concatenate, (indptr, terms, counts))
         return pa.RecordBatch.from_arrays(
             [pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows),
-             pa.ListArray.from_arrays(pa.array([0, len(vocabulary)], pa.int32()), vocabulary), pa.array([hashes]),
-             *[pa.array([b.tobytes()], pa.binary()) for b in buffers]],
-            ["rows", "words", "numbers", "indptr", "terms", "counts"])
+             pa.ListArray.from_arrays(pa.array([0, len(vocabulary)], pa.int32()), vocabulary),
+             *[pa.array([b.tobytes()], pa.binary()) for b in (indptr, _numbers(vocabulary, number)[terms], counts)]],
+            ["rows", "words", "indptr", "terms", "counts"])
 
 
 def row_totals(shards: DataFrame) -> DataFrame:
